@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 #: A key is hot when it holds at least this share of the rows; by counting, at most 1 / HOT_SHARE keys can.
 HOT_SHARE = 0.001
+BATCH_ROWS = 512
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,8 +33,15 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Hand texts to Python some hundreds at a time: a worker's memory then follows its longest text, not ten thousand."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def text_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the id and the text, null as empty, under names that no extra column can clash with."""
+    small_batches(df.sparkSession)
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 

@@ -111,7 +111,7 @@ class Lattice:
                 by_length.setdefault((len(w) + 3) // 4, []).append(k)
         for group in by_length.values():
             width = max(len(words[k]) for k in group)
-            most = max(1, (1 << 22) // (width + 1))
+            most = max(1, (1 << 20) // (width + 1))
             for at in range(0, len(group), most):
                 part = group[at : at + most]
                 for k, ids in zip(part, self._paths([words[k] for k in part], width), strict=True):

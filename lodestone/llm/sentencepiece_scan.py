@@ -10,14 +10,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import with_group, written
+from lodestone.llm.common import small_batches, with_group, written
 from lodestone.llm.pieces import LOW, MARK, PATH, Decoder, Lattice, Vocabulary, normalised, pretokens
 
 #: Texts of more characters are split into chunks of so many characters.
 GIANT, CHUNK = 1 << 16, 1 << 15
 #: Chunks, or groups of them, whose matrices are combined by one call.
 FAN = 16
-REMEMBERED, AT_ONCE = 400_000, 1 << 20
+REMEMBERED, AT_ONCE = 250_000, 1 << 19
 
 
 class Encoder:
@@ -218,6 +218,7 @@ def encode(docs: DataFrame, path: str = PATH, text_col: str = "text", out: str =
     piece are spelled in byte pieces. Null and empty texts have no ids. Texts of more than `giant`
     characters are scanned in chunks, equal ones once. Row order is not kept.
     """
+    small_batches(docs.sparkSession)
     vocabulary = Vocabulary.load(path)
     sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
@@ -244,6 +245,7 @@ def encode(docs: DataFrame, path: str = PATH, text_col: str = "text", out: str =
 
 def decode(df: DataFrame, path: str = PATH, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
     """df with a string column `out` more: the text of packed ids (null as no ids)."""
+    small_batches(df.sparkSession)
     sent = df.sparkSession.sparkContext.broadcast(Vocabulary.load(path))
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

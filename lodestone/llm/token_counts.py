@@ -9,10 +9,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.common import small_batches
 from lodestone.llm.pieces import LONG_WORD, LOW, PATH, UNKNOWN, Lattice, Vocabulary, pretokens
 
 #: Pre-tokens that a task remembers, and characters of text that it reads, before it counts anew; cells of a trie's table.
-REMEMBERED, AT_ONCE, CELLS = 400_000, 1 << 20, 1 << 23
+REMEMBERED, AT_ONCE, CELLS = 250_000, 1 << 19, 1 << 21
 _RADIX = np.uint64(0x9E3779B97F4A7C15 | 1)
 
 
@@ -118,6 +119,7 @@ def token_counts(docs: DataFrame, path: str = PATH, text_col: str = "text", out:
     It is the number of ids that `sentencepiece_scan.encode` gives, without making them. Null and empty
     texts have none; equal texts have equal counts.
     """
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(path))
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
