@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestone.plans import research
+from lodestone.plans import answers, research
 
-QUERIES = {**research.QUERIES}
-ORACLE_SQL = {**research.ORACLE_SQL}
+QUERIES = {**research.QUERIES, **answers.QUERIES}
+ORACLE_SQL = {**research.ORACLE_SQL, **answers.ORACLE_SQL}
