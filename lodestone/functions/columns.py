@@ -123,6 +123,6 @@ def source_identity(source: Column) -> Column:
 
 def tidy(col: Column) -> Column:
     """Blanks and punctuation put right after something was taken out."""
-    out = F.regexp_replace(col, r"[ \t]+([.,;:!?])", "$1")
-    out = F.regexp_replace(out, r"[ \t]{2,}", " ")
-    return F.trim(F.regexp_replace(out, r"\(\s*\)", ""))
+    out = F.regexp_replace(col, r"\(\s*\)", "")
+    out = F.regexp_replace(out, r"[ \t]+([.,;:!?])", "$1")
+    return F.trim(F.regexp_replace(out, r"[ \t]{2,}", " "))

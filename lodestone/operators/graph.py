@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.columns import HOPS_MOST
+from lodestone.operators.keys import add_surrogate_key
 from lodestone.sources.shared import written
 
 #: Items of one group that are paired in one piece; larger groups are paired in pairs of blocks.
@@ -95,8 +96,7 @@ def ranked_components(edges: DataFrame) -> DataFrame:
     """node, component (1 for the largest; ties by least node) and its size."""
     roots = components(edges)
     sizes = roots.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
-    # Numbers are given by size, so a window over the sizes' own table: one row for each component.
-    ranks = sizes.withColumn("component", F.row_number().over(Window.orderBy(F.desc("size"), "root")))
+    ranks = add_surrogate_key(sizes, [F.desc("size"), F.asc("root")], "component")
     return roots.join(ranks, "root").select("node", "component", "size")
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.columns import confidence, cosine, valid_vector
+from lodestone.sources.shared import written
 
 #: Queries whose vectors are held by each task at a time; more are searched in blocks.
 QUERY_BLOCK = 2048
@@ -166,7 +167,10 @@ def lsh_search(chunks: DataFrame, queries: DataFrame, k: int = 8, threshold: flo
 
     def unit(df: DataFrame, *cols: str) -> DataFrame:
         norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-        return df.filter(F.col("embedding").isNotNull()).withColumn("_n", norm).filter("_n > 0").select(*cols, array_to_vector(F.transform("embedding", lambda x: x / F.col("_n"))).alias("v"))
+        # Written, as the vector functions fail on rows that a filter in the same stage drops.
+        some = df.filter(F.col("embedding").isNotNull()).withColumn("_n", norm).filter("_n > 0")
+        some = written(some.select(*cols, F.transform("embedding", lambda x: x / F.col("_n")).alias("unit")), "units")
+        return some.select(*cols, array_to_vector("unit").alias("v"))
 
     c, q = unit(chunks, "chunk_id", "publication_id"), unit(queries, "query_id")
     model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=width, numHashTables=tables, seed=7).fit(c)

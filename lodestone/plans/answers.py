@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions.columns import citation, normalize_text, normalize_title, period_label, token_overlap
-from lodestone.operators import conversation, entities, evidence, graph, quality, questions, vector
+from lodestone.operators import conversation, entities, evidence, graph, keys, quality, questions, vector
 from lodestone.plans.research import _EDGES, queries_of, search_sql
 from lodestone.sources.corpus import Corpus, load, with_corpus
 
@@ -221,7 +221,7 @@ def overlap(spark, d):
 # Data quality and cleaning
 
 @query("q2_keys", "SELECT l_orderkey, l_linenumber, count(*) AS rows FROM lineitem GROUP BY ALL HAVING count(*) > 1")
-def keys(spark, d):
+def repeated_keys(spark, d):
     return quality.key_violations(load(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"])
 
 
@@ -262,7 +262,7 @@ def backfill(spark, d):
 
 @query("s5_surrogate_key", "SELECT row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS row_id, o_orderkey FROM orders")
 def surrogate(spark, d):
-    return quality.add_surrogate_key(load(spark, d, "orders").select("o_orderdate", "o_orderkey"), ["o_orderdate", "o_orderkey"]).select("row_id", "o_orderkey")
+    return keys.add_surrogate_key(load(spark, d, "orders").select("o_orderdate", "o_orderkey"), ["o_orderdate", "o_orderkey"]).select("row_id", "o_orderkey")
 
 
 def records(spark, d) -> DataFrame:
