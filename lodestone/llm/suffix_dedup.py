@@ -133,74 +133,85 @@ def _runs(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return places[np.concatenate([[0], cut + 1])], places[np.concatenate([cut, [len(places) - 1]])]
 
 
+_CONTEXTS = "doc_key binary, anchor long, salt int, salts int, offset int, firsts array<int>, bytes binary"
+
+
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each repeated anchor of a text the bytes from its first to its last string."""
+    """For each repeated anchor of a text the bytes from its first to its last string.
+
+    Where a text repeats them at the same offset from the anchor, as periodic text does at every place,
+    they are sent once with all their places.
+    """
     for batch in batches:
         for key, text, rows in zip(batch.column("doc_key").to_pylist(), batch.column("text").to_pylist(), batch.column("anchors").to_pylist(), strict=True):
             data = text.encode("utf-8", "surrogatepass")
-            for at in range(0, len(rows), 4096):
-                part = rows[at : at + 4096]
-                columns = [pa.array([r[c] for r in part], t) for c, t in (("anchor", pa.int64()), ("salt", pa.int32()), ("salts", pa.int32()), ("first", pa.int32()), ("place", pa.int32()))]
-                bytes_ = pa.array([data[r["first"] : r["last"] + r["length"]] for r in part], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array([key] * len(part), pa.binary()), *columns, bytes_], ["doc_key", "anchor", "salt", "salts", "first", "place", "bytes"])
+            alike: dict[tuple, list[int]] = {}
+            for r in rows:
+                alike.setdefault((r["anchor"], r["salt"], r["salts"], r["first"] - r["place"], data[r["first"] : r["last"] + r["length"]]), []).append(r["first"])
+            found = list(alike.items())
+            for at in range(0, len(found), 4096):
+                part = found[at : at + 4096]
+                columns = [pa.array([k[c] for k, _ in part], t) for c, t in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()))]
+                firsts = pa.array([f for _, f in part], pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([pa.array([key] * len(part), pa.binary()), *columns[:4], firsts, columns[4]], ["doc_key", "anchor", "salt", "salts", "offset", "firsts", "bytes"])
 
 
 _MARKED = "doc_key binary, first int, last int, window binary"
 
 
 def _group_marks(length: int):
-    """Marks of one group of occurrences: runs of repeated starts, and for a salted group each other window by its digest."""
+    """Marks of one group of occurrences: runs of repeated starts, and for a salted group each other window by its digest.
+
+    An occurrence is (text, offset of its first string from the anchor, places of that string, bytes).
+    """
 
     def marks(rows: list[tuple], salted: bool):
+        """Which strings of each occurrence stand in another one too; in a salted group also each string once, by its digest."""
         # Equal strings stand at equal offsets from the anchor, so offsets are taken a few at a time.
-        low = min(first - place for _, first, place, _ in rows)
-        high = max(first - place + len(b) - length for _, first, place, b in rows)
+        low = min(r[1] for r in rows)
+        high = max(r[1] + len(r[3]) - length for r in rows)
         step = max(1, SUFFIXES // len(rows))
-        buffer, bases, at = b"".join(b for *_, b in rows), [], 0
-        for *_, b in rows:
+        buffer, bases, at = b"".join(r[3] for r in rows), [], 0
+        for r in rows:
             bases.append(at)
-            at += len(b)
+            at += len(r[3])
         found: list[list[int]] = [[] for _ in rows]
-        single: list[tuple[int, int, bytes]] = []
+        told: list[tuple[int, int, bytes]] = []
         for offset in range(low, high + 1, step):
             starts, who, where = [], [], []
-            for k, (_, first, place, b) in enumerate(rows):
-                a = max(offset, first - place)
-                z = min(offset + step - 1, first - place + len(b) - length)
-                for o in range(a, z + 1):
-                    starts.append(bases[k] + o - (first - place))
+            for k, (_, own, _, b) in enumerate(rows):
+                for o in range(max(offset, own), min(offset + step - 1, own + len(b) - length) + 1):
+                    starts.append(bases[k] + o - own)
                     who.append(k)
-                    where.append(place + o)
+                    where.append(o - own)
             mark = repeated(buffer, starts, length).tolist()
-            told = set()
+            seen = set()
             for s, k, w, m in zip(starts, who, where, mark, strict=True):
                 if m:
                     found[k].append(w)
                 if salted:
                     digest = hashlib.blake2b(buffer[s : s + length], digest_size=16).digest()
-                    if not m or digest not in told:
-                        single.append((k if not m else -1, w, digest))
-                        told.add(digest)
-        return found, single
+                    if not m or digest not in seen:
+                        told.append((k if not m else -1, w, digest))
+                        seen.add(digest)
+        return found, told
 
     def merged(rows: list[tuple], salted: bool):
         """As marks, but occurrences with the same bytes around are one: all their strings are repeated."""
         alike: dict[tuple[int, bytes], list[int]] = {}
-        for k, (_, first, place, b) in enumerate(rows):
-            alike.setdefault((first - place, b), []).append(k)
-        each = [same[0] for same in alike.values()]
-        some = [rows[k] for k in each]
-        found, single = marks(some, salted) if len(some) > 1 or salted else ([[]], [])
-        out: list[list[int]] = [[] for _ in rows]
+        for k, (_, offset, _, b) in enumerate(rows):
+            alike.setdefault((offset, b), []).append(k)
+        some = [rows[same[0]] for same in alike.values()]
+        found, told = marks(some, salted) if len(some) > 1 or salted else ([[]], [])
+        out: list[list[int] | range] = [[] for _ in rows]
+        alone = []
         for same, places in zip(alike.values(), found, strict=True):
-            if len(same) == 1:
-                out[same[0]] = places
-            else:
-                for k in same:
-                    _, first, _, b = rows[k]
-                    out[k] = list(range(first, first + len(b) - length + 1))
+            alone.append(len(same) == 1 and len(rows[same[0]][2]) == 1)
+            for k in same:
+                out[k] = places if alone[-1] else range(len(rows[k][3]) - length + 1)
         # A string that stands in several alike occurrences is settled: it is only told to the other groups.
-        return out, [(each[k] if k >= 0 and len(alike[some[k][1] - some[k][2], some[k][3]]) == 1 else -1, w, d) for k, w, d in single]
+        heads = [same[0] for same in alike.values()]
+        return out, [(heads[k] if k >= 0 and alone[k] else None, w, d) for k, w, d in told]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
@@ -211,14 +222,16 @@ def _group_marks(length: int):
             return batch
 
         def finish(rows: list[tuple], salted: bool) -> None:
-            if len(rows) < 2 and not salted:
+            if sum(len(r[2]) for r in rows) < 2 and not salted:
                 return
-            found, single = merged(rows, salted)
-            for (key, *_), places in zip(rows, found, strict=True):
-                if places:
+            found, told = merged(rows, salted)
+            for (key, _, firsts, _), places in zip(rows, found, strict=True):
+                if len(places):
                     for a, z in zip(*_runs(np.array(sorted(places))), strict=True):
-                        out.append((key, int(a), int(z), None))
-            out.extend((rows[k][0] if k >= 0 else None, w, w, digest) for k, w, digest in single)
+                        out.extend((key, f + int(a), f + int(z), None) for f in firsts)
+            for k, w, digest in told:
+                at = rows[k][2][0] + w if k is not None else 0
+                out.append((rows[k][0] if k is not None else None, at, at, digest))
 
         now, held, salted = None, [], False
         for batch in batches:
@@ -231,7 +244,7 @@ def _group_marks(length: int):
                         if len(out) > 20_000:
                             yield flush()
                     now, held, salted = group, [], columns["salts"][i] > 1
-                held.append((columns["doc_key"][i], columns["first"][i], columns["place"][i], columns["bytes"][i]))
+                held.append((columns["doc_key"][i], columns["offset"][i], columns["firsts"][i], columns["bytes"][i]))
         if held:
             finish(held, salted)
         yield flush()
@@ -297,7 +310,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col
     again = hot.unionByName(cold).withColumn("salts", salts).withColumn("salt", F.pmod(F.xxhash64("doc_key", "first"), salts).cast("int"))
     by_text = again.groupBy("doc_key").agg(F.collect_list(F.struct("anchor", "salt", "salts", "first", "last", "place", F.lit(length).alias("length"))).alias("anchors"))
     texts = long_.groupBy("doc_key").agg(F.any_value("text").alias("text")).join(by_text, "doc_key")
-    contexts = texts.mapInArrow(_contexts, "doc_key binary, anchor long, salt int, salts int, first int, place int, bytes binary")
+    contexts = texts.mapInArrow(_contexts, _CONTEXTS)
     marked = contexts.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt").mapInArrow(_group_marks(length), _MARKED)
     marked = written(marked, "marks")
     # Windows of salted groups: those that another group has too are repeated. A group sends a window once.
