@@ -107,4 +107,20 @@ ORACLE_SQL: dict[str, str] = {
         SELECT w.doc_id, len(w.ws) AS n_words, coalesce(hit.n_hit, 0) AS n_hit, coalesce(its.n_items, 0) AS n_items,
                coalesce(its.h, sha256('')) AS items_sha256, coalesce(hit.n_hit, 0) > 0 AND 20 * coalesce(hit.n_hit, 0) >= len(w.ws) AS contaminated
         FROM w LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)""",
+    "op5_ngram_jaccard_join": r"""
+        WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\t-\r ]+'), lambda x: x <> '') AS w FROM documents),
+             s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM d),
+             n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+             pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY 1, 2),
+             links AS (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE c >= 0.8 * (x.n + y.n - c)),
+             reach AS (SELECT a AS u, b AS v FROM links UNION SELECT reach.u, links.b FROM reach JOIN links ON reach.v = links.a),
+             cls AS (SELECT d.doc_id, least(d.doc_id, coalesce(min(v), d.doc_id)) AS class_id FROM d LEFT JOIN reach ON u = d.doc_id GROUP BY 1),
+             deg AS (SELECT a, count(*) AS n_links FROM links GROUP BY 1)
+        SELECT doc_id, class_id, count(*) OVER (PARTITION BY class_id) AS class_size, coalesce(n_links, 0) AS n_links, doc_id = class_id AS kept FROM cls LEFT JOIN deg ON a = doc_id""",
+    "op8_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS x FROM pages),
+             m AS (SELECT page_id, h, list_transform(string_split(x, ''), lambda c: instr('0123456789abcdef', c) - 1) AS nibbles, max(page_id) OVER (PARTITION BY h) AS last FROM p)
+        SELECT page_id, strlen(h) AS payload_bytes,
+               array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((nibbles[5 * i // 4 + 1] * 16 + nibbles[5 * i // 4 + 2]) >> (3 - (5 * i) % 4)) & 31) + 1, 1)), '') AS payload_digest,
+               CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> last THEN last END AS refers_to FROM m""",
 }
