@@ -65,7 +65,7 @@ def with_group(rows: DataFrame, groups: DataFrame, key: str, size: str, spread:
     return joined.select(*(F.col(c) for c in rows.columns), *(F.coalesce(F.col(f"_hot.{c}"), F.col(f"_group.{c}")).alias(c) for c in others))
 
 
-def slices(batches, column: str = "text", most: int = 1 << 21):
+def slices(batches, column: str = "text", most: int = 1 << 20):
     """Cut Arrow record batches into pieces of about `most` bytes of the text column (a longer text stays whole)."""
     for batch in batches:
         if batch.num_rows == 0:

@@ -17,7 +17,7 @@ from lodestone.llm.pieces import LOW, MARK, PATH, Decoder, Lattice, Vocabulary,
 GIANT, CHUNK = 1 << 16, 1 << 15
 #: Chunks, or groups of them, whose matrices are combined by one call.
 FAN = 16
-REMEMBERED, AT_ONCE = 250_000, 1 << 19
+REMEMBERED, AT_ONCE = 200_000, 1 << 19
 
 
 class Encoder:
@@ -211,9 +211,11 @@ def scan(giants: DataFrame, vocabulary: Vocabulary, chunk: int = CHUNK) -> DataF
     return traced.groupBy("key").applyInArrow(_gathered, "key string, ids binary")
 
 
-def encode(docs: DataFrame, path: str = PATH, text_col: str = "text", out: str = "ids", giant: int = GIANT, chunk: int = CHUNK) -> DataFrame:
+def encode(docs: DataFrame, path: str = PATH, text_col: str = "text", out: str = "ids", giant: int = GIANT, chunk: int = CHUNK, round_trip: str | None = None) -> DataFrame:
     """docs with a binary column `out` more: piece ids as little-endian 32-bit numbers.
 
+    round_trip names a boolean column to add: whether the ids decode to the text, told by the same pass.
+
     The encoding is the segmentation of greatest summed piece score over the whole text; characters in no
     piece are spelled in byte pieces. Null and empty texts have no ids. Texts of more than `giant`
     characters are scanned in chunks, equal ones once. Row order is not kept.
@@ -222,14 +224,22 @@ def encode(docs: DataFrame, path: str = PATH, text_col: str = "text", out: str =
     vocabulary = Vocabulary.load(path)
     sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    columns = [F.col(f"`{c}`") for c in docs.columns if c != out]
+    kept = [c for c in docs.columns if c not in (out, round_trip)]
+    made = pa.struct([("ids", pa.binary()), ("same", pa.bool_())])
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        encoder = Encoder(Lattice(sent.value))
+        encoder, decoder = Encoder(Lattice(sent.value)), Decoder(sent.value)
         for texts in batches:
-            yield pa.array(encoder.encode(texts.to_pylist()), pa.binary())
+            texts = texts.to_pylist()
+            packed = encoder.encode(texts)
+            same = [decoder.decode(p) == t for p, t in zip(packed, texts, strict=True)] if round_trip else [None] * len(texts)
+            yield pa.StructArray.from_arrays([pa.array(packed, pa.binary()), pa.array(same, pa.bool_())], fields=list(made))
+
+    def shaped(df: DataFrame, columns: list, ids, same) -> DataFrame:
+        return df.select(*columns, ids.alias(out), *([same.alias(round_trip)] if round_trip else []))
 
-    short = docs.filter(F.length(text) <= giant).select(*columns, F.arrow_udf(run, "binary", F.ArrowUDFType.SCALAR_ITER)(text).alias(out))
+    each = docs.filter(F.length(text) <= giant).withColumn("_made", F.arrow_udf(run, "struct<ids:binary,same:boolean>", F.ArrowUDFType.SCALAR_ITER)(text))
+    short = shaped(each, [F.col(f"`{c}`") for c in kept], F.col("_made.ids"), F.col("_made.same"))
     giants = docs.filter(F.length(text) > giant)
     key = F.sha2(text, 256)
     distinct = giants.select(key.alias("key"), text.alias("text")).groupBy("key").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("n"))
@@ -237,10 +247,13 @@ def encode(docs: DataFrame, path: str = PATH, text_col: str = "text", out: str =
     if distinct.isEmpty():
         return short
     ids = written(scan(distinct.select("key", "text"), vocabulary, chunk).join(distinct.select("key", "n"), "key"), "ids")
-    names = {c: f"_{i}" for i, c in enumerate(c for c in docs.columns if c != out)}  # no clash with the join's own columns
+    if round_trip:
+        told = decode(ids, path, "ids", "_decoded").withColumn("_same", F.sha2("_decoded", 256) == F.col("key")).drop("_decoded")
+        ids = written(told, "ids")
+    names = {c: f"_{i}" for i, c in enumerate(kept)}  # no clash with the join's own columns
     renamed = giants.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items()), key.alias("_key"))
     joined = with_group(renamed, ids.withColumnRenamed("key", "_key"), "_key", "n", F.xxhash64(*renamed.columns))
-    return short.unionByName(joined.select(*(F.col(n).alias(c) for c, n in names.items()), F.col("ids").alias(out)))
+    return short.unionByName(shaped(joined, [F.col(n).alias(c) for c, n in names.items()], F.col("ids"), F.col("_same") if round_trip else F.lit(None)))
 
 
 def decode(df: DataFrame, path: str = PATH, ids_col: str = "ids", out: str = "decoded") -> DataFrame:

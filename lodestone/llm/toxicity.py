@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import slices
+from lodestone.llm.common import slices, small_batches
 from lodestone.llm.quality import logistic, probability
 
 #: Symbols of the character model: 0 for a word's end, 1 to 26 for a to z without accents, 27 for any other letter.
@@ -25,8 +25,9 @@ TRAINING_ROWS, TRAINING_BYTES = 8000, 1 << 17
 LEAST_RATIO, LEAST_ODDS = 24.0, 50.0
 #: Lengths of word starts that are features beside whole words.
 STARTS = (4, 5, 6)
-#: Words that a task remembers before it begins anew.
-REMEMBERED = 400_000
+#: Distinct features that a task counts before it sends them on, and words that it remembers before it begins anew.
+COUNTED = 250_000
+REMEMBERED = 200_000
 
 # Letters that stand behind digits and signs in leetspeak.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "£": "l", "(": "c", "¡": "i"}
@@ -187,6 +188,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> ToxicityM
     is the share of label 1 (a half without any label).
     """
     spark = docs.sparkSession
+    small_batches(spark)
     characters = character_model(docs)
     kept = labels.filter(F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).alias("toxic"))
     share = {r["toxic"]: r["count"] for r in kept.groupBy("toxic").count().collect()}
@@ -201,7 +203,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> ToxicityM
             for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
                 total[toxic] += 1
                 seen[toxic].update(reader.features(text or ""))
-            if len(seen[0]) > 1_000_000:  # sent on in parts, which Spark sums
+            if len(seen[0]) > COUNTED:  # sent on in parts, which Spark sums
                 yield _counted(seen)
                 seen = (Counter(), Counter())
         seen[0][""], seen[1][""] = total
@@ -249,6 +251,7 @@ def toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text", out:
     Noisy stretches are restored first; stretches whose lattice has one path stay as they are. Null and
     empty texts have no features and get the score of clean text; equal texts get equal scores.
     """
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

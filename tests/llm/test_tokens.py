@@ -119,6 +119,7 @@ def test_encode_scans_giants_and_odd_rows(spark):
     out = S.encode(d)
     assert sorted(out.columns) == sorted([*d.columns, "ids"]) and out.count() == d.count()
     assert S.encode(docs(spark, [])).collect() == []
+    assert S.encode(d, giant=500, chunk=64, round_trip="same").filter("same").count() == d.count()
 
 
 def test_counts_are_the_numbers_of_ids(spark, lattice):
