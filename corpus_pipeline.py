@@ -46,8 +46,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, the piece ids of the whole text, how many, and whether they decode to the same text."""
-    both = sentencepiece_scan.decode(sentencepiece_scan.encode(docs.select("doc_id", "text")))
-    return both.select("doc_id", "ids", F.floor(F.octet_length("ids") / 4).alias("n_ids"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
+    both = sentencepiece_scan.encode(docs.select("doc_id", "text"), round_trip="round_trip")
+    return both.select("doc_id", "ids", F.floor(F.octet_length("ids") / 4).alias("n_ids"), "round_trip")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
