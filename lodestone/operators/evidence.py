@@ -138,3 +138,11 @@ def answer_text(ranked: DataFrame, most: int = 10) -> DataFrame:
     cited = F.when(F.size("sources") > 0, F.concat(F.lit(" "), citation(src["title"], src["year"], src["doi"]))).otherwise("")
     line = F.struct("rank", F.concat(F.col("rank").cast("string"), F.lit(". "), F.col("claim"), cited).alias("line"))
     return ranked.filter(F.col("rank") <= most).groupBy("question_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda s: s["line"]), "\n\n").alias("answer"))
+
+
+def context_block(ranked_sources: DataFrame, most: int = 20) -> DataFrame:
+    """One text for each question: its ranked sources as numbered lines with score and provenance."""
+    head = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] "), citation(F.col("title"), F.col("year"), F.col("doi")))
+    line = F.concat_ws(" | ", head, F.format_string("score %.4f", F.coalesce("relevance", F.lit(0.0))), F.concat(F.lit("from "), F.col("provenance")))
+    rows = ranked_sources.filter(F.col("rank") <= most)
+    return rows.groupBy("question_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))), lambda s: s["line"]), "\n").alias("context"))

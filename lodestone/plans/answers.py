@@ -180,6 +180,14 @@ def merge_evidence(spark, d):
     return evidence.merge_evidence(e).select("question_id", "claim", "metric", "confidence", F.transform("sources", lambda x: x["publication_id"]).alias("ids"))
 
 
+@query("r14_context_block", "WITH " + _SOURCES + f""", m AS (SELECT question_id, publication_id, max(relevance) AS relevance, arg_min(title, position) FILTER (title IS NOT NULL) AS title, arg_min(year, position) FILTER (year IS NOT NULL) AS year, arg_min(doi, position) FILTER (doi IS NOT NULL) AS doi,
+      (SELECT string_agg(v, '; ' ORDER BY f) FROM (SELECT provenance AS v, min(position) AS f FROM src s2 WHERE s2.question_id = src.question_id AND s2.publication_id = src.publication_id GROUP BY 1)) AS provenance FROM src GROUP BY question_id, publication_id),
+    r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY coalesce(relevance, 0) DESC, coalesce(year, 0) DESC, coalesce(title, ''), publication_id) AS rank FROM m)
+    SELECT question_id, string_agg('[' || rank || '] ' || {_cite()} || ' | score ' || format('{{:.4f}}', relevance) || ' | from ' || provenance, chr(10) ORDER BY rank) AS context FROM r WHERE rank <= 20 GROUP BY 1""")
+def context_block(spark, d):
+    return evidence.context_block(evidence.rank_sources(evidence.merge_sources(source_rows(spark, d))))
+
+
 @query("r12_verify_citations", with_corpus("publications", f"""base AS (SELECT publication_id, title, year, doi FROM publications WHERE title IS NOT NULL), cites AS (SELECT publication_id AS answer_id, title, doi,
       CASE publication_id::INT % 3 WHEN 1 THEN year + 1 ELSE year END AS year, CASE WHEN publication_id::INT % 7 = 0 THEN title || ' extra words that differ' ELSE title END AS cited FROM base)
     SELECT answer_id, CASE WHEN answer_id::INT % 3 = 1 OR answer_id::INT % 7 = 0 THEN 'Claim' ELSE 'Claim ' || {_cite('cited')} END AS text FROM cites"""))
@@ -306,6 +314,13 @@ def quarantined(spark, d):
 
 # Conversations
 
+
+@query("c7_block", with_corpus("messages", r"""last AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY created_at DESC, seq DESC) AS r FROM messages), t AS (SELECT session_id, seq, upper(role[1]) || lower(role[2:]) AS label, trim(regexp_replace(content, '[ \t\n\x0B\f\r]+', ' ', 'g')) AS c FROM last WHERE r <= 6)
+    SELECT session_id, string_agg(label || ': ' || CASE WHEN length(c) > 200 THEN rtrim(substr(c, 1, 199)) || '…' ELSE c END, chr(10) ORDER BY seq) AS block FROM t GROUP BY 1"""))
+def block(spark, d):
+    return conversation.block(Corpus(spark, d).messages)
+
+
 @query("c1_sessions", with_corpus("messages", r"""f AS (SELECT session_id, count(DISTINCT seq) AS message_count, count(DISTINCT route) AS route_count, arg_max(route, seq) FILTER (route IS NOT NULL) AS last_route, max(created_at) AS last_message_at,
       trim(regexp_replace(coalesce(arg_min(content, seq) FILTER (role = 'user'), ''), '[ \t\n\x0B\f\r]+', ' ', 'g')) AS q FROM messages GROUP BY 1)
     SELECT session_id, message_count, route_count, last_route, last_message_at, CASE WHEN q = '' THEN 'New session' WHEN length(q) <= 80 THEN q ELSE regexp_replace(substr(q, 1, 80), '\s\S*$', '') END AS title FROM f ORDER BY last_message_at DESC NULLS LAST, session_id LIMIT 50"""))

@@ -309,6 +309,14 @@ def resolve_topics(spark, d):
     return topics.resolve_topics(asks, topics.topic_totals(c.publications, a, names))
 
 
+@query("k10_clusters")
+def clusters(spark, d):
+    """Topic discovery by k-means over chunk vectors, with the keywords of each cluster; iterative, so without SQL."""
+    c = Corpus(spark, d)
+    chunks = c.chunks.withColumn("publication_id", F.col("publication_id").cast("string"))
+    return topics.cluster_chunks(chunks, c.keywords, 5)[1]
+
+
 @query("k9_coword", with_corpus("keywords", "SELECT a.keyword AS node_a, b.keyword AS node_b, count(DISTINCT publication_id)::INT AS weight FROM keywords a JOIN keywords b USING (publication_id) WHERE a.keyword < b.keyword GROUP BY 1, 2"))
 def coword(spark, d):
     return graph.collaboration_edges(Corpus(spark, d).keywords, "publication_id", "keyword").drop("via")

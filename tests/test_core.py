@@ -347,3 +347,29 @@ def test_sources_and_sinks(spark, tmp_path):
     assert {r.node for r in spark.read.option("header", True).csv(f"{out}-m").filter("in_top_n = 'true'").collect()} == {"C"}
     tables.write_report(d, f"{out}-r")
     assert spark.read.json(f"{out}-r").count() == 4
+
+
+def test_stream_of_new_files(spark, tmp_path):
+    from lodestone.streaming.incremental import run_available
+
+    source, out, check = (f"file://{tmp_path}/{n}" for n in ("in", "out", "check"))
+    first = spark.createDataFrame([(1, "a"), (2, "b")], "chunk_id long, chunk_text string")
+
+    def work(df):
+        return vector.embed_chunks(df, vector.hashing_encoder(4), "m", "1", 4)
+
+    first.write.parquet(source)
+    assert run_available(spark, source, first.schema, work, out, "chunk_id", check) == 1
+    assert run_available(spark, source, first.schema, work, out, "chunk_id", check) == 0
+    spark.createDataFrame([(2, "again"), (3, "c")], first.schema).write.mode("append").parquet(source)
+    run_available(spark, source, first.schema, work, out, "chunk_id", check)
+    assert sorted(r.chunk_id for r in spark.read.parquet(out).collect()) == [1, 2, 3]
+
+
+def test_clusters_and_context(spark):
+    chunks = spark.createDataFrame([(i, f"p{i}", [float(i % 2) * 10 + i / 100, 1.0]) for i in range(20)] + [(99, "p99", None)], "chunk_id long, publication_id string, embedding array<float>")
+    words = spark.createDataFrame([(f"p{i}", f"w{i % 2}") for i in range(20)], "publication_id string, keyword string")
+    found, top = topics.cluster_chunks(chunks, words, 2)
+    assert found.count() == 20 and sorted(r.n for r in top.collect()) == [10, 10]
+    s = spark.createDataFrame([(1, "p1", "T", 2000, "10.1/x", 0.5, "sql"), (1, "p2", None, None, None, None, "graph")], "question_id int, publication_id string, title string, year int, doi string, relevance double, provenance string")
+    assert evidence.context_block(evidence.rank_sources(s)).first().context == "[1] [T, 2000, 10.1/x] | score 0.5000 | from sql\n[2] [Untitled, n.d., no-doi] | score 0.0000 | from graph"
