@@ -53,7 +53,7 @@ def test_query_rows_and_spans_of_the_method(spark):
 
 
 def test_automaton_learns_a_format_and_merges_states():
-    words_ = Counter({"A" * 4 + "0A" * 8: 30, "A" * 4 + "A0" * 8: 30, "A" * 4 + "00AA" * 4: 30})
+    words_ = Counter({"A" * 4 + "xA" * 8: 30, "A" * 4 + "Ax" * 8: 30, "A" * 4 + "xxAA" * 4: 30})
     tree = X.Automaton().prefix_tree(words_)
     states = len({0} | {t for m in tree.moves for t, _ in m.values()})
     made = tree.merged()
@@ -64,7 +64,24 @@ def test_automaton_learns_a_format_and_merges_states():
                 reached.add(t)
                 todo.append(t)
     assert len(reached) < states
-    assert made.log_likelihood("AAAA" + "0A" * 8) > made.log_likelihood("z" * 20)
+    assert made.log_likelihood("AAAA" + "xA" * 8) > made.log_likelihood("z" * 20)
+
+
+def test_a_fixed_length_stays_and_ordinary_formats_are_left_alone(spark):
+    chain = X.Automaton().prefix_tree(Counter({"x" * 40: 100})).merged()
+    assert chain.log_likelihood("x" * 40) > chain.log_likelihood("x" * 39) + 4
+    plain_ = [(5000 + i, f"{words(i, 20)} {4000000000000000 + i * 7919} and 10.{i}.{i + 3}.{i + 99} {words(i + 9, 20)}") for i in range(120)]
+    d = docs(spark, secret_rows() + plain_ + [(6000, f"id {HEXES[5][:20].upper()}{HEXES[5][20:]}")])
+    out = X.secrets(d, X.learn(d))
+    assert out.filter("doc_id >= 5000 AND doc_id < 6000 AND secrets.spans <> ''").isEmpty()
+
+
+def test_a_bare_value_of_a_learned_format_is_found(spark):
+    values = [f"sk_live_{hashlib.sha256(str(i).encode()).hexdigest()[:24].upper()}" for i in range(60)]
+    data = [(i, f"{words(i, 20)} secret = '{v}' {words(i + 70, 20)}") for i, v in enumerate(values[:50])] + [(100 + i, f"see {v} there") for i, v in enumerate(values[50:])]
+    d = docs(spark, data)
+    out = {r.doc_id: r.secrets for r in X.secrets(d, X.learn(d)).collect()}
+    assert all(out[100 + i].spans == f"likely-assign:4:{4 + len(v)}" and out[100 + i].base == "" for i, v in enumerate(values[50:]))
 
 
 def pages(spark, data):
