@@ -42,8 +42,10 @@ def payload_digest(payload: bytes) -> str:
 def build_dictionary(pages: DataFrame, html_col: str = "html") -> bytes:
     """A dictionary from a bounded sample of the payloads (b'' where there is too little to build one)."""
     html = F.col(html_col)
-    some = pages.select(html.alias("html")).filter(html.isNotNull() & F.octet_length(html).between(1, SAMPLE_BYTES))
-    rows = some.orderBy(F.xxhash64("html"), "html").limit(SAMPLE_PAGES).collect()
+    some = pages.filter(html.isNotNull() & F.octet_length(html).between(1, SAMPLE_BYTES)).select(html.alias("html"), F.xxhash64(html).alias("hash"))
+    # The least hashes are found first, without the pages; equal pages have one. coalesce keeps the sorting off the driver.
+    chosen = some.select("hash").distinct().orderBy("hash").limit(SAMPLE_PAGES).coalesce(1)
+    rows = some.join(F.broadcast(chosen), "hash").groupBy("hash").agg(F.min("html").alias("html")).orderBy("hash").collect()
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, [r.html.encode("utf-8", "surrogatepass") for r in rows]).as_bytes()
     except zstandard.ZstdError:
