@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.operators import entities, evidence, questions
 from lodestone.sources.corpus import Corpus
+from lodestone.sources.shared import written
 
 
 def answer_batch(c: Corpus, asked: DataFrame, edges: DataFrame, evolved: DataFrame, topic_names: DataFrame, hits: DataFrame | None = None, most: int = 5) -> DataFrame:
@@ -23,6 +24,7 @@ def answer_batch(c: Corpus, asked: DataFrame, edges: DataFrame, evolved: DataFra
     named = people.select(F.col("low").alias("ask_id"), F.col("low").alias("name"))
     resolved = entities.resolve_authors(named, c.authors, c.pub_author).select(F.col("ask_id").alias("low"), F.col("status").alias("name_status"), "entity_id")
     q = q.join(resolved, F.lower("author_name") == F.col("low"), "left").drop("low")
+    q = written(q, "questions")  # read and resolved once; all routes start from it
     open_name = F.col("author_name").isNotNull() & (F.col("name_status") != "resolved")
     ready = q.filter(~F.coalesce(open_name, F.lit(False)))
 
@@ -50,6 +52,7 @@ def answer_batch(c: Corpus, asked: DataFrame, edges: DataFrame, evolved: DataFra
     if hits is not None:
         found = hits.join(ready.filter("route = 'vector'").select("question_id"), "question_id", "left_semi").join(c.publications.select("publication_id", "title", "year", "doi"), "publication_id")
         rows = rows.unionByName(evidence.from_matches(found))
+    rows = written(rows, "evidence")
     texts = evidence.answer_text(evidence.rank_evidence(evidence.merge_evidence(rows)), most)
     status = F.when(F.coalesce(open_name, F.lit(False)), F.when(F.col("name_status") == "needs_clarification", "needs_clarification").otherwise("not_found")).when(F.col("answer").isNull(), "not_found").otherwise("ok")
     return q.join(texts, "question_id", "left").select("question_id", "route", status.alias("status"), "answer")
