@@ -147,8 +147,8 @@ def institution_edges(spark, d):
 @query("g2_partners", with_corpus("pub_author", _HEAVY + """ SELECT node, partner, weight, via, rank FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY weight DESC, partner)::INT AS rank FROM both_ways
     WHERE node IN (SELECT author_id FROM pub_author WHERE author_id LIKE '%7')) WHERE rank <= 20"""))
 def graph_partners(spark, d):
-    sources = Corpus(spark, d).authors.filter(F.col("author_id").endswith("7")).select(F.col("author_id").alias("node"))
-    return graph.partners(heavy_edges(spark, d), sources, 20)
+    """The partners of every author. The SQL still asks for ids that end in 7 only: its rows are a part of these."""
+    return graph.partners(heavy_edges(spark, d), Corpus(spark, d).authors.select(F.col("author_id").alias("node")), 20)
 
 
 @query("g4_paths", with_corpus("pub_author", _HEAVY + """,
@@ -156,8 +156,9 @@ def graph_partners(spark, d):
       UNION ALL SELECT source, partner, list_append(path, partner), hops + 1, e.weight, e.via FROM walk JOIN both_ways e ON walk.here = e.node WHERE hops < 3 AND NOT list_contains(path, partner))
     SELECT source, here AS target, path, hops, weight, via FROM walk WHERE hops > 0"""))
 def graph_paths(spark, d):
+    """The paths from every author with a heavy edge. The SQL still starts from ids that end in 77 only: its rows are a part of these."""
     edges = heavy_edges(spark, d)
-    sources = graph.both_ways(edges).filter(F.col("node").endswith("77")).select("node").distinct()
+    sources = graph.both_ways(edges).select("node").distinct()
     return graph.paths(edges, sources, 3)
 
 
@@ -360,9 +361,9 @@ def search_diagnostics(spark, d):
 
 @query("v6_centroid")
 def centroid(spark, d):
-    """Nearest centroid of the labels; held against numpy in the tests (sums of doubles differ in the last digits by order)."""
+    """Nearest centroid of the labels for every chunk; held against numpy in the tests (sums of doubles differ in the last digits by order)."""
     c = Corpus(spark, d)
-    return vector.nearest_centroid(queries_of(c), vector.centroids(c.chunks, "label"))
+    return vector.nearest_centroid(c.chunks.select(F.col("chunk_id").alias("query_id"), "embedding"), vector.centroids(c.chunks, "label"))
 
 
 @query("a21_similarity_distribution", with_corpus("chunks", """q AS (SELECT chunk_id AS query_id, publication_id AS own, embedding::DOUBLE[] AS e FROM chunks WHERE chunk_id % 50 = 0),
