@@ -5,19 +5,95 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.operators import entities, evidence, questions
+from lodestone.operators import entities, evidence, questions, vector
 from lodestone.sources.corpus import Corpus
 from lodestone.sources.shared import written
 
 
-def answer_batch(c: Corpus, asked: DataFrame, edges: DataFrame, evolved: DataFrame, topic_names: DataFrame, hits: DataFrame | None = None, most: int = 5) -> DataFrame:
+#: Most results that a question can ask for; the limits that questions state are held to it (see request_limit).
+LIMIT_MOST = 50
+
+
+def _top(df: DataFrame, keys: list[str], order: list, n: int | str) -> DataFrame:
+    w = Window.partitionBy(*keys).orderBy(*order)
+    return df.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= (F.col(n) if isinstance(n, str) else n)).drop("r")
+
+
+def _relational(c: Corpus, sql: DataFrame) -> DataFrame:
+    """Evidence by intent within the author and the years; questions without an intent are counts. Equal questions are one."""
+    asked = sql.select("author").distinct()
+    pubs = c.publications.select("publication_id", "title", "year", "doi", "citation_count")
+    own = c.pub_author.select(F.col("author_id").alias("author"), "publication_id").distinct().join(asked, "author", "left_semi").join(pubs, "publication_id")
+    scoped = pubs.withColumn("author", F.lit("")).unionByName(own)
+    keys = ["author", "lo", "hi"]
+
+    def within(by_year: DataFrame, some: DataFrame) -> DataFrame:
+        return some.select(*keys).distinct().join(by_year, "author").filter(F.col("year").between(F.col("lo"), F.col("hi")))
+
+    of = lambda *names: sql.filter(F.coalesce("intent", F.lit("count")).isin(*names))
+    counted, mean, funded, listed = of("count"), of("average_citations"), of("funding"), of("list", "most_cited")
+    n = scoped.groupBy("author", "year").agg(F.count(F.lit(1)).alias("n"), F.count("citation_count").alias("known"), F.sum("citation_count").alias("cited"))
+    out = evidence.from_count(counted.join(within(n, counted).groupBy(*keys).agg(F.sum("n").alias("total")), keys), "total")
+    means = within(n, mean).groupBy(*keys).agg(F.round(F.try_divide(F.sum("cited"), F.sum("known")), 2).alias("mean")).filter("mean is not null")
+    m = mean.join(means, keys)
+    out = out.unionByName(evidence.evidence(m, F.col("question_id"), F.format_string("The average is %s citations", F.col("mean").cast("string")), "average_citations", F.col("mean")))
+    g = scoped.join(c.funding.select("publication_id", "funding_id"), "publication_id").groupBy("author", "year").agg(F.countDistinct("funding_id").alias("n"))
+    out = out.unionByName(evidence.from_count(funded.join(within(g, funded).groupBy(*keys).agg(F.sum("n").alias("total")), keys), "total", "grants"))
+    for intent, links, names, key, name in (("top_authors", c.pub_author, c.authors, "author_id", "author_name"), ("top_institutions", c.pub_institution, c.institutions, "institution_id", "institution_name")):
+        top = of(intent)
+        by = scoped.select("author", "year", "publication_id").join(links.select("publication_id", key).distinct(), "publication_id").groupBy("author", "year", key).agg(F.count(F.lit(1)).alias("n"))
+        ranked = within(by, top).groupBy(*keys, key).agg(F.sum("n").alias("n")).join(names.select(key, name), key)
+        ranked = _top(ranked, keys, [F.desc("n"), name, key], LIMIT_MOST)
+        ranked = _top(top.join(ranked, keys), ["question_id"], [F.desc("n"), name, key], "requested_limit")
+        out = out.unionByName(evidence.from_ranking(ranked, name, "n", "publications"))
+    order = [F.desc_nulls_last("citation_count"), F.asc_nulls_last("title"), "publication_id"]
+    best = _top(scoped, ["author", "year"], order, LIMIT_MOST)  # the best of a range are among the best of its years
+    best = _top(within(best, listed), keys, order, LIMIT_MOST)
+    return out.unionByName(evidence.from_publications(_top(listed.join(best, keys), ["question_id"], order, "requested_limit")))
+
+
+def _hybrid(c: Corpus, asked: DataFrame, evolved: DataFrame, terms: DataFrame, assigned: DataFrame, scores: DataFrame, most: int) -> DataFrame:
+    """Trends and experts of the topics whose terms the question has (of all topics without one), within its years."""
+    kinds = asked.select("question", "lo", "hi", "hybrid_kind", "emerging_only").distinct()
+    names = terms.select("topic_id", "topic_name").distinct()
+    said = kinds.select("question").distinct().join(F.broadcast(terms), F.contains(F.lower("question"), F.lower("term"))).select("question", "topic_id").distinct()
+    every = kinds.select("question").distinct().join(said, "question", "left_anti").crossJoin(F.broadcast(names.select("topic_id")))
+    topics = kinds.join(said.unionByName(every), "question")
+    keys, ask = ["question", "lo", "hi"], asked.select("question_id", "question", "lo", "hi")
+    grown = topics.filter("hybrid_kind <> 'experts'").join(evolved, "topic_id").filter(F.col("year").between(F.col("lo"), F.col("hi")) & (~F.col("emerging_only") | F.col("is_emerging"))).join(names, "topic_id")
+    trends = evidence.from_trends(ask.join(_top(grown, keys, [F.desc("growth_score"), F.desc("year"), "topic_id"], most), keys))
+    active = c.pub_author.select("author_id", "publication_id").join(assigned, "publication_id").join(c.publications.select("publication_id", "year"), "publication_id").select("author_id", "topic_id", "year").distinct()
+    wanted = topics.filter("hybrid_kind <> 'trends'").select(*keys, "topic_id").join(active, "topic_id").filter(F.col("year").between(F.col("lo"), F.col("hi"))).select(*keys, "topic_id", "author_id").distinct()
+    good = _top(wanted.join(scores, ["author_id", "topic_id"]), keys, [F.desc("expertise_score"), "author_id", "topic_id"], most).join(c.authors.select("author_id", "author_name"), "author_id")
+    return trends.unionByName(evidence.from_experts(ask.join(good, keys)))
+
+
+def embedded_hits(c: Corpus, asked: DataFrame, encoder, size: int, k: int = 8, threshold: float = 0.48) -> DataFrame:
+    """Hits (question_id, publication_id, similarity) of asked (question_id, question, lo, hi): chunk texts and distinct
+    questions by the same encoder, each range of years searched among its own publications."""
+    texts = vector.embed_chunks(c.chunks.filter("trim(chunk_text) <> ''"), encoder, "questions", "1", size).filter("valid AND exists(embedding, x -> x <> 0)").select("chunk_id", "embedding")
+    rows = texts.join(c.chunks.select("chunk_id", "publication_id"), "chunk_id").join(c.publications.select(F.col("publication_id").cast("long").alias("publication_id"), "year"), "publication_id")
+    rows = written(rows, "chunk-texts")
+    distinct = asked.select("question", "lo", "hi").distinct().withColumn("query_id", F.xxhash64("question", "lo", "hi"))
+    queries = vector.embed_chunks(distinct.withColumnRenamed("query_id", "chunk_id"), encoder, "questions", "1", size, "question").filter("valid AND exists(embedding, x -> x <> 0)").select(F.col("chunk_id").alias("query_id"), "embedding")
+    queries = written(queries.join(distinct, "query_id"), "question-vectors")
+    found = None
+    for lo, hi in queries.select("lo", "hi").distinct().orderBy("lo", "hi").collect():  # ranges of years, not questions
+        some = vector.vector_search(rows.filter(F.col("year").between(lo, hi)), queries.filter((F.col("lo") == lo) & (F.col("hi") == hi)), k, threshold).select("query_id", "publication_id", "similarity")
+        found = some if found is None else found.unionByName(some)
+    if found is None:
+        found = c.spark.createDataFrame([], "query_id long, publication_id long, similarity double")
+    return asked.withColumn("query_id", F.xxhash64("question", "lo", "hi")).join(found, "query_id").select("question_id", F.col("publication_id").cast("string").alias("publication_id"), "similarity")
+
+
+def answer_batch(c: Corpus, asked: DataFrame, edges: DataFrame, evolved: DataFrame, terms: DataFrame, assigned: DataFrame, scores: DataFrame, encoder, size: int, most: int = 5) -> DataFrame:
     """One row per question (question_id, question): route, status and answer text.
 
     Names are resolved once each, whatever the number of questions that ask them. The relational route
-    counts publications within the question's years and author; the graph route lists partners of the
-    author; the hybrid route the fastest growing topic years; the vector route takes hits (question_id,
-    publication_id, similarity). Status is needs_clarification or not_found where the name stays open or
-    where there is no evidence.
+    answers the question's intent within its years and author; the graph route lists partners of the
+    author; the hybrid route trends and experts of its topics in its years; the vector route the
+    publications whose chunk texts are near to the question by the encoder. Status is
+    needs_clarification or not_found where the name stays open or where there is no evidence.
     """
     q = questions.read(asked)
     people = q.filter("author_name is not null").select(F.lower("author_name").alias("low")).distinct()
@@ -27,17 +103,11 @@ def answer_batch(c: Corpus, asked: DataFrame, edges: DataFrame, evolved: DataFra
     q = written(q, "questions")  # read and resolved once; all routes start from it
     open_name = F.col("author_name").isNotNull() & (F.col("name_status") != "resolved")
     ready = q.filter(~F.coalesce(open_name, F.lit(False)))
-
-    # Relational: counts by distinct (author, years), so equal questions are one.
-    sql = ready.filter("route = 'sql'").select("question_id", "entity_id", "year_from", "year_to", "year_op")
     low = F.when(F.col("year_op") == "gt", F.col("year_from") + 1).otherwise(F.col("year_from"))
     high = F.when(F.col("year_op") == "lt", F.col("year_to") - 1).otherwise(F.col("year_to"))
-    sql = sql.select("question_id", F.coalesce("entity_id", F.lit("")).alias("author"), F.coalesce(low, F.lit(questions.YEAR_LOW)).alias("lo"), F.coalesce(high, F.lit(questions.YEAR_HIGH)).alias("hi"))
-    all_years = c.publications.groupBy("year").agg(F.countDistinct("publication_id").alias("n")).select(F.lit("").alias("author"), "year", "n")
-    own_years = c.pub_author.join(c.publications.select("publication_id", "year"), "publication_id").groupBy(F.col("author_id").alias("author"), "year").agg(F.countDistinct("publication_id").alias("n"))
-    ranges = sql.select("author", "lo", "hi").distinct()
-    counts = ranges.join(all_years.unionByName(own_years), "author").filter(F.col("year").between(F.col("lo"), F.col("hi"))).groupBy("author", "lo", "hi").agg(F.sum("n").alias("total"))
-    relational = evidence.from_count(sql.join(counts, ["author", "lo", "hi"]), "total")
+    ready = ready.withColumns({"author": F.coalesce("entity_id", F.lit("")), "lo": F.coalesce(low, F.lit(questions.YEAR_LOW)), "hi": F.coalesce(high, F.lit(questions.YEAR_HIGH))})
+
+    relational = _relational(c, ready.filter("route = 'sql'").select("question_id", "intent", "author", "lo", "hi", "requested_limit"))
 
     wanted = ready.filter("route = 'graph' AND entity_id IS NOT NULL").select("question_id", F.col("entity_id").alias("node"))
     ends = edges.select(F.col("node_a").alias("node"), F.col("node_b").alias("partner"), "weight", "via").unionByName(edges.select(F.col("node_b").alias("node"), F.col("node_a").alias("partner"), "weight", "via"))
@@ -45,14 +115,11 @@ def answer_batch(c: Corpus, asked: DataFrame, edges: DataFrame, evolved: DataFra
     near = ends.join(wanted.select("node").distinct(), "node", "left_semi").withColumn("r", F.row_number().over(w)).filter(F.col("r") <= most)
     graph, _ = evidence.from_edges(wanted.join(near, "node"), c.publications)
 
-    best = evolved.join(topic_names, "topic_id").withColumn("r", F.row_number().over(Window.orderBy(F.desc("growth_score"), F.desc("year"), "topic_id"))).filter(F.col("r") <= most)
-    hybrid = evidence.from_trends(ready.filter("route = 'hybrid'").select("question_id").crossJoin(F.broadcast(best)))
+    hybrid = _hybrid(c, ready.filter("route = 'hybrid'"), evolved, terms, assigned, scores, most)
+    hits = embedded_hits(c, ready.filter("route = 'vector'").select("question_id", "question", "lo", "hi"), encoder, size)
+    matches = evidence.from_matches(hits.join(c.publications.select("publication_id", "title", "year", "doi"), "publication_id"))
 
-    rows = relational.unionByName(graph).unionByName(hybrid)
-    if hits is not None:
-        found = hits.join(ready.filter("route = 'vector'").select("question_id"), "question_id", "left_semi").join(c.publications.select("publication_id", "title", "year", "doi"), "publication_id")
-        rows = rows.unionByName(evidence.from_matches(found))
-    rows = written(rows, "evidence")
-    texts = evidence.answer_text(evidence.rank_evidence(evidence.merge_evidence(rows)), most)
+    rows = written(relational.unionByName(graph).unionByName(hybrid).unionByName(matches), "evidence")
+    texts = evidence.answer_text(evidence.rank_evidence(evidence.merge_evidence(rows)), LIMIT_MOST)
     status = F.when(F.coalesce(open_name, F.lit(False)), F.when(F.col("name_status") == "needs_clarification", "needs_clarification").otherwise("not_found")).when(F.col("answer").isNull(), "not_found").otherwise("ok")
     return q.join(texts, "question_id", "left").select("question_id", "route", status.alias("status"), "answer")

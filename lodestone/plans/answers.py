@@ -367,5 +367,5 @@ def answers(spark, d):
 
     c = Corpus(spark, d)
     edges = graph.collaboration_edges(c.pub_author, "publication_id", "author_id").filter("weight >= 2")
-    _, _, names = research.assigned(spark, d)
-    return answer_batch(c, question_table(spark, d), edges, research.evolution(spark, d), names)
+    _, topics_of, _ = research.assigned(spark, d)
+    return answer_batch(c, question_table(spark, d), edges, research.evolution(spark, d), research.terms(spark), topics_of, research.expertise(spark, d), vector.hashing_encoder(64), 64)
