@@ -288,7 +288,9 @@ _RECORDS = """rec AS (SELECT publication_id, eid, doi, title, year, citation_cou
 
 
 def _tiers() -> dict:
-    return {"doi": F.lower("doi"), "eid": F.col("eid")}
+    """Doi, eid, then normalised title and year. The SQL still has the first two only, so its groups are parts of these."""
+    title = F.nullif(F.trim(F.regexp_replace(normalize_title(F.col("title")), r"\s+", " ")), F.lit(""))
+    return {"doi": F.lower("doi"), "eid": F.col("eid"), "title": F.when(title.isNotNull() & F.col("year").isNotNull(), F.sha2(F.concat_ws("|", title, F.col("year").cast("string")), 256))}
 
 
 @query("d3_dedup", with_corpus("publications", _RECORDS + " SELECT publication_id AS key, coalesce(group_key, publication_id) AS group_key FROM rec LEFT JOIN g ON k = publication_id"))

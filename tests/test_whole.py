@@ -48,3 +48,33 @@ def test_every_chunk_has_its_nearest_centroid(spark):
     assert got.keys() == {r.chunk_id for r in c}
     for k, r in enumerate(c):
         assert got[r.chunk_id].topic == names[s[k].argmax()] and abs(got[r.chunk_id].similarity - s[k].max()) < 1e-4
+
+
+def test_copies_are_found_by_each_tier(spark):
+    from lodestone.plans import answers
+
+    r = answers.records(spark, SMALL)
+    p = {x.publication_id: x for x in r.collect()}
+    least, values = {k: k for k in p}, {}
+
+    def root(k):
+        while least[k] != k:
+            k = least[k]
+        return k
+
+    for k, x in p.items():
+        title = "".join(c for c in (x.title or "").lower() if c.isalnum() or c in "_ ").strip()
+        for v in (x.doi and ("d", x.doi.lower()), x.eid and ("e", x.eid), title and ("t", title, x.year)):
+            if v:
+                a, b = sorted((root(values.setdefault(v, k)), root(k)))
+                least[b] = a
+    got = {x.key: x.group_key for x in rows(spark, "d3_dedup")}
+    assert got == {k: root(k) for k in p}
+    for x in p.values():
+        if x.publication_id.startswith("c") and x.title:
+            assert got[x.publication_id] == got[x.publication_id[1:]]
+    assert sum(x.records for x in rows(spark, "d4_merge")) == len(p) and len(rows(spark, "d4_merge")) == len(set(got.values()))
+    some = spark.createDataFrame([("1", "10.1/a", None, "x", 1), ("2", "10.1/A", None, "y", 2)], "id string, doi string, eid string, title string, year int")
+    from lodestone.operators import quality
+
+    assert {x.group_key for x in quality.duplicate_groups(some, "id", answers._tiers()).collect()} == {"1"}  # a copy with an upper-case doi
