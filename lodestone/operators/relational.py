@@ -52,10 +52,10 @@ def funding_totals(c: Corpus, op: str | None = None, year: int | None = None, in
     return funded.agg(F.countDistinct("funding_id").alias("total_grants"), F.countDistinct("publication_id").alias("total_publications"))
 
 
-def keyword_institutions(c: Corpus, keyword: str, provenance: int = 10) -> DataFrame:
-    """Institutions by distinct publications with a keyword that contains the term, with the first ids of those."""
+def keyword_institutions(c: Corpus, keyword: str) -> DataFrame:
+    """Institutions by distinct publications with a keyword that contains the term, with the sorted ids of all those."""
     pubs = c.keywords.filter(icontains(F.col("keyword"), keyword)).select("publication_id").distinct()
-    hits = c.pub_institution.join(pubs, "publication_id").groupBy("institution_id").agg(F.countDistinct("publication_id").alias("publication_count"), F.slice(F.sort_array(F.collect_set("publication_id")), 1, provenance).alias("via_publication_ids"))
+    hits = c.pub_institution.join(pubs, "publication_id").groupBy("institution_id").agg(F.countDistinct("publication_id").alias("publication_count"), F.sort_array(F.collect_set("publication_id")).alias("via_publication_ids"))
     return hits.join(c.institutions.select("institution_id", "institution_name"), "institution_id")
 
 

@@ -78,3 +78,9 @@ def test_copies_are_found_by_each_tier(spark):
     from lodestone.operators import quality
 
     assert {x.group_key for x in quality.duplicate_groups(some, "id", answers._tiers()).collect()} == {"1"}  # a copy with an upper-case doi
+
+
+def test_institutions_keep_all_their_publications(spark):
+    got = rows(spark, "a8_keyword_institutions")
+    assert all(len(r.via_publication_ids) == r.publication_count and r.via_publication_ids == sorted(set(r.via_publication_ids)) for r in got)
+    assert max(r.publication_count for r in got) > 10
