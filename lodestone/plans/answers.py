@@ -28,7 +28,7 @@ def query(name: str, sql: str | None = None):
 
 # Entities: asked names come from the tables themselves
 
-_ASKS = """asks AS (SELECT p_partkey AS ask_id, CASE p_partkey % 4 WHEN 0 THEN upper(p_name || ' #' || p_partkey) WHEN 1 THEN p_name WHEN 2 THEN p_name || ' #' || p_partkey || 'x' ELSE substr(p_name, 1, 2) END AS name FROM part WHERE p_partkey % 10 = 3 OR p_partkey < 12)"""
+_ASKS = """asks AS (SELECT p_partkey AS ask_id, CASE p_partkey % 4 WHEN 0 THEN upper(p_name || ' #' || p_partkey) WHEN 1 THEN p_name WHEN 2 THEN p_name || ' #' || p_partkey || 'x' ELSE substr(p_name, 1, 2) END AS name FROM part)"""
 _RESOLVE = """norm AS (SELECT ask_id, name, lower(name) AS low, trim(regexp_replace(lower(regexp_replace(name, '[!-/:-@\\[-`{-~]', '', 'g')), '\\s+', ' ', 'g')) AS norm FROM asks WHERE length(trim(name)) >= 3),
     ent AS (SELECT {id} AS entity_id, {name} AS entity_name, lower({name}) AS low, trim(regexp_replace(lower(regexp_replace({norm}, '[!-/:-@\\[-`{-~]', '', 'g')), '\\s+', ' ', 'g')) AS norm FROM {table}),
     exact AS (SELECT DISTINCT ask_id, entity_id FROM norm a JOIN ent e ON a.low = e.low OR a.norm = e.norm OR a.low = e.norm OR a.norm = e.low),
@@ -49,7 +49,7 @@ def _resolve_sql(**parts: str) -> str:
 
 @query("n1_resolve_authors", with_corpus("authors pub_author", _ASKS + ", " + _resolve_sql(id="author_id", name="author_name", norm="author_name_normalized", table="authors", links="pub_author", narrow="false")))
 def resolve_authors(spark, d):
-    """A name asked for every part. The SQL still asks for some keys only: its rows are a part of these."""
+    """A name asked for every part."""
     c = Corpus(spark, d)
     key = F.col("p_partkey").cast("string")
     name = F.when(F.col("p_partkey") % 4 == 0, F.upper(F.concat("p_name", F.lit(" #"), key))).when(F.col("p_partkey") % 4 == 1, F.col("p_name")).when(F.col("p_partkey") % 4 == 2, F.concat("p_name", F.lit(" #"), key, F.lit("x"))).otherwise(F.substring("p_name", 1, 2))
@@ -275,20 +275,36 @@ def surrogate(spark, d):
 
 
 def records(spark, d) -> DataFrame:
-    """Records with repeated keys: every tenth order repeats the doi, the eid or the title of another."""
+    """Records with copies: of keys that end in 3 by doi in other letters, of every tenth by eid or by title and year.
+
+    A record's title is the publication's with its number, as titles of the adapter repeat.
+    """
     p = Corpus(spark, d).publications
     k = F.col("publication_id").cast("int")
-    copy = p.filter(k % 10 == 0).select(F.concat(F.lit("c"), "publication_id").alias("publication_id"), F.when(k % 20 == 0, F.col("eid")).alias("eid"), F.upper("doi").alias("doi"), F.upper("title").alias("title"), "year", (F.col("citation_count") + 1).alias("citation_count"))
+    p = p.withColumn("title", F.concat("title", F.lit(" No. "), "publication_id"))
+    none = F.lit(None).cast("string")
+    copy = p.filter((k % 10 == 0) | (k % 10 == 3)).select(
+        F.concat(F.lit("c"), "publication_id").alias("publication_id"),
+        F.when(k % 20 == 0, F.col("eid")).alias("eid"),
+        F.when(k % 10 == 3, F.upper("doi")).alias("doi"),
+        F.when(k % 20 == 10, F.upper("title")).otherwise(none).alias("title"),
+        "year",
+        (F.col("citation_count") + 1).alias("citation_count"),
+    )
     return p.select("publication_id", "eid", "doi", "title", "year", "citation_count").unionByName(copy)
 
 
-_RECORDS = """rec AS (SELECT publication_id, eid, doi, title, year, citation_count FROM publications UNION ALL SELECT 'c' || publication_id, CASE WHEN publication_id::INT % 20 = 0 THEN eid END, upper(doi), upper(title), year, citation_count + 1 FROM publications WHERE publication_id::INT % 10 = 0),
-    t AS (SELECT publication_id AS k, 'd' || lower(doi) AS v FROM rec WHERE doi IS NOT NULL UNION ALL SELECT publication_id, 'e' || eid FROM rec WHERE eid IS NOT NULL),
+_RECORDS = r"""named AS (SELECT * REPLACE (title || ' No. ' || publication_id AS title) FROM publications),
+    rec AS (SELECT publication_id, eid, doi, title, year, citation_count FROM named
+      UNION ALL SELECT 'c' || publication_id, CASE WHEN publication_id::INT % 20 = 0 THEN eid END, CASE WHEN publication_id::INT % 10 = 3 THEN upper(doi) END,
+        CASE WHEN publication_id::INT % 20 = 10 THEN upper(title) END, year, citation_count + 1 FROM named WHERE publication_id::INT % 10 IN (0, 3)),
+    t AS (SELECT publication_id AS k, 'd' || lower(doi) AS v FROM rec WHERE doi IS NOT NULL UNION ALL SELECT publication_id, 'e' || eid FROM rec WHERE eid IS NOT NULL
+      UNION ALL SELECT publication_id, 't' || regexp_replace(lower(title), '[^a-z0-9_ ]', '', 'g') || '|' || year FROM rec WHERE title IS NOT NULL AND year IS NOT NULL),
     links AS (SELECT DISTINCT a.k AS u, b.k AS v FROM t a JOIN t b ON a.v = b.v), reach AS (SELECT u, v FROM links UNION SELECT reach.u, links.v FROM reach JOIN links ON reach.v = links.u), g AS (SELECT u AS k, min(v) AS group_key FROM reach GROUP BY 1)"""
 
 
 def _tiers() -> dict:
-    """Doi, eid, then normalised title and year. The SQL still has the first two only, so its groups are parts of these."""
+    """Doi, eid, then normalised title and year."""
     title = F.nullif(F.trim(F.regexp_replace(normalize_title(F.col("title")), r"\s+", " ")), F.lit(""))
     return {"doi": F.lower("doi"), "eid": F.col("eid"), "title": F.when(title.isNotNull() & F.col("year").isNotNull(), F.sha2(F.concat_ws("|", title, F.col("year").cast("string")), 256))}
 
