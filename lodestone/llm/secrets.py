@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.common import slices, small_batches
+
 # The base patterns and the least lengths of what they find.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 ACCESS, HEX = re.compile(r"AKIA[A-Z0-9]+"), re.compile(r"[0-9a-f]+")
@@ -21,14 +25,35 @@ ASSIGN_VALUE, ACCESS_LENGTH, HEX_LENGTH = 6, 20, 24
 KINDS = ("assign", "access", "hex")
 #: The same findings, written so that a run too short to count is not tried at every place in it.
 _ACCESS, _HEX = re.compile(rf"AKIA[A-Z0-9]{{{ACCESS_LENGTH - 4},}}"), re.compile(rf"(?<![0-9a-f])[0-9a-f]{{{HEX_LENGTH},}}")
-#: What the automata may find beside: runs of credential characters with a digit, as long as this.
-_CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{12,}")
-#: A bounded sample of labelled credentials of each kind, the most frequent shapes; and the longest value learned from (longer ones are scored whole).
-SAMPLE_VALUES, SAMPLE_LENGTH = 4000, 128
-#: Merge test: chance of refusing to merge equal states, and visits below which a state says nothing.
-ALPHA, LEAST_VISITS = 0.01, 8
-#: A candidate is a secret when a format is likelier than ordinary text by this many nats a character, and this many in all.
-MARGIN_PER_CHARACTER, MARGIN = 0.5, 12.0
+#: What the automata score: every run of credential characters as long as the least credential, with its padding.
+_CANDIDATE = re.compile(rf"[A-Za-z0-9+/_.-]{{{ASSIGN_VALUE},}}={{0,2}}")
+#: The bounded sample of labelled credentials that automata are inferred from: distinct values of a kind, and symbols of one
+#: (a longer one is learned from as far as that, and scored whole).
+SAMPLE_VALUES, SAMPLE_SYMBOLS = 2000, 512
+#: Merge test: chance of refusing to merge equal states, and visits below which a state tells too little to go into another depth.
+ALPHA, LEAST_VISITS = 0.1, 16
+#: Weight of each symbol that a state has not seen.
+UNSEEN = 0.2
+#: A candidate is a secret when a format is likelier than plain symbols by so many nats, and when at least this share of
+#: all that ends in the same state of the format, over the whole corpus, is labelled.
+MARGIN, SHARE = 12.0, 0.1
+#: Chance that a run of one symbol goes on, in plain symbols.
+RUNS = 0.8
+#: Values that a task remembers before it begins anew, and characters of one that it would remember.
+REMEMBERED, REMEMBERED_LENGTH = 200_000, 256
+
+#: What the automata read: digits, hex letters and other letters in either case, the marks, and the end.
+SYMBOLS, END = 12, 11
+_TABLE = bytearray([10]) * 256
+for _chars, _symbol in ((b"0123456789", 0), (b"abcdef", 1), (b"ghijklmnopqrstuvwxyz", 2), (b"ABCDEF", 3), (b"GHIJKLMNOPQRSTUVWXYZ", 4), (b"+", 5), (b"/", 6), (b"_", 7), (b".", 8), (b"=", 9), (b"-", 10)):
+    for _c in _chars:
+        _TABLE[_c] = _symbol
+_TABLE = bytes(_TABLE)
+
+
+def symbols(value: str) -> bytes:
+    """One symbol for each character of an ASCII value."""
+    return value.encode("ascii", "replace").translate(_TABLE)
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -39,64 +64,74 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return [(a, b, KINDS[k]) for a, b, k in sorted(out, key=lambda x: (x[0], x[2]))]
 
 
-def symbol(c: str) -> str:
-    """Character class that the automata read: hex digit, other lower, upper, or the mark itself.
-
-    Hex digits are one class, so that a format of fixed length stays one chain of states.
-    """
-    if c in "0123456789abcdef":
-        return "x"
-    return "z" if "g" <= c <= "z" else "A" if "A" <= c <= "Z" else c
+def labelled(text: str, spans: list[tuple[int, int, str]]) -> Iterator[tuple[str, str]]:
+    """(kind, value) of the credentials in base spans; of an assignment its right side."""
+    for a, b, kind in spans:
+        yield kind, ASSIGN.match(text[a:b])[2] if kind == "assign" else text[a:b]
 
 
 class Automaton:
     """A probabilistic automaton: visits and ends by state, counts and targets of its transitions."""
 
     def __init__(self) -> None:
-        self.visits, self.ends, self.moves = [0], [0], [{}]  # moves: symbol -> [target, count]
+        self.visits, self.ends, self.depth, self.moves = [0], [0], [0], [{}]  # moves: symbol -> [target, count]
+        self.same: dict[int, int] = {}  # a merged state -> the one that it went into
 
-    def prefix_tree(self, words: Counter[str]) -> Automaton:
+    def prefix_tree(self, words: Counter[bytes]) -> Automaton:
+        """The prefix tree of symbol strings; of a longer one than SAMPLE_SYMBOLS its beginning, without an end."""
         for word, n in sorted(words.items()):
             at = 0
             self.visits[0] += n
-            for c in word:
+            for c in word[:SAMPLE_SYMBOLS]:
                 move = self.moves[at].get(c)
                 if move is None:
                     self.visits.append(0)
                     self.ends.append(0)
+                    self.depth.append(self.depth[at] + 1)
                     self.moves.append({})
                     move = self.moves[at][c] = [len(self.visits) - 1, 0]
                 move[1] += n
                 at = move[0]
                 self.visits[at] += n
-            self.ends[at] += n
+            if len(word) <= SAMPLE_SYMBOLS:
+                self.ends[at] += n
         return self
 
+    def find(self, state: int) -> int:
+        """The state that a state is now part of."""
+        while state in self.same:
+            state = self.same[state]
+        return state
+
     def _alike(self, f1: int, n1: int, f2: int, n2: int) -> bool:
-        if min(n1, n2) < 1:
-            return True
         return abs(f1 / n1 - f2 / n2) < (1 / math.sqrt(n1) + 1 / math.sqrt(n2)) * math.sqrt(0.5 * math.log(2 / ALPHA))
 
-    def _compatible(self, p: int, q: int) -> bool:
-        todo = [(p, q)]
+    def compatible(self, p: int, q: int) -> bool:
+        """Whether two states end and go on alike (Hoeffding's bound), and so do the states after them."""
+        todo, met = [(p, q)], set()
         while todo:
-            p, q = todo.pop()
-            if min(self.visits[p], self.visits[q]) < LEAST_VISITS:
+            p, q = map(self.find, todo.pop())
+            if p == q or (p, q) in met or not self.visits[p] or not self.visits[q]:
                 continue
+            met.add((p, q))
             if not self._alike(self.ends[p], self.visits[p], self.ends[q], self.visits[q]):
                 return False
             for c in self.moves[p].keys() | self.moves[q].keys():
                 a, b = self.moves[p].get(c), self.moves[q].get(c)
                 if not self._alike(a[1] if a else 0, self.visits[p], b[1] if b else 0, self.visits[q]):
                     return False
-                if a and b and a[0] != b[0]:
+                if a and b and min(self.visits[self.find(a[0])], self.visits[self.find(b[0])]) >= LEAST_VISITS:
                     todo.append((a[0], b[0]))
         return True
 
-    def _fold(self, red: int, blue: int) -> None:
-        todo = [(red, blue)]
+    def _fold(self, p: int, q: int) -> None:
+        """Make two states one, and so those that equal symbols lead to from them. Every fold leaves a state less."""
+        todo = [(p, q)]
         while todo:
-            p, q = todo.pop()
+            p, q = sorted(map(self.find, todo.pop()), key=lambda x: (self.depth[x], x))
+            if p == q:
+                continue
+            self.same[q] = p
             self.visits[p] += self.visits[q]
             self.ends[p] += self.ends[q]
             for c, (target, n) in self.moves[q].items():
@@ -105,122 +140,251 @@ class Automaton:
                     self.moves[p][c] = [target, n]
                 else:
                     own[1] += n
-                    if own[0] != target:
-                        todo.append((own[0], target))
+                    todo.append((own[0], target))
 
     def merged(self) -> Automaton:
-        """Merge compatible states from the root on (red-blue order); the rest of the tree below a merged state folds in."""
-        red = [0]
-        while True:
-            fringe = sorted((t, p, c) for p in red for c, (t, _) in self.moves[p].items() if t not in red)
-            if not fringe:
-                break
-            blue, parent, c = fringe[0]
-            into = next((r for r in red if self._compatible(r, blue)), None) if self.visits[blue] >= LEAST_VISITS else red[-1] if len(red) > 1 else None
-            if into is None:
-                red.append(blue)
-            else:
-                self.moves[parent][c][0] = into
-                self._fold(into, blue)
+        """Merge compatible states, first within each depth, then with states nearer the root; what lies below folds in.
+
+        Random symbols make a bushy tree in which no state has the visits to show how long words are. Merged by
+        depth, a format of fixed length is a chain whose states have them all, so that it stays one, while words
+        of any length then fold into loops.
+        """
+        self._merge(self._of_own_depth)
+        self._merge(self._nearer)
         return self
 
-    def log_likelihood(self, word: str) -> float:
-        """Log-probability that the automaton makes exactly this word; unseen moves and ends get a small share."""
-        at, total = 0, 0.0
-        for c in word:
-            move = self.moves[at].get(c)
-            total += math.log(((move[1] if move else 0) + 0.05) / (self.visits[at] + 1))
-            at = move[0] if move else 0
-        return total + math.log((self.ends[at] + 0.05) / (self.visits[at] + 1))
+    def _merge(self, choose) -> None:
+        """From the root on and depth by depth, by visits: a state goes into the one that `choose` names, else it stays."""
+        red = {0}
+        while True:
+            red = {self.find(r) for r in red}
+            fringe = {self.find(t) for p in red for t, _ in self.moves[p].values()} - red
+            if not fringe:
+                return
+            depth = min(self.depth[b] for b in fringe)
+            for blue in sorted((b for b in fringe if self.depth[b] == depth), key=lambda b: (-self.visits[b], b)):
+                if blue in self.same:
+                    continue
+                held = sorted({self.find(r) for r in red}, key=lambda r: (self.depth[r], r))
+                into = choose(blue, [r for r in held if self.depth[r] == depth], [r for r in held if self.depth[r] < depth])
+                if into is None:
+                    red.add(blue)
+                else:
+                    self._fold(into, blue)
+
+    def _of_own_depth(self, blue: int, own: list[int], nearer: list[int]) -> int | None:
+        """A compatible state of the same depth; for a rare state that nothing fits, the likest of its depth."""
+        fit = next((r for r in own if self.compatible(r, blue)), None)
+        if fit is None and self.visits[blue] < LEAST_VISITS:
+            return max(own, key=lambda r: (self._likeness(r, blue), self.visits[r]), default=None)
+        return fit
+
+    def _nearer(self, blue: int, own: list[int], nearer: list[int]) -> int | None:
+        """A compatible state nearer the root, where both have visits enough to tell. Words' last states stay apart."""
+        if self.visits[blue] < LEAST_VISITS or not self.moves[blue]:
+            return None
+        return next((r for r in nearer if self.moves[r] and self.visits[r] >= LEAST_VISITS and self.compatible(r, blue)), None)
+
+    def _likeness(self, p: int, q: int) -> float:
+        """How much of q's next symbols (and end) p has too, by share."""
+        n = max(1, self.visits[p])
+        same = sum(k * self.moves[p][c][1] for c, (_, k) in self.moves[q].items() if c in self.moves[p])
+        return (same + self.ends[q] * self.ends[p]) / n
+
+    def tables(self) -> tuple[np.ndarray, np.ndarray]:
+        """Targets and log-probabilities by state and symbol, of the states that the root leads to.
+
+        A symbol that a state has not seen leads where most of its words go (a leaf stays where it is).
+        """
+        index, todo = {0: 0}, [0]
+        for p in todo:
+            for c in sorted(self.moves[p]):
+                target = self.find(self.moves[p][c][0])
+                if target not in index:
+                    index[target] = len(index)
+                    todo.append(target)
+        to, logp = np.zeros((len(index), SYMBOLS), np.int32), np.zeros((len(index), SYMBOLS))
+        for p, row in index.items():
+            main = self.find(max(self.moves[p].items(), key=lambda m: (m[1][1], -m[0]))[1][0]) if self.moves[p] else p
+            to[row] = index[main]
+            counts = np.full(SYMBOLS, UNSEEN)
+            for c, (target, n) in self.moves[p].items():
+                to[row, c] = index[self.find(target)]
+                counts[c] += n
+            counts[END] += self.ends[p]
+            logp[row] = np.log(counts / counts.sum())
+        return to, logp
 
 
 @dataclass(frozen=True)
-class SecretModel:
-    """Automata by kind of credential, and of ordinary candidates: one of their formats, one of a single state for any others."""
+class Formats:
+    """The automata of all kinds, end to end in one table: kinds, their first states, targets, log-probabilities."""
+
+    kinds: tuple[str, ...]
+    starts: tuple[int, ...]
+    to: np.ndarray
+    logp: np.ndarray
+
+    @staticmethod
+    def of(automata: dict[str, Automaton]) -> Formats:
+        kinds, starts, to, logp, at = tuple(automata), [], [np.zeros((0, SYMBOLS), np.int32)], [np.zeros((0, SYMBOLS))], 0
+        for a in automata.values():
+            t, p = a.tables()
+            starts.append(at)
+            to.append(t + at)
+            logp.append(p)
+            at += len(t)
+        return Formats(kinds, tuple(starts), np.concatenate(to), np.concatenate(logp))
+
+    def read(self, values: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """For each value: the state in which its likeliest format ends it, and how much likelier that is than plain symbols.
+
+        Plain symbols are all alike, or runs of one (the likelier of both counts): long numbers and repeated letters are
+        plain. Values of like length go through the tables in step.
+        """
+        state, margin = np.full(len(values), -1, np.int64), np.full(len(values), -math.inf)
+        if not self.kinds:
+            return state, margin
+        size = np.array([len(v) for v in values], np.int64)
+        order = np.argsort(size, kind="stable")
+        at = 0
+        while at < len(order):
+            stop = at + 1
+            while stop < len(order) and (stop - at + 1) * size[order[stop]] <= 1 << 18:
+                stop += 1
+            part = order[at:stop]
+            sizes, width = size[part], int(size[part[-1]])
+            codes = np.frombuffer(b"".join(symbols(values[k]).ljust(width, bytes([SYMBOLS])) for k in part), np.uint8).reshape(len(part), width).T
+            here = np.repeat(np.array(self.starts, np.int64)[:, None], len(part), 1)
+            total = np.zeros(here.shape)
+            first = np.searchsorted(sizes, np.arange(width), side="right")
+            for p in range(width):
+                live, c = slice(int(first[p]), None), codes[p, int(first[p]) :]
+                s = here[:, live]
+                total[:, live] += self.logp[s, c]
+                here[:, live] = self.to[s, c]
+            total += self.logp[here, END]
+            best = total.argmax(0)
+            state[part] = here[best, np.arange(len(part))]
+            again = ((codes[1:] == codes[:-1]) & (codes[1:] < SYMBOLS)).sum(0)
+            runs = again * math.log(RUNS + (1 - RUNS) / SYMBOLS) + (sizes - again) * math.log((1 - RUNS) / SYMBOLS)
+            margin[part] = total[best, np.arange(len(part))] + math.log(SYMBOLS) - np.maximum(runs, -math.log(SYMBOLS) * sizes)
+            at = stop
+        return state, margin
+
+    def kind(self, state: int) -> str:
+        return self.kinds[bisect.bisect_right(self.starts, state) - 1]
 
-    formats: dict[str, Automaton]
-    ordinary: tuple[Automaton, ...]
 
-    def margin(self, value: str) -> tuple[float, str]:
-        """How many nats likelier the best format is than ordinary text, with its kind. The whole value is scored."""
-        word = "".join(map(symbol, value))
-        plain = max(a.log_likelihood(word) for a in self.ordinary)
-        return max(((a.log_likelihood(word) - plain, k) for k, a in self.formats.items()), default=(-math.inf, ""))
-
-
-def _values(texts: Iterator[str]) -> Iterator[tuple[str, str]]:
-    """(kind, value) of each labelled credential, and of other candidates as kind ''."""
-    for text in texts:
-        spans = base_spans(text)
-        for a, b, kind in spans:
-            found = text[a:b]
-            yield kind, ASSIGN.match(found)[2] if kind == "assign" else found
-        for m in _CANDIDATE.finditer(text):
-            if not any(a < m.end() and m.start() < b for a, b, _ in spans):
-                yield "", m[0]
-
-
-def learn(docs: DataFrame) -> SecretModel:
-    """Automata from the credentials that the base patterns label, and from other candidates, in all texts.
-
-    Values are gathered as strings of character classes and counted by Spark; of those the SAMPLE_VALUES
-    most frequent of a kind are learned from. Merging then runs over that bounded table on the driver.
+@dataclass(frozen=True)
+class SecretModel:
+    """The inferred formats, and the states that labelled credentials take their due share of, with that share."""
+
+    formats: Formats
+    secret: dict[int, float]
+
+
+class Reader:
+    """Scores values once each and remembers them."""
+
+    def __init__(self, formats: Formats):
+        self.formats, self.known = formats, {}
+
+    def states(self, values: set[str]) -> dict[str, int]:
+        """The end state of each value that a format explains, -1 for others."""
+        known = self.known
+        new = [v for v in values if v not in known]
+        if len(known) + len(new) > REMEMBERED:
+            known.clear()
+            new = list(values)
+        state, margin = self.formats.read(new)
+        found = dict(zip(new, np.where(margin >= MARGIN, state, -1).tolist(), strict=True))
+        out = {v: found[v] if v in found else known[v] for v in values}
+        known.update((v, s) for v, s in found.items() if len(v) <= REMEMBERED_LENGTH)
+        return out
+
+
+def candidates(text: str, spans: list[tuple[int, int, str]]) -> Iterator[tuple[int, int]]:
+    """Places of the values to be scored: runs without the full stops around them, away from base spans."""
+    cover: list[list[int]] = []
+    for a, b, _ in spans:
+        if cover and a < cover[-1][1]:
+            cover[-1][1] = max(cover[-1][1], b)
+        else:
+            cover.append([a, b])
+    stops = [b for _, b in cover]
+    for m in _CANDIDATE.finditer(text):
+        a, b = m.span()
+        while b - a >= ASSIGN_VALUE and text[b - 1] == ".":
+            b -= 1
+        while b - a >= ASSIGN_VALUE and text[a] == ".":
+            a += 1
+        k = bisect.bisect_right(stops, a)
+        if b - a >= ASSIGN_VALUE and not (k < len(cover) and cover[k][0] < b):
+            yield a, b
+
+
+def learn(docs: DataFrame, text_col: str = "text") -> SecretModel:
+    """Automata from the credentials that the base patterns label, and what else in the corpus has their formats.
+
+    Automata are inferred on the driver from SAMPLE_VALUES distinct labelled values of a kind, chosen by hash. Every
+    labelled value and every other candidate of all texts is then read by them, and Spark counts both by the state that
+    ends them; a state is a secret format when labelled values are at least SHARE of it. There is a count for each state,
+    whatever the number of texts. Without labelled values there are no formats and nothing is added.
     """
+    small_batches(docs.sparkSession)
+    texts = docs.select(F.col(f"`{text_col}`").alias("text"))
 
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[tuple[str, str]] = Counter()
+    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for kind, value in _values(t or "" for t in batch.column("text").to_pylist()):
-                if len(value) <= SAMPLE_LENGTH:
-                    counts[kind, "".join(map(symbol, value))] += 1
-            if len(counts) > 200_000:
-                yield _counted(counts)
-                counts = Counter()
-        yield _counted(counts)
-
-    counted = docs.select("text").mapInArrow(gather, "kind string, word string, n long").groupBy("kind", "word").agg(F.sum("n").alias("n"))
-    counted.persist()
-    words: dict[str, Counter[str]] = defaultdict(Counter)
-    for kind in (*KINDS, ""):
-        for r in counted.filter(F.col("kind") == kind).orderBy(F.desc("n"), "word").limit(SAMPLE_VALUES).coalesce(1).collect():  # sorted by tasks, not by the driver
-            words[kind][r.word] = r.n
-    counted.unpersist()
-    formats = {k: Automaton().prefix_tree(words[k]).merged() for k in KINDS if words[k]}
-    # Ordinary candidates have formats too (numbers, addresses): shapes that come up often, as a plain prefix tree. For all
-    # others a single state takes any word.
-    any_word = Automaton()
-    for word, n in words[""].items():
-        any_word.visits[0] += n * (len(word) + 1)
-        any_word.ends[0] += n
-        for c in word:
-            any_word.moves[0].setdefault(c, [0, 0])[1] += n
-    return SecretModel(formats, (any_word, Automaton().prefix_tree(Counter({w: n for w, n in words[""].items() if n >= LEAST_VISITS}))))
-
-
-def _counted(counts: Counter) -> pa.RecordBatch:
-    rows = list(counts.items())
-    return pa.RecordBatch.from_arrays([pa.array([k for (k, _), _ in rows], pa.string()), pa.array([w for (_, w), _ in rows], pa.string()), pa.array([n for _, n in rows], pa.int64())], ["kind", "word", "n"])
-
-
-def spans_of(text: str, model: SecretModel, known: dict[str, str | None]) -> tuple[list, list]:
-    """Base spans, and all spans: the base ones and candidates whose format is likely, as kind 'likely-<kind>'."""
+            found = {(kind, value) for text in batch.column(0).to_pylist() for kind, value in labelled(text or "", base_spans(text or ""))}
+            rows = [(kind, symbols(v)[: SAMPLE_SYMBOLS + 1], hashlib.blake2b(v.encode(), digest_size=16).digest()) for kind, v in found]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.binary(), pa.binary()))], ["kind", "word", "value"])
+
+    values = texts.mapInArrow(label, "kind string, word binary, value binary").dropDuplicates(["kind", "value"])
+    values.persist()
+    automata = {}
+    for kind in KINDS:
+        rows = values.filter(F.col("kind") == kind).orderBy("value", "word").limit(SAMPLE_VALUES).coalesce(1).collect()
+        if rows:
+            automata[kind] = Automaton().prefix_tree(Counter(bytes(r.word) for r in rows)).merged()
+    values.unpersist()
+    formats = Formats.of(automata)
+    if not formats.kinds:
+        return SecretModel(formats, {})
+    sent = docs.sparkSession.sparkContext.broadcast(formats)  # at most SAMPLE_VALUES * SAMPLE_SYMBOLS states of a kind
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Reader(sent.value)
+        taken = np.zeros((len(sent.value.to), 2), np.int64)
+        for batch in slices(batches):
+            seen = (Counter(), Counter())
+            for text in batch.column(0).to_pylist():
+                spans = base_spans(text or "")
+                seen[0].update(text[a:b] for a, b in candidates(text or "", spans))
+                seen[1].update(v for _, v in labelled(text or "", spans))
+            for side, n in enumerate(seen):
+                for v, s in reader.states(set(n)).items():
+                    if s >= 0:
+                        taken[s, side] += n[v]
+        some = np.flatnonzero(taken.sum(1))
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(taken[some, 0]), pa.array(taken[some, 1])], ["state", "other", "labelled"])
+
+    counts = texts.mapInArrow(count, "state long, other long, labelled long").groupBy("state").agg(F.sum("other").alias("o"), F.sum("labelled").alias("l"))
+    share = F.col("l") / (F.col("l") + F.col("o"))
+    return SecretModel(formats, {r.state: r.share for r in counts.select("state", share.alias("share")).filter(F.col("share") >= SHARE).collect()})
+
+
+def spans_of(text: str, model: SecretModel, reader: Reader) -> tuple[list, list]:
+    """Base spans, and all spans: the base ones and candidates of a secret format, as kind 'likely-<kind>'."""
     base = base_spans(text)
-    more = []
-    for m in _CANDIDATE.finditer(text):
-        value = m[0]
-        if value in known:
-            kind = known[value]
-        else:
-            kind = None
-            if any(c.isdigit() for c in value):
-                margin, best = model.margin(value)
-                if margin >= MARGIN and margin >= MARGIN_PER_CHARACTER * len(value):
-                    kind = f"likely-{best}"
-            if len(known) > 200_000:
-                known.clear()
-            known[value] = kind
-        if kind and not any(a < m.end() and m.start() < b for a, b, _ in base):
-            more.append((m.start(), m.end(), kind))
+    if not model.secret:
+        return base, base
+    places = list(candidates(text, base))
+    states = reader.states({text[a:b] for a, b in places})
+    more = [(a, b, f"likely-{model.formats.kind(s)}") for a, b in places if (s := states[text[a:b]]) in model.secret]
+    if not more:
+        return base, base
     order = {k: i for i, k in enumerate((*KINDS, *(f"likely-{k}" for k in KINDS)))}
     return base, sorted(base + more, key=lambda x: (x[0], order[x[2]]))
 
@@ -239,22 +403,19 @@ def secrets(docs: DataFrame, model: SecretModel, text_col: str = "text", out: st
     Null and empty texts have none. Places are code points of the whole text, ends exclusive. Equal texts
     get equal spans. Spans of the method never overlap a base span.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # at most SAMPLE_VALUES * SAMPLE_LENGTH states of each kind
+    small_batches(docs.sparkSession)
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # at most SAMPLE_VALUES * SAMPLE_SYMBOLS states of each kind
 
     def scan(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        known: dict[str, str | None] = {}
         held = sent.value
+        reader = Reader(held.formats)
         for texts in batches:
             rows = []
             for t in texts:
-                base, every = spans_of(t.as_py() or "", held, known)
+                base, every = spans_of(t.as_py() or "", held, reader)
                 n = Counter(k for _, _, k in base)
                 rows.append({"base": joined(base), "spans": joined(every), "n_assign": n["assign"], "n_access": n["access"], "n_hex": n["hex"]})
             yield pa.array(rows, _ARROW)
 
     return docs.withColumn(out, F.arrow_udf(scan, _FOUND, F.ArrowUDFType.SCALAR_ITER)(F.col(f"`{text_col}`")))
 
-
-def base_digest(text: str) -> str:
-    """SHA-256 of the base spans as text; what the query derives in SQL."""
-    return hashlib.sha256(joined(base_spans(text)).encode()).hexdigest()
