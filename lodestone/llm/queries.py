@@ -70,7 +70,8 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"))
-    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    text = F.try_validate_utf8(F.col("kept").cast("string"))  # null where a cut parts a character
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), F.octet_length("kept").alias("n_kept"), text.alias("kept_text"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -116,6 +117,17 @@ ORACLE_SQL: dict[str, str] = {
              cls AS (SELECT d.doc_id, least(d.doc_id, coalesce(min(v), d.doc_id)) AS class_id FROM d LEFT JOIN reach ON u = d.doc_id GROUP BY 1),
              deg AS (SELECT a, count(*) AS n_links FROM links GROUP BY 1)
         SELECT doc_id, class_id, count(*) OVER (PARTITION BY class_id) AS class_size, coalesce(n_links, 0) AS n_links, doc_id = class_id AS kept FROM cls LEFT JOIN deg ON a = doc_id""",
+    "op10_suffix_array_dedup": """
+        WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+             w AS (SELECT doc_id, i, md5(b[i + 1 : i + 400]) AS h FROM (SELECT doc_id, b, unnest(range(0, n - 399)) AS i FROM d)),
+             r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY h) AS c FROM w) WHERE c > 1),
+             s AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM (SELECT doc_id, i, (i > coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 400, -1))::INT AS fresh FROM r)),
+             cut AS (SELECT doc_id, min(i) AS a, max(i) + 400 AS z FROM s GROUP BY doc_id, run),
+             gap AS (SELECT doc_id, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS f, a AS t FROM cut UNION ALL SELECT d.doc_id, coalesce(max(z), 0), any_value(n) FROM d LEFT JOIN cut USING (doc_id) GROUP BY d.doc_id),
+             kept AS (SELECT doc_id, unhex(string_agg(hex(b[f + 1 : t]), '' ORDER BY f)) AS k FROM gap JOIN d USING (doc_id) GROUP BY doc_id),
+             n AS (SELECT doc_id, sum(z - a)::BIGINT AS removed, count(*) AS spans FROM cut GROUP BY doc_id)
+        SELECT d.doc_id, d.n AS n_bytes, coalesce(removed, 0) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(k) AS kept_sha256, octet_length(k) AS n_kept, try(decode(k)) AS kept_text
+        FROM d JOIN kept USING (doc_id) LEFT JOIN n USING (doc_id)""",
     "op8_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS x FROM pages),
              m AS (SELECT page_id, h, list_transform(string_split(x, ''), lambda c: instr('0123456789abcdef', c) - 1) AS nibbles, max(page_id) OVER (PARTITION BY h) AS last FROM p)
