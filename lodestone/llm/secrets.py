@@ -21,6 +21,7 @@ from lodestone.llm.common import slices, small_batches
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 ACCESS, HEX = re.compile(r"AKIA[A-Z0-9]+"), re.compile(r"[0-9a-f]+")
 ASSIGN_VALUE, ACCESS_LENGTH, HEX_LENGTH = 6, 20, 24
+_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 KINDS = ("assign", "access", "hex")
 #: The same findings, written so that a run too short to count is not tried at every place in it.
@@ -39,8 +40,8 @@ UNSEEN = 0.2
 MARGIN, SHARE = 12.0, 0.1
 #: Chance that a run of one symbol goes on, in plain symbols.
 RUNS = 0.8
-#: Values that a task remembers before it begins anew, and characters of one that it would remember.
-REMEMBERED, REMEMBERED_LENGTH = 200_000, 256
+#: Values that a task remembers before it begins anew.
+REMEMBERED = 200_000
 
 #: What the automata read: digits, hex letters and other letters in either case, the marks, and the end.
 SYMBOLS, END = 12, 11
@@ -56,11 +57,18 @@ def symbols(value: str) -> bytes:
     return value.encode("ascii", "replace").translate(_TABLE)
 
 
-def base_spans(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, kind) of the base patterns' findings, in code points, by start and then kind as listed."""
-    out = [(m.start(), m.end(), 0) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= ASSIGN_VALUE]
-    out += [(m.start(), m.end(), 1) for m in _ACCESS.finditer(text)]
-    out += [(m.start(), m.end(), 2) for m in _HEX.finditer(text)]
+def base_spans(text: str, runs: list[str] | None = None) -> list[tuple[int, int, str]]:
+    """(start, end, kind) of the base patterns' findings, in code points, by start and then kind as listed.
+
+    Patterns are tried only on texts that have what they need: a word, a prefix, a long enough run (`runs`: those of the text).
+    """
+    low, out = text.lower(), []
+    if any(w in low for w in _WORDS):
+        out += [(m.start(), m.end(), 0) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= ASSIGN_VALUE]
+    if "AKIA" in text:
+        out += [(m.start(), m.end(), 1) for m in _ACCESS.finditer(text)]
+    if max(map(len, _CANDIDATE.findall(text) if runs is None else runs), default=0) >= HEX_LENGTH:
+        out += [(m.start(), m.end(), 2) for m in _HEX.finditer(text)]
     return [(a, b, KINDS[k]) for a, b, k in sorted(out, key=lambda x: (x[0], x[2]))]
 
 
@@ -284,24 +292,36 @@ class SecretModel:
     secret: dict[int, float]
 
 
+def _bare(run: str) -> str:
+    """A run without the full stops around it."""
+    return run.strip(".")
+
+
 class Reader:
-    """Scores values once each and remembers them."""
+    """Scores each run once and remembers it."""
 
-    def __init__(self, formats: Formats):
-        self.formats, self.known = formats, {}
+    def __init__(self, formats: Formats, secret: dict[int, float] | None = None):
+        self.formats, self.secret, self.known = formats, secret or {}, {}
+        self.found: set[str] = set()  # remembered runs of a secret format
 
-    def states(self, values: set[str]) -> dict[str, int]:
-        """The end state of each value that a format explains, -1 for others."""
+    def read(self, runs: set[str]) -> dict[str, int]:
+        """The end state of each run that a format explains, -1 for others; at least for the given ones."""
         known = self.known
-        new = [v for v in values if v not in known]
+        new = list(runs - known.keys())
         if len(known) + len(new) > REMEMBERED:
             known.clear()
-            new = list(values)
-        state, margin = self.formats.read(new)
-        found = dict(zip(new, np.where(margin >= MARGIN, state, -1).tolist(), strict=True))
-        out = {v: found[v] if v in found else known[v] for v in values}
-        known.update((v, s) for v, s in found.items() if len(v) <= REMEMBERED_LENGTH)
-        return out
+            self.found.clear()
+            new = list(runs)
+        values = [_bare(v) for v in new]
+        fit = [k for k, v in enumerate(values) if len(v) >= ASSIGN_VALUE]
+        state, margin = self.formats.read([values[k] for k in fit])
+        known.update(dict.fromkeys(new, -1))
+        for k, s, m in zip(fit, state.tolist(), margin.tolist(), strict=True):
+            if m >= MARGIN:
+                known[new[k]] = s
+                if s in self.secret:
+                    self.found.add(new[k])
+        return known
 
 
 def candidates(text: str, spans: list[tuple[int, int, str]]) -> Iterator[tuple[int, int]]:
@@ -314,13 +334,11 @@ def candidates(text: str, spans: list[tuple[int, int, str]]) -> Iterator[tuple[i
             cover.append([a, b])
     stops = [b for _, b in cover]
     for m in _CANDIDATE.finditer(text):
-        a, b = m.span()
-        while b - a >= ASSIGN_VALUE and text[b - 1] == ".":
-            b -= 1
-        while b - a >= ASSIGN_VALUE and text[a] == ".":
-            a += 1
+        value = _bare(m[0])
+        a = m.start() + m[0].find(value)
+        b = a + len(value)
         k = bisect.bisect_right(stops, a)
-        if b - a >= ASSIGN_VALUE and not (k < len(cover) and cover[k][0] < b):
+        if len(value) >= ASSIGN_VALUE and not (k < len(cover) and cover[k][0] < b):
             yield a, b
 
 
@@ -360,13 +378,16 @@ def learn(docs: DataFrame, text_col: str = "text") -> SecretModel:
         for batch in slices(batches):
             seen = (Counter(), Counter())
             for text in batch.column(0).to_pylist():
-                spans = base_spans(text or "")
-                seen[0].update(text[a:b] for a, b in candidates(text or "", spans))
+                runs = _CANDIDATE.findall(text or "")
+                spans = base_spans(text or "", runs)
+                seen[0].update((text[a:b] for a, b in candidates(text, spans)) if spans else runs)
                 seen[1].update(v for _, v in labelled(text or "", spans))
             for side, n in enumerate(seen):
-                for v, s in reader.states(set(n)).items():
+                known = reader.read(n.keys() | set())
+                for v, k in n.items():
+                    s = known[v]
                     if s >= 0:
-                        taken[s, side] += n[v]
+                        taken[s, side] += k
         some = np.flatnonzero(taken.sum(1))
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(taken[some, 0]), pa.array(taken[some, 1])], ["state", "other", "labelled"])
 
@@ -377,14 +398,18 @@ def learn(docs: DataFrame, text_col: str = "text") -> SecretModel:
 
 def spans_of(text: str, model: SecretModel, reader: Reader) -> tuple[list, list]:
     """Base spans, and all spans: the base ones and candidates of a secret format, as kind 'likely-<kind>'."""
-    base = base_spans(text)
+    runs = _CANDIDATE.findall(text)
+    base = base_spans(text, runs)
     if not model.secret:
         return base, base
-    places = list(candidates(text, base))
-    states = reader.states({text[a:b] for a, b in places})
-    more = [(a, b, f"likely-{model.formats.kind(s)}") for a, b in places if (s := states[text[a:b]]) in model.secret]
-    if not more:
+    reader.read(set(runs))
+    if reader.found.isdisjoint(runs):
         return base, base
+    known, more = reader.read({text[a:b] for a, b in candidates(text, base)}), []
+    for a, b in candidates(text, base):
+        s = known[text[a:b]]
+        if s in model.secret:
+            more.append((a, b, f"likely-{model.formats.kind(s)}"))
     order = {k: i for i, k in enumerate((*KINDS, *(f"likely-{k}" for k in KINDS)))}
     return base, sorted(base + more, key=lambda x: (x[0], order[x[2]]))
 
@@ -408,11 +433,11 @@ def secrets(docs: DataFrame, model: SecretModel, text_col: str = "text", out: st
 
     def scan(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         held = sent.value
-        reader = Reader(held.formats)
+        reader = Reader(held.formats, held.secret)
         for texts in batches:
             rows = []
-            for t in texts:
-                base, every = spans_of(t.as_py() or "", held, reader)
+            for text in texts.to_pylist():
+                base, every = spans_of(text or "", held, reader)
                 n = Counter(k for _, _, k in base)
                 rows.append({"base": joined(base), "spans": joined(every), "n_assign": n["assign"], "n_access": n["access"], "n_hex": n["hex"]})
             yield pa.array(rows, _ARROW)
