@@ -42,6 +42,8 @@ MARGIN, SHARE = 12.0, 0.1
 RUNS = 0.8
 #: Values that a task remembers before it begins anew.
 REMEMBERED = 200_000
+#: Characters of texts whose values are scored together.
+AT_ONCE = 1 << 20
 
 #: What the automata read: digits, hex letters and other letters in either case, the marks, and the end.
 SYMBOLS, END = 12, 11
@@ -396,14 +398,13 @@ def learn(docs: DataFrame, text_col: str = "text") -> SecretModel:
     return SecretModel(formats, {r.state: r.share for r in counts.select("state", share.alias("share")).filter(F.col("share") >= SHARE).collect()})
 
 
-def spans_of(text: str, model: SecretModel, reader: Reader) -> tuple[list, list]:
-    """Base spans, and all spans: the base ones and candidates of a secret format, as kind 'likely-<kind>'."""
-    runs = _CANDIDATE.findall(text)
+def spans_of(text: str, runs: list[str], model: SecretModel, reader: Reader) -> tuple[list, list]:
+    """Base spans, and all spans: the base ones and candidates of a secret format, as kind 'likely-<kind>'.
+
+    runs: those of the text, which the reader has read.
+    """
     base = base_spans(text, runs)
-    if not model.secret:
-        return base, base
-    reader.read(set(runs))
-    if reader.found.isdisjoint(runs):
+    if not model.secret or reader.found.isdisjoint(runs):
         return base, base
     known, more = reader.read({text[a:b] for a, b in candidates(text, base)}), []
     for a, b in candidates(text, base):
@@ -434,12 +435,21 @@ def secrets(docs: DataFrame, model: SecretModel, text_col: str = "text", out: st
     def scan(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         held = sent.value
         reader = Reader(held.formats, held.secret)
-        for texts in batches:
-            rows = []
-            for text in texts.to_pylist():
-                base, every = spans_of(text or "", held, reader)
-                n = Counter(k for _, _, k in base)
-                rows.append({"base": joined(base), "spans": joined(every), "n_assign": n["assign"], "n_access": n["access"], "n_hex": n["hex"]})
+        for batch in batches:
+            rows, texts, at = [], [t or "" for t in batch.to_pylist()], 0
+            while at < len(texts):
+                to, size = at, 0
+                while to < len(texts) and (to == at or size + len(texts[to]) <= AT_ONCE):
+                    size += len(texts[to])
+                    to += 1
+                runs = [_CANDIDATE.findall(t) for t in texts[at:to]]
+                if held.secret:
+                    reader.read(set().union(*runs))  # many values in step
+                for text, own in zip(texts[at:to], runs, strict=True):
+                    base, every = spans_of(text, own, held, reader)
+                    n = Counter(k for _, _, k in base)
+                    rows.append({"base": joined(base), "spans": joined(every), "n_assign": n["assign"], "n_access": n["access"], "n_hex": n["hex"]})
+                at = to
             yield pa.array(rows, _ARROW)
 
     return docs.withColumn(out, F.arrow_udf(scan, _FOUND, F.ArrowUDFType.SCALAR_ITER)(F.col(f"`{text_col}`")))
