@@ -8,7 +8,9 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,13 +34,15 @@ REMEMBERED = 200_000
 # Letters that stand behind digits and signs in leetspeak.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "£": "l", "(": "c", "¡": "i"}
 #: Log-probabilities of the channel.
-SWAPPED, DROPPED, REPEATED, BROKEN, KEPT_SIGN = -1.2, -0.7, -0.3, -2.5, -4.0
+SWAPPED, DROPPED, REPEATED, TWICE, BROKEN, KEPT_SIGN = -1.2, -0.7, -0.3, -3.0, -2.5, -4.0
 
 _SIGNS = re.escape("".join(LEET))
 _LETTER = r"[^\W\d_]"
-#: Words whose lattice has more than one path that can matter: signs within or beside letters, a letter three times, letters split by marks.
-_NOISY = re.compile(rf"{_LETTER}[{_SIGNS}]+{_LETTER}|^\W*[{_SIGNS}]{{1,3}}{_LETTER}{{2}}|{_LETTER}{{2}}[0-9@$|+€£]{{1,3}}\W*$|({_LETTER})\1\1|(?<!\w)\w(?:[^\w\s]+\w)+[^\w\s]+\w(?!\w)|{_LETTER}[*_.~-]{_LETTER}[*_.~-]{_LETTER}")
-_SPACED = re.compile(r"(?<!\S)\S(?:[ \t]+\S){2,}(?!\S)")
+#: Stretches whose lattice has more than one path: a sign next to a letter, a letter twice, a mark between letters.
+_NOISY = re.compile(rf"[{_SIGNS}]{_LETTER}|{_LETTER}[{_SIGNS}]|({_LETTER})\1|{_LETTER}[^\w\s]+{_LETTER}")
+#: Marks that end a piece of a word, and lengths of a stretch that is remembered.
+_ENDS, REMEMBERED_LENGTH = ".,;:?\"", 64
+_SPACED = re.compile(r"(?<!\S)\S(?:\s+\S){2,}(?!\S)")
 _WORD = re.compile(rf"{_LETTER}+")
 
 
@@ -98,22 +102,26 @@ class Restorer:
             found = self.ids[c] = ord(f) - 96 if "a" <= f <= "z" else 27 if f.isalpha() else 0
         return found
 
-    def _ways(self, c: str, before: str) -> list[tuple[str, int, float]]:
-        """(written, symbol or -1 for none, log-probability) for one seen character."""
+    def _ways(self, c: str, again: float | None) -> list[tuple[str, int, float]]:
+        """(written, symbol or -1 for none, log-probability) for one seen character; again: what it costs to be a repeat."""
+        repeat = [] if again is None else [("", -1, again)]
         if c.isalpha():
-            return [(c, self._id(c), 0.0), *([("", -1, REPEATED)] if c == before else [])]
+            return [(c, self._id(c), 0.0), *repeat]
         ways = [(x, ord(x) - 96, SWAPPED) for x in LEET.get(c, "")]
         if ways:
-            return [*ways, (" ", 0, KEPT_SIGN), *([("", -1, REPEATED)] if c == before else [])]
+            return [*ways, (" ", 0, KEPT_SIGN), *repeat]
         return [("", -1, DROPPED), (" ", 0, BROKEN)]
 
     def restore(self, seen: str) -> str:
         """The likeliest source of a lower-cased stretch; at most SYMBOLS ** 3 contexts are alive at a time."""
         model, span = self.model, SYMBOLS ** (ORDER - 1)
         alive: dict[int, tuple[float, tuple]] = {0: (0.0, ())}
-        before = ""
-        for c in seen + "\n":
-            ways = [(" ", 0, 0.0)] if c == "\n" else self._ways(c, before)
+        n = len(seen)
+        for k, c in enumerate(seen + "\n"):
+            again = None
+            if k and k < n and c == seen[k - 1]:  # a letter twice may be meant so, three times is not
+                again = REPEATED if (k > 1 and seen[k - 2] == c) or (k + 1 < n and seen[k + 1] == c) else TWICE
+            ways = [(" ", 0, 0.0)] if c == "\n" else self._ways(c, again)
             after: dict[int, tuple[float, tuple]] = {}
             for context, (score, path) in alive.items():
                 for written, symbol, cost in ways:
@@ -125,7 +133,7 @@ class Restorer:
                         to, s, q = (context * SYMBOLS + symbol) % span, score + cost + model[context * SYMBOLS + symbol], (path, written)
                     if to not in after or s > after[to][0]:
                         after[to] = (s, q)
-            alive, before = after, c
+            alive = after
         path, out = max(alive.values(), key=lambda x: x[0])[1], []
         while path:
             path, written = path
@@ -139,6 +147,11 @@ class Reader:
     def __init__(self, model: np.ndarray, lexicon: dict[str, float] | None = None):
         self.restorer, self.lexicon = Restorer(model), lexicon
         self.known: dict[str, tuple] = {}
+        self.whole = ahocorasick.Automaton()
+        for w in lexicon or ():
+            if not w.endswith("-"):
+                self.whole.add_word(w, len(w))
+        self.whole.make_automaton()
 
     def _of(self, seen: str) -> tuple:
         """Features of one stretch without spaces, or of spaced letters: those in the lexicon, or all without one."""
@@ -158,14 +171,31 @@ class Reader:
             known.clear()
         stretches = set(text.split())
         stretches.update(re.sub(r"\s+", " ", m) for m in _SPACED.findall(text))
+        if len(self.whole):
+            stretches.update(self._pieces(text))
         for seen in stretches:
             found = known.get(seen)
             if found is None:
-                found = known[seen] = self._of(seen)
+                found = self._of(seen)
+                if len(seen) <= REMEMBERED_LENGTH:
+                    known[seen] = found
             if found:
                 out.update(found)
         return out
 
+    def _pieces(self, text: str) -> Iterator[str]:
+        """Neighbouring words that are a word of the lexicon without the blanks between them."""
+        for mark in _ENDS:
+            text = text.replace(mark, "")
+        words = text.split()
+        hits = [(end + 1 - n, end + 1) for end, n in self.whole.iter("".join(words))]
+        if hits:
+            edges = {0: 0}
+            edges.update((at, k) for k, at in enumerate(accumulate(map(len, words)), 1))
+            for a, b in hits:
+                if a in edges and b in edges and edges[b] - edges[a] > 1:
+                    yield " ".join(words[edges[a] : edges[b]])
+
 
 @dataclass(frozen=True)
 class ToxicityModel:

@@ -63,7 +63,7 @@ def test_toxicity_held_out_and_obfuscated(spark, tables):
     got = scores(toxicity.toxicity(d, model, out="s"), "s")
     held = [(got[r.doc_id] >= 0.3, r.toxic == 1) for r in labels.filter("doc_id % 4 = 0").collect()]
     assert np.mean([a == b for a, b in held]) > 0.97
-    hidden = ["1d10t", "i d i o t", "m0r0n", "m.o.r.o.n", "7rash", "idiooot", "t-r-a-s-h"]
+    hidden = ["1d10t", "i d i o t", "m0r0n", "m.o.r.o.n", "7rash", "idiooot", "t-r-a-s-h", "mmoron", "iiddiioott", "1d107", "tr@$h", "7r4$#"[:4] + "h", "id iot", "mo\nr on,", "i\u00a0d\u00a0i\u00a0o\u00a0t", "m\no\nr\no\nn", "moron!"]
     test = [(i, f"{words(5, 30)} {h} {words(6, 30)}") for i, h in enumerate(hidden)] + [(100 + i, words(900 + i, 60)) for i in range(20)]
     found = scores(toxicity.toxicity(docs(spark, test), model, out="s"), "s")
     assert all((v >= 0.3) == (k < 100) for k, v in found.items()), found
@@ -87,10 +87,14 @@ def test_viterbi_is_the_best_path(spark, tables):
 
     def best(seen):
         paths = [(0.0, 0, "", "")]
-        for c in seen + "\n":
+        for at, c in enumerate(seen + "\n"):
             after = []
-            for score, context, text, before in paths:
-                for w, sym, cost in [(" ", 0, 0.0)] if c == "\n" else restorer._ways(c, before):
+            again = None
+            if 0 < at < len(seen) and c == seen[at - 1]:
+                run = len(seen[:at]) - len(seen[:at].rstrip(c)) + len(seen[at:].rstrip("\n")) - len(seen[at:].rstrip("\n").lstrip(c))
+                again = toxicity.TWICE if run == 2 else toxicity.REPEATED
+            for score, context, text, _ in paths:
+                for w, sym, cost in [(" ", 0, 0.0)] if c == "\n" else restorer._ways(c, again):
                     if sym < 0 or (sym == 0 and context % toxicity.SYMBOLS == 0):
                         after.append((score + cost, context, text, c))
                     else:
@@ -99,7 +103,7 @@ def test_viterbi_is_the_best_path(spark, tables):
             paths = after
         return max(paths)[2]
 
-    for seen in ("1d10t", "m0r.0n", "i d i", "idiooot", "t|r@", "9+$"):
+    for seen in ("1d10t", "m0r.0n", "i d i", "idiooot", "mmoron", "iiddiioott", "t|r@", "9+$"):
         assert restorer.restore(seen) == best(seen)
 
 
@@ -109,3 +113,31 @@ def test_restore_keeps_clean_text(spark, tables):
     got = scores(out, "restored")
     assert got[1] == words(3, 20) and got[2] is None and "idiot" in got[3]
     assert out.filter(F.col("_group") == "g").count() == 3
+
+
+@pytest.mark.parametrize(("name", "label", "modulus", "remainder"), [("op1_quality_classifier", "quality", 5, 0), ("op3_toxicity", "toxic", 4, 2)])
+def test_registered_queries_keep_to_their_folds(spark, name, label, modulus, remainder, tmp_path):
+    """Folds, cut and columns of the contract; labels of the held-out fold change no score."""
+    import zlib
+
+    from lodestone.llm import queries
+
+    small = "/root/testdata/sf0.001"
+    got = queries.QUERIES[name](spark, small)
+    assert got.columns[:4] == ["doc_id", "held_out", "score", "predicted"]
+    first = {r.doc_id: r for r in got.collect()}
+    assert first.keys() == {r.doc_id for r in queries.table(spark, small, "documents").select("doc_id").collect()}
+    for i, r in first.items():
+        assert r.held_out == (zlib.crc32(str(i).encode()) % modulus == remainder) and 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3)
+    other = str(tmp_path)
+    queries.table(spark, small, "documents").write.parquet(f"{other}/documents.parquet")
+    fold = queries.held_out(modulus, remainder)
+    queries.table(spark, small, "labels").withColumn(label, F.when(fold, 1 - F.col(label)).otherwise(F.col(label))).write.parquet(f"{other}/labels.parquet")
+    again = {r.doc_id: r.score for r in queries.QUERIES[name](spark, other).collect()}
+    assert all(abs(again[i] - r.score) < 1e-6 for i, r in first.items())
+
+
+def test_one_very_long_noisy_stretch(spark, tables):
+    model = toxicity.train(*tables)
+    out = toxicity.toxicity(docs(spark, [(1, "m0r0n" * 4000), (2, "a.b" * 20000), (3, "\n".join("x" * 30000))]), model, out="s")
+    assert all(0 <= r.s <= 1 for r in out.collect())
