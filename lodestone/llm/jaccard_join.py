@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import raw_bytes, slices, text_of, with_group, written
@@ -14,17 +15,38 @@ from lodestone.llm.components import components
 from lodestone.llm.shingles import mixed, shingle_sets
 
 SIMILARITY = 0.8
-#: Prefix tries, values of a signature in each, and the share of pairs at SIMILARITY that must meet in some trie.
+#: Prefix tries, values of a signature in each, and the share of pairs at SIMILARITY that must be able to meet in some trie.
 TREES, DEPTH, RECALL = 20, 8, 0.9999
-#: Members of a trie node that are compared in one piece; a larger node is compared in pairs of blocks.
-BLOCK = 512
+#: Prefixes are shortened until so large a share of all links, by those found so far, has met.
+MEASURED_RECALL = 0.99999
+#: Members of a trie node, and shingles of them, that are compared in one piece; a larger node is compared in pairs of blocks.
+BLOCK, BLOCK_SHINGLES = 512, 1 << 22
 #: Shared shingles whose occurrences are multiplied at a time.
 COLUMNS = 4096
 
 
+def meeting(similarity: float, depth: int, trees: int = TREES) -> float:
+    """Chance that two sets share a prefix of `depth` values in one of the tries."""
+    return 1 - (1 - similarity**depth) ** trees
+
+
 def prefix_depth(similarity: float = SIMILARITY, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> int:
-    """Shorten the matched prefix from the whole signature until pairs at `similarity` meet with the target recall."""
-    while depth > 1 and 1 - (1 - similarity**depth) ** trees < recall:
+    """The shortest prefix that can be needed: there pairs at `similarity` meet with the target recall."""
+    while depth > 1 and meeting(similarity, depth, trees) < recall:
+        depth -= 1
+    return depth
+
+
+def shortened(found: dict[float, int], similarity: float, least: int, recall: float = MEASURED_RECALL) -> int:
+    """How far prefixes must be shortened for the links that there are, told by those that met on whole signatures.
+
+    found: links by similarity. Each stands for as many links as its chance to be found makes likely; one more link at
+    the threshold stands for what has not been seen. `least` is the depth beyond which shortening is never needed.
+    """
+    every = {s: n / meeting(s, DEPTH) for s, n in found.items()}
+    every[similarity] = every.get(similarity, 0) + 1 / meeting(similarity, DEPTH)
+    depth = DEPTH
+    while depth > least and sum(n * meeting(s, depth) for s, n in every.items()) < recall * sum(every.values()):
         depth -= 1
     return depth
 
@@ -34,17 +56,21 @@ def _seeds(n: int) -> tuple[np.ndarray, np.ndarray]:
     return x[:n] | np.uint64(1), x[n:]
 
 
-def prefix_keys(sets: list[np.ndarray], depth: int, trees: int = TREES) -> np.ndarray:
-    """For each set its key in each trie: the first `depth` MinHash values there, folded into 32 bits. Sets are not empty."""
+def prefix_keys(sets: list[np.ndarray], least: int, trees: int = TREES) -> np.ndarray:
+    """[set, depth - least, trie]: the trie node of each set's prefix of each depth from `least` to DEPTH, in 32 bits.
+
+    A node's number is made from its parent's and the next MinHash value. Sets are not empty.
+    """
     flat, starts = np.concatenate(sets), np.concatenate([[0], np.cumsum([len(s) for s in sets])[:-1]])
     factor, plus = _seeds(trees * DEPTH)
-    out = np.empty((len(sets), trees), np.int32)
+    out = np.empty((len(sets), DEPTH - least + 1, trees), np.int32)
     for tree in range(trees):
         key = np.full(len(sets), tree + 1, np.uint64)
-        for level in range(depth):
+        for level in range(DEPTH):
             j = tree * DEPTH + level
             key = mixed(key * np.uint64(31) + np.minimum.reduceat((flat * factor[j] + plus[j]) >> np.uint64(32), starts))
-        out[:, tree] = (key >> np.uint64(32)).astype(np.uint32).view(np.int32)
+            if level + 1 >= least:
+                out[:, level + 1 - least, tree] = (key >> np.uint64(32)).astype(np.uint32).view(np.int32)
     return out
 
 
@@ -57,7 +83,9 @@ def set_keys(sets: list[np.ndarray]) -> list[bytes]:
     return [row.tobytes() for row in packed]
 
 
-def _signatures(depth: int):
+def _signatures(least: int):
+    width = TREES * (DEPTH - least + 1)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             sets = shingle_sets(*raw_bytes(batch.column("text")))
@@ -65,9 +93,10 @@ def _signatures(depth: int):
             if not some:
                 continue
             held = [sets[i] for i in some]
-            keys = prefix_keys(held, depth)
-            arrays = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, TREES, dtype=np.int32)), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(some)), pa.array(set_keys(held), pa.binary()), arrays], ["doc_id", "set_key", "prefixes"])
+            keys = prefix_keys(held, least)
+            arrays = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, width, dtype=np.int32)), pa.array(keys.ravel()))
+            taken = batch.take(pa.array(some))
+            yield pa.RecordBatch.from_arrays([taken.column("doc_id"), taken.column("row_key"), pa.array(set_keys(held), pa.binary()), pa.array([len(s) for s in held], pa.int64()), arrays], ["doc_id", "row_key", "set_key", "n_shingles", "nodes"])
 
     return run
 
@@ -105,7 +134,7 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tupl
     """Runs of rows with equal keys, of a partition sorted by them, as columns."""
     now, held = None, None
     for batch in batches:
-        columns = {c: batch.column(c).to_pylist() if c not in ("shingles", "prefixes") else [np.asarray(x.values) if x.values is not None else None for x in batch.column(c)] for c in batch.schema.names}
+        columns = {c: batch.column(c).to_pylist() if c not in ("shingles", "prefixes", "before") else [np.asarray(x.values) if x.values is not None else None for x in batch.column(c)] for c in batch.schema.names}
         for i in range(batch.num_rows):
             key = tuple(columns[k][i] for k in keys)
             if key != now:
@@ -127,15 +156,23 @@ def _sides(rows: dict[str, list], a: int, b: int) -> tuple[np.ndarray, np.ndarra
     return (np.flatnonzero(block == a), np.flatnonzero(block == b)) if a != b else (np.arange(len(block)),) * 2
 
 
+def _pairs(rows: dict[str, list], x: np.ndarray, y: np.ndarray, tree: int) -> np.ndarray:
+    """Which pairs are compared in this trie: it is the first in which they share the prefix, and they shared no longer one."""
+    now, before = np.array(rows["prefixes"]), np.array(rows["before"])
+    pairs = _first_tree(now[x], now[y]) == tree
+    if before.shape[1]:
+        pairs &= _first_tree(before[x], before[y]) == TREES
+    return pairs
+
+
 def _needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each node piece, the members that have a partner whose first shared trie is this one."""
     for (tree, prefix, a, b), rows in _groups(batches, NODE):
         x, y = _sides(rows, a, b)
-        sig = np.array(rows["prefixes"])
-        pairs = _first_tree(sig[x], sig[y]) == tree
+        pairs = _pairs(rows, x, y, tree)
         if a == b:
             np.fill_diagonal(pairs, False)
-        some = np.zeros(len(sig), bool)
+        some = np.zeros(len(rows["block"]), bool)
         some[x[pairs.any(1)]] = True
         some[y[pairs.any(0)]] = True
         keep = np.flatnonzero(some)
@@ -145,18 +182,24 @@ def _needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _linked(similarity: float):
-    """Verify the pairs of each node piece; a row for each member with its links, and a spanning forest of them."""
+    """Verify the pairs of each node piece; a row for each member with its links, and a spanning forest of them.
+
+    A row without set_key counts a piece's links of one similarity, in steps of a hundredth.
+    """
+    ratio = Fraction(similarity).limit_denominator(10_000)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (tree, _, a, b), rows in _groups(batches, NODE):
             x, y = _sides(rows, a, b)
-            sig, sets, docs = np.array(rows["prefixes"]), [s.view(np.uint64) for s in rows["shingles"]], np.array(rows["n_docs"], np.int64)
-            pairs = _first_tree(sig[x], sig[y]) == tree
-            size = np.array([len(s) for s in sets], np.float32)
-            common = shared([sets[i] for i in x], None if a == b else [sets[i] for i in y])
-            pairs &= common >= np.float32(similarity) * (size[x][:, None] + size[y][None, :] - common) - np.float32(1e-3)
+            sets, docs = [s.view(np.uint64) for s in rows["shingles"]], np.array(rows["n_docs"], np.int64)
+            pairs = _pairs(rows, x, y, tree)
+            size = np.array([len(s) for s in sets], np.int64)
+            common = shared([sets[i] for i in x], None if a == b else [sets[i] for i in y]).astype(np.int64)
+            union = size[x][:, None] + size[y][None, :] - common
+            pairs &= ratio.denominator * common >= ratio.numerator * union
             if a == b:
                 np.fill_diagonal(pairs, False)
+            told, n_told = np.unique(100 * common[pairs] // union[pairs], return_counts=True)
             links = np.zeros(len(sets), np.int64)
             np.add.at(links, x, pairs @ docs[y])
             if a != b:
@@ -165,7 +208,10 @@ def _linked(similarity: float):
             keep = np.flatnonzero(links)
             key = rows["set_key"]
             if len(keep):
-                yield pa.RecordBatch.from_arrays([pa.array([key[i] for i in keep], pa.binary()), pa.array(links[keep], pa.int64()), pa.array([key[root[i]] for i in keep], pa.binary())], ["set_key", "links", "joined"])
+                k = [key[i] for i in keep] + [None] * len(told)
+                n = np.concatenate([links[keep], n_told // (2 if a == b else 1)])
+                j = [key[root[i]] for i in keep] + [None] * len(told)
+                yield pa.RecordBatch.from_arrays([pa.array(k, pa.binary()), pa.array(n, pa.int64()), pa.array(j, pa.binary()), pa.array([None] * len(keep) + told.tolist(), pa.int64())], ["set_key", "links", "joined", "similarity"])
 
     return run
 
@@ -211,30 +257,45 @@ def jaccard_join(docs: DataFrame, similarity: float = SIMILARITY, recall: float
     white space, A-Z lower-cased; a shorter text is one shingle) is at least `similarity`. A class is a
     connected component of links and class_id its least doc_id, which is kept; n_links counts the other
     documents linked to this one, copies too. Documents without words (null, empty, blank) link to none.
-    Equal sets are handled once. Pairs that share a trie prefix are all verified on whole sets, each in
-    the first such trie only; a trie node of more than BLOCK members is verified in pairs of blocks, so
-    no task holds more. Rows that repeat a doc_id are counted as documents of their own; a null doc_id
-    gets the least other id of its class; sets that only such rows have are compared with none.
+    Equal sets are handled once. Sets are first compared with those that share a whole signature in some trie; by the
+    similarities found there prefixes are shortened (`shortened`), and pairs that meet on shorter ones are compared too.
+    Every pair is verified on whole sets, in whole numbers, in the first trie that it shares; a trie node of more than
+    BLOCK members is verified in pairs of blocks, so no task holds more. Rows that repeat a doc_id are counted as
+    documents of their own; a null doc_id gets the least other id of its class.
     """
-    depth = prefix_depth(similarity, recall=recall)
-    rows = text_of(docs, id_col, text_col)
-    signed = written(rows.mapInArrow(_signatures(depth), "doc_id long, set_key binary, prefixes array<int>"), "signatures")
-    sets = written(signed.groupBy("set_key").agg(F.count(F.lit(1)).alias("n_docs"), F.min("doc_id").alias("doc_id"), F.any_value("prefixes").alias("prefixes")), "sets")
-    # Trie nodes with more than one set, and their members; a set is in one node of each trie.
-    members = sets.select("set_key", F.posexplode("prefixes").alias("tree", "prefix"))
-    nodes = members.groupBy("tree", "prefix").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
-    members = members.join(nodes, ["tree", "prefix"]).join(sets.select("set_key", "prefixes"), "set_key")
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    members = members.withColumn("block", F.pmod(F.xxhash64("set_key"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    pieces = members.select("tree", "prefix", F.least("block", "other").alias("block_a"), F.greatest("block", "other").alias("block_b"), "block", "set_key", "prefixes")
-    needed = pieces.repartition(*NODE).sortWithinPartitions(*NODE).mapInArrow(_needed, f"{_NODE}, block int, set_key binary")
-    needed = written(needed, "candidates")
-    wanted = needed.select("set_key").distinct().join(sets, "set_key").filter("doc_id is not null").select("set_key", "doc_id")
-    texts = rows.join(wanted, "doc_id").select("set_key", "text")
-    held = texts.mapInArrow(_sets_of_needed, "set_key binary, shingles array<long>").dropDuplicates(["set_key"])
-    held = held.join(sets.select("set_key", "prefixes", "n_docs"), "set_key")
-    pieces = needed.join(held, "set_key").repartition(*NODE).sortWithinPartitions(*NODE)
-    found = written(pieces.mapInArrow(_linked(similarity), "set_key binary, links long, joined binary"), "links")
+    least = prefix_depth(similarity, recall=recall)
+    rows = text_of(docs, id_col, text_col).withColumn("row_key", F.coalesce("doc_id", F.xxhash64("text")))
+    signed = written(rows.mapInArrow(_signatures(least), "doc_id long, row_key long, set_key binary, n_shingles long, nodes array<int>"), "signatures")
+    sets = written(signed.groupBy("set_key").agg(F.count(F.lit(1)).alias("n_docs"), F.min("doc_id").alias("doc_id"), F.min("row_key").alias("row_key"), F.any_value("n_shingles").alias("n_shingles"), F.any_value("nodes").alias("nodes")), "sets")
+
+    def nodes(depth: int) -> Column:
+        return F.slice("nodes", (depth - least) * TREES + 1, TREES)
+
+    def compared(depth: int, before: int | None) -> DataFrame:
+        """Links of pairs that share a prefix of `depth` values, but none of `before`."""
+        at = sets.select("set_key", "n_docs", "row_key", "n_shingles", nodes(depth).alias("prefixes"), (nodes(before) if before else F.array().cast("array<int>")).alias("before"))
+        # Trie nodes with more than one set, and their members; a set is in one node of each trie.
+        members = at.select("set_key", "n_shingles", F.posexplode("prefixes").alias("tree", "prefix"))
+        held = members.groupBy("tree", "prefix").agg(F.count(F.lit(1)).alias("members"), F.sum("n_shingles").alias("shingles")).filter("members > 1")
+        members = members.drop("n_shingles").join(held, ["tree", "prefix"]).join(at.select("set_key", "prefixes", "before"), "set_key")
+        blocks = F.greatest(F.ceil(F.col("members") / BLOCK), F.least(F.col("members"), F.ceil(F.col("shingles") / BLOCK_SHINGLES))).cast("int")
+        members = members.withColumn("block", F.pmod(F.xxhash64("set_key"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        pieces = members.select("tree", "prefix", F.least("block", "other").alias("block_a"), F.greatest("block", "other").alias("block_b"), "block", "set_key", "prefixes", "before")
+        needed = pieces.repartition(*NODE).sortWithinPartitions(*NODE).mapInArrow(_needed, f"{_NODE}, block int, set_key binary")
+        needed = written(needed, "candidates")
+        wanted = needed.select("set_key").distinct().join(at, "set_key").select("set_key", "row_key")
+        texts = rows.join(wanted, "row_key").select("set_key", "text")
+        shingles = texts.mapInArrow(_sets_of_needed, "set_key binary, shingles array<long>").dropDuplicates(["set_key"])
+        shingles = shingles.join(at.select("set_key", "prefixes", "before", "n_docs"), "set_key")
+        pieces = needed.join(shingles, "set_key").repartition(*NODE).sortWithinPartitions(*NODE)
+        return written(pieces.mapInArrow(_linked(similarity), "set_key binary, links long, joined binary, similarity long"), "links")
+
+    found = compared(DEPTH, None)
+    told = {(r.similarity + 0.5) / 100: r.n for r in found.filter("set_key is null").groupBy("similarity").agg(F.sum("links").alias("n")).collect()}  # at most 101 rows
+    depth = shortened(told, similarity, least)
+    if depth < DEPTH:
+        found = found.unionByName(compared(depth, DEPTH))
+    found = found.filter("set_key is not null")
     roots = components(found.select(F.col("set_key").alias("u"), F.col("joined").alias("v")))
     links = found.groupBy("set_key").agg(F.sum("links").alias("links"))
     classed = sets.select("set_key", "n_docs", "doc_id").join(roots, F.col("set_key") == F.col("node"), "left").join(links, "set_key", "left")

@@ -63,7 +63,7 @@ def test_toxicity_held_out_and_obfuscated(spark, tables):
     got = scores(toxicity.toxicity(d, model, out="s"), "s")
     held = [(got[r.doc_id] >= 0.3, r.toxic == 1) for r in labels.filter("doc_id % 4 = 0").collect()]
     assert np.mean([a == b for a, b in held]) > 0.97
-    hidden = ["1d10t", "i d i o t", "m0r0n", "m.o.r.o.n", "7rash", "idiooot", "t-r-a-s-h", "mmoron", "iiddiioott", "1d107", "tr@$h", "7r4$#"[:4] + "h", "id iot", "mo\nr on,", "i\u00a0d\u00a0i\u00a0o\u00a0t", "m\no\nr\no\nn", "moron!"]
+    hidden = ["1d10t", "i d i o t", "m0r0n", "m.o.r.o.n", "7rash", "idiooot", "t-r-a-s-h", "mmoron", "iiddiioott", "1d107", "tr@$h", "7r4$h", "id iot", "mo\nr on,", "i\u00a0d\u00a0i\u00a0o\u00a0t", "m\no\nr\no\nn", "moron!"]
     test = [(i, f"{words(5, 30)} {h} {words(6, 30)}") for i, h in enumerate(hidden)] + [(100 + i, words(900 + i, 60)) for i in range(20)]
     found = scores(toxicity.toxicity(docs(spark, test), model, out="s"), "s")
     assert all((v >= 0.3) == (k < 100) for k, v in found.items()), found

@@ -78,6 +78,45 @@ def test_prefix_is_shortened_to_the_recall():
     assert J.prefix_depth(recall=0.5) > depth >= J.prefix_depth(recall=0.9999999)
 
 
+def test_prefixes_are_shortened_as_far_as_the_links_need():
+    least = J.prefix_depth()
+    assert J.shortened({}, J.SIMILARITY, least) == least  # nothing seen: the worst case
+    near = J.shortened({0.985: 10**9}, J.SIMILARITY, least)
+    low = J.shortened({0.985: 10**9, 0.805: 10**8}, J.SIMILARITY, least)
+    assert J.DEPTH >= near > low >= least
+    for told, depth in (({0.985: 10**9}, near), ({0.985: 10**9, 0.805: 10**8}, low)):
+        every = {s: n / J.meeting(s, J.DEPTH) for s, n in told.items()}
+        assert sum(n * J.meeting(s, depth) for s, n in every.items()) >= J.MEASURED_RECALL * sum(every.values()) * 0.99999
+
+
+def test_nodes_of_a_prefix_are_within_those_of_shorter_ones():
+    r = np.random.default_rng(4)
+    base = r.integers(0, 1 << 62, 80).astype(np.uint64)
+    k = J.prefix_keys([np.unique(np.concatenate([base, r.integers(0, 1 << 62, 8).astype(np.uint64)])) for _ in range(30)], 2)
+    for d in range(1, k.shape[1]):
+        same = k[:, None, d] == k[None, :, d]
+        assert (k[:, None, d - 1] == k[None, :, d - 1])[same].all()
+    assert (k[:, None, 0] == k[None, :, 0]).sum() > (k[:, None, -1] == k[None, :, -1]).sum()
+
+
+def test_sets_that_only_rows_without_an_id_have(spark):
+    data = [(None, t) for t in variants(51, 100, 4)] + [(None, variants(51, 100, 1)[0]), (7, words(52, 50)), (None, words(53, 50))]
+    assert run(spark, data) == brute(data)
+
+
+def test_recall_of_the_query_against_all_pairs(spark):
+    """Many chains of ever less alike texts: links found of those that there are."""
+    data = []
+    for c in range(30):
+        base = words(600 + c, 60).split()
+        for k in range(8):
+            w = list(base)
+            w[(5 * k) % 60] = f"y{c}x{k}"
+            data.append((100 * c + k, " ".join(w)))
+    got, want = run(spark, data), brute(data)
+    assert sum(min(g[3], w[3]) for g, w in zip(got, want, strict=True)) >= 0.999 * sum(w[3] for w in want) > 0
+
+
 def test_recall_of_the_forest():
     """Pairs of similarity 0.8 to 0.85 that meet in some trie, over 400 pairs."""
     met = total = 0
@@ -86,7 +125,7 @@ def test_recall_of_the_forest():
         both = r.integers(0, 1 << 62, 200).astype(np.uint64)
         a, b = np.concatenate([both, r.integers(0, 1 << 62, 22).astype(np.uint64)]), np.concatenate([both, r.integers(0, 1 << 62, 22).astype(np.uint64)])
         k = J.prefix_keys([np.unique(a), np.unique(b)], J.prefix_depth())
-        met += bool((k[0] == k[1]).any())
+        met += bool((k[0][0] == k[1][0]).any())
         total += 1
     assert met >= 0.995 * total
 
