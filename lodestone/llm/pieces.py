@@ -21,8 +21,8 @@ FLOOR = -(1 << 26)
 UNKNOWN = -(1 << 37)
 _RADIX = np.uint64(0x9E3779B97F4A7C15 | 1)
 LOW = -(1 << 61)
-#: Words longer than this are done one at a time.
-LONG_WORD = 512
+#: Words longer than this, or fewer of a length than this, are done one at a time.
+LONG_WORD, FEW = 512, 6
 _STRETCH = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
@@ -101,15 +101,21 @@ class Lattice:
         return out
 
     def encode_words(self, words: list[str]) -> list[bytes]:
-        """The best path of each word as packed little-endian 32-bit ids. Words of like length are done in step."""
+        """The best path of each word as packed little-endian 32-bit ids.
+
+        Words of like length are done in step, the more alike the shorter they are; a few long ones one at a time. Both
+        ways take the shortest last piece of equally good ones, so that they agree.
+        """
         out: list[bytes] = [b""] * len(words)
         by_length: dict[int, list[int]] = {}
         for k, w in enumerate(words):
-            if len(w) > LONG_WORD:
-                out[k] = self.path(w)
-            else:
-                by_length.setdefault((len(w) + 3) // 4, []).append(k)
+            n = len(w)
+            by_length.setdefault(n + 3 >> 2 if n <= 16 else 100 + n.bit_length() * 4 + (n >> n.bit_length() - 3), []).append(k)
         for group in by_length.values():
+            if len(group) < FEW or len(words[group[0]]) > LONG_WORD:
+                for k in group:
+                    out[k] = self.path(words[k])
+                continue
             width = max(len(words[k]) for k in group)
             most = max(1, (1 << 20) // (width + 1))
             for at in range(0, len(group), most):
@@ -202,7 +208,7 @@ class Lattice:
         piece = np.full((width + 1, n), -1, np.int32)
         back = np.ones((width + 1, n), np.int16)
         for end in range(1, width + 1):
-            for length in range(min(end, self.longest), 0, -1):
+            for length in range(1, min(end, self.longest) + 1):
                 start = end - length
                 ids = self.find(total[end] - total[start] * self.power[length])
                 w = self.weight[ids] if length > 1 else np.where(ids >= 0, self.weight[ids], UNKNOWN)
@@ -255,12 +261,26 @@ class Decoder:
     def __init__(self, vocabulary: Vocabulary):
         spelled = {i: bytes([b]) for b, i in enumerate(vocabulary.bytes_at)}
         self.bytes_of = [spelled[i] if i in spelled else p.replace(MARK, " ").encode() if ok else b"" for i, (p, ok) in enumerate(zip(vocabulary.pieces, vocabulary.usable, strict=True))]
+        self.sizes = np.array([len(b) for b in self.bytes_of])
 
     def decode(self, packed: bytes) -> str:
-        ids = np.frombuffer(packed, "<i4").tolist()
-        text = b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "surrogatepass")
+        text = self.spelled(packed).decode("utf-8", "surrogatepass")
         return text[1:] if text.startswith(" ") else text
 
+    def lost(self, words: list[str], packed: list[bytes]) -> list[str]:
+        """Words that their ids do not decode to: none if all have their lengths and agree end to end, else one by one."""
+        seen = [w.replace(MARK, " ").encode("utf-8", "surrogatepass") for w in words]
+        ends = np.cumsum([len(p) // 4 for p in packed])
+        flat = b"".join(packed)
+        total = np.concatenate([[0], np.cumsum(self.sizes[np.frombuffer(flat, "<i4")])])
+        if (total[ends] == np.cumsum([len(s) for s in seen])).all() and self.spelled(flat) == b"".join(seen):
+            return []
+        return [w for w, s, p in zip(words, seen, packed, strict=True) if self.spelled(p) != s]
+
+    def spelled(self, packed: bytes) -> bytes:
+        """The bytes that ids stand for, with the blank in front."""
+        return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(packed, "<i4").tolist()))
+
 
 def pretokens(text: str) -> list[str]:
     """Stretches that no piece crosses, in order: marks and the characters up to the next mark."""

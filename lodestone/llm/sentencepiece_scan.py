@@ -17,7 +17,7 @@ from lodestone.llm.pieces import LOW, MARK, PATH, Decoder, Lattice, Vocabulary,
 GIANT, CHUNK = 1 << 16, 1 << 15
 #: Chunks, or groups of them, whose matrices are combined by one call.
 FAN = 16
-REMEMBERED, AT_ONCE = 200_000, 1 << 19
+REMEMBERED, AT_ONCE = 400_000, 1 << 20
 
 
 class Encoder:
@@ -25,10 +25,26 @@ class Encoder:
 
     def __init__(self, lattice: Lattice):
         self.lattice, self.known = lattice, {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Words are encoded once; texts are taken AT_ONCE characters at a time."""
+        self.lost: set[str] = set()  # remembered words that their ids do not decode to
+
+    def _learn(self, words: set[str], decoder: Decoder | None) -> None:
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+            self.lost.clear()
+        new = list(words - self.known.keys())
+        packed = self.lattice.encode_words(new)
+        self.known.update(zip(new, packed, strict=True))
+        if decoder and new:
+            self.lost.update(decoder.lost(new, packed))
+
+    def encode(self, texts: list[str], decoder: Decoder | None = None) -> tuple[list[bytes], list[bool]]:
+        """Ids of each text and, with a decoder, whether they decode to it.
+
+        Words are encoded and decoded once; a text decodes to its words one after another. Texts are taken AT_ONCE
+        characters at a time.
+        """
         out: list[bytes] = []
+        same: list[bool] = []
         at = 0
         while at < len(texts):
             to, size = at, 0
@@ -36,14 +52,13 @@ class Encoder:
                 size += len(texts[to])
                 to += 1
             split = [pretokens(t) for t in texts[at:to]]
-            known = self.known
-            if len(known) > REMEMBERED:
-                known.clear()
-            new = list({w for words in split for w in words} - known.keys())
-            known.update(zip(new, self.lattice.encode_words(new), strict=True))
+            self._learn(set().union(*split), decoder)
+            known, lost = self.known, self.lost
             out.extend(b"".join(map(known.__getitem__, words)) for words in split)
+            if decoder:
+                same.extend(MARK not in t and (not lost or lost.isdisjoint(words)) for t, words in zip(texts[at:to], split, strict=True))
             at = to
-        return out
+        return out, same
 
 
 def _cuts(text: str) -> tuple[int, int]:
@@ -91,12 +106,8 @@ class Chunk:
 
     def middle(self) -> bytes:
         words = _stretches(self.text[self.first : self.last])
-        known = self.encoder.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        new = list(set(words) - known.keys())
-        known.update(zip(new, self.lattice.encode_words(new), strict=True))
-        return b"".join(known[w] for w in words)
+        self.encoder._learn(set(words), None)
+        return b"".join(map(self.encoder.known.__getitem__, words))
 
     def ids(self, entry: int, leave: int) -> bytes:
         """Packed ids of the pieces that start in this chunk, on the path between two boundary states."""
@@ -231,8 +242,8 @@ def encode(docs: DataFrame, path: str = PATH, text_col: str = "text", out: str =
         encoder, decoder = Encoder(Lattice(sent.value)), Decoder(sent.value)
         for texts in batches:
             texts = texts.to_pylist()
-            packed = encoder.encode(texts)
-            same = [decoder.decode(p) == t for p, t in zip(packed, texts, strict=True)] if round_trip else [None] * len(texts)
+            packed, same = encoder.encode(texts, decoder if round_trip else None)
+            same = same or [None] * len(texts)
             yield pa.StructArray.from_arrays([pa.array(packed, pa.binary()), pa.array(same, pa.bool_())], fields=list(made))
 
     def shaped(df: DataFrame, columns: list, ids, same) -> DataFrame:
