@@ -7,21 +7,31 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.columns import icontains
 from lodestone.sources.corpus import Corpus
+from lodestone.sources.shared import written
 
 #: Topic terms that are sent to every task; a larger table is refused rather than broadcast.
 TERMS_MOST = 100_000
 
 
+def few(df: DataFrame) -> DataFrame:
+    """df, of topics or their terms, when it is small enough to be sent to every task."""
+    if df.limit(TERMS_MOST + 1).count() > TERMS_MOST:
+        raise ValueError("too many topics or terms to send to every task")
+    return df
+
+
 def assign_topics(publications: DataFrame, keywords: DataFrame, terms: DataFrame) -> DataFrame:
     """(topic_id, publication_id), distinct: a term of the topic is part of the lower-case title or of a keyword.
 
     Distinct titles and keywords are matched once, whatever the number of publications that carry them.
     """
-    if terms.limit(TERMS_MOST + 1).count() > TERMS_MOST:
-        raise ValueError("too many topic terms to send to every task")
     texts = publications.select("publication_id", F.lower("title").alias("text")).unionByName(keywords.select("publication_id", F.lower("keyword").alias("text"))).filter("text is not null").distinct()
-    small = F.broadcast(terms.select("topic_id", F.lower("term").alias("term")))
+    small = F.broadcast(few(terms).select("topic_id", F.lower("term").alias("term")))
     matched = texts.select("text").distinct().join(small, F.contains(F.col("text"), F.col("term"))).select("topic_id", "text").distinct()
+    matched = written(matched, "matched")
+    # Few distinct texts (keywords) stand for very many rows; they are sent to every task while their number is checked.
+    if matched.limit(TERMS_MOST + 1).count() <= TERMS_MOST:
+        matched = F.broadcast(matched)
     return texts.join(matched, "text").select("topic_id", "publication_id").distinct()
 
 
@@ -112,11 +122,11 @@ def expert_publications(c: Corpus, scores: DataFrame, assigned: DataFrame, n: in
 
 def resolve_topics(names: DataFrame, totals: DataFrame) -> DataFrame:
     """The largest topic whose name contains the asked name; else null with ten candidates. names: ask_id, name."""
-    topics = F.broadcast(totals.select("topic_id", "topic_name", "total_publications"))
+    topics = F.broadcast(few(totals).select("topic_id", "topic_name", "total_publications"))
     hits = names.join(topics, icontains(F.col("topic_name"), F.col("name")))
     best = hits.groupBy("ask_id").agg(F.max_by("topic_id", F.struct("total_publications", -F.col("topic_id"))).alias("topic_id"))
-    w = Window.orderBy(F.desc("total_publications"), "topic_name")
-    listed = totals.withColumn("r", F.row_number().over(w)).filter("r <= 10").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "topic_name"))), lambda s: s["topic_name"]).alias("listed"))
+    first = totals.orderBy(F.desc("total_publications"), "topic_name").limit(10).select(F.struct((-F.col("total_publications")).alias("n"), "topic_name").alias("s"))
+    listed = first.agg(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["topic_name"]).alias("listed"))
     return names.join(best, "ask_id", "left").crossJoin(F.broadcast(listed)).select("ask_id", "topic_id", F.when(F.col("topic_id").isNull(), F.col("listed")).alias("candidates"))
 
 

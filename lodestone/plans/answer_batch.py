@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.operators import entities, evidence, questions, vector
+from lodestone.operators.topics import few
 from lodestone.sources.corpus import Corpus
 from lodestone.sources.shared import written
 
@@ -56,7 +57,7 @@ def _hybrid(c: Corpus, asked: DataFrame, evolved: DataFrame, terms: DataFrame, a
     """Trends and experts of the topics whose terms the question has (of all topics without one), within its years."""
     kinds = asked.select("question", "lo", "hi", "hybrid_kind", "emerging_only").distinct()
     names = terms.select("topic_id", "topic_name").distinct()
-    said = kinds.select("question").distinct().join(F.broadcast(terms), F.contains(F.lower("question"), F.lower("term"))).select("question", "topic_id").distinct()
+    said = kinds.select("question").distinct().join(F.broadcast(few(terms)), F.contains(F.lower("question"), F.lower("term"))).select("question", "topic_id").distinct()
     every = kinds.select("question").distinct().join(said, "question", "left_anti").crossJoin(F.broadcast(names.select("topic_id")))
     topics = kinds.join(said.unionByName(every), "question")
     keys, ask = ["question", "lo", "hi"], asked.select("question_id", "question", "lo", "hi")
