@@ -40,12 +40,19 @@ _SIGNS = re.escape("".join(LEET))
 _LETTER = r"[^\W\d_]"
 #: Stretches whose lattice has more than one path: a sign next to a letter, a letter twice, a mark between letters.
 _NOISY = re.compile(rf"[{_SIGNS}]{_LETTER}|{_LETTER}[{_SIGNS}]|({_LETTER})\1|{_LETTER}[^\w\s]+{_LETTER}")
+_DOUBLED = re.compile(rf"({_LETTER})\1")
+_DOUBLED_RUN = re.compile(r"(.)\1+")
+_SIGNED = re.compile(rf"[{_SIGNS}]{_LETTER}|{_LETTER}[{_SIGNS}]|{_LETTER}[^\w\s]+{_LETTER}")
 #: Marks that end a piece of a word, and lengths of a stretch that is remembered.
 _ENDS, REMEMBERED_LENGTH = ".,;:?\"", 64
 _SPACED = re.compile(r"(?<!\S)\S(?:\s+\S){2,}(?!\S)")
 _WORD = re.compile(rf"{_LETTER}+")
 
 
+def _single(word: str) -> str:
+    return _DOUBLED_RUN.sub(r"\1", word)
+
+
 def _fold(c: str) -> str:
     return unicodedata.normalize("NFD", c)[0]
 
@@ -152,18 +159,29 @@ class Reader:
             if not w.endswith("-"):
                 self.whole.add_word(w, len(w))
         self.whole.make_automaton()
+        # What the lexicon's words and starts are without repeats of letters.
+        self.single = {_single(w.removesuffix("-")) for w in lexicon or ()}
+        self.longest = max(map(len, self.single), default=0)
 
     def _of(self, seen: str) -> tuple:
         """Features of one stretch without spaces, or of spaced letters: those in the lexicon, or all without one."""
         found = set()
         plain = _WORD.findall(seen)
-        restored = _WORD.findall(self.restorer.restore(seen)) if _NOISY.search(seen) or " " in seen else []
+        restored = _WORD.findall(self.restorer.restore(seen)) if self._matters(seen, plain) else []
         for w in (*plain, *restored):
             for x in (w, *(w[:k] + "-" for k in STARTS if len(w) >= k)):
                 if self.lexicon is None or x in self.lexicon:
                     found.add(x)
         return tuple(found)
 
+    def _matters(self, seen: str, plain: list[str]) -> bool:
+        """Whether a stretch has paths that can show something: where letters are only doubled, without repeats it begins as the lexicon's words do."""
+        if " " in seen or _SIGNED.search(seen):
+            return True
+        if not _DOUBLED.search(seen):
+            return False
+        return self.lexicon is None or any(w[:k] in self.single for w in map(_single, plain) for k in range(1, min(len(w), self.longest) + 1))
+
     def features(self, text: str) -> set[str]:
         text = text.lower()
         known, out = self.known, set()

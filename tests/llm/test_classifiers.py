@@ -141,3 +141,15 @@ def test_one_very_long_noisy_stretch(spark, tables):
     model = toxicity.train(*tables)
     out = toxicity.toxicity(docs(spark, [(1, "m0r0n" * 4000), (2, "a.b" * 20000), (3, "\n".join("x" * 30000))]), model, out="s")
     assert all(0 <= r.s <= 1 for r in out.collect())
+
+
+def test_stretches_left_out_show_nothing(spark, tables):
+    """Features with and without the look ahead whether a doubled stretch can show something."""
+    model = toxicity.train(*tables)
+    reader, every = toxicity.Reader(model.characters, model.lexicon), toxicity.Reader(model.characters, model.lexicon)
+    every._matters = lambda seen, plain: True
+    r = random.Random(8)
+    for _ in range(400):
+        w = r.choice(["idiot", "moron", "trash", "ionerly", "letter", "thanou"])
+        seen = "".join(c * r.choice([1, 1, 2, 3]) for c in w)
+        assert set(reader._of(seen)) == set(every._of(seen)), seen
