@@ -12,6 +12,8 @@ from lodestone.sources.shared import written
 
 #: Items of one group that are paired in one piece; larger groups are paired in pairs of blocks.
 PAIR_BLOCK = 256
+#: Keys over which the nodes of one root are dealt.
+SPREAD = 16
 
 
 def collaboration_edges(df: DataFrame, group: str, item: str) -> DataFrame:
@@ -82,9 +84,11 @@ def components(edges: DataFrame) -> DataFrame:
     now = written(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("root")).select(F.col("u").alias("node"), "root"), "roots")
     while True:
         near = both.join(now, F.col("v") == F.col("node")).groupBy(F.col("u").alias("node")).agg(F.min("root").alias("near"))
-        # The root's own root shortens long paths by half each round.
-        over = now.select(F.col("node").alias("root"), F.col("root").alias("over"))
-        after = now.join(near, "node").join(over, "root").select("node", F.least("root", "near", "over").alias("after"), F.col("root").alias("before"))
+        # The root's own root shortens long paths by half each round. Only roots that have moved are asked for, and the
+        # nodes of one root are dealt over SPREAD keys.
+        over = now.filter("root < node").select(F.col("node").alias("root"), F.col("root").alias("over"), F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("salt"))
+        salted = now.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SPREAD)).cast("int"))
+        after = salted.join(over, ["root", "salt"], "left").join(near, "node").select("node", F.least("root", "near", "over").alias("after"), F.col("root").alias("before"))
         after = written(after, "roots")
         moved = after.filter("after <> before").isEmpty()
         now = after.select("node", F.col("after").alias("root"))

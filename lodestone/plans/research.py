@@ -175,8 +175,8 @@ def graph_degree(spark, d):
 
 
 _COMPONENTS = """, thick AS (SELECT * FROM edges), links AS (SELECT node_a AS u, node_b AS v FROM thick UNION SELECT node_b, node_a FROM thick),
-    reach AS (SELECT DISTINCT u, u AS v FROM links UNION SELECT reach.u, links.v FROM reach JOIN links ON reach.v = links.u),
-    roots AS (SELECT u AS node, min(v) AS root FROM reach GROUP BY u)"""
+    reach AS (SELECT u AS node, u AS root FROM links GROUP BY u HAVING u < min(v) UNION SELECT links.v, reach.root FROM reach JOIN links ON reach.node = links.u),
+    roots AS (SELECT node, min(root) AS root FROM reach GROUP BY node)"""
 
 
 def thick_edges(spark, d):
