@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import contamination, exact_dedup, jaccard_join, quality, secrets, sentencepiece_scan, suffix_dedup, token_counts, toxicity, warc
+from lodestone.llm import contamination, conversation_repair, exact_dedup, hnsw, jaccard_join, quality, secrets, sentencepiece_scan, suffix_dedup, token_counts, toxicity, warc, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,6 +74,21 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), F.octet_length("kept").alias("n_kept"), text.alias("kept_text"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = whitening.whiten(table(spark, sf_dir, "embeddings"), components=8)
+    each = F.posexplode(F.arrays_zip("whitened", "explained")).alias("at", "c")
+    rows = w.select("vec_id", "n", "deviation", "identity_error", each)
+    return rows.select("vec_id", (F.col("at") + 1).alias("component"), "n", "deviation", F.col("c.whitened").alias("whitened"), F.col("c.explained").alias("explained"), "identity_error")
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.audited(table(spark, sf_dir, "conversations"))
+
+
+def op13_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_exact_dedup": op2_exact_dedup,
@@ -85,6 +100,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
+    "op11_embedding_whitening": op11_embedding_whitening,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_nearest_neighbours": op13_nearest_neighbours,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -128,6 +146,36 @@ ORACLE_SQL: dict[str, str] = {
              n AS (SELECT doc_id, sum(z - a)::BIGINT AS removed, count(*) AS spans FROM cut GROUP BY doc_id)
         SELECT d.doc_id, d.n AS n_bytes, coalesce(removed, 0) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(k) AS kept_sha256, octet_length(k) AS n_kept, try(decode(k)) AS kept_text
         FROM d JOIN kept USING (doc_id) LEFT JOIN n USING (doc_id)""",
+    "op12_conversation_repair": r"""
+        WITH RECURSIVE x AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, encode(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')) AS k FROM conversations),
+             bits AS (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, j: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END) AS v FROM range(256) t(i)),
+             tab AS (SELECT list(v ORDER BY i) AS t FROM bits),
+             crc AS (SELECT conv_id, turn, role, text, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, octet_length(k) + 1), lambda i: ascii(decode(k[i:i]))::BIGINT)), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295::BIGINT) % 20 AS of FROM x, tab),
+             dam AS (SELECT conv_id, turn, CASE WHEN of = 4 THEN 'user' ELSE role END AS role, CASE of WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(0, CASE WHEN of = 3 THEN 2 ELSE 1 END)) AS copy FROM crc WHERE of <> 0),
+             o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS i, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS seen, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body FROM dam),
+             f AS (SELECT conv_id, turn, role, text, i, left(role, 1) AS r, lag(left(role, 1)) OVER w AS before, CASE WHEN body = '' THEN 'b' WHEN seen > 1 THEN 'd' WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault, count(*) OVER (PARTITION BY conv_id) AS n FROM o WINDOW w AS (PARTITION BY conv_id ORDER BY i)),
+             g AS (SELECT conv_id, i, role, text, r, n, fault IN ('b', 'd') AS gone, CASE WHEN fault = 't' THEN 3 ELSE 0 END AS cut FROM f),
+             v AS (SELECT DISTINCT conv_id, n + 1 AS i, {'c': 0, 'a': '', 'l': []::VARCHAR[]} AS v0, {'c': 6, 'a': 'II', 'l': ['user:', 'assistant:']} AS v1, {'c': 3, 'a': 'I', 'l': ['assistant:']} AS v2, {'c': 0, 'a': '', 'l': []::VARCHAR[]} AS v3 FROM g
+                   UNION ALL
+                   SELECT conv_id, i, CASE WHEN c2 + 3 < w0.c OR c2 + 3 = w0.c AND 'I' || u2.a < w0.a THEN {'c': c2 + 3, 'a': 'I' || u2.a, 'l': list_prepend('user:', u2.l)} ELSE w0 END,
+                          CASE WHEN c2 + 3 < w1.c OR c2 + 3 = w1.c AND 'I' || u2.a < w1.a THEN {'c': c2 + 3, 'a': 'I' || u2.a, 'l': list_prepend('user:', u2.l)} ELSE w1 END, u2, u3
+                   FROM (SELECT *, u2.c AS c2 FROM (SELECT conv_id, i, w0, w1,
+                       least(w2, {'c': w3.c + 3, 'a': 'I' || w3.a, 'l': list_prepend('assistant:', w3.l)}) AS u2, least(w3, {'c': w2.c + 3, 'a': 'I' || w2.a, 'l': list_prepend('user:', w2.l)}) AS u3
+                     FROM (SELECT g.conv_id, g.i,
+                       list_min(list_filter([{'c': v0.c + 4, 'a': 'D' || v0.a, 'l': v0.l}, CASE WHEN NOT gone AND r IN ('s', 'u', '') THEN {'c': CASE r WHEN 's' THEN v1.c WHEN 'u' THEN v2.c ELSE v0.c END + cut, 'a': 'K' || CASE r WHEN 's' THEN v1.a WHEN 'u' THEN v2.a ELSE v0.a END, 'l': list_prepend(role || ':' || text, CASE r WHEN 's' THEN v1.l WHEN 'u' THEN v2.l ELSE v0.l END)} END, CASE WHEN NOT gone THEN {'c': v2.c + 3 + cut, 'a': 'R' || v2.a, 'l': list_prepend('user:' || text, v2.l)} END], lambda z: z IS NOT NULL)) AS w0,
+                       list_min(list_filter([{'c': v1.c + 4, 'a': 'D' || v1.a, 'l': v1.l}, CASE WHEN NOT gone AND r IN ('u', '') THEN {'c': CASE r WHEN 'u' THEN v2.c ELSE v1.c END + cut, 'a': 'K' || CASE r WHEN 'u' THEN v2.a ELSE v1.a END, 'l': list_prepend(role || ':' || text, CASE r WHEN 'u' THEN v2.l ELSE v1.l END)} END, CASE WHEN NOT gone THEN {'c': v2.c + 3 + cut, 'a': 'R' || v2.a, 'l': list_prepend('user:' || text, v2.l)} END], lambda z: z IS NOT NULL)) AS w1,
+                       list_min(list_filter([{'c': v2.c + 4, 'a': 'D' || v2.a, 'l': v2.l}, CASE WHEN NOT gone AND r IN ('a', '') THEN {'c': CASE r WHEN 'a' THEN v3.c ELSE v2.c END + cut, 'a': 'K' || CASE r WHEN 'a' THEN v3.a ELSE v2.a END, 'l': list_prepend(role || ':' || text, CASE r WHEN 'a' THEN v3.l ELSE v2.l END)} END, CASE WHEN NOT gone THEN {'c': v3.c + 3 + cut, 'a': 'R' || v3.a, 'l': list_prepend('assistant:' || text, v3.l)} END], lambda z: z IS NOT NULL)) AS w2,
+                       list_min(list_filter([{'c': v3.c + 4, 'a': 'D' || v3.a, 'l': v3.l}, CASE WHEN NOT gone AND r IN ('u', '') THEN {'c': CASE r WHEN 'u' THEN v2.c ELSE v3.c END + cut, 'a': 'K' || CASE r WHEN 'u' THEN v2.a ELSE v3.a END, 'l': list_prepend(role || ':' || text, CASE r WHEN 'u' THEN v2.l ELSE v3.l END)} END, CASE WHEN NOT gone THEN {'c': v2.c + 3 + cut, 'a': 'R' || v2.a, 'l': list_prepend('user:' || text, v2.l)} END], lambda z: z IS NOT NULL)) AS w3
+                     FROM g JOIN v ON g.conv_id IS NOT DISTINCT FROM v.conv_id AND g.i = v.i - 1)))),
+             s AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (before IS NOT NULL AND before || r NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id)
+        SELECT e.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+               coalesce(v0.c, 0)::BIGINT AS cost, coalesce(v0.a, '') AS audit, sha256(coalesce(array_to_string(v0.l, chr(10)), '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) e LEFT JOIN s ON e.conv_id IS NOT DISTINCT FROM s.conv_id LEFT JOIN v ON e.conv_id IS NOT DISTINCT FROM v.conv_id AND v.i = 1""",
+    "op13_nearest_neighbours": """
+        WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings WHERE embedding IS NOT NULL),
+             n AS (SELECT vec_id, x, sqrt(list_reduce(list_transform(x, lambda c: c * c), lambda s, c: s + c)) AS len FROM e WHERE NOT list_bool_or(list_transform(x, lambda c: c IS NULL OR NOT isfinite(c)))),
+             p AS (SELECT q.vec_id AS query_id, c.vec_id, list_reduce(list_transform(list_zip(c.x, q.x), lambda z: z[1] * z[2]), lambda s, y: s + y) / (c.len * q.len) AS score FROM n q JOIN n c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0 AND q.len > 0 AND c.len > 0)
+        SELECT query_id, rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM p) WHERE rank <= 5""",
     "op8_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS x FROM pages),
              m AS (SELECT page_id, h, list_transform(string_split(x, ''), lambda c: instr('0123456789abcdef', c) - 1) AS nibbles, max(page_id) OVER (PARTITION BY h) AS last FROM p)
