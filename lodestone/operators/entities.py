@@ -6,31 +6,44 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.columns import normalize_text
+from lodestone.operators.spread import spread_join
+from lodestone.sources.shared import written
 
-#: Distinct asked names that are sent to every task for containment; more are matched in blocks of so many.
-NAME_BLOCK = 5000
+#: Letters of the pieces by which names are indexed; no shorter name is asked.
+GRAM = 3
 
 
-def _matches(names: DataFrame, entities: DataFrame) -> DataFrame:
-    """(ask_id, entity_id, exact): exact matches, or containments for names without one.
+def grams(name: Column) -> Column:
+    """The distinct pieces of GRAM letters."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(name) - (GRAM - 1), F.lit(1))), lambda i: F.substring(name, i, F.lit(GRAM))))
+
+
+def containing(asked: DataFrame, known: DataFrame) -> DataFrame:
+    """(low, entity_low): the names of known (entity_low) that contain a name of asked (low, GRAM letters or more), distinct.
 
-    Exact ones are an equality join. Containment has no key, so distinct names go to all tasks in blocks of
-    NAME_BLOCK, whose number follows the names.
+    Names are indexed by their pieces. A name that contains another has all its pieces, so each asked name is
+    looked up by its rarest piece alone, and those found are compared in full. An asked name with a piece that no name has
+    is not looked up. Common pieces are dealt over many tasks.
     """
+    index = known.select("entity_low").filter(F.length("entity_low") >= GRAM).distinct().select(F.explode(grams(F.col("entity_low"))).alias("gram"), "entity_low")
+    index = written(index, "gram-index")
+    names = asked.select("low").distinct().select("low", F.explode(grams(F.col("low"))).alias("gram"))
+    frequency = index.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    weighed = names.join(frequency, "gram", "left").groupBy("low").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"), F.count_if(F.col("n").isNull()).alias("unknown"))
+    rarest = written(weighed.filter("unknown = 0").select("low", "gram"), "rarest")
+    return spread_join(index, rarest, ["gram"]).filter(F.contains("entity_low", F.col("low"))).select("low", "entity_low")
+
+
+def _matches(names: DataFrame, entities: DataFrame) -> DataFrame:
+    """(ask_id, entity_id, exact): exact matches by an equality join, or containments for names without one."""
     asked = names.filter(F.length(F.trim("name")) >= 3).select("ask_id", F.lower("name").alias("low"), normalize_text(F.col("name")).alias("norm"))
     known = entities.select("entity_id", F.lower("entity_name").alias("entity_low"), normalize_text(F.col("entity_name_normalized")).alias("entity_norm"))
     forms = known.select("entity_id", F.explode(F.array_distinct(F.array("entity_low", "entity_norm"))).alias("form"))
     wanted = asked.select("ask_id", F.explode(F.array_distinct(F.array("low", "norm"))).alias("form"))
     exact = wanted.join(forms, "form").select("ask_id", "entity_id").distinct()
-    rest = asked.join(exact, "ask_id", "left_anti")
-    distinct = rest.select("low").distinct()
-    blocks = max(1, -(-distinct.count() // NAME_BLOCK))
-    part = None
-    for b in range(blocks):
-        some = distinct.filter(F.pmod(F.xxhash64("low"), F.lit(blocks)) == b)
-        found = known.join(F.broadcast(some), F.contains("entity_low", F.col("low"))).select("low", "entity_id")
-        part = found if part is None else part.unionByName(found)
-    contained = rest.join(part, "low").select("ask_id", "entity_id")
+    rest = written(asked.join(exact, "ask_id", "left_anti").select("ask_id", "low"), "open-names")
+    found = containing(rest, known).join(known.select("entity_id", "entity_low"), "entity_low")
+    contained = rest.join(found, "low").select("ask_id", "entity_id")
     return exact.withColumn("exact", F.lit(True)).unionByName(contained.withColumn("exact", F.lit(False)))
 
 
