@@ -10,10 +10,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.columns import confidence, cosine, valid_vector
+from lodestone.operators.topics import few
 from lodestone.sources.shared import written
 
-#: Queries whose vectors are held by each task at a time; more are searched in blocks.
-QUERY_BLOCK = 2048
+#: Rows and queries of a tile, the work of one task: so many of either are held at a time.
+TILE_ROWS, TILE_QUERIES = 8192, 2048
+#: Queries scored together within a tile.
+TOGETHER = 256
+#: Conditions that a query may set on what it is answered with; null sets none.
+CONDITIONS = ("year_low", "year_high", "document_type", "publication_ids")
 
 
 def window_size(k: int) -> int:
@@ -21,55 +26,131 @@ def window_size(k: int) -> int:
     return min(max(25 * k, 100), 2000)
 
 
-def candidates(chunks: DataFrame, queries: DataFrame, keep: int) -> DataFrame:
-    """(query_id, chunk_id, publication_id, similarity): the `keep` nearest chunks of each query, exact.
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    return np.asarray(column.combine_chunks().flatten(), np.float64).reshape(len(column), -1)
+
+
+def _units(column: pa.ChunkedArray) -> np.ndarray:
+    """Rows of length one; those without a direction become not-a-number and are near to nothing."""
+    v = _matrix(column)
+    n = np.linalg.norm(v, axis=1, keepdims=True)
+    return v / np.where(n > 0, n, np.nan)
+
+
+def _allowed(rows: pa.Table, asked: pa.Table) -> list[np.ndarray | None]:
+    """For each query which rows its conditions let through, None for all."""
+    out: list[np.ndarray | None] = [None] * len(asked)
+    values = {c: asked.column(c).to_pylist() for c in CONDITIONS if c in asked.column_names}
+    year = np.array([np.nan if y is None else y for y in rows.column("year").to_pylist()]) if "year" in rows.column_names else None
+    kind = np.array(rows.column("document_type").to_pylist(), object) if "document_type" in rows.column_names else None
+    ids = rows.column("publication_id").to_numpy()
+    tests = {"year_low": lambda v: year >= v, "year_high": lambda v: year <= v, "document_type": lambda v: kind == v, "publication_ids": lambda v: np.isin(ids, v)}
+    for name, found in values.items():
+        for i, v in enumerate(found):
+            if v is not None:
+                ok = tests[name](v)
+                out[i] = ok if out[i] is None else out[i] & ok
+    return out
+
+
+def _scored(rows: pa.Table, asked: pa.Table) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first query, its and the next ones' similarities to all rows, unit rows, unit queries); what a query does not allow is minus infinity."""
+    v, q, allowed = _units(rows.column("embedding")), _units(asked.column("embedding")), _allowed(rows, asked)
+    for a in range(0, len(q), TOGETHER):
+        s = np.nan_to_num(q[a : a + TOGETHER] @ v.T, nan=-np.inf, neginf=-np.inf)
+        for i, ok in enumerate(allowed[a : a + TOGETHER]):
+            if ok is not None:
+                s[i, ~ok] = -np.inf
+        yield a, s, v, q
+
+
+def _best(keep: int, least: float | None, always: int):
+    """f(rows, queries) -> the `keep` nearest rows of each query in a tile, of similarity `least` or more but for the `always` first."""
+
+    def search(rows: pa.Table, asked: pa.Table) -> pa.Table:
+        found: list[tuple] = []
+        if len(rows) and len(asked):
+            ids, chunk, pub = asked.column("query_id").to_numpy(), rows.column("chunk_id").to_numpy(), rows.column("publication_id").to_numpy()
+            for a, s, v, q in _scored(rows, asked):
+                floor = -np.inf if least is None else least - 1e-9
+                kth = lambda n: np.partition(-s, n - 1, axis=1)[:, n - 1 : n] * -1 if s.shape[1] > n else np.full((len(s), 1), -np.inf)
+                bound = np.maximum(kth(keep) - 1e-9, np.minimum(floor, kth(always) - 1e-9) if always else floor)
+                i, j = np.nonzero((s >= bound) & (s > -np.inf))
+                exact = np.einsum("nd,nd->n", q[a + i], v[j])  # the same sum for equal vectors, wherever they stand
+                order = np.lexsort((chunk[j], -exact, i))
+                i, j, exact = i[order], j[order], exact[order]
+                place = np.arange(len(i)) - np.searchsorted(i, i)
+                ok = (place < keep) & ((exact >= (-np.inf if least is None else least)) | (place < always))
+                found.append((ids[a + i[ok]], chunk[j[ok]], pub[j[ok]], exact[ok]))
+        kinds = {"query_id": np.int64, "chunk_id": np.int64, "publication_id": np.int64, "similarity": np.float64}
+        return pa.table({c: np.concatenate([np.zeros(0, t), *(f[k] for f in found)]) for k, (c, t) in enumerate(kinds.items())})
+
+    return search
+
+
+def tiles(rows: DataFrame, asked: DataFrame, search: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
+    """search over every tile: some rows of an area against some queries of it. Both sides name their area (int).
+
+    An area's rows and queries are cut by hash so that a tile holds about TILE_ROWS of the ones and TILE_QUERIES of the
+    others; each part of the one side is sent to the tiles of the other's parts. Areas that only one side has cost nothing.
+    """
+    n = rows.groupBy("area").agg(F.count(F.lit(1)).alias("_r")).join(asked.groupBy("area").agg(F.count(F.lit(1)).alias("_q")), "area")
+    n = few(n.select("area", F.ceil(F.col("_r") / TILE_ROWS).cast("int").alias("_parts"), F.ceil(F.col("_q") / TILE_QUERIES).cast("int").alias("_blocks")))
+
+    def dealt(df: DataFrame, key: str, own: str, other: str, at: str, over: str) -> DataFrame:
+        placed = df.join(F.broadcast(n), "area").withColumn(at, F.pmod(F.xxhash64(key), F.col(own)).cast("int"))
+        return placed.withColumn(over, F.explode(F.sequence(F.lit(0), F.col(other) - 1))).drop("_parts", "_blocks")
+
+    tile = ["area", "_part", "_block"]
+    left = dealt(rows, "chunk_id", "_parts", "_blocks", "_part", "_block").groupBy(*tile)
+    return left.cogroup(dealt(asked, "query_id", "_blocks", "_parts", "_block", "_part").groupBy(*tile)).applyInArrow(search, schema)
+
+
+def _sides(chunks: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows and queries with vectors, written; with the conditions that queries set, and by year where they set years.
 
-    Vectors of QUERY_BLOCK queries at a time go to all tasks; each task keeps the best of what it reads,
-    so the shuffle carries `keep` rows for each query and task, whatever the number of chunks.
+    Rows of a year are an area, so a query meets only its years' rows; those without a year meet queries that set none.
     """
-    rows = chunks.filter(F.col("embedding").isNotNull()).select("chunk_id", "publication_id", "embedding")
-    out, block = None, []
-
-    def searched(block: list) -> DataFrame:
-        ids = [r.query_id for r in block]
-        q = np.array([r.embedding for r in block], np.float64)
-        q /= np.linalg.norm(q, axis=1, keepdims=True)
-
-        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            best: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(ids)
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                v = np.array(batch.column("embedding").to_pylist(), np.float64)
-                sim = (v @ q.T) / np.linalg.norm(v, axis=1, keepdims=True)
-                chunk, pub = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("chunk_id", "publication_id"))
-                for k in range(len(ids)):
-                    s, c, p = np.concatenate([best[k][0], sim[:, k]]), np.concatenate([best[k][1], chunk]), np.concatenate([best[k][2], pub])
-                    top = np.lexsort((c, -s))[:keep]
-                    best[k] = s[top], c[top], p[top]
-            for k, (s, c, p) in enumerate(best):
-                yield pa.RecordBatch.from_arrays([pa.array([ids[k]] * len(s), pa.int64()), pa.array(c, pa.int64()), pa.array(p, pa.int64()), pa.array(s, pa.float64())], ["query_id", "chunk_id", "publication_id", "similarity"])
-
-        return rows.mapInArrow(search, "query_id long, chunk_id long, publication_id long, similarity double")
-
-    for row in queries.filter(F.col("embedding").isNotNull()).select("query_id", "embedding").toLocalIterator():
-        block.append(row)
-        if len(block) == QUERY_BLOCK:
-            out = searched(block) if out is None else out.unionByName(searched(block))
-            block = []
-    if block or out is None:
-        if not block:
-            return chunks.sparkSession.createDataFrame([], "query_id long, chunk_id long, publication_id long, similarity double")
-        out = searched(block) if out is None else out.unionByName(searched(block))
+    set_here = [c for c in CONDITIONS if c in queries.columns]
+    by_year = "year_low" in set_here or "year_high" in set_here
+    told = [c for c, of in (("year", ("year_low", "year_high")), ("document_type", ("document_type",))) if set(of) & set(set_here)]
+    area = F.coalesce(F.col("year").cast("int"), F.lit(-1)) if by_year else F.lit(0)
+    rows = chunks.filter(F.col("embedding").isNotNull()).select(area.alias("area"), "chunk_id", F.col("publication_id").cast("long").alias("publication_id"), "embedding", *told)
+    rows = written(rows, "rows")
+    asked = queries.filter(F.col("embedding").isNotNull()).select("query_id", "embedding", *set_here)
+    if not by_year:
+        return rows, written(asked.withColumn("area", F.lit(0)), "asked")
+    low, high = (F.col(c) if c in set_here else F.lit(None).cast("int") for c in ("year_low", "year_high"))
+    inside = (low.isNull() & high.isNull()) | ((F.col("area") >= 0) & F.coalesce(F.col("area") >= low, F.lit(True)) & F.coalesce(F.col("area") <= high, F.lit(True)))
+    return rows, written(asked.join(F.broadcast(few(rows.select("area").distinct())), inside), "asked")
+
+
+def candidates(chunks: DataFrame, queries: DataFrame, keep: int, least: float | None = None, always: int = 0) -> DataFrame:
+    """(query_id, chunk_id, publication_id, similarity): the `keep` nearest chunks of each query, exact, ties by chunk.
+
+    With least, only those of that similarity or more, and the `always` nearest. Queries may set conditions
+    (year_low, year_high, document_type, publication_ids), which hold before the nearest are taken. Tiles
+    keep their best, tasks the best of their tiles, and the rest are ranked by query.
+    """
+    rows, asked = _sides(chunks, queries)
+    return ranked(tiles(rows, asked, _best(keep, least, always), "query_id long, chunk_id long, publication_id long, similarity double"), keep, least, always)
+
+
+def ranked(found: DataFrame, keep: int, least: float | None = None, always: int = 0) -> DataFrame:
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "chunk_id")
-    return out.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= keep).drop("_rank")
+    near = found.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= keep)
+    return (near if least is None else near.filter((F.col("similarity") >= least) | (F.col("_rank") <= always))).drop("_rank")
 
 
 def vector_search(chunks: DataFrame, queries: DataFrame, k: int = 8, threshold: float = 0.48) -> DataFrame:
-    """The k best publications of each query: gate (inclusive), best chunk of a publication, then rank."""
+    """The k best publications of each query: gate (inclusive), best chunk of a publication, then rank. Queries may set conditions (see candidates)."""
     if not 1 <= k <= 50 or not 0 <= threshold <= 1:
         raise ValueError("k must be within 1 to 50 and the threshold within 0 to 1")
-    near = candidates(chunks, queries, window_size(k)).filter(F.col("similarity") >= threshold)
+    return publications_of(candidates(chunks, queries, window_size(k), threshold), k)
+
+
+def publications_of(near: DataFrame, k: int) -> DataFrame:
+    """The k best publications of each query, by the best chunk of each."""
     by_pub = Window.partitionBy("query_id", "publication_id").orderBy(F.desc("similarity"), "chunk_id")
     one = near.withColumn("_r", F.row_number().over(by_pub)).filter("_r = 1").drop("_r")
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "chunk_id")
@@ -78,12 +159,14 @@ def vector_search(chunks: DataFrame, queries: DataFrame, k: int = 8, threshold:
 
 def diagnostics(chunks: DataFrame, queries: DataFrame, k: int = 8, threshold: float = 0.48) -> DataFrame:
     """One row for each query: candidates, rows after the gate, publications, best similarity, its distance to the gate, verdict."""
-    near = candidates(chunks, queries, window_size(k))
+    near = candidates(chunks, queries, window_size(k), threshold, always=1)
     gate = F.col("similarity") >= threshold
-    stats = near.groupBy("query_id").agg(F.count(F.lit(1)).alias("candidate_rows"), F.count_if(gate).alias("gated_rows"), F.countDistinct(F.when(gate, F.col("publication_id"))).alias("publications"), F.max("similarity").alias("top"))
+    stats = near.groupBy("query_id").agg(F.count_if(gate).alias("gated_rows"), F.countDistinct(F.when(gate, F.col("publication_id"))).alias("publications"), F.max("similarity").alias("top"))
+    seen = chunks.filter(F.col("embedding").isNotNull()).agg(F.least(F.count(F.lit(1)), F.lit(window_size(k))).alias("window"))
     zero = F.lit(0)
-    verdict = F.when(F.col("candidate_rows").isNull(), "no_candidates").when(F.col("gated_rows") > 0, "hit").otherwise("below_vector_threshold")
-    return queries.select("query_id").join(stats, "query_id", "left").select("query_id", F.coalesce("candidate_rows", zero).alias("candidate_rows"), F.coalesce("gated_rows", zero).alias("gated_rows"), F.coalesce("publications", zero).alias("publications"), F.round("top", 4).alias("top_similarity"), F.round(F.col("top") - threshold, 4).alias("margin"), verdict.alias("verdict"))
+    verdict = F.when(F.col("top").isNull(), "no_candidates").when(F.col("gated_rows") > 0, "hit").otherwise("below_vector_threshold")
+    every = queries.select("query_id").join(stats, "query_id", "left").crossJoin(F.broadcast(seen))
+    return every.select("query_id", F.when(F.col("top").isNull(), zero).otherwise(F.col("window")).alias("candidate_rows"), F.coalesce("gated_rows", zero).alias("gated_rows"), F.coalesce("publications", zero).alias("publications"), F.round("top", 4).alias("top_similarity"), F.round(F.col("top") - threshold, 4).alias("margin"), verdict.alias("verdict"))
 
 
 def centroids(chunks: DataFrame, group: str) -> DataFrame:
@@ -104,11 +187,71 @@ def nearest_centroid(queries: DataFrame, centers: DataFrame) -> DataFrame:
     return best.select("query_id", F.col("b.grp").alias("topic"), F.round("b.s", 4).alias("similarity"))
 
 
+#: Steps in which similarities are counted, over -1 to 1.
+STEPS = 1 << 16
+
+
+def _counted(cut: float, wanted: dict[bool, list[tuple[int, int]]] | None):
+    """f(rows, queries) -> counts of similarities by step for pairs of the same publication and others; with wanted, by value within those steps.
+
+    Pairs of a query and its own chunk are left out. Without wanted: step -1 has the pairs of similarity `cut` or more, and best the greatest.
+    """
+
+    def search(rows: pa.Table, asked: pa.Table) -> pa.Table:
+        same, step, value, n = [], [], [], []
+        if len(rows) and len(asked):
+            ids, own = asked.column("query_id").to_numpy(), asked.column("own").to_numpy()
+            chunk, pub = rows.column("chunk_id").to_numpy(), rows.column("publication_id").to_numpy()
+            for a, s, v, q in _scored(rows, asked):
+                use = s > -np.inf
+                s = np.einsum("nd,md->nm", q[a : a + len(s)], v)  # the same sum in either pass, wherever rows stand
+                use = use & ~np.isnan(s) & (ids[a : a + len(s), None] != chunk[None, :])
+                alike = own[a : a + len(s), None] == pub[None, :]
+                for flag in (False, True):
+                    x = np.round(s[use & (alike == flag)], 12)
+                    at = np.clip(((x + 1) / 2 * STEPS).astype(np.int64), 0, STEPS - 1)
+                    if wanted is not None:
+                        inside = np.isin(at, np.array(wanted.get(flag, []), np.int64))
+                        v_, c = np.unique(x[inside], return_counts=True)
+                        a_ = np.clip(((v_ + 1) / 2 * STEPS).astype(np.int64), 0, STEPS - 1)
+                    elif len(x):
+                        a_, c = np.unique(at, return_counts=True)
+                        a_, c, v_ = np.append(a_, -1), np.append(c, (x >= cut).sum()), np.append(np.full(len(a_), np.nan), x.max())
+                    else:
+                        continue
+                    same, step, value, n = [*same, np.full(len(a_), flag)], [*step, a_], [*value, v_], [*n, c]
+        join = lambda parts, kind: np.concatenate([np.zeros(0, kind), *parts])
+        return pa.table({"same_publication": join(same, bool), "step": join(step, np.int64), "value": join(value, np.float64), "n": join(n, np.int64)})
+
+    return search
+
+
 def similarity_distribution(chunks: DataFrame, queries: DataFrame, cut: float = 0.48) -> DataFrame:
-    """Spread of similarities between the queries and all other chunks, for the same publication and others."""
-    every = candidates(chunks, queries, 1 << 30).join(queries.select("query_id", F.col("publication_id").alias("own")), "query_id").filter("query_id <> chunk_id")
-    p = F.percentile("similarity", F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
-    return every.groupBy((F.col("publication_id") == F.col("own")).alias("same_publication")).agg(F.count(F.lit(1)).alias("pairs"), *(F.round(p[i], 4).alias(n) for i, n in enumerate(("median", "p95", "p99"))), F.round(F.max("similarity"), 4).alias("greatest"), F.round(F.avg((F.col("similarity") >= cut).cast("double")), 6).alias("share_above"))
+    """Spread of similarities (12 decimals) between the queries and all other chunks, for the same publication and others.
+
+    Pairs are counted by steps within tiles, so a task sends STEPS counts at most; a second pass over the tiles counts
+    values within the steps that hold a quantile. The quantiles are exact.
+    """
+    rows, asked = _sides(chunks, queries.select("query_id", "embedding"))
+    asked = written(asked.join(queries.select("query_id", F.col("publication_id").cast("long").alias("own")), "query_id"), "asked")
+    schema = "same_publication boolean, step long, value double, n long"
+    first = written(tiles(rows, asked, _counted(cut, None), schema).groupBy("same_publication", "step").agg(F.sum("n").alias("n"), F.max("value").alias("value")), "steps")
+    by = Window.partitionBy("same_publication").orderBy("step")  # STEPS rows at most
+    steps = first.filter("step >= 0").select("same_publication", "step", (F.sum("n").over(by) - F.col("n")).alias("before"), "n", F.sum("n").over(Window.partitionBy("same_publication")).alias("total"))
+    shares = {"median": 0.5, "p95": 0.95, "p99": 0.99}
+    places = F.explode(F.array(*(F.struct(F.lit(k).alias("name"), F.lit(p).alias("p"), e(F.lit(p) * (F.col("total") - 1)).alias("place"), F.lit(side).alias("side")) for k, p in shares.items() for side, e in (("lo", F.floor), ("hi", F.ceil)))))
+    held = written(steps.select("same_publication", "step", "before", "n", "total", places.alias("q")).filter("q.place >= before and q.place < before + n").select("same_publication", "step", "before", "total", "q.*"), "held")
+    wanted: dict[bool, list[int]] = {}
+    for r in held.select("same_publication", "step").distinct().collect():  # twelve rows at most
+        wanted.setdefault(r.same_publication, []).append(r.step)
+    second = tiles(rows, asked, _counted(cut, wanted), schema).groupBy("same_publication", "step", "value").agg(F.sum("n").alias("n"))
+    run = second.withColumn("below", F.sum("n").over(Window.partitionBy("same_publication", "step").orderBy("value")) - F.col("n"))
+    hit = run.join(F.broadcast(held), ["same_publication", "step"]).filter("place >= before + below and place < before + below + n")
+    value = lambda name, side: F.max(F.when((F.col("name") == name) & (F.col("side") == side), F.col("value")))
+    part = lambda p: F.lit(p) * (F.max("total") - 1) - F.floor(F.lit(p) * (F.max("total") - 1))
+    quantiles = hit.groupBy("same_publication").agg(F.max("total").alias("pairs"), *(F.round(value(k, "lo") + (value(k, "hi") - value(k, "lo")) * part(p), 4).alias(k) for k, p in shares.items()))
+    rest = first.filter("step = -1").select("same_publication", F.round("value", 4).alias("greatest"), F.col("n").alias("_above"))
+    return quantiles.join(rest, "same_publication").withColumn("share_above", F.round(F.col("_above") / F.col("pairs"), 6)).drop("_above")
 
 
 def pending(chunks: DataFrame, done: DataFrame, force: bool = False, limit: int | None = None) -> DataFrame:
@@ -182,5 +325,51 @@ def lsh_search(chunks: DataFrame, queries: DataFrame, k: int = 8, threshold: flo
     return one.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).withColumn("similarity", F.round("similarity", 4))
 
 
+def build_cells(chunks: DataFrame, cells: int, path: str, sample: int = 100_000, seed: int = 7) -> np.ndarray:
+    """Write all chunks with vectors to path, a Parquet partition for each k-means cell of their directions; the cells' centres.
+
+    The centres are fitted on about `sample` rows, chosen by hash; every row is written, once, to its nearest
+    centre's partition. The centres, cells times the vectors' length, are the only thing that is held.
+    """
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    rows = chunks.filter(F.col("embedding").isNotNull()).withColumn("_n", norm).filter("_n > 0").drop("_n")
+    n = rows.count()
+    some = rows.filter(F.pmod(F.xxhash64("chunk_id"), F.lit(max(n, 1))) < sample).withColumn("_n", norm)
+    some = written(some.select(F.transform("embedding", lambda x: x / F.col("_n")).alias("unit")), "units").select(array_to_vector("unit").alias("features"))
+    centres = np.array(KMeans(k=cells, seed=seed).fit(some).clusterCenters())
+    centres /= np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-12)
+    placed = rows.withColumn("cell", nearest_cells(F.col("embedding"), centres, 1)[0])
+    placed.write.partitionBy("cell").parquet(path)
+    return centres
+
+
+def nearest_cells(embedding, centres: np.ndarray, probes: int):
+    """The `probes` nearest cells of each vector, nearest first."""
+
+    @F.pandas_udf("array<int>")
+    def cells(v):
+        x = np.stack(v.to_numpy()).astype(np.float64) if len(v) else np.zeros((0, centres.shape[1]))
+        order = np.argsort(-(x @ centres.T), axis=1, kind="stable")[:, :probes].astype(np.int32)
+        return type(v)(list(order))
+
+    return cells(embedding)
+
+
+def cell_search(cells: DataFrame, centres: np.ndarray, queries: DataFrame, k: int = 8, threshold: float = 0.48, probes: int = 4) -> DataFrame:
+    """vector_search over the chunks of each query's `probes` nearest cells alone, as build_cells wrote them; no other partition is read.
+
+    Approximate: a chunk in another cell is missed. evaluate.recall measures it.
+    """
+    asked = queries.filter(F.col("embedding").isNotNull()).select("query_id", "embedding")
+    asked = written(asked.select("query_id", "embedding", F.explode(nearest_cells(F.col("embedding"), centres, probes)).alias("area")), "asked")
+    rows = cells.select(F.col("cell").cast("int").alias("area"), "chunk_id", F.col("publication_id").cast("long").alias("publication_id"), "embedding")
+    rows = rows.join(F.broadcast(few(asked.select("area").distinct())), "area", "left_semi")
+    near = tiles(rows, asked, _best(window_size(k), threshold, 0), "query_id long, chunk_id long, publication_id long, similarity double")
+    return publications_of(ranked(near, window_size(k), threshold), k)
+
+
 def evidence_of_matches(matches: DataFrame) -> DataFrame:
     return matches.withColumn("confidence", confidence(F.col("similarity")))

@@ -71,19 +71,15 @@ def _hybrid(c: Corpus, asked: DataFrame, evolved: DataFrame, terms: DataFrame, a
 
 def embedded_hits(c: Corpus, asked: DataFrame, encoder, size: int, k: int = 8, threshold: float = 0.48) -> DataFrame:
     """Hits (question_id, publication_id, similarity) of asked (question_id, question, lo, hi): chunk texts and distinct
-    questions by the same encoder, each range of years searched among its own publications."""
+    questions by the same encoder, each searched among its own years' publications."""
     texts = vector.embed_chunks(c.chunks.filter("trim(chunk_text) <> ''"), encoder, "questions", "1", size).filter("valid AND exists(embedding, x -> x <> 0)").select("chunk_id", "embedding")
     rows = texts.join(c.chunks.select("chunk_id", "publication_id"), "chunk_id").join(c.publications.select(F.col("publication_id").cast("long").alias("publication_id"), "year"), "publication_id")
     rows = written(rows, "chunk-texts")
     distinct = asked.select("question", "lo", "hi").distinct().withColumn("query_id", F.xxhash64("question", "lo", "hi"))
     queries = vector.embed_chunks(distinct.withColumnRenamed("query_id", "chunk_id"), encoder, "questions", "1", size, "question").filter("valid AND exists(embedding, x -> x <> 0)").select(F.col("chunk_id").alias("query_id"), "embedding")
     queries = written(queries.join(distinct, "query_id"), "question-vectors")
-    found = None
-    for lo, hi in queries.select("lo", "hi").distinct().orderBy("lo", "hi").collect():  # ranges of years, not questions
-        some = vector.vector_search(rows.filter(F.col("year").between(lo, hi)), queries.filter((F.col("lo") == lo) & (F.col("hi") == hi)), k, threshold).select("query_id", "publication_id", "similarity")
-        found = some if found is None else found.unionByName(some)
-    if found is None:
-        found = c.spark.createDataFrame([], "query_id long, publication_id long, similarity double")
+    conditions = queries.select("query_id", "embedding", F.col("lo").alias("year_low"), F.col("hi").alias("year_high"))
+    found = vector.vector_search(rows, conditions, k, threshold).select("query_id", F.col("publication_id"), "similarity")
     return asked.withColumn("query_id", F.xxhash64("question", "lo", "hi")).join(found, "query_id").select("question_id", F.col("publication_id").cast("string").alias("publication_id"), "similarity")
 
 

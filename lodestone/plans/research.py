@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lodestone.operators import evaluate, graph, relational, topics, vector
 from lodestone.sources.corpus import Corpus, load, with_corpus
+from lodestone.sources.shared import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -344,6 +346,46 @@ def search(spark, d):
     return vector.vector_search(c.chunks, queries_of(c))
 
 
+@query("v3_ranking", with_corpus("chunks", search_sql(0.0, 8) + " SELECT * FROM hits"))
+def ranking(spark, d):
+    """The same without a gate: eight publications for every query, its own among them."""
+    c = Corpus(spark, d)
+    return vector.vector_search(c.chunks, queries_of(c), 8, 0.0)
+
+
+@query("p5_filtered_search", with_corpus("chunks publications", """dated AS (SELECT c.*, p.year, p.document_type FROM chunks c LEFT JOIN publications p ON p.publication_id = c.publication_id::VARCHAR),
+    q AS (SELECT chunk_id AS query_id, embedding::DOUBLE[] AS e, CASE WHEN chunk_id % 80 IN (0, 60) THEN 1995 + chunk_id % 3 END AS lo, CASE WHEN chunk_id % 80 = 0 THEN 1997 END AS hi, CASE WHEN chunk_id % 80 = 20 THEN '1-URGENT' END AS kind, CASE WHEN chunk_id % 80 = 40 THEN range(publication_id, publication_id + 40) END AS ids FROM chunks WHERE chunk_id % 20 = 0),
+    near AS (SELECT * FROM (SELECT query_id, chunk_id, publication_id, list_cosine_similarity(embedding::DOUBLE[], e) AS s, row_number() OVER (PARTITION BY query_id ORDER BY list_cosine_similarity(embedding::DOUBLE[], e) DESC, chunk_id) AS r FROM dated JOIN q
+      ON (lo IS NULL OR year >= lo) AND (hi IS NULL OR year <= hi) AND (kind IS NULL OR document_type = kind) AND (ids IS NULL OR list_contains(ids, publication_id))) WHERE r <= 200 AND s >= 0.1),
+    pubs AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, publication_id ORDER BY s DESC, chunk_id) AS rp FROM near) WHERE rp = 1)
+    SELECT query_id, chunk_id, publication_id, round(s, 4) AS similarity, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, chunk_id)::INT AS rank FROM pubs) WHERE rank <= 8"""))
+def filtered_search(spark, d):
+    """Queries that ask for years, years from one on, a document type, or certain publications."""
+    c = Corpus(spark, d)
+    k, own = F.col("query_id") % 80, F.col("publication_id")
+    q = queries_of(c).select("query_id", "embedding", F.when(k.isin(0, 60), 1995 + F.col("query_id") % 3).alias("year_low"), F.when(k == 0, F.lit(1997)).alias("year_high"), F.when(k == 20, F.lit("1-URGENT")).alias("document_type"), F.when(k == 40, F.sequence(own, own + 39)).alias("publication_ids"))
+    return vector.vector_search(dated_chunks(c), q, 8, 0.1)
+
+
+def dated_chunks(c: Corpus) -> DataFrame:
+    """Chunks with their publication's year and document type."""
+    told = c.publications.select(F.col("publication_id").cast("long").alias("publication_id"), "year", "document_type")
+    return c.chunks.select("chunk_id", "publication_id", "embedding").join(told, "publication_id", "left")
+
+
+#: Cells of the registered pruned search, of these the ones a query looks into, and its gate, low enough for other publications.
+CELLS, PROBES, CELL_GATE = 16, 11, 0.3
+
+
+@query("v4_cluster_search")
+def cluster_search(spark, d):
+    """Approximate; its recall against the exact search is measured in the tests, at these parameters."""
+    c = Corpus(spark, d)
+    path = f"{shared_dir(spark)}/cells-{uuid.uuid4().hex}"
+    centres = vector.build_cells(c.chunks.select("chunk_id", "publication_id", "embedding"), CELLS, path)
+    return vector.cell_search(spark.read.parquet(path), centres, queries_of(c), 8, CELL_GATE, PROBES)
+
+
 @query("v4_lsh_search")
 def lsh(spark, d):
     """Approximate; its recall against v3_search is measured in the tests."""
