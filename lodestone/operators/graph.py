@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.columns import HOPS_MOST
 from lodestone.operators.keys import add_surrogate_key
+from lodestone.operators.spread import spread_join
 from lodestone.sources.shared import written
 
 #: Items of one group that are paired in one piece; larger groups are paired in pairs of blocks.
@@ -46,16 +47,36 @@ def partners(edges: DataFrame, sources: DataFrame, n: int = 20) -> DataFrame:
 
 
 def paths(edges: DataFrame, sources: DataFrame, max_hops: int = HOPS_MOST, target: str | None = None) -> DataFrame:
-    """All paths without a repeated node of up to max_hops from each source: source, target, path, hops, weight and via of the last edge."""
-    steps = both_ways(edges)
-    now = sources.select(F.col("node").alias("source"), F.col("node").alias("at"), F.array("node").alias("path"), F.lit(0).alias("weight"), F.array().cast("array<string>").alias("via"))
+    """All paths without a repeated node of up to max_hops from each source: source, target, path, hops, weight and via of the last edge.
+
+    Paths grow by steps without their edges' columns, which are joined on at the end, once for each path. The
+    last step is taken from the other side: with a target only its own neighbours are met there, and the step
+    before is taken only towards them. Neighbours of a hub are dealt over tasks.
+    """
+    most = max(1, min(HOPS_MOST, max_hops))
+    edges = written(edges.select("node_a", "node_b", "weight", "via"), "edges")
+    steps = written(both_ways(edges).select("node", "partner"), "steps")
+    final = steps if target is None else written(steps.filter(F.col("partner") == target), "final")
+    now = written(sources.select(F.col("node").alias("source"), "node", F.array("node").alias("path")), "starts")
     out = None
-    for hop in range(1, max(1, min(HOPS_MOST, max_hops)) + 1):
-        now = now.select("source", "at", "path").join(steps, F.col("at") == F.col("node")).filter(~F.array_contains("path", F.col("partner")))
-        now = now.select("source", F.col("partner").alias("at"), F.concat("path", F.array("partner")).alias("path"), "weight", "via")
-        found = now.select("source", F.col("at").alias("target"), "path", F.lit(hop).alias("hops"), "weight", "via")
-        out = found if out is None else out.unionByName(found)
-    return out if target is None else out.filter(F.col("target") == target)
+
+    def longer(reached: DataFrame, by: DataFrame) -> DataFrame:
+        met = spread_join(reached, by, ["node"]).filter(~F.array_contains("path", F.col("partner")))
+        return met.select("source", F.col("partner").alias("node"), F.concat("path", F.array("partner")).alias("path"))
+
+    for hop in range(1, most + 1):
+        found = longer(now, final)
+        if hop < most and target is not None:
+            towards = steps if hop + 1 < most else steps.join(final.select(F.col("node").alias("partner")), "partner", "left_semi").select("node", "partner")
+            now = written(longer(now, towards), "prefixes")
+        elif hop < most:
+            now = found = written(found, "prefixes")
+        rows = found.select("source", F.col("node").alias("target"), "path", F.lit(hop).alias("hops"))
+        out = rows if out is None else out.unionByName(rows)
+    a, b = F.element_at("path", -2), F.element_at("path", -1)
+    ended = out.withColumns({"node_a": F.least(a, b), "node_b": F.greatest(a, b)})
+    known = edges.select(F.least("node_a", "node_b").alias("node_a"), F.greatest("node_a", "node_b").alias("node_b"), "weight", "via")
+    return ended.join(known, ["node_a", "node_b"]).select("source", "target", "path", "hops", "weight", "via")
 
 
 def normalize_edges(raw: DataFrame, min_weight: int = 1) -> tuple[DataFrame, DataFrame]:
@@ -175,6 +196,69 @@ def communities(edges: DataFrame, rounds: int = 5) -> DataFrame:
     return labels
 
 
+def _moved(near: DataFrame, degree: DataFrame, total: float, labels: DataFrame, turn: int) -> DataFrame:
+    """Labels after half of the nodes, chosen by hash and turn, have taken the community around them with the greatest gain of modularity."""
+    sizes = labels.join(degree, "node").groupBy("community").agg(F.sum("degree").alias("size"))
+    around = near.filter("node <> partner").join(labels.select(F.col("node").alias("partner"), "community"), "partner").groupBy("node", "community").agg(F.sum("weight").alias("inward"))
+    own = labels.select("node", "community", F.lit(0).cast("double").alias("inward"))
+    choice = around.unionByName(own).groupBy("node", "community").agg(F.sum("inward").alias("inward"))
+    home = labels.join(degree, "node").select("node", F.col("community").alias("home"), "degree")
+    weighed = choice.join(sizes, "community").join(home, "node")
+    rest = F.col("size") - F.when(F.col("community") == F.col("home"), F.col("degree")).otherwise(0)
+    gain = F.round(F.col("inward") - F.col("degree") * rest / total, 9)
+    stay = F.max(F.when(F.col("community") == F.col("home"), F.col("gain")))
+    best = weighed.withColumn("gain", gain).groupBy("node", "home").agg(F.min_by(F.struct("community", "gain"), F.struct(-F.col("gain"), "community")).alias("best"), stay.alias("stay"))
+    goes = (F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(2)) == 0) & (F.col("best.gain") > F.col("stay"))
+    return best.select("node", F.when(goes, F.col("best.community")).otherwise(F.col("home")).alias("community"))
+
+
+def _quality(near: DataFrame, degree: DataFrame, total: float, labels: DataFrame) -> float:
+    """Modularity of labels over an adjacency table of both directions (a node's own edge once, with twice its weight)."""
+    a = labels.select("node", F.col("community").alias("ca"))
+    b = labels.select(F.col("node").alias("partner"), F.col("community").alias("cb"))
+    inside = near.join(a, "node").join(b, "partner").filter("ca = cb").agg(F.sum("weight").alias("w")).first().w or 0.0
+    squares = labels.join(degree, "node").groupBy("community").agg(F.sum("degree").alias("d")).agg(F.sum(F.col("d") * F.col("d")).alias("s")).first().s or 0.0
+    return inside / total - squares / total**2
+
+
+def louvain(edges: DataFrame, least: float = 1e-6, turns: int = 24) -> DataFrame:
+    """(node, community) by modularity gain: nodes move, half of them at a time, then communities become nodes, until nothing is gained.
+
+    A community is named by its least node. Moves of one turn do not see each other, so the labels of the best turn are
+    kept, and a level ends after three turns without a gain of `least` (after `turns` at most). Edges are unique and without loops.
+    """
+    near = written(both_ways(edges).select("node", "partner", F.col("weight").cast("double").alias("weight")), "near")
+    total = near.agg(F.sum("weight").alias("w")).first().w
+    nodes = near.select("node").distinct()
+    members = written(nodes.select("node", F.col("node").alias("community")), "members")
+    if not total:
+        return members
+    top = None
+    while True:
+        degree = written(near.groupBy("node").agg(F.sum("weight").alias("degree")), "degree")
+        labels = written(degree.select("node", F.col("node").alias("community")), "labels")
+        start = best = _quality(near, degree, total, labels)
+        kept, idle, turn = labels, 0, 0
+        while idle < 3 and turn < turns:
+            turn += 1
+            labels = written(_moved(near, degree, total, labels, turn), "labels")
+            q = _quality(near, degree, total, labels)
+            idle = 0 if q > best + least else idle + 1
+            if q > best:
+                best, kept = q, labels
+        if best <= start + least and top is not None:
+            break
+        members = written(members.join(kept.select(F.col("node").alias("community"), F.col("community").alias("to")), "community").select("node", F.col("to").alias("community")), "members")
+        if best <= start + least:
+            break
+        top = best
+        a = kept.select("node", F.col("community").alias("a"))
+        b = kept.select(F.col("node").alias("partner"), F.col("community").alias("b"))
+        near = written(near.join(a, "node").join(b, "partner").groupBy(F.col("a").alias("node"), F.col("b").alias("partner")).agg(F.sum("weight").alias("weight")), "near")
+    names = members.groupBy("community").agg(F.min("node").alias("name"))
+    return members.join(names, "community").select("node", F.col("name").alias("community"))
+
+
 def modularity(edges: DataFrame, labels: DataFrame) -> DataFrame:
     """One row: the modularity of a labelling."""
     total = edges.agg(F.sum("weight").alias("m"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lodestone.operators import evaluate, graph, relational, topics, vector
 from lodestone.sources.corpus import Corpus, load, with_corpus
-from lodestone.sources.shared import shared_dir
+from lodestone.sources.shared import shared_dir, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -215,6 +215,24 @@ def graph_communities(spark, d):
     return graph.communities(author_edges(spark, d))
 
 
+@query("g12_louvain")
+def graph_louvain(spark, d):
+    """Communities by modularity gain over all edges; the tests hold them against all partitions of small graphs."""
+    return graph.louvain(author_edges(spark, d))
+
+
+@query("g12_modularity")
+def graph_modularity(spark, d):
+    """Modularity and number of communities by label propagation and by modularity gain."""
+    edges = written(author_edges(spark, d), "edges")
+    out = None
+    for name, find in (("label_propagation", graph.communities), ("louvain", graph.louvain)):
+        labels = written(find(edges), "found")
+        row = graph.modularity(edges, labels).crossJoin(labels.agg(F.countDistinct("community").alias("communities"))).select(F.lit(name).alias("method"), "modularity", "communities")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 # Topics and expertise
 
 _TERMS = "terms(topic_id, topic_name, term) AS (VALUES " + ", ".join(f"({i}, '{n}', '{t}')" for i, n, t in TOPIC_TERMS) + ")"
