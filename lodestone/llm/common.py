@@ -41,6 +41,14 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+def unused(df: DataFrame, stem: str) -> str:
+    """A column name that df does not have, in whatever case."""
+    taken = {c.lower() for c in df.columns}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem
+
+
 def text_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the id and the text, null as empty, under names that no extra column can clash with."""
     small_batches(df.sparkSession)

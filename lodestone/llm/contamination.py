@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.common import unused
+
 WINDOW = 13
 #: Bytes of text that a shift block spans; longer blocks are rarer and so give longer shifts.
 BLOCK = 8
@@ -151,32 +153,33 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     Words are those of `words`; null and empty texts have none and are clean. An item's windows are its
     13-word runs, or the whole item if shorter; an item without words has none. Every occurrence of a
     window in a whole text counts, and the words inside are hit. contaminated: n_hit > 0 and at least a
-    twentieth of the words. Equal items each count; repeated ones (same id) once. No rows are shuffled;
+    twentieth of the words. Equal items each count; repeated ones (same id) once. Other columns of docs come back as they are, whatever their names. No rows are shuffled;
     a benchmark over PASS_BYTES is searched in passes that each hold a bounded part of it.
     """
     spark = docs.sparkSession
     cols = docs.columns
     text = F.col(f"`{text_col}`")
-    df = docs.withColumn("_hits", F.lit(None).cast(f"array<{_HITS}>"))
+    hits, found = unused(docs, "hits"), unused(docs, "found")
+    df = docs.withColumn(hits, F.lit(None).cast(f"array<{_HITS}>"))
     first = True
     for items in _passes(benchmark, item_id, item_text):
         one = F.array(_search_udf(spark, items)(text))
-        df = df.withColumn("_hits", one if first else F.concat("_hits", one))
+        df = df.withColumn(hits, one if first else F.concat(hits, one))
         first = False
     if first:
         one = F.array(_search_udf(spark, [])(text))
-        df = df.withColumn("_hits", one)
+        df = df.withColumn(hits, one)
     # Passes may hit the same words, so their ranges are merged: a word is hit where any range covers it.
-    ranges = F.array_sort(F.flatten(F.transform("_hits", lambda h: h["spans"])))
-    merged = F.when(F.size("_hits") == 1, F.element_at("_hits", 1)["spans"]).otherwise(F.aggregate(ranges, F.array().cast("array<struct<start:bigint,stop:bigint>>"), _join_range))
+    ranges = F.array_sort(F.flatten(F.transform(hits, lambda h: h["spans"])))
+    merged = F.when(F.size(hits) == 1, F.element_at(hits, 1)["spans"]).otherwise(F.aggregate(ranges, F.array().cast("array<struct<start:bigint,stop:bigint>>"), _join_range))
     struct = F.struct(
-        F.element_at("_hits", 1)["n_words"].alias("n_words"),
+        F.element_at(hits, 1)["n_words"].alias("n_words"),
         F.aggregate(merged, F.lit(0).cast("long"), lambda acc, s: acc + s["stop"] - s["start"]).alias("n_hit"),
         merged.alias("spans"),
-        F.array_sort(F.array_distinct(F.flatten(F.transform("_hits", lambda h: h["items"])))).alias("items"),
+        F.array_sort(F.array_distinct(F.flatten(F.transform(hits, lambda h: h["items"])))).alias("items"),
     )
-    df = df.withColumn("_found", struct)
-    return df.select(*(F.col(f"`{c}`") for c in cols if c != out), F.struct("_found.*", ((F.col("_found.n_hit") > 0) & (F.col("_found.n_hit") * 20 >= F.col("_found.n_words"))).alias("contaminated")).alias(out))
+    df = df.withColumn(found, struct)
+    return df.select(*(F.col(f"`{c}`") for c in cols if c != out), F.struct(f"{found}.*", ((F.col(f"{found}.n_hit") > 0) & (F.col(f"{found}.n_hit") * 20 >= F.col(f"{found}.n_words"))).alias("contaminated")).alias(out))
 
 
 def _join_range(acc, s):

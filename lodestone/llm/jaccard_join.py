@@ -17,8 +17,8 @@ from lodestone.llm.shingles import mixed, shingle_sets
 SIMILARITY = 0.8
 #: Prefix tries, values of a signature in each, and the share of pairs at SIMILARITY that must be able to meet in some trie.
 TREES, DEPTH, RECALL = 20, 8, 0.9999
-#: Prefixes are shortened until so large a share of all links, by those found so far, has met.
-MEASURED_RECALL = 0.99999
+#: The share of pairs at the threshold that must be able to meet where no link near it has been met.
+UNSEEN_RECALL = 0.999
 #: Members of a trie node, and shingles of them, that are compared in one piece; a larger node is compared in pairs of blocks.
 BLOCK, BLOCK_SHINGLES = 512, 1 << 22
 #: Shared shingles whose occurrences are multiplied at a time.
@@ -37,16 +37,15 @@ def prefix_depth(similarity: float = SIMILARITY, trees: int = TREES, depth: int
     return depth
 
 
-def shortened(found: dict[float, int], similarity: float, least: int, recall: float = MEASURED_RECALL) -> int:
-    """How far prefixes must be shortened for the links that there are, told by those that met on whole signatures.
+def shortened(found: set[int], similarity: float, least: int, recall: float = RECALL) -> int:
+    """The longest prefix at which pairs of every similarity that links were found at meet with the target recall, and any pair with UNSEEN_RECALL.
 
-    found: links by similarity. Each stands for as many links as its chance to be found makes likely; one more link at
-    the threshold stands for what has not been seen. `least` is the depth beyond which shortening is never needed.
+    found: similarities of links, in whole hundredths, rounded down; the least one decides, however few its links are
+    beside those of near-identical copies. `least` is the depth that is enough at the threshold. Links of a similarity at which none has met on
+    longer prefixes are told by those that meet on the shorter ones, and prefixes are shortened again.
     """
-    every = {s: n / meeting(s, DEPTH) for s, n in found.items()}
-    every[similarity] = every.get(similarity, 0) + 1 / meeting(similarity, DEPTH)
     depth = DEPTH
-    while depth > least and sum(n * meeting(s, depth) for s, n in every.items()) < recall * sum(every.values()):
+    while depth > least and (meeting(similarity, depth) < UNSEEN_RECALL or any(meeting(s / 100, depth) < recall for s in found)):
         depth -= 1
     return depth
 
@@ -112,13 +111,13 @@ def shared(sets_a: list[np.ndarray], sets_b: list[np.ndarray] | None = None) ->
     order = np.argsort(column, kind="stable")
     owner, column = owner[order], column[order]
     n = len(sets_a)
-    out = np.zeros((n, len(sets_b) if sets_b is not None else n), np.float32)
+    out = np.zeros((n, len(sets_b) if sets_b is not None else n), np.int64)
     columns = int(column[-1]) + 1 if len(column) else 0
     for at in range(0, columns, COLUMNS):
         a, b = np.searchsorted(column, [at, at + COLUMNS])
         piece = np.zeros((len(every), min(COLUMNS, columns - at)), np.float32)
         piece[owner[a:b], column[a:b] - at] = 1
-        out += piece[:n] @ (piece[n:] if sets_b is not None else piece).T
+        out += (piece[:n] @ (piece[n:] if sets_b is not None else piece).T).astype(np.int64)  # COLUMNS at most, exact in float
     return out
 
 
@@ -194,7 +193,7 @@ def _linked(similarity: float):
             sets, docs = [s.view(np.uint64) for s in rows["shingles"]], np.array(rows["n_docs"], np.int64)
             pairs = _pairs(rows, x, y, tree)
             size = np.array([len(s) for s in sets], np.int64)
-            common = shared([sets[i] for i in x], None if a == b else [sets[i] for i in y]).astype(np.int64)
+            common = shared([sets[i] for i in x], None if a == b else [sets[i] for i in y])
             union = size[x][:, None] + size[y][None, :] - common
             pairs &= ratio.denominator * common >= ratio.numerator * union
             if a == b:
@@ -257,8 +256,9 @@ def jaccard_join(docs: DataFrame, similarity: float = SIMILARITY, recall: float
     white space, A-Z lower-cased; a shorter text is one shingle) is at least `similarity`. A class is a
     connected component of links and class_id its least doc_id, which is kept; n_links counts the other
     documents linked to this one, copies too. Documents without words (null, empty, blank) link to none.
-    Equal sets are handled once. Sets are first compared with those that share a whole signature in some trie; by the
-    similarities found there prefixes are shortened (`shortened`), and pairs that meet on shorter ones are compared too.
+    Equal sets are handled once. Sets are first compared with those that share a whole signature in some trie; prefixes are
+    then shortened until pairs of every similarity that links were found at meet with the target recall, and pairs that
+    meet on shorter ones are compared too.
     Every pair is verified on whole sets, in whole numbers, in the first trie that it shares; a trie node of more than
     BLOCK members is verified in pairs of blocks, so no task holds more. Rows that repeat a doc_id are counted as
     documents of their own; a null doc_id gets the least other id of its class.
@@ -290,11 +290,14 @@ def jaccard_join(docs: DataFrame, similarity: float = SIMILARITY, recall: float
         pieces = needed.join(shingles, "set_key").repartition(*NODE).sortWithinPartitions(*NODE)
         return written(pieces.mapInArrow(_linked(similarity), "set_key binary, links long, joined binary, similarity long"), "links")
 
-    found = compared(DEPTH, None)
-    told = {(r.similarity + 0.5) / 100: r.n for r in found.filter("set_key is null").groupBy("similarity").agg(F.sum("links").alias("n")).collect()}  # at most 101 rows
-    depth = shortened(told, similarity, least)
-    if depth < DEPTH:
-        found = found.unionByName(compared(depth, DEPTH))
+    def told(links: DataFrame) -> set[int]:
+        return {r.similarity for r in links.filter("set_key is null").select("similarity").distinct().collect()}  # 101 rows at most
+
+    depth, found = DEPTH, compared(DEPTH, None)
+    met = told(found)
+    while (shorter := shortened(met, similarity, least)) < depth:
+        more = compared(shorter, depth)
+        found, depth, met = found.unionByName(more), shorter, met | told(more)
     found = found.filter("set_key is not null")
     roots = components(found.select(F.col("set_key").alias("u"), F.col("joined").alias("v")))
     links = found.groupBy("set_key").agg(F.sum("links").alias("links"))

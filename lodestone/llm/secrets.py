@@ -35,9 +35,12 @@ SAMPLE_VALUES, SAMPLE_SYMBOLS = 2000, 512
 ALPHA, LEAST_VISITS = 0.1, 16
 #: Weight of each symbol that a state has not seen.
 UNSEEN = 0.2
-#: A candidate is a secret when a format is likelier than plain symbols by so many nats, and when at least this share of
-#: all that ends in the same state of the format, over the whole corpus, is labelled.
-MARGIN, SHARE = 12.0, 0.1
+#: A candidate is a secret when a format is likelier than plain symbols by so many nats, and when of what ends in the same state
+#: of the format and is mixed like it, over the whole corpus, at least this share is labelled. Mixed values that a
+#: state has are of one random format, so bare ones do not count against it: so many labelled ones are enough.
+MARGIN, SHARE, LABELLED = 12.0, 0.1, 5
+#: Changes between digits, small and capital letters (but for a capital before a small letter) from which a value is mixed.
+MIXED = 5
 #: Chance that a run of one symbol goes on, in plain symbols.
 RUNS = 0.8
 #: Values that a task remembers before it begins anew.
@@ -288,7 +291,7 @@ class Formats:
 
 @dataclass(frozen=True)
 class SecretModel:
-    """The inferred formats, and the states that labelled credentials take their due share of, with that share."""
+    """The inferred formats, and the cells that labelled credentials take their due share of, with that share."""
 
     formats: Formats
     secret: dict[int, float]
@@ -299,6 +302,14 @@ def _bare(run: str) -> str:
     return run.strip(".")
 
 
+_CHANGE = re.compile(r"[0-9](?=[A-Za-z])|[A-Za-z](?=[0-9])|[a-z](?=[A-Z])")
+
+
+def cell(value: str, state: int) -> int:
+    """What values are counted and told by: the state that ends them, and whether they are mixed as no word or number is."""
+    return 2 * state + (sum(1 for _ in _CHANGE.finditer(value)) >= MIXED)
+
+
 class Reader:
     """Scores each run once and remembers it."""
 
@@ -321,7 +332,7 @@ class Reader:
         for k, s, m in zip(fit, state.tolist(), margin.tolist(), strict=True):
             if m >= MARGIN:
                 known[new[k]] = s
-                if s in self.secret:
+                if self.secret and cell(values[k], s) in self.secret:
                     self.found.add(new[k])
         return known
 
@@ -349,8 +360,8 @@ def learn(docs: DataFrame, text_col: str = "text") -> SecretModel:
 
     Automata are inferred on the driver from SAMPLE_VALUES distinct labelled values of a kind, chosen by hash. Every
     labelled value and every other candidate of all texts is then read by them, and Spark counts both by the state that
-    ends them; a state is a secret format when labelled values are at least SHARE of it. There is a count for each state,
-    whatever the number of texts. Without labelled values there are no formats and nothing is added.
+    ends them and whether they are mixed; such a cell is a secret format when labelled values are at least SHARE of it, or
+    LABELLED of them where it is of mixed values. There are two counts for each state, whatever the number of texts. Without labelled values there are no formats and nothing is added.
     """
     small_batches(docs.sparkSession)
     texts = docs.select(F.col(f"`{text_col}`").alias("text"))
@@ -376,7 +387,7 @@ def learn(docs: DataFrame, text_col: str = "text") -> SecretModel:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(sent.value)
-        taken = np.zeros((len(sent.value.to), 2), np.int64)
+        taken = np.zeros((2 * len(sent.value.to), 2), np.int64)
         for batch in slices(batches):
             seen = (Counter(), Counter())
             for text in batch.column(0).to_pylist():
@@ -389,13 +400,14 @@ def learn(docs: DataFrame, text_col: str = "text") -> SecretModel:
                 for v, k in n.items():
                     s = known[v]
                     if s >= 0:
-                        taken[s, side] += k
+                        taken[cell(_bare(v), s), side] += k
         some = np.flatnonzero(taken.sum(1))
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(taken[some, 0]), pa.array(taken[some, 1])], ["state", "other", "labelled"])
 
     counts = texts.mapInArrow(count, "state long, other long, labelled long").groupBy("state").agg(F.sum("other").alias("o"), F.sum("labelled").alias("l"))
     share = F.col("l") / (F.col("l") + F.col("o"))
-    return SecretModel(formats, {r.state: r.share for r in counts.select("state", share.alias("share")).filter(F.col("share") >= SHARE).collect()})
+    due = (share >= SHARE) | ((F.col("state") % 2 == 1) & (F.col("l") >= LABELLED))
+    return SecretModel(formats, {r.state: r.share for r in counts.filter(due).select("state", share.alias("share")).collect()})
 
 
 def spans_of(text: str, runs: list[str], model: SecretModel, reader: Reader) -> tuple[list, list]:
@@ -409,7 +421,7 @@ def spans_of(text: str, runs: list[str], model: SecretModel, reader: Reader) ->
     known, more = reader.read({text[a:b] for a, b in candidates(text, base)}), []
     for a, b in candidates(text, base):
         s = known[text[a:b]]
-        if s in model.secret:
+        if s >= 0 and cell(text[a:b], s) in model.secret:
             more.append((a, b, f"likely-{model.formats.kind(s)}"))
     order = {k: i for i, k in enumerate((*KINDS, *(f"likely-{k}" for k in KINDS)))}
     return base, sorted(base + more, key=lambda x: (x[0], order[x[2]]))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import small_batches, with_group, written
+from lodestone.llm.common import small_batches, unused, with_group, written
 from lodestone.llm.pieces import LOW, MARK, PATH, Decoder, Lattice, Vocabulary, normalised, pretokens
 
 #: Texts of more characters are split into chunks of so many characters.
@@ -229,14 +229,15 @@ def encode(docs: DataFrame, path: str = PATH, text_col: str = "text", out: str =
 
     The encoding is the segmentation of greatest summed piece score over the whole text; characters in no
     piece are spelled in byte pieces. Null and empty texts have no ids. Texts of more than `giant`
-    characters are scanned in chunks, equal ones once. Row order is not kept.
+    characters are scanned in chunks, equal ones once. Row order is not kept. Other columns come back as they are, whatever
+    their names, but for those named by out and round_trip.
     """
     small_batches(docs.sparkSession)
     vocabulary = Vocabulary.load(path)
     sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     kept = [c for c in docs.columns if c not in (out, round_trip)]
-    made = pa.struct([("ids", pa.binary()), ("same", pa.bool_())])
+    made, at = pa.struct([("ids", pa.binary()), ("same", pa.bool_())]), unused(docs, "made")
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder, decoder = Encoder(Lattice(sent.value)), Decoder(sent.value)
@@ -249,8 +250,8 @@ def encode(docs: DataFrame, path: str = PATH, text_col: str = "text", out: str =
     def shaped(df: DataFrame, columns: list, ids, same) -> DataFrame:
         return df.select(*columns, ids.alias(out), *([same.alias(round_trip)] if round_trip else []))
 
-    each = docs.filter(F.length(text) <= giant).withColumn("_made", F.arrow_udf(run, "struct<ids:binary,same:boolean>", F.ArrowUDFType.SCALAR_ITER)(text))
-    short = shaped(each, [F.col(f"`{c}`") for c in kept], F.col("_made.ids"), F.col("_made.same"))
+    each = docs.filter(F.length(text) <= giant).withColumn(at, F.arrow_udf(run, "struct<ids:binary,same:boolean>", F.ArrowUDFType.SCALAR_ITER)(text))
+    short = shaped(each, [F.col(f"`{c}`") for c in kept], F.col(f"{at}.ids"), F.col(f"{at}.same"))
     giants = docs.filter(F.length(text) > giant)
     key = F.sha2(text, 256)
     distinct = giants.select(key.alias("key"), text.alias("text")).groupBy("key").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("n"))

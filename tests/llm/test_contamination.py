@@ -64,3 +64,10 @@ def test_wu_manber_finds_overlapping_occurrences():
     patterns = [b"abab", b"babc", b"cabab", b"abcab"]
     want = sorted((i, p) for p in patterns for i in range(len(text)) if text.startswith(p, i))
     assert sorted(C.WuManber(patterns).occurrences(text)) == want
+
+
+def test_columns_of_the_same_names_as_its_own_come_back(spark):
+    d = docs(spark).withColumns({c: F.lit("MINE") for c in ("_hits", "_found", "hits", "FOUND", "hits_")})
+    items = spark.createDataFrame([(1, rows()[0][1])], "item_id long, text string")
+    got = C.contamination(d, items).select("_hits", "_found", "hits", "FOUND", "hits_").distinct().collect()
+    assert [tuple(r) for r in got] == [("MINE",) * 5]

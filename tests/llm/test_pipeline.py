@@ -65,3 +65,13 @@ def test_repeated_rows_leave_one(spark, folder):
     out = corpus_pipeline.drop_copies(spark, docs(spark, [(4, "x"), (4, "x"), (3, "x"), (None, "y"), (5, "z"), (5, "w")]), folder)
     assert sorted((r.doc_id, r.text) for r in out.collect() if r.doc_id) == [(4, "x"), (5, "w"), (5, "z")]
     assert out.filter("doc_id is null").count() == 1
+
+
+def test_columns_of_the_same_names_as_the_stages_own_come_back(spark, folder):
+    from pyspark.sql import functions as F
+
+    names = ("_toxicity_score", "toxicity_score", "contamination", "_contamination", "Hits", "found")
+    d = docs(spark).withColumns({c: F.lit("MINE") for c in names})
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        d = stage(spark, d, folder)
+        assert [tuple(r) for r in d.select(*names).distinct().collect()] == [("MINE",) * len(names)]

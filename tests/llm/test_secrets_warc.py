@@ -125,6 +125,21 @@ def test_bare_values_of_learned_formats_are_found_and_nothing_else(spark):
     assert len(found) >= 0.95 * len(bare) and not false
 
 
+def test_many_bare_values_are_found_as_well(spark):
+    """Sixty labelled and 900 bare values of each format: the spans are the planted ones, and no others."""
+    labelled, _, plain_ = planted(2)
+    r = random.Random(11)
+    letters = string.ascii_letters + string.digits
+    make = [lambda: "sk_live_" + "".join(r.choice(letters) for _ in range(24)), lambda: "ghp_" + "".join(r.choice(letters) for _ in range(36)), lambda: hashlib.sha1(str(r.random()).encode()).hexdigest().upper()]
+    bare = [(40_000 + 1000 * k + i, f()) for k, f in enumerate(make) for i in range(900)]
+    d = docs(spark, labelled + [(i, f"see {v}. Then") for i, v in bare] + plain_ + rows())
+    out = {x.doc_id: x.secrets for x in X.secrets(d, X.learn(d)).filter("doc_id is not null").collect()}
+    for k in range(len(make)):
+        own = [(i, v) for i, v in bare if (i - 40_000) // 1000 == k]
+        assert sum(out[i].spans == f"likely-assign:4:{4 + len(v)}" for i, v in own) >= 0.95 * len(own), k
+    assert not [i for i, s in out.items() if i < 40_000 and s.spans != s.base]
+
+
 def test_a_format_that_the_corpus_mostly_uses_otherwise_adds_nothing(spark):
     data = [(i, f"password: {w}") for i, w in enumerate(["something", "required", "forgotten"])] + [(100 + i, " ".join(["something", "required", "forgotten", "everything"])) for i in range(50)]
     d = docs(spark, data)
@@ -146,7 +161,7 @@ def test_registered_query_against_plain_reading(spark):
         assert r.base_sha256 == hashlib.sha256(X.joined(base).encode()).hexdigest()
         every = [s.split(":") for s in r.spans.split(",") if s]
         assert [":".join(s) for s in every if not s[0].startswith("likely")] == [f"{k}:{a}:{b}" for a, b, k in base]
-        want = {(a, b) for a, b in X.candidates(text[r.doc_id], base) if (s := model.formats.read([text[r.doc_id][a:b]]))[1][0] >= X.MARGIN and int(s[0][0]) in model.secret}
+        want = {(a, b) for a, b in X.candidates(text[r.doc_id], base) if (s := model.formats.read([text[r.doc_id][a:b]]))[1][0] >= X.MARGIN and X.cell(text[r.doc_id][a:b], int(s[0][0])) in model.secret}
         assert {(int(a), int(b)) for k, a, b in every if k.startswith("likely")} == want
 
 

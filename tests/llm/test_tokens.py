@@ -150,3 +150,12 @@ def test_trie_counts_against_the_plain_loop(lattice):
     counter = T.Counter(lattice)
     texts = [words(i, 30) for i in range(20)] + ["x" * 600, "日本é\U0001f600z", "a  b", ""]
     assert counter.count(texts) == [len(plain(lattice, normalised(t))) for t in texts]
+
+
+def test_columns_of_the_same_names_as_its_own_come_back(spark):
+    names = ("_made", "made", "MADE_", "_same", "key", "n", "_decoded")
+    d = docs(spark).withColumns({c: F.lit("MINE") for c in names})
+    got = S.encode(d, giant=1000, chunk=300, round_trip="round_trip")
+    assert set(got.columns) == {*d.columns, "ids", "round_trip"} and got.count() == d.count()
+    assert [tuple(r) for r in got.select(*names).distinct().collect()] == [("MINE",) * len(names)]
+    assert got.filter("NOT round_trip").isEmpty()
