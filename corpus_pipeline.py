@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import contamination, exact_dedup, jaccard_join, sentencepiece_scan, toxicity
-from lodestone.llm.common import written
+from lodestone.llm.common import unused, written
 from lodestone.llm.queries import held_out, table
 
 #: Scores from here on are rejected.
@@ -18,8 +18,8 @@ TOXIC = 0.3
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score below TOXIC. Learns from the labels of the training fold, as the operator's query does."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels").filter(~held_out(4, 2)))
-    scored = toxicity.toxicity(docs, model, out="_toxicity_score")
-    return scored.filter(F.col("_toxicity_score") < TOXIC).drop("_toxicity_score")
+    score = unused(docs, "toxicity_score")
+    return toxicity.toxicity(docs, model, out=score).filter(F.col(score) < TOXIC).drop(score)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,8 +40,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which less than a twentieth of the words lie in windows of benchmark items."""
-    found = contamination.contamination(docs, table(spark, sf_dir, "benchmark"), out="_contamination")
-    return found.filter(~F.col("_contamination.contaminated")).drop("_contamination")
+    found = unused(docs, "contamination")
+    return contamination.contamination(docs, table(spark, sf_dir, "benchmark"), out=found).filter(~F.col(f"{found}.contaminated")).drop(found)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
