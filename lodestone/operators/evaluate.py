@@ -81,3 +81,24 @@ def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
     """One row: the share of exact results that were found."""
     hit = exact.join(found.select("query_id", "publication_id"), ["query_id", "publication_id"], "left_semi").agg(F.count(F.lit(1)).alias("hit"))
     return exact.agg(F.count(F.lit(1)).alias("all")).crossJoin(hit).select(F.round(F.coalesce(F.try_divide("hit", "all"), F.lit(1.0)), 6).alias("recall"))
+
+
+def fingerprint(df: DataFrame, table: str, columns: list[str]) -> DataFrame:
+    """One row that tells a table's rows apart from any other's: table, rows, and two sums of 60 bits of each row's MD5.
+
+    The sums do not depend on the order or partitions of rows, and a repeated row counts again. They are partial in each task; null differs from
+    any text. Columns are taken as strings; give vectors as rounded whole numbers.
+    """
+    parts = [F.when(F.col(c).isNull(), F.lit("\\N")).otherwise(F.replace(F.col(c).cast("string"), F.lit("\\"), F.lit("\\\\"))) for c in columns]
+    digest = F.md5(F.array_join(F.array(*parts), "\x1f"))
+    lane = lambda at: F.coalesce(F.sum(F.conv(F.substring(digest, at, 15), 16, 10).cast("decimal(38,0)")), F.lit(0)).cast("string")
+    return df.agg(F.count(F.lit(1)).alias("rows"), lane(1).alias("lane_a"), lane(17).alias("lane_b")).select(F.lit(table).alias("table"), "rows", "lane_a", "lane_b")
+
+
+def fingerprint_changes(now: DataFrame, labelled: DataFrame) -> DataFrame:
+    """(table, change) of tables that are not those a benchmark was labelled against: missing, new, other_rows (their number) or other_content."""
+    a, b = now.alias("a"), labelled.alias("b")
+    both = a.join(b, F.col("a.table") == F.col("b.table"), "full")
+    other = (F.col("a.lane_a") != F.col("b.lane_a")) | (F.col("a.lane_b") != F.col("b.lane_b"))
+    change = F.when(F.col("a.table").isNull(), "missing").when(F.col("b.table").isNull(), "new").when(F.col("a.rows") != F.col("b.rows"), "other_rows").when(other, "other_content")
+    return both.select(F.coalesce("a.table", "b.table").alias("table"), change.alias("change")).filter("change is not null")

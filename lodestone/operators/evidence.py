@@ -64,6 +64,38 @@ def from_experts(df: DataFrame) -> DataFrame:
     return evidence(df, F.col("question_id"), F.format_string("%s scores %s", "author_name", F.col("expertise_score").cast("string")), "expertise_score", F.col("expertise_score"))
 
 
+def from_analytics(df: DataFrame) -> DataFrame:
+    """Rows of any analytics table (question_id, period, author_name, expertise_score, topic_name, growth_score; null where a row lacks them).
+
+    A row with an author and an expertise score is evidence of expertise, else one with a topic and a growth score of growth; other rows are none.
+    """
+    expert = F.col("author_name").isNotNull() & F.col("expertise_score").isNotNull()
+    grown = ~expert & F.col("topic_name").isNotNull() & F.col("growth_score").isNotNull()
+    topic, period = F.coalesce("topic_name", F.lit("a related topic")), F.coalesce("period", F.lit("all-time"))
+    said = evidence(df.filter(expert), F.col("question_id"), F.format_string("%s scores %s in %s (%s)", F.col("author_name"), F.col("expertise_score").cast("string"), topic, period), "expertise_score", F.col("expertise_score"), period)
+    rose = evidence(df.filter(grown), F.col("question_id"), F.format_string("%s grew by %s (%s)", F.col("topic_name"), F.col("growth_score").cast("string"), period), "growth_score", F.col("growth_score"), period)
+    return said.unionByName(rose)
+
+
+def ordered_distinct(df: DataFrame, value: str, out: str) -> DataFrame:
+    """(question_id, out): the distinct values of each question in the order of their first position; null and blank ones are left out."""
+    first = df.filter(F.coalesce(F.trim(value), F.lit("")) != "").groupBy("question_id", F.col(value).alias("value")).agg(F.min("position").alias("position"))
+    return first.groupBy("question_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "value"))), lambda s: s["value"]).alias(out))
+
+
+def unify(claims: DataFrame, sources: DataFrame, notes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The evidence of all routes as one set for each question: claims ranked, sources ranked, and ignored filters and lineage.
+
+    claims: rows as evidence() makes them. sources: question_id, position, publication_id, title, year, doi, relevance, provenance. notes:
+    question_id, position (with the place in its list within a route's), ignored, lineage. Equal claims are one, as are sources of one publication;
+    notes keep the order of routes. Questions that only one of the three has are in that one.
+    """
+    ignored, lineage = ordered_distinct(notes, "ignored", "filters_ignored"), ordered_distinct(notes, "lineage", "lineage")
+    asked = notes.select("question_id").distinct().join(ignored, "question_id", "left").join(lineage, "question_id", "left")
+    told = asked.select("question_id", F.coalesce("filters_ignored", F.array().cast("array<string>")).alias("filters_ignored"), F.array_join("lineage", "; ").alias("lineage"))
+    return rank_evidence(merge_evidence(claims)), rank_sources(merge_sources(sources)), told
+
+
 def merge_sources(df: DataFrame) -> DataFrame:
     """(question_id, publication_id): greatest relevance, first known title, year and doi by position, provenance in order. df has position, provenance."""
     first = [F.min_by(c, F.when(F.col(c).isNotNull(), F.col("position"))).alias(c) for c in ("title", "year", "doi")]

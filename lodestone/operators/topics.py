@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.columns import icontains
+from lodestone.operators.centroids import centroids
 from lodestone.sources.corpus import Corpus
 from lodestone.sources.shared import written
 
@@ -70,6 +71,35 @@ def evolution(years: DataFrame, low: int, span: int = 5, formula: str = "growth"
     return rows.select("topic_id", "year", "publication_count", "citation_count", F.round("g", 4).alias("growth_score"), F.round("a", 4).alias("citation_acceleration"), F.round(recency, 3).alias("recency_weight"), ((F.col("g") >= 0.20) & (n >= min_pubs)).alias("is_emerging"))
 
 
+def cluster_keywords(assigned: DataFrame, keywords: DataFrame, n: int = 5) -> DataFrame:
+    """(topic_id, keyword, publications, weight, rank): the n keywords that set each topic apart from the others.
+
+    Class-based weighting: a keyword's share of the topic's keyword occurrences (one for each publication that carries it), times
+    ln(1 + A / f), with f its occurrences in all topics and A the mean number of a topic's. Ties by keyword.
+    """
+    carried = keywords.select("publication_id", F.lower("keyword").alias("keyword")).distinct()
+    counts = assigned.join(carried, "publication_id").groupBy("topic_id", "keyword").agg(F.count(F.lit(1)).alias("publications"))
+    counts = written(counts, "topic-keywords")
+    own = counts.groupBy("topic_id").agg(F.sum("publications").alias("own"))
+    every = counts.groupBy("keyword").agg(F.sum("publications").alias("every"))
+    mean = own.agg((F.sum("own") / F.count(F.lit(1))).alias("mean"))
+    weight = F.round(F.col("publications") / F.col("own") * F.log1p(F.col("mean") / F.col("every")), 9)
+    rows = counts.join(own, "topic_id").join(every, "keyword").crossJoin(F.broadcast(mean)).select("topic_id", "keyword", "publications", weight.alias("weight"))
+    w = Window.partitionBy("topic_id").orderBy(F.desc("weight"), "keyword")
+    return rows.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
+
+
+def topics_table(publications: DataFrame, keywords: DataFrame, chunks: DataFrame, assigned: DataFrame, topics: DataFrame, n: int = 5) -> DataFrame:
+    """One row for each topic: its totals and years, cluster keywords in order, and the centroid of its publications' chunk vectors (null without any)."""
+    assigned = written(assigned, "assigned")
+    words = cluster_keywords(assigned, keywords, n)
+    listed = words.groupBy("topic_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "keyword"))), lambda s: s["keyword"]).alias("cluster_keywords"))
+    vectors = chunks.select(F.col("publication_id").cast("string").alias("publication_id"), "embedding").join(assigned, "publication_id")
+    centres = centroids(vectors, "topic_id").select(F.col("grp").alias("topic_id"), "centroid")
+    none = F.array().cast("array<string>")
+    return topic_totals(publications, assigned, topics).join(listed, "topic_id", "left").join(centres, "topic_id", "left").withColumn("cluster_keywords", F.coalesce("cluster_keywords", none))
+
+
 def h_index(df: DataFrame, group: list[str], citations: str) -> DataFrame:
     """h-index of each group."""
     w = Window.partitionBy(*group).orderBy(F.desc(citations))

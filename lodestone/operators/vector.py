@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.columns import confidence, cosine, valid_vector
+from lodestone.operators.centroids import centroids
 from lodestone.operators.topics import few
 from lodestone.sources.shared import written
 
@@ -169,15 +170,6 @@ def diagnostics(chunks: DataFrame, queries: DataFrame, k: int = 8, threshold: fl
     return every.select("query_id", F.when(F.col("top").isNull(), zero).otherwise(F.col("window")).alias("candidate_rows"), F.coalesce("gated_rows", zero).alias("gated_rows"), F.coalesce("publications", zero).alias("publications"), F.round("top", 4).alias("top_similarity"), F.round(F.col("top") - threshold, 4).alias("margin"), verdict.alias("verdict"))
 
 
-def centroids(chunks: DataFrame, group: str) -> DataFrame:
-    """Mean vector of each group, made of length one (8 decimals)."""
-    each = chunks.filter(F.col("embedding").isNotNull()).select(F.col(group).alias("grp"), F.posexplode("embedding").alias("pos", "x"))
-    means = each.groupBy("grp", "pos").agg(F.avg(F.col("x").cast("double")).alias("m"))
-    vectors = means.groupBy("grp").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda s: s["m"]).alias("v"))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
-    return vectors.withColumn("norm", norm).select("grp", F.transform("v", lambda x: F.round(F.when(F.col("norm") < 1e-12, x).otherwise(x / F.col("norm")), 8)).alias("centroid"))
-
-
 def nearest_centroid(queries: DataFrame, centers: DataFrame) -> DataFrame:
     """The nearest group of each query; centers are few (one a topic) and their number is checked."""
     if centers.limit(10_001).count() > 10_000:

@@ -181,6 +181,32 @@ def merge_evidence(spark, d):
     return evidence.merge_evidence(e).select("question_id", "claim", "metric", "confidence", F.transform("sources", lambda x: x["publication_id"]).alias("ids"))
 
 
+_ROUTES = """u AS (SELECT o_custkey AS question_id, o_orderkey AS position, CASE o_orderkey % 3 WHEN 0 THEN 'Topic ' || (o_orderkey % 4) || ' grew by ' || (o_orderkey % 5) || ' (all-time)' WHEN 1 THEN 'Author ' || (o_orderkey % 4) || ' scores ' || (o_orderkey % 5) || ' in a related topic (' || year(o_orderdate) || ')' ELSE o_orderstatus END AS claim,
+      CASE o_orderkey % 3 WHEN 0 THEN 'growth_score' WHEN 1 THEN 'expertise_score' ELSE 'count' END AS metric, (o_orderkey % 5)::DOUBLE AS value_num, CASE WHEN o_orderkey % 3 = 2 THEN (o_orderkey % 7) / 7 ELSE 1 END AS confidence,
+      CASE WHEN o_orderkey % 3 = 1 THEN year(o_orderdate)::VARCHAR ELSE 'all-time' END AS period, CASE WHEN o_orderkey % 4 > 0 THEN 'filter-' || (o_orderkey % 4) END AS ignored, CASE WHEN o_orderkey % 5 > 1 THEN 'step ' || (o_orderkey % 5) END AS lineage FROM orders)"""
+
+
+@query("u2_unify", "WITH " + _SOURCES + ", " + _ROUTES + """, c AS (SELECT question_id, claim, metric, value_num, period, max(confidence) AS confidence FROM u GROUP BY ALL),
+    r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY confidence DESC, value_num DESC NULLS LAST, metric, claim) AS rank FROM c),
+    s AS (SELECT question_id, count(DISTINCT publication_id) AS n_sources FROM src GROUP BY 1),
+    i AS (SELECT question_id, list(v ORDER BY f) AS filters_ignored FROM (SELECT question_id, ignored AS v, min(position) AS f FROM u WHERE ignored IS NOT NULL GROUP BY 1, 2) GROUP BY 1),
+    l AS (SELECT question_id, string_agg(v, '; ' ORDER BY f) AS lineage FROM (SELECT question_id, lineage AS v, min(position) AS f FROM u WHERE lineage IS NOT NULL GROUP BY 1, 2) GROUP BY 1)
+    SELECT question_id, list(claim ORDER BY rank) AS claims, any_value(n_sources) AS n_sources, coalesce(any_value(filters_ignored), []) AS filters_ignored, any_value(lineage) AS lineage FROM r JOIN s USING (question_id) LEFT JOIN i USING (question_id) LEFT JOIN l USING (question_id) GROUP BY 1""")
+def unified(spark, d):
+    """Three routes' evidence for each customer's question: generic growth and expertise rows, and counts; their sources, ignored filters and lineage."""
+    o = load(spark, d, "orders")
+    k, question = F.col("o_orderkey"), F.col("o_custkey").alias("question_id")
+    score, n = (k % 5).cast("int"), (k % 4).cast("string")
+    rows = o.filter(k % 3 < 2).select(
+        question, F.when(k % 3 == 1, F.year("o_orderdate").cast("string")).alias("period"), F.when(k % 3 == 1, F.concat(F.lit("Author "), n)).alias("author_name"),
+        F.when(k % 3 == 1, score).alias("expertise_score"), F.when(k % 3 == 0, F.concat(F.lit("Topic "), n)).alias("topic_name"), F.when(k % 3 == 0, score).alias("growth_score"))
+    counts = evidence.evidence(o.filter(k % 3 == 2), F.col("o_custkey"), F.col("o_orderstatus"), "count", score, conf=(k % 7) / 7)
+    notes = o.select(question, k.alias("position"), F.when(k % 4 > 0, F.concat(F.lit("filter-"), n)).alias("ignored"), F.when(k % 5 > 1, F.concat(F.lit("step "), score.cast("string"))).alias("lineage"))
+    claims, sources, told = evidence.unify(evidence.from_analytics(rows).unionByName(counts), source_rows(spark, d), notes)
+    listed = claims.groupBy("question_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "claim"))), lambda s: s["claim"]).alias("claims"))
+    return listed.join(sources.groupBy("question_id").agg(F.count(F.lit(1)).alias("n_sources")), "question_id").join(told, "question_id")
+
+
 @query("r14_context_block", "WITH " + _SOURCES + f""", m AS (SELECT question_id, publication_id, max(relevance) AS relevance, arg_min(title, position) FILTER (title IS NOT NULL) AS title, arg_min(year, position) FILTER (year IS NOT NULL) AS year, arg_min(doi, position) FILTER (doi IS NOT NULL) AS doi,
       (SELECT string_agg(v, '; ' ORDER BY f) FROM (SELECT provenance AS v, min(position) AS f FROM src s2 WHERE s2.question_id = src.question_id AND s2.publication_id = src.publication_id GROUP BY 1)) AS provenance FROM src GROUP BY question_id, publication_id),
     r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY coalesce(relevance, 0) DESC, coalesce(year, 0) DESC, coalesce(title, ''), publication_id) AS rank FROM m)

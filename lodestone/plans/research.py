@@ -301,6 +301,33 @@ def expertise(spark, d):
     return topics.expertise(c, a, RECENT)
 
 
+_WORDS = """, kw AS (SELECT topic_id, keyword, count(*) AS n FROM assigned JOIN (SELECT DISTINCT publication_id, lower(keyword) AS keyword FROM keywords) USING (publication_id) GROUP BY ALL),
+    weights AS (SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY weight DESC, keyword) AS r FROM (SELECT topic_id, keyword, n, round(n / sum(n) OVER (PARTITION BY topic_id) * ln(1 + (SELECT sum(n) / count(DISTINCT topic_id) FROM kw) / sum(n) OVER (PARTITION BY keyword)), 9) AS weight FROM kw)),
+    words AS (SELECT * FROM weights WHERE r <= 5)"""
+
+
+@query("k2_topics", with_corpus("publications keywords chunks", _TOTALS + _WORDS + """, listed AS (SELECT topic_id, list(keyword ORDER BY r) AS cluster_keywords FROM words GROUP BY 1),
+    dims AS (SELECT topic_id, i, avg(embedding[i]::DOUBLE) AS x FROM (SELECT topic_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM assigned a JOIN chunks c ON c.publication_id::VARCHAR = a.publication_id) GROUP BY ALL),
+    cen AS (SELECT topic_id, list(round(x / len, 6) ORDER BY i) AS centroid FROM dims JOIN (SELECT topic_id, sqrt(sum(x * x)) AS len FROM dims GROUP BY 1) USING (topic_id) GROUP BY 1)
+    SELECT t.*, coalesce(cluster_keywords, []) AS cluster_keywords, centroid FROM totals t LEFT JOIN listed USING (topic_id) LEFT JOIN cen USING (topic_id)"""))
+def topics_of_corpus(spark, d):
+    c, a, names = assigned(spark, d)
+    table = topics.topics_table(c.publications, c.keywords, c.chunks, a, names)
+    return table.withColumn("centroid", F.transform("centroid", lambda x: F.round(x, 6)))
+
+
+_SEEDED = _ASSIGNED.replace("assigned AS", "seeded AS").replace("FROM assigned", "FROM seeded").replace("cited AS", "seed_cited AS")
+
+
+@query("k5_cluster_expertise", with_corpus("publications keywords pub_author", _SEEDED + _WORDS.replace("FROM assigned", "FROM seeded") + """, assigned AS (SELECT DISTINCT topic_id, publication_id FROM texts JOIN words ON contains(text, keyword)),
+    cited AS (SELECT topic_id, publication_id, year, coalesce(citation_count, 0) AS cited FROM assigned JOIN publications USING (publication_id))""" + _EXPERTISE.removeprefix(_ASSIGNED) + " SELECT * FROM scores"))
+def cluster_expertise(spark, d):
+    """Expertise where publications belong to topics by the topics' cluster keywords, not by their seed terms."""
+    c, a, _ = assigned(spark, d)
+    words = topics.cluster_keywords(written(a, "assigned"), c.keywords)
+    return topics.expertise(c, topics.assign_topics(c.publications, c.keywords, words.select("topic_id", F.col("keyword").alias("term"))), RECENT)
+
+
 @query("k6_trends", with_corpus("publications keywords", _EVOLUTION + f" SELECT evolved.*, topic_name FROM evolved JOIN topic_names USING (topic_id) WHERE is_emerging AND year BETWEEN {LOW} AND {HIGH - 1} ORDER BY year DESC, growth_score DESC, topic_id LIMIT 20"))
 def trends(spark, d):
     _, _, names = assigned(spark, d)
@@ -418,9 +445,12 @@ def search_diagnostics(spark, d):
     return vector.diagnostics(c.chunks, queries_of(c))
 
 
-@query("v6_centroid")
+@query("v6_centroid", with_corpus("chunks", """dims AS (SELECT label AS grp, i, avg(embedding[i]::DOUBLE) AS x FROM (SELECT label, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM chunks) GROUP BY ALL),
+    cen AS (SELECT grp, list(round(x / len, 8) ORDER BY i) AS c FROM dims JOIN (SELECT grp, sqrt(sum(x * x)) AS len FROM dims GROUP BY 1) USING (grp) GROUP BY 1),
+    s AS (SELECT chunk_id AS query_id, grp, list_cosine_similarity(embedding::DOUBLE[], c) AS s FROM chunks, cen WHERE embedding IS NOT NULL)
+    SELECT query_id, grp AS topic, round(s, 4) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, grp) AS r FROM s) WHERE r = 1"""))
 def centroid(spark, d):
-    """Nearest centroid of the labels for every chunk; held against numpy in the tests (sums of doubles differ in the last digits by order)."""
+    """Nearest centroid of the labels for every chunk."""
     c = Corpus(spark, d)
     return vector.nearest_centroid(c.chunks.select(F.col("chunk_id").alias("query_id"), "embedding"), vector.centroids(c.chunks, "label"))
 
@@ -477,6 +507,26 @@ def sweep(spark, d):
     return evaluate.sweep(scored, relevance_of(c), queries_of(c), GATES)
 
 
+_LANES = ", ".join(f"coalesce(sum(('0x' || substr(h, {at}, 15))::BIGINT), 0)::VARCHAR AS {name}" for at, name in ((1, "lane_a"), (17, "lane_b")))
+
+
+def _lane_sql(table: str, columns: list[str]) -> str:
+    parts = ", ".join(f"coalesce(replace(({c})::VARCHAR, chr(92), chr(92) || chr(92)), chr(92) || 'N')" for c in columns)
+    return f"SELECT '{table}' AS \"table\", count(*) AS rows, {_LANES} FROM (SELECT md5(concat_ws(chr(31), {parts})) AS h FROM {table})"
+
+
+@query("e1_fingerprint", with_corpus("publications chunks", " UNION ALL ".join([
+    _lane_sql("publications", ["publication_id", "eid", "doi", "title", "year", "source_title", "citation_count", "document_type"]),
+    _lane_sql("chunks", ["chunk_id", "publication_id", "chunk_text", "label", "array_to_string(list_transform(embedding, lambda x: floor(x::DOUBLE * 1000000)::BIGINT), ',')"])])))
+def corpus_fingerprint(spark, d):
+    """What a benchmark's labels are bound to: publications, and chunks with their vectors."""
+    c = Corpus(spark, d)
+    whole = F.array_join(F.transform("embedding", lambda x: F.floor(x.cast("double") * 1_000_000).cast("string")), ",")
+    chunks = c.chunks.withColumn("vector", whole)
+    return evaluate.fingerprint(c.publications, "publications", ["publication_id", "eid", "doi", "title", "year", "source_title", "citation_count", "document_type"]).unionByName(
+        evaluate.fingerprint(chunks, "chunks", ["chunk_id", "publication_id", "chunk_text", "label", "vector"]))
+
+
 @query("e5_select", with_corpus("chunks", search_sql(0.0, 50) + _METRICS.replace("{gates}", ", ".join(map(str, GATES))) + """,
     neg AS (SELECT q.query_id, max(h.similarity) AS top FROM q LEFT JOIN (SELECT * FROM hits ANTI JOIN rel USING (query_id, publication_id)) h ON h.query_id = q.query_id WHERE q.query_id % 100 = 60 GROUP BY 1),
     fpr AS (SELECT threshold, avg((coalesce(top, -1) >= threshold)::INT) AS fp FROM gates CROSS JOIN neg GROUP BY 1),

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.operators import entities, evaluate, spread, vector
+from lodestone.operators import entities, evaluate, evidence, spread, topics, vector
 from lodestone.plans import research
 from lodestone.sources.corpus import Corpus
 
@@ -86,3 +86,34 @@ def test_recall_of_the_registered_approximate_searches(spark, sf):
     exact = vector.vector_search(c.chunks, research.queries_of(c), 8, research.CELL_GATE)
     assert evaluate.recall(research.cluster_search(spark, folder), exact).first().recall >= 0.9
     assert evaluate.recall(research.lsh(spark, folder), vector.vector_search(c.chunks, research.queries_of(c))).first().recall >= 0.9
+
+
+def test_cluster_keywords_by_hand(spark):
+    assigned = spark.createDataFrame([(1, "p1"), (1, "p2"), (2, "p3"), (2, "p1")], "topic_id int, publication_id string")
+    keywords = spark.createDataFrame([("p1", "Both"), ("p1", "both"), ("p2", "one"), ("p3", "two"), ("p3", "also two"), ("p9", "none")], "publication_id string, keyword string")
+    got = {(r.topic_id, r.rank): (r.keyword, r.weight) for r in topics.cluster_keywords(assigned, keywords, 2).collect()}
+    lone = lambda own: round(1 / own * float(np.log1p(2.5 / 1)), 9)  # noqa: E731  five occurrences in two topics
+    both = lambda own: round(1 / own * float(np.log1p(2.5 / 2)), 9)
+    assert got == {(1, 1): ("one", lone(2)), (1, 2): ("both", both(2)), (2, 1): ("also two", lone(3)), (2, 2): ("two", lone(3))}
+    assert topics.cluster_keywords(assigned.limit(0), keywords).collect() == []
+
+
+def test_fingerprint_is_of_the_rows_alone(spark):
+    rows = [(i % 50, f"t{i % 50}" if i % 7 else None) for i in range(200)]
+    df = spark.createDataFrame(rows, "k int, t string")
+    one = evaluate.fingerprint(df, "x", ["k", "t"]).first()
+    assert evaluate.fingerprint(df.orderBy(F.desc("t")).repartition(7), "x", ["k", "t"]).first() == one and one.rows == 200
+    for other in (df.unionByName(df.limit(1)), df.withColumn("t", F.coalesce("t", F.lit("\\N"))), df.withColumn("t", F.coalesce("t", F.lit("")))):
+        assert evaluate.fingerprint(other, "x", ["k", "t"]).first()[2:] != one[2:]
+    now = spark.createDataFrame([("a", 1, "1", "1"), ("b", 2, "1", "1"), ("c", 3, "1", "1"), ("d", 4, "4", "4")], "table string, rows long, lane_a string, lane_b string")
+    then = spark.createDataFrame([("a", 1, "1", "1"), ("b", 3, "1", "1"), ("c", 3, "1", "2"), ("e", 4, "4", "4")], now.schema)
+    assert {tuple(r) for r in evaluate.fingerprint_changes(now, then).collect()} == {("b", "other_rows"), ("c", "other_content"), ("d", "new"), ("e", "missing")}
+
+
+def test_generic_rows_and_notes(spark):
+    rows = spark.createDataFrame([(1, None, "A", 3.5, "T", 0.1), (1, "2020", None, None, "T", 0.25), (1, None, "A", None, None, 1.0), (2, None, "B", 2.0, None, None)], "question_id long, period string, author_name string, expertise_score double, topic_name string, growth_score double")
+    assert sorted((r.question_id, r.metric, r.claim, r.confidence) for r in evidence.from_analytics(rows).collect()) == [(1, "expertise_score", "A scores 3.5 in T (all-time)", 1.0), (1, "growth_score", "T grew by 0.25 (2020)", 1.0), (2, "expertise_score", "B scores 2.0 in a related topic (all-time)", 1.0)]
+    notes = spark.createDataFrame([(1, 3, "b", "x"), (1, 1, "a", " "), (1, 2, "b", None), (1, 4, "a", "y"), (2, 1, None, None)], "question_id long, position int, ignored string, lineage string")
+    sources = spark.createDataFrame([], "question_id long, position int, publication_id string, title string, year int, doi string, relevance double, provenance string")
+    _, _, told = evidence.unify(evidence.from_analytics(rows), sources, notes)
+    assert {r.question_id: (r.filters_ignored, r.lineage) for r in told.collect()} == {1: (["a", "b"], "x; y"), 2: ([], None)}
