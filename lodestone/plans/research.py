@@ -308,12 +308,11 @@ _WORDS = """, kw AS (SELECT topic_id, keyword, count(*) AS n FROM assigned JOIN
 
 @query("k2_topics", with_corpus("publications keywords chunks", _TOTALS + _WORDS + """, listed AS (SELECT topic_id, list(keyword ORDER BY r) AS cluster_keywords FROM words GROUP BY 1),
     dims AS (SELECT topic_id, i, avg(embedding[i]::DOUBLE) AS x FROM (SELECT topic_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM assigned a JOIN chunks c ON c.publication_id::VARCHAR = a.publication_id) GROUP BY ALL),
-    cen AS (SELECT topic_id, list(round(x / len, 6) ORDER BY i) AS centroid FROM dims JOIN (SELECT topic_id, sqrt(sum(x * x)) AS len FROM dims GROUP BY 1) USING (topic_id) GROUP BY 1)
+    cen AS (SELECT topic_id, list(round(x / len, 8) ORDER BY i) AS centroid FROM dims JOIN (SELECT topic_id, sqrt(sum(x * x)) AS len FROM dims GROUP BY 1) USING (topic_id) GROUP BY 1)
     SELECT t.*, coalesce(cluster_keywords, []) AS cluster_keywords, centroid FROM totals t LEFT JOIN listed USING (topic_id) LEFT JOIN cen USING (topic_id)"""))
 def topics_of_corpus(spark, d):
     c, a, names = assigned(spark, d)
-    table = topics.topics_table(c.publications, c.keywords, c.chunks, a, names)
-    return table.withColumn("centroid", F.transform("centroid", lambda x: F.round(x, 6)))
+    return topics.topics_table(c.publications, c.keywords, c.chunks, a, names)
 
 
 _SEEDED = _ASSIGNED.replace("assigned AS", "seeded AS").replace("FROM assigned", "FROM seeded").replace("cited AS", "seed_cited AS")
