@@ -81,9 +81,9 @@ def session_title(col: Column, most: int = 80, default: str = "New session") ->
     return F.when(one == "", F.lit(default)).when(F.length(one) <= most, one).otherwise(cut)
 
 
-def scope_label(keys: list[str]) -> Column:
-    """key=value pairs of the set columns, in order."""
-    return F.concat_ws("; ", *(F.when(F.col(k).isNotNull(), F.concat(F.lit(f"{k}="), F.col(k).cast("string"))) for k in keys))
+def scope_label(keys: list[str], labels: dict[str, str] | None = None) -> Column:
+    """key=value pairs of the set columns, in order; labels: what stands for a key."""
+    return F.concat_ws("; ", *(F.when(F.col(k).isNotNull(), F.concat(F.lit(f"{(labels or {}).get(k, k)}="), F.col(k).cast("string"))) for k in keys))
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -366,11 +366,15 @@ def block(spark, d):
     return conversation.block(Corpus(spark, d).messages)
 
 
-@query("c1_sessions", with_corpus("messages", r"""f AS (SELECT session_id, count(DISTINCT seq) AS message_count, count(DISTINCT route) AS route_count, arg_max(route, seq) FILTER (route IS NOT NULL) AS last_route, max(created_at) AS last_message_at,
-      trim(regexp_replace(coalesce(arg_min(content, seq) FILTER (role = 'user'), ''), '[ \t\n\x0B\f\r]+', ' ', 'g')) AS q FROM messages GROUP BY 1)
-    SELECT session_id, message_count, route_count, last_route, last_message_at, CASE WHEN q = '' THEN 'New session' WHEN length(q) <= 80 THEN q ELSE regexp_replace(substr(q, 1, 80), '\s\S*$', '') END AS title FROM f ORDER BY last_message_at DESC NULLS LAST, session_id LIMIT 50"""))
+@query("c1_sessions", with_corpus("messages sessions", r"""f AS (SELECT session_id, count(DISTINCT seq) AS message_count, count(DISTINCT route) AS route_count, arg_max(route, seq) FILTER (route IS NOT NULL) AS last_route, max(created_at) AS last_message_at,
+      trim(regexp_replace(coalesce(arg_min(content, seq) FILTER (role = 'user'), ''), '[ \t\n\x0B\f\r]+', ' ', 'g')) AS q FROM messages GROUP BY 1),
+      n AS (SELECT session_id, count(DISTINCT source) AS n FROM (SELECT session_id, unnest(source_keys) AS source FROM messages) GROUP BY 1)
+    SELECT session_id, message_count, route_count, last_route, last_message_at, CASE WHEN q = '' THEN 'New session' WHEN length(q) <= 80 THEN q ELSE regexp_replace(substr(q, 1, 80), '\s\S*$', '') END AS title, coalesce(n, 0) AS source_count
+    FROM f JOIN sessions USING (session_id) LEFT JOIN n USING (session_id) WHERE status = 'active' ORDER BY last_message_at DESC NULLS LAST, session_id LIMIT 50"""))
 def sessions(spark, d):
-    return conversation.sessions(Corpus(spark, d).messages, 50)
+    """The page of active sessions."""
+    c = Corpus(spark, d)
+    return conversation.sessions(c.messages, 50, c.sessions)
 
 
 @query("c2_recent", with_corpus("messages", "SELECT session_id, seq, row_number() OVER (PARTITION BY session_id ORDER BY created_at, seq)::INT AS position FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY created_at DESC, seq DESC) AS r FROM messages) WHERE r <= 4"))
@@ -378,24 +382,59 @@ def recent(spark, d):
     return conversation.recent(Corpus(spark, d).messages, 4).select("session_id", "seq", "position")
 
 
-@query("c3_scope", with_corpus("messages", """SELECT session_id, seq, last_value(country IGNORE NULLS) OVER w AS scope_country, last_value(topic_name IGNORE NULLS) OVER w AS scope_topic_name FROM messages
-    WINDOW w AS (PARTITION BY session_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""))
+_SCOPED = "s AS (SELECT *, " + ", ".join(f"last_value({k if k.startswith('year') else f"nullif({k}, '')"} IGNORE NULLS) OVER w AS scope_{k}" for k in conversation.SCOPE_KEYS) + """ FROM messages
+    WINDOW w AS (PARTITION BY session_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"""
+
+
+@query("c3_scope", with_corpus("messages", _SCOPED + " SELECT session_id, seq, " + ", ".join(f"scope_{k}" for k in conversation.SCOPE_KEYS) + " FROM s"))
 def scope(spark, d):
-    return conversation.scope(Corpus(spark, d).messages).select("session_id", "seq", "scope_country", "scope_topic_name")
+    """All eight inherited filters after each turn."""
+    return conversation.scope(Corpus(spark, d).messages).select("session_id", "seq", *(f"scope_{k}" for k in conversation.SCOPE_KEYS))
+
 
+def _own(k: str) -> str:
+    return k if k.startswith("year") else f"nullif({k}, '')"
 
-@query("c4_effective_filters", with_corpus("messages", """s AS (SELECT *, last_value(country IGNORE NULLS) OVER w AS sc, last_value(topic_name IGNORE NULLS) OVER w AS st FROM messages WINDOW w AS (PARTITION BY session_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
-    SELECT session_id, seq, list_filter([CASE WHEN country IS NULL AND sc IS NOT NULL THEN 'country' END, CASE WHEN topic_name IS NULL AND st IS NOT NULL THEN 'topic_name' END], lambda x: x IS NOT NULL) AS inherited, coalesce(country, sc) AS effective_country, coalesce(topic_name, st) AS effective_topic_name FROM s"""))
+
+@query("c4_effective_filters", with_corpus("messages", _SCOPED + " SELECT session_id, seq, list_filter([" + ", ".join(f"CASE WHEN {_own(k)} IS NULL AND scope_{k} IS NOT NULL THEN '{k}' END" for k in conversation.SCOPE_KEYS)
+       + "], lambda x: x IS NOT NULL) AS inherited, " + ", ".join(f"coalesce({_own(k)}, scope_{k}) AS effective_{k}" for k in conversation.SCOPE_KEYS) + " FROM s"))
 def effective(spark, d):
-    return conversation.effective_filters(conversation.scope(Corpus(spark, d).messages)).select("session_id", "seq", "inherited", "effective_country", "effective_topic_name")
+    scoped = conversation.effective_filters(conversation.scope(Corpus(spark, d).messages))
+    return scoped.select("session_id", "seq", "inherited", *(f"effective_{k}" for k in conversation.SCOPE_KEYS))
+
+
+def _shown(text: str, most: int) -> str:
+    one = f"trim(regexp_replace({text}, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))"
+    return f"CASE WHEN length({one}) > {most} THEN rtrim(substr({one}, 1, {most - 1})) || '…' ELSE {one} END"
+
 
+_LAST = "l AS (SELECT session_id, count(DISTINCT seq) AS messages_covered, " + ", ".join(f"arg_max({_own(k)}, seq) FILTER ({_own(k)} IS NOT NULL) AS {k}" for k in conversation.SCOPE_KEYS) + " FROM messages GROUP BY 1)"
 
-@query("c5_summary")
+
+def _scope_sql(labels: dict[str, str]) -> str:
+    return "concat_ws('; ', " + ", ".join(f"'{labels[k]}=' || {k}" for k in conversation.SCOPE_KEYS) + ")"
+
+
+_SUMMARIES = _LAST + f""", u AS (SELECT session_id, content, row_number() OVER (PARTITION BY session_id ORDER BY seq DESC) AS r FROM messages WHERE role = 'user'),
+    a AS (SELECT session_id, max(CASE WHEN r = 1 THEN {_shown('content', 200)} END) AS latest, string_agg({_shown('content', 160)}, ' | ' ORDER BY r) FILTER (r BETWEEN 2 AND 7) AS before FROM u GROUP BY 1),
+    sums AS (SELECT session_id, substr(concat_ws(chr(10), 'Latest: ' || latest, 'Scope: ' || nullif({_scope_sql({k: k for k in conversation.SCOPE_KEYS})}, ''), 'Earlier: ' || before), 1, 1200) AS summary, messages_covered FROM l LEFT JOIN a USING (session_id))"""
+
+
+@query("c5_summary", with_corpus("messages", _SUMMARIES + " SELECT * FROM sums"))
 def summaries(spark, d):
-    """Summary texts; golden cases in the tests."""
     return conversation.summaries(Corpus(spark, d).messages)
 
 
+@query("c7_context", with_corpus("messages", _SUMMARIES + f""", n AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY created_at DESC, seq DESC) AS r FROM messages),
+    t AS (SELECT session_id, string_agg(CASE WHEN role = 'user' THEN '{conversation.USER_SPEAKS}' ELSE '{conversation.ASSISTANT_SPEAKS}' END || ': ' || {_shown("coalesce(content, '')", 200)}, chr(10) ORDER BY r DESC) AS turns FROM n WHERE r <= 6 GROUP BY 1)
+    SELECT l.session_id, concat_ws(chr(10) || chr(10), '{conversation.SUMMARY_HEAD}' || chr(10) || nullif(trim(summary), ''), '{conversation.SCOPE_HEAD}' || chr(10) || nullif({_scope_sql(conversation.SCOPE_LABELS)}, ''),
+      '{conversation.TURNS_HEAD}' || chr(10) || turns) AS context FROM l JOIN sums USING (session_id) LEFT JOIN t USING (session_id)"""))
+def context(spark, d):
+    """The prompt text of every session: summary, scope in its labels, newest turns."""
+    m = Corpus(spark, d).messages
+    return conversation.context(m, conversation.summaries(m))
+
+
 @query("c9_stale", with_corpus("messages", "SELECT session_id, count(DISTINCT seq) // 2 AS messages_covered, count(DISTINCT seq) AS messages FROM messages GROUP BY 1 HAVING count(DISTINCT seq) // 2 < count(DISTINCT seq)"))
 def stale(spark, d):
     m = Corpus(spark, d).messages

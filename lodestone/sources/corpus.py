@@ -94,7 +94,22 @@ class Corpus:
             F.when(F.col("role") == "assistant", F.element_at(routes, ((F.col("conv_id") + F.col("turn")) % 4 + 1).cast("int"))).alias("route"),
             F.when(F.col("turn") % 4 == 0, F.concat(F.lit("country-"), (F.col("conv_id") % 5).cast("string"))).alias("country"),
             F.when(F.col("turn") % 6 == 0, F.concat(F.lit("topic-"), (F.col("turn") % 3).cast("string"))).alias("topic_name"),
-        )
+            F.when(F.col("turn") % 5 == 1, F.concat(F.lit("author-"), (F.col("conv_id") % 7).cast("string"))).alias("author_name"),
+            F.when(F.col("turn") % 7 == 2, F.concat(F.lit("institution-"), (F.col("conv_id") % 3).cast("string"))).when(F.col("turn") % 7 == 5, "").alias("institution_name"),
+            F.when(F.col("turn") % 9 == 4, F.concat(F.lit("keyword-"), (F.col("turn") % 4).cast("string"))).alias("keyword"),
+            F.when(F.col("turn") % 8 == 3, "Article").alias("document_type"),
+            F.when(F.col("turn") % 10 == 6, 2000 + F.col("conv_id") % 20).cast("int").alias("year_from"),
+            F.when(F.col("turn") % 10 == 7, 2020 + F.col("conv_id") % 5).cast("int").alias("year_to"),
+            F.when(F.col("role") == "assistant", F.array(
+                F.struct(((F.col("conv_id") + F.col("turn")) % 6).cast("string").alias("publication_id"), F.lit("10.1000/x").alias("doi"), F.lit("First").alias("title")),
+                F.struct(F.lit(None).cast("string").alias("publication_id"), F.when(F.col("turn") % 3 == 0, F.concat(F.lit("10.1000/"), (F.col("turn") % 4).cast("string"))).alias("doi"), F.concat(F.lit("Title "), (F.col("turn") % 5).cast("string")).alias("title")),
+            )).alias("sources"),
+        )
+
+    @cached_property
+    def sessions(self) -> DataFrame:
+        """session_id and its status: every seventh is archived."""
+        return self._table("conversations").select(F.col("conv_id").alias("session_id"), F.when(F.col("conv_id") % 7 == 0, "archived").otherwise("active").alias("status")).distinct()
 
 
 #: The same tables as DuckDB common table expressions over the same files.
@@ -112,7 +127,12 @@ CORPUS_SQL = {
     "chunks": "chunks AS (SELECT vec_id AS chunk_id, vec_id // 2 AS publication_id, d.text AS chunk_text, embedding, label FROM embeddings LEFT JOIN documents d ON vec_id = d.doc_id)",
     "messages": """messages AS (SELECT conv_id AS session_id, turn AS seq, role, text AS content, to_timestamp(1704067200 + turn * 60)::TIMESTAMP AS created_at,
         CASE WHEN role = 'assistant' THEN ['sql', 'vector', 'graph', 'hybrid'][((conv_id + turn) % 4 + 1)::INT] END AS route,
-        CASE WHEN turn % 4 = 0 THEN 'country-' || (conv_id % 5) END AS country, CASE WHEN turn % 6 = 0 THEN 'topic-' || (turn % 3) END AS topic_name FROM conversations)""",
+        CASE WHEN turn % 4 = 0 THEN 'country-' || (conv_id % 5) END AS country, CASE WHEN turn % 6 = 0 THEN 'topic-' || (turn % 3) END AS topic_name,
+        CASE WHEN turn % 5 = 1 THEN 'author-' || (conv_id % 7) END AS author_name, CASE WHEN turn % 7 = 2 THEN 'institution-' || (conv_id % 3) WHEN turn % 7 = 5 THEN '' END AS institution_name,
+        CASE WHEN turn % 9 = 4 THEN 'keyword-' || (turn % 4) END AS keyword, CASE WHEN turn % 8 = 3 THEN 'Article' END AS document_type,
+        CASE WHEN turn % 10 = 6 THEN 2000 + conv_id % 20 END::INT AS year_from, CASE WHEN turn % 10 = 7 THEN 2020 + conv_id % 5 END::INT AS year_to,
+        CASE WHEN role = 'assistant' THEN [((conv_id + turn) % 6)::VARCHAR, coalesce(CASE WHEN turn % 3 = 0 THEN '10.1000/' || (turn % 4) END, 'Title ' || (turn % 5))] END AS source_keys FROM conversations)""",
+    "sessions": "sessions AS (SELECT DISTINCT conv_id AS session_id, CASE WHEN conv_id % 7 = 0 THEN 'archived' ELSE 'active' END AS status FROM conversations)",
 }
 
 
