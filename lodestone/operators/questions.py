@@ -8,22 +8,39 @@ from pyspark.sql import functions as F
 from lodestone.functions.columns import ignored_filters
 from lodestone.operators.relational import request_limit
 
-# Routes and intents in the order in which they are tried, with what tells them.
-ROUTES = [
-    ("graph", r"\b(collaborat|co-?author|partner|network|path between|connected)"),
-    ("hybrid", r"\b(trend|emerging|expert|expertise|growing|hotspot)"),
-    ("sql", r"\b(how many|count|top \d+|most cited|average|total|list|number of|funding|grants?)\b"),
-    ("vector", r"\b(about|similar|related to|discuss|explain|what is|papers on)\b"),
-]
+# Words of questions in English and Indonesian.
+PUBLICATIONS = "publications?|papers?|articles?|stud(?:y|ies)|publikasi|artikel|jurnal|karya"
+AUTHORS = "authors?|researchers?|penulis|peneliti"
+INSTITUTIONS = "institutions?|universit(?:y|ies)|affiliations?|institusi|universitas"
+GRANTS = "funding|funded|grants?|dana|hibah"
+MEAN = r"average|mean|rata-?\s?rata|rerata"
+BEST = "teratas|terproduktif|paling produktif"
+NUMBER = "berapa(?:kah)?|jumlah|total|hitung"
+TOPIC_AREAS = "topics?|topik|bidang|research areas?|clusters?"
+# Intents in the order in which they are tried, with what tells them.
 INTENTS = [
-    ("average_citations", r"\b(average|mean)\b.*\bcitation"),
-    ("most_cited", r"\bmost[ -]cited\b|\bhighest citation"),
-    ("funding", r"\b(funding|grants?|funded)\b"),
-    ("top_institutions", r"\btop\b.*\b(institution|universit|affiliation)"),
-    ("top_authors", r"\b(top|most productive|most prolific)\b.*\b(author|researcher)"),
-    ("count", r"\b(how many|number of|count)\b"),
-    ("list", r"\b(list|show|which)\b.*\b(publication|paper|article)"),
+    ("average_citations", rf"\b(?:{MEAN})\b.*\b(?:citation|sitasi)"),
+    ("most_cited", r"\b(?:most|top|highest)[ -]cit(?:ed|ations?)\b|\bpaling banyak disitasi\b|\bsitasi terbanyak\b"),
+    ("funding", rf"\b(?:{GRANTS})\b"),
+    ("top_institutions", rf"\b(?:top|most productive)\b.*\b(?:{INSTITUTIONS})\b|\b(?:{INSTITUTIONS})\s+(?:{BEST}|top)\b"),
+    ("top_authors", rf"\b(?:top|most productive|most prolific|most active)\b.*\b(?:{AUTHORS})\b|\b(?:{AUTHORS})\s+(?:{BEST})\b|\b(?:highest|most|greatest)\s+(?:publication count|publications|papers|articles)\b"),
+    ("count", rf"\b(?:how many|number of|count)\b|\b(?:{NUMBER})\b.*\b(?:{PUBLICATIONS})\b|\bseberapa banyak\b"),
+    ("list", rf"\b(?:list|show|which|daftar|tampilkan|sebutkan)\b.*\b(?:{PUBLICATIONS})\b|\b(?:{PUBLICATIONS})\s+(?:pada tahun|tahun|in year|published in|(?:in|on)\s+\d{{4}})"),
+]
+# Routes in the order in which they are tried. A question that an intent reads goes to the tables, so that no intent is out of reach.
+ROUTES = [
+    ("graph", r"\b(?:collaborat|co-?author|partner|network|path between|connected|worked with|joint publication|published with|kolaborasi|berkolaborasi|kerja ?sama|kemitraan|rekan penulis|jaringan|mitra)|\b(?:bekerja|kerja)\s+(?:bersama|dengan|pada)\b"),
+    ("hybrid", rf"\b(?:tren|emerging|expert|growing|growth score|hotspot|evolution|evolved|perkembangan|evolusi|kepakaran|policy synthesis|sintesis kebijakan|rekomendasi kebijakan|arah riset)|\b(?:pakar|ahli)\b|\b(?:berkembang|baru|terbaru|muncul)\b.*\b(?:{TOPIC_AREAS})\b|\b(?:{TOPIC_AREAS})\s+(?:berkembang|baru|populer)\b|\btop\s*\d*\s*(?:{TOPIC_AREAS})\b"),
+    ("sql", r"\b(?:top \d+|\d+ teratas|peringkat|ranking|total|list|funding agency|sumber dana|grant number|open access|document type|tipe dokumen|bahasa dokumen)\b|" + "|".join(p for _, p in INTENTS)),
+    ("vector", r"\b(?:about|similar|related to|discuss|explain|what is|(?:papers?|articles?|studies|literature) on|(?:concept|mechanism|role|effect|impact) of|tentang|mengenai|membahas|meneliti|konsep|mekanisme|pengaruh|efek|peran|terkait)"),
 ]
+# Words with which a topic filter asks for trends, and words with which other filters ask for rows of tables.
+TREND_WORDS = r"tren|pakar|expert|evolusi|growth"
+LISTING_WORDS = r"siapa|who|berapa|how many|daftar|list|tampilkan|show|publikasi|papers"
+ROW_FILTERS = ["year", "year_from", "year_to", "author_name", "institution_name", "country", "document_type", "keyword"]
+# What a topic's words come after, and what they end before.
+TOPIC_AFTER = r"topik|bidang|riset|terapi|teknologi|domain|tentang|mengenai|on|about|evolution of"
+TOPIC_BEFORE = r"5\s*tahun|dalam|pada|tahun|di|in|who|siapa|dan|and|setelah|sejak|sebelum|antara|after|since|before|between|from|over time|evolusi|evolv\w*|berkembang\w*"
 YEAR_LOW, YEAR_HIGH = 1900, 2026
 USED = {"sql": {"year", "author_name", "institution_name", "country"}, "vector": {"year", "country", "author_name", "document_type"}, "graph": {"author_name", "institution_name", "keyword"}, "hybrid": {"topic_name", "year", "author_name"}}
 
@@ -36,11 +53,40 @@ def first_match(question: Column, rules: list[tuple[str, str]], other: str | Non
     return out
 
 
-def route(df: DataFrame, question: str = "question") -> DataFrame:
-    """Columns route and route_reason; questions that nothing tells go to vector search."""
-    q = F.col(question)
-    found = first_match(q, ROUTES, None)
-    return df.withColumn("route", F.coalesce(found, F.lit("vector"))).withColumn("route_reason", F.when(found.isNotNull(), "pattern").otherwise("fallback"))
+def _set(df: DataFrame, filters: list[str]) -> Column:
+    """Whether a row has any of the filters that df has; an empty text is none."""
+    some = F.lit(False)
+    for name in filters:
+        if name in df.columns:
+            some = some | (F.coalesce(F.col(name).cast("string"), F.lit("")) != "")
+    return some
+
+
+def route(df: DataFrame, question: str = "question", filters: list[str] | None = None) -> DataFrame:
+    """Columns route and route_reason (pattern, filters or fallback).
+
+    filters names columns of given filters that take part: a topic with words for trends or experts goes to hybrid before the tables are
+    tried, any other filter with words for a list goes to the tables before vector search is, and what nothing tells goes to hybrid
+    where a topic is given, else to vector search.
+    """
+    q = F.lower(F.col(question))
+    given = filters or []
+    topic = _set(df, [c for c in given if c == "topic_name"])
+    rows = _set(df, [c for c in given if c in ROW_FILTERS])
+    told = {name: F.coalesce(q.rlike(pattern), F.lit(False)) for name, pattern in ROUTES}
+    by_topic, by_rows = topic & q.rlike(TREND_WORDS), rows & q.rlike(LISTING_WORDS)
+    found = F.when(told["graph"], "graph").when(told["hybrid"] | by_topic, "hybrid").when(told["sql"] | by_rows, "sql").when(told["vector"], "vector")
+    by_filter = ~told["graph"] & ~told["hybrid"] & (by_topic | (~told["sql"] & by_rows))
+    reason = F.when(found.isNull(), "fallback").when(by_filter, "filters").otherwise("pattern")
+    return df.withColumn("route", F.coalesce(found, F.when(topic, "hybrid").otherwise("vector"))).withColumn("route_reason", reason)
+
+
+def topic_words(df: DataFrame, question: str = "question") -> DataFrame:
+    """Column topic_words: the given topic or keyword (columns topic_name, keyword, if there), else the question's words after a word that leads to a topic."""
+    given = [F.nullif(F.trim(F.col(c)), F.lit("")) for c in ("topic_name", "keyword") if c in df.columns]
+    said = F.regexp_extract(F.col(question), rf"(?i)\b(?:{TOPIC_AFTER})\s+([a-zA-Z0-9&+\s-]+?)(?:\s+(?:{TOPIC_BEFORE})\b|\s*\?|\s*$)", 1)
+    said = F.trim(F.regexp_replace(said, r"(?i)^(?:(?:topik|bidang|riset|terapi|teknologi|domain|the)\s+)+", ""))
+    return df.withColumn("topic_words", F.coalesce(*given, F.nullif(said, F.lit(""))))
 
 
 def intent(df: DataFrame, question: str = "question") -> DataFrame:
@@ -55,9 +101,9 @@ def years(df: DataFrame, question: str = "question") -> DataFrame:
         y = F.nullif(F.regexp_extract(q, pattern, group), F.lit("")).cast("int")
         return F.when(y.between(YEAR_LOW, YEAR_HIGH), y)
 
-    span = r"(?:between|from)\s+(\d{4})\s*(?:and|to|-)\s*(\d{4})|(\d{4})\s*-\s*(\d{4})"
+    span = r"(?:between|from|antara|dari)\s+(\d{4})\s*(?:and|to|dan|hingga|sampai|-)\s*(\d{4})|(\d{4})\s*(?:-|–|—|to|dan|hingga|sampai|s/d)\s*(\d{4})"
     a, b = F.coalesce(year(span, 1), year(span, 3)), F.coalesce(year(span, 2), year(span, 4))
-    after, before = year(r"\b(?:after|since|from)\s+(\d{4})", 1), year(r"\b(?:before|until|up to)\s+(\d{4})", 1)
+    after, before = year(r"\b(?:after|since|from|setelah|sejak)\s+(?:tahun\s+)?(\d{4})", 1), year(r"\b(?:before|until|up to|sebelum|hingga|sampai)\s+(?:tahun\s+)?(\d{4})", 1)
     over, under, bare = year(r">\s*(\d{4})", 1), year(r"<\s*(\d{4})", 1), year(r"\b(\d{4})\b", 1)
     both = a.isNotNull() & b.isNotNull()
     op = F.when(both, "between").when(after.isNotNull(), "gte").when(before.isNotNull(), "lte").when(over.isNotNull(), "gt").when(under.isNotNull(), "lt").when(bare.isNotNull(), "eq")
@@ -75,19 +121,22 @@ def names(df: DataFrame, question: str = "question") -> DataFrame:
         plain = F.regexp_extract(q, rf"(?i:\b(?:{words}))\s+(?:\"([^\"]+)\"|([A-Z][\w#.]*(?:\s+[A-Z#][\w#.]*)*))", 2)
         return F.nullif(F.coalesce(F.nullif(found, F.lit("")), plain), F.lit(""))
 
-    return df.withColumns({"author_name": after("by|author|with"), "institution_name": after("at|institution|university")})
+    return df.withColumns({"author_name": after("by|author|with|oleh|penulis|dengan"), "institution_name": after("at|institution|university|institusi|universitas")})
 
 
 def hybrid_kind(df: DataFrame, question: str = "question") -> DataFrame:
-    """Columns hybrid_kind (trends, experts, combined) and emerging_only."""
+    """Columns hybrid_kind (trends, experts; combined for both or neither) and emerging_only."""
     q = F.lower(F.col(question))
-    trend, expert = q.rlike(r"\b(trend|emerging|growing|evolution)"), q.rlike(r"\b(expert|expertise|who)")
-    return df.withColumns({"hybrid_kind": F.when(trend & expert, "combined").when(expert, "experts").otherwise("trends"), "emerging_only": q.rlike(r"\bemerging\b")})
+    trend = q.rlike(r"\b(?:tren|emerging|growing|growth|evol|perkembangan|akselerasi|acceleration|berkembang)")
+    expert = q.rlike(rf"\b(?:expert|pakar|ahli|kepakaran|{AUTHORS}|who|siapa|terkemuka)")
+    kind = F.when(trend & ~expert, "trends").when(expert & ~trend, "experts").otherwise("combined")
+    return df.withColumns({"hybrid_kind": kind, "emerging_only": q.rlike(r"\bemerging\b|\b(?:topik|bidang)\s+(?:berkembang|baru)\b")})
 
 
 def graph_template(df: DataFrame, question: str = "question") -> DataFrame:
     q = F.lower(F.col(question))
-    return df.withColumn("graph_template", F.when(q.rlike(r"\bpath|\bconnect"), "paths").when(q.rlike(r"\bkeyword"), "keyword_institutions").when(q.rlike(r"\bco-?author|\bresearcher"), "coauthors").otherwise("partners"))
+    kind = F.when(q.rlike(r"\b(?:path|connect|jalur|terhubung)"), "paths").when(q.rlike(r"\bkeyword|\bkata kunci"), "keyword_institutions")
+    return df.withColumn("graph_template", kind.when(q.rlike(r"\b(?:co-?author|researcher|rekan penulis|peneliti)"), "coauthors").otherwise("partners"))
 
 
 def fold_years(df: DataFrame) -> DataFrame:
@@ -102,10 +151,10 @@ def fold_years(df: DataFrame) -> DataFrame:
     })
 
 
-def read(df: DataFrame, question: str = "question") -> DataFrame:
-    """All of the above on a questions table."""
-    out = request_limit(names(years(intent(route(df, question), question), question), question), question)
-    return graph_template(hybrid_kind(out, question), question)
+def read(df: DataFrame, question: str = "question", filters: list[str] | None = None) -> DataFrame:
+    """All of the above on a questions table; filters as in route."""
+    out = request_limit(names(years(intent(route(df, question, filters), question), question), question), question)
+    return topic_words(graph_template(hybrid_kind(out, question), question), question)
 
 
 def ignored(df: DataFrame, filters: list[str]) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestone.plans import answers, research
+from lodestone.plans import answers, research, wording
 
-QUERIES = {**research.QUERIES, **answers.QUERIES}
-ORACLE_SQL = {**research.ORACLE_SQL, **answers.ORACLE_SQL}
+QUERIES = {**research.QUERIES, **answers.QUERIES, **wording.QUERIES}
+ORACLE_SQL = {**research.ORACLE_SQL, **answers.ORACLE_SQL, **wording.ORACLE_SQL}
