@@ -96,20 +96,34 @@ def intent(df: DataFrame, question: str = "question") -> DataFrame:
 def years(df: DataFrame, question: str = "question") -> DataFrame:
     """Columns year_op, year_from, year_to: between, after, before, signs, then a bare year; years out of range do not count."""
     q = F.lower(F.col(question))
-
-    def year(pattern: str, group: int) -> Column:
-        y = F.nullif(F.regexp_extract(q, pattern, group), F.lit("")).cast("int")
-        return F.when(y.between(YEAR_LOW, YEAR_HIGH), y)
-
     span = r"(?:between|from|antara|dari)\s+(\d{4})\s*(?:and|to|dan|hingga|sampai|-)\s*(\d{4})|(\d{4})\s*(?:-|–|—|to|dan|hingga|sampai|s/d)\s*(\d{4})"
-    a, b = F.coalesce(year(span, 1), year(span, 3)), F.coalesce(year(span, 2), year(span, 4))
-    after, before = year(r"\b(?:after|since|from|setelah|sejak)\s+(?:tahun\s+)?(\d{4})", 1), year(r"\b(?:before|until|up to|sebelum|hingga|sampai)\s+(?:tahun\s+)?(\d{4})", 1)
-    over, under, bare = year(r">\s*(\d{4})", 1), year(r"<\s*(\d{4})", 1), year(r"\b(\d{4})\b", 1)
-    both = a.isNotNull() & b.isNotNull()
-    op = F.when(both, "between").when(after.isNotNull(), "gte").when(before.isNotNull(), "lte").when(over.isNotNull(), "gt").when(under.isNotNull(), "lt").when(bare.isNotNull(), "eq")
-    low = F.when(both, F.least(a, b)).when(after.isNotNull(), after).when(before.isNotNull(), F.lit(None)).when(over.isNotNull(), over).when(under.isNotNull(), F.lit(None)).otherwise(bare)
-    high = F.when(both, F.greatest(a, b)).when(after.isNotNull(), F.lit(None)).when(before.isNotNull(), before).when(over.isNotNull(), F.lit(None)).when(under.isNotNull(), under).otherwise(bare)
-    return df.withColumns({"year_op": op, "year_from": low.cast("int"), "year_to": high.cast("int")})
+    found = {
+        "low": (span, 1), "high": (span, 2), "low_alone": (span, 3), "high_alone": (span, 4),
+        "after": (r"\b(?:after|since|from|setelah|sejak)\s+(?:tahun\s+)?(\d{4})", 1), "before": (r"\b(?:before|until|up to|sebelum|hingga|sampai)\s+(?:tahun\s+)?(\d{4})", 1),
+        "over": (r">\s*(\d{4})", 1), "under": (r"<\s*(\d{4})", 1), "bare": (r"\b(\d{4})\b", 1),
+    }
+    # Each year is a column before it is used more than once, so that no pattern is matched or compiled twice.
+    name = {k: f"_year_{k}_{len(df.columns)}" for k in found}
+    read = df.withColumns({name[k]: F.nullif(F.regexp_extract(q, pattern, group), F.lit("")).cast("int") for k, (pattern, group) in found.items()})
+    read = read.withColumns({n: F.when(F.col(n).between(YEAR_LOW, YEAR_HIGH), F.col(n)) for n in name.values()})
+    y = {k: F.col(n) for k, n in name.items()}
+    a, b = F.coalesce(y["low"], y["low_alone"]), F.coalesce(y["high"], y["high_alone"])
+    cases = [  # whether it holds, then operator, from and to
+        (a.isNotNull() & b.isNotNull(), "between", F.least(a, b), F.greatest(a, b)),
+        (y["after"].isNotNull(), "gte", y["after"], F.lit(None)),
+        (y["before"].isNotNull(), "lte", F.lit(None), y["before"]),
+        (y["over"].isNotNull(), "gt", y["over"], F.lit(None)),
+        (y["under"].isNotNull(), "lt", F.lit(None), y["under"]),
+        (y["bare"].isNotNull(), "eq", y["bare"], y["bare"]),
+    ]
+
+    def first(at: int) -> Column:
+        out = F.lit(None)
+        for case in reversed(cases):
+            out = F.when(case[0], F.lit(case[at]) if at == 1 else case[at]).otherwise(out)
+        return out
+
+    return read.withColumns({"year_op": first(1).cast("string"), "year_from": first(2).cast("int"), "year_to": first(3).cast("int")}).drop(*name.values())
 
 
 def names(df: DataFrame, question: str = "question") -> DataFrame:

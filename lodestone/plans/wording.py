@@ -56,10 +56,10 @@ def _wordings() -> list[tuple]:
 
 def worded_questions(spark: SparkSession, d: str) -> DataFrame:
     """A question for every order, its wording by the order's key and its year by the order's date; topic_name and country are given filters."""
-    cases = _wordings()
-    table = F.array(*(F.struct(F.lit(c[0]).cast("string").alias("w"), F.lit(c[1]).cast("string").alias("t"), F.lit(c[2]).cast("string").alias("c")) for c in cases))
-    o = load(spark, d, "orders").select("o_orderkey", "o_orderdate", F.element_at(table, (F.col("o_orderkey") % len(cases) + 1).cast("int")).alias("case"))
-    return o.select(F.col("o_orderkey").alias("question_id"), F.replace("case.w", F.lit("%d"), F.year("o_orderdate").cast("string")).alias("question"), F.col("case.t").alias("topic_name"), F.col("case.c").alias("country"))
+    cases = [(i, w, topic, country) for i, (w, topic, country, *_) in enumerate(_wordings())]
+    table = F.broadcast(spark.createDataFrame(cases, "case_key long, wording string, topic_name string, country string"))  # as long as the list above
+    o = load(spark, d, "orders").select("o_orderkey", "o_orderdate").join(table, F.col("o_orderkey") % len(cases) == F.col("case_key"))
+    return o.select(F.col("o_orderkey").alias("question_id"), F.replace("wording", F.lit("%d"), F.year("o_orderdate").cast("string")).alias("question"), "topic_name", "country")
 
 
 def _text(value: str | None) -> str:
