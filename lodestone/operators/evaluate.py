@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -34,6 +34,26 @@ def query_metrics(hits: DataFrame, relevance: DataFrame, queries: DataFrame, k:
     )
 
 
+def category_means(metrics: DataFrame, about: DataFrame) -> DataFrame:
+    """Means of query_metrics by category, and one row over all (category null).
+
+    about: query_id, category, has_answer, top_similarity. Quality is averaged over queries that have an answer; those that have none
+    (negatives) tell false positives, which are queries with any result. A category without either kind has zeros for it.
+    """
+    rows = metrics.join(about, "query_id").select("*", F.when(F.col("has_answer"), 1).alias("positive"), F.when(~F.col("has_answer"), 1).alias("negative"))
+
+    def over(kind: str, column: str) -> Column:
+        return F.round(F.coalesce(F.avg(F.when(F.col(kind) == 1, F.col(column))), F.lit(0.0)), 4)
+
+    means = [over("positive", c).alias(c) for c in ("ndcg", "precision", "recall", "recall_ceiling", "hit", "mrr")]
+    means += [over("positive", "shown").alias("mean_shown"), over("positive", "top_similarity").alias("mean_top_similarity"), over("negative", "top_similarity").alias("mean_top_similarity_negative")]
+    false = F.count(F.when((F.col("negative") == 1) & (F.col("shown") > 0), 1))
+    counts = [F.count(F.lit(1)).alias("queries"), F.count("positive").alias("positives"), F.count("negative").alias("negatives"), false.alias("false_positives")]
+    rate = F.round(F.coalesce(F.try_divide(false, F.count("negative")), F.lit(0.0)), 4).alias("false_positive_rate")
+    shown = rows.groupingSets([["category"], []], "category").agg(*counts, *means, rate, F.grouping("category").alias("all"))
+    return shown.withColumn("category", F.when(F.col("all") == 0, F.coalesce(F.col("category").cast("string"), F.lit("")))).drop("all")
+
+
 def sweep(scored: DataFrame, relevance: DataFrame, queries: DataFrame, thresholds: list[float], k: int = 8) -> DataFrame:
     """Means over queries at each threshold, from one scoring with an open gate (scored: query_id, publication_id, similarity, rank)."""
     gates = F.explode(F.array(*(F.lit(float(t)) for t in thresholds)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.columns import clamped, icontains, year_pred
@@ -89,6 +89,17 @@ def year_histogram(c: Corpus) -> DataFrame:
     return by_year.crossJoin(F.broadcast(total)).select("year", "publication_count", "mean_citations", F.round(F.col("publication_count") / F.col("total"), 6).alias("share"))
 
 
+def source_types(sources: DataFrame, key: str) -> DataFrame:
+    """Sources of each type in an answer (key), and their share of the answer's sources; counted by key and type before the shares are taken."""
+    n = sources.groupBy(key, "source_type").agg(F.count(F.lit(1)).alias("count"))
+    return n.withColumn("share", F.round(F.col("count") / F.sum("count").over(Window.partitionBy(key)), 6))
+
+
+def relevance_by_year(sources: DataFrame, key: str) -> DataFrame:
+    """Sources and their mean relevance for each year of an answer (key); sources without a year are left out."""
+    return sources.filter("year is not null").groupBy(key, "year").agg(F.count(F.lit(1)).alias("count"), F.round(F.avg("relevance"), 6).alias("mean_relevance"))
+
+
 def value_top(df: DataFrame, column: str, n: int = 3) -> DataFrame:
     """The most frequent values of a normalised column."""
     return df.groupBy(F.lower(F.trim(column)).alias("value")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "value").limit(n)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions.columns import citation, normalize_text, normalize_title, period_label, token_overlap
-from lodestone.operators import conversation, entities, evidence, graph, keys, quality, questions, vector
+from lodestone.operators import conversation, entities, evidence, graph, keys, quality, questions, relational, vector
 from lodestone.plans.research import _EDGES, queries_of, search_sql
 from lodestone.sources.corpus import Corpus, load, with_corpus
 
@@ -104,9 +104,20 @@ def year_filter(spark, d):
     return questions.years(question_table(spark, d))
 
 
-@query("n6_read_questions")
+# The same templates as read by hand: key, route, reason, intent, operator, author, limit, kind, emerging, topic words.
+_READINGS = """(0, 'sql', 'pattern', 'count', 'gte', NULL, 10, 'combined', false, NULL), (1, 'sql', 'pattern', 'top_authors', 'between', NULL, 5, 'experts', false, NULL), (2, 'hybrid', 'pattern', NULL, 'gte', NULL, 10, 'trends', true, NULL),
+    (3, 'graph', 'pattern', NULL, NULL, 'Red Widget', 10, 'experts', false, NULL), (4, 'vector', 'pattern', NULL, 'eq', NULL, 10, 'combined', false, 'bolts'), (5, 'sql', 'pattern', 'funding', 'lte', NULL, 10, 'combined', false, NULL),
+    (6, 'sql', 'pattern', 'average_citations', 'eq', NULL, 10, 'combined', false, NULL), (7, 'sql', 'pattern', 'list', 'between', 'Blue Gear', 10, 'combined', false, NULL), (8, 'hybrid', 'pattern', NULL, 'gt', NULL, 10, 'experts', false, NULL),
+    (9, 'vector', 'fallback', NULL, NULL, NULL, 10, 'combined', false, NULL)"""
+
+
+@query("n6_read_questions", _QUESTIONS.join(["WITH ", f""", g(k, route, route_reason, intent, year_op, author_name, requested_limit, hybrid_kind, emerging_only, topic_words) AS (VALUES {_READINGS}),
+    y AS (SELECT o_orderkey AS question_id, year(o_orderdate)::INT AS y FROM orders)
+    SELECT question_id, question, route, route_reason, intent, year_op, CASE WHEN year_op = 'between' THEN least(y, CASE k WHEN 1 THEN 2001 ELSE 1999 END) WHEN year_op IN ('gte', 'gt', 'eq') THEN y END AS year_from,
+      CASE WHEN year_op = 'between' THEN greatest(y, CASE k WHEN 1 THEN 2001 ELSE 1999 END) WHEN year_op IN ('lte', 'eq') THEN y END AS year_to, author_name, NULL::VARCHAR AS institution_name, requested_limit::INT AS requested_limit,
+      hybrid_kind, emerging_only, 'partners' AS graph_template, topic_words FROM qs JOIN y USING (question_id) JOIN g ON k = question_id % 10"""]))
 def read_questions(spark, d):
-    """All columns of a read question; the golden phrases in the tests fix them."""
+    """All columns of a read question."""
     return questions.read(question_table(spark, d))
 
 
@@ -157,6 +168,16 @@ def source_rows(spark, d) -> DataFrame:
     return load(spark, d, "orders").select(F.col("o_custkey").alias("question_id"), (k % 50).cast("string").alias("publication_id"), F.when(k % 3 > 0, F.col("o_orderpriority")).alias("title"), F.when(k % 4 > 0, F.year("o_orderdate")).alias("year"), F.when(k % 5 > 0, F.concat(F.lit("10.1000/"), (k % 50).cast("string"))).alias("doi"), ((k % 7) / 7).alias("relevance"), k.alias("position"), F.col("o_orderstatus").alias("provenance"))
 
 
+@query("a18_source_types", "WITH " + _SOURCES + " SELECT question_id, provenance AS source_type, count(*) AS count, round(count(*) / sum(count(*)) OVER (PARTITION BY question_id), 6) AS share FROM src GROUP BY 1, 2")
+def source_types(spark, d):
+    return relational.source_types(source_rows(spark, d).withColumnRenamed("provenance", "source_type"), "question_id")
+
+
+@query("a18_relevance_year", "WITH " + _SOURCES + " SELECT question_id, year, count(*) AS count, round(avg(relevance), 6) AS mean_relevance FROM src WHERE year IS NOT NULL GROUP BY 1, 2")
+def relevance_year(spark, d):
+    return relational.relevance_by_year(source_rows(spark, d), "question_id")
+
+
 @query("r7_merge_sources", "WITH " + _SOURCES + """ SELECT question_id, publication_id, max(relevance) AS relevance, arg_min(title, position) FILTER (title IS NOT NULL) AS title, arg_min(year, position) FILTER (year IS NOT NULL) AS year, arg_min(doi, position) FILTER (doi IS NOT NULL) AS doi,
     (SELECT string_agg(v, '; ' ORDER BY f) FROM (SELECT provenance AS v, min(position) AS f FROM src s2 WHERE s2.question_id = src.question_id AND s2.publication_id = src.publication_id GROUP BY 1)) AS provenance FROM src GROUP BY question_id, publication_id""")
 def merge_sources(spark, d):

@@ -494,6 +494,25 @@ def query_metrics(spark, d):
     return evaluate.query_metrics(vector.vector_search(c.chunks, queries_of(c)), relevance_of(c), queries_of(c))
 
 
+_CATEGORIES = """, about AS (SELECT q.query_id, (own_label)::VARCHAR AS category, q.query_id % 3 > 0 AS has_answer, coalesce(top, 0) AS top_similarity FROM q LEFT JOIN (SELECT query_id, max(similarity) AS top FROM hits GROUP BY 1) USING (query_id)),
+    m AS (SELECT * FROM metrics JOIN about USING (query_id))
+    SELECT CASE WHEN grouping(category) = 0 THEN coalesce(category, '') END AS category, count(*) AS queries, count(*) FILTER (has_answer) AS positives, count(*) FILTER (NOT has_answer) AS negatives, count(*) FILTER (NOT has_answer AND shown > 0) AS false_positives, """ + ", ".join(
+    f"round(coalesce(avg({c}) FILTER (has_answer), 0), 4) AS {n}" for c, n in (("ndcg", "ndcg"), ("precision", "precision"), ("recall", "recall"), ("recall_ceiling", "recall_ceiling"), ("hit", "hit"), ("mrr", "mrr"), ("shown", "mean_shown"), ("top_similarity", "mean_top_similarity"))
+) + """, round(coalesce(avg(top_similarity) FILTER (NOT has_answer), 0), 4) AS mean_top_similarity_negative, coalesce(round(count(*) FILTER (NOT has_answer AND shown > 0) / nullif(count(*) FILTER (NOT has_answer), 0), 4), 0) AS false_positive_rate
+    FROM m GROUP BY GROUPING SETS ((category), ())"""
+
+
+@query("e3_categories", with_corpus("chunks", search_sql(0.48, 8) + _METRICS.replace("{gates}", "0.48") + _CATEGORIES))
+def category_means(spark, d):
+    """Means by the query's label and over all; every third query counts as one without an answer."""
+    c = Corpus(spark, d)
+    q = queries_of(c)
+    hits = written(vector.vector_search(c.chunks, q), "category-hits")
+    top = hits.groupBy("query_id").agg(F.max("similarity").alias("top"))
+    about = q.join(top, "query_id", "left").select("query_id", F.col("label").cast("string").alias("category"), (F.col("query_id") % 3 > 0).alias("has_answer"), F.coalesce("top", F.lit(0.0)).alias("top_similarity"))
+    return evaluate.category_means(evaluate.query_metrics(hits, relevance_of(c), q), about)
+
+
 def _swept(spark, d):
     c = Corpus(spark, d)
     scored = vector.vector_search(c.chunks, queries_of(c), k=50, threshold=0.0)

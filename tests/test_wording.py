@@ -35,3 +35,16 @@ def test_topic_words_end_before_time_and_filters_win(spark):
     assert {r.k: r.topic_words for r in got} == {0: "Coumarin", 1: "gene editing", 2: None, 3: None, 4: None}
     given = spark.createDataFrame([("about soil", " T ", None), ("about soil", "", "K"), ("about soil", None, None)], "question string, topic_name string, keyword string")
     assert [r.topic_words for r in questions.topic_words(given).collect()] == ["T", "K", "soil"]
+
+
+def test_category_means_keep_negatives_apart(spark):
+    from lodestone.operators import evaluate
+
+    columns = "query_id int, shown int, relevant int, precision double, recall double, recall_ceiling double, hit int, mrr double, ndcg double"
+    metrics = spark.createDataFrame([(1, 8, 2, 0.5, 1.0, 1.0, 1, 1.0, 0.8), (2, 4, 0, 0.0, 0.0, 0.0, 0, 0.0, 0.0), (3, 0, 0, 0.0, 0.0, 0.0, 0, 0.0, 0.0), (4, 2, 4, 0.25, 0.5, 1.0, 1, 0.5, 0.4)], columns)
+    about = spark.createDataFrame([(1, "a", True, 0.9), (2, "a", False, 0.6), (3, "b", False, 0.2), (4, None, True, 0.5)], "query_id int, category string, has_answer boolean, top_similarity double")
+    got = {r.category: r for r in evaluate.category_means(metrics, about).collect()}
+    assert got.keys() == {"a", "b", "", None}  # a query without a category is apart from the row over all
+    assert (got["a"].queries, got["a"].positives, got["a"].false_positives, got["a"].ndcg, got["a"].false_positive_rate) == (2, 1, 1, 0.8, 1.0)
+    assert (got["b"].positives, got["b"].ndcg, got["b"].false_positive_rate, got["b"].mean_top_similarity_negative) == (0, 0.0, 0.0, 0.2)
+    assert (got[None].queries, got[None].ndcg, got[None].precision, got[None].false_positive_rate, got[None].mean_shown) == (4, 0.6, 0.375, 0.5, 5.0)
