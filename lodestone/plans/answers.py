@@ -236,6 +236,24 @@ def context_block(spark, d):
     return evidence.context_block(evidence.rank_sources(evidence.merge_sources(source_rows(spark, d))))
 
 
+@query("r9_items", """WITH i AS (SELECT o_custkey AS question_id, o_orderkey AS position, CASE o_orderkey % 2 WHEN 0 THEN 'paper' ELSE 'topic' END AS source_type, (o_orderkey % 2) || '-' || (o_orderkey % 5) AS source_id, repeat(o_orderstatus, (o_orderkey % 7)::INT) AS content,
+      (o_orderkey % 5) / 5 AS score, (o_orderkey % 3) / 3 AS confidence, o_orderstatus AS provenance, CASE WHEN o_orderkey % 3 > 0 THEN year(o_orderdate)::INT END AS year, o_orderpriority AS note FROM orders),
+    m AS (SELECT question_id, source_type, source_id, arg_max(content, {'a': length(content), 'b': -position}) AS content, max(score) AS score, max(confidence) AS confidence, list_sort(list(DISTINCT provenance)) AS provenance_ids,
+      arg_min(year, position) FILTER (year IS NOT NULL) AS year, arg_min(note, position) AS note FROM i GROUP BY ALL)
+    SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, confidence DESC, year DESC NULLS LAST, content, source_id)::INT AS rank FROM m""")
+def items(spark, d):
+    """Items of all kinds as one ranked list for each customer's question: longest content, greatest scores, the earliest metadata."""
+    k = F.col("o_orderkey")
+    year = F.when(k % 3 > 0, F.create_map(F.lit("year"), F.year("o_orderdate").cast("string"))).otherwise(F.create_map().cast("map<string,string>"))
+    each = load(spark, d, "orders").select(
+        F.col("o_custkey").alias("question_id"), k.alias("position"), F.when(k % 2 == 0, "paper").otherwise("topic").alias("source_type"), F.concat_ws("-", (k % 2).cast("string"), (k % 5).cast("string")).alias("source_id"),
+        F.repeat("o_orderstatus", (k % 7).cast("int")).alias("content"), ((k % 5) / 5).alias("score"), ((k % 3) / 3).alias("confidence"), F.array("o_orderstatus").alias("provenance_ids"),
+        F.map_concat(year, F.create_map(F.lit("note"), F.col("o_orderpriority"))).alias("metadata"),
+    )
+    merged = evidence.merge_items(each).withColumns({"year": F.try_element_at("metadata", F.lit("year")).cast("int"), "note": F.try_element_at("metadata", F.lit("note")), "title": F.col("content")})
+    return evidence.rank_items(merged).select("question_id", "source_type", "source_id", "content", "score", "confidence", "provenance_ids", "year", "note", "rank")
+
+
 @query("r12_verify_citations", with_corpus("publications", f"""base AS (SELECT publication_id, title, year, doi FROM publications WHERE title IS NOT NULL), cites AS (SELECT publication_id AS answer_id, title, doi,
       CASE publication_id::INT % 3 WHEN 1 THEN year + 1 ELSE year END AS year, CASE WHEN publication_id::INT % 7 = 0 THEN title || ' extra words that differ' ELSE title END AS cited FROM base)
     SELECT answer_id, CASE WHEN answer_id::INT % 3 = 1 OR answer_id::INT % 7 = 0 THEN 'Claim' ELSE 'Claim ' || {_cite('cited')} END AS text FROM cites"""))
@@ -316,6 +334,16 @@ def backfill(spark, d):
     return quality.backfill_column(p, staged, "publication_id", "title")[0]
 
 
+@query("q9_backfill_report", """WITH s AS (SELECT CASE WHEN o_orderkey % 50 = 0 THEN o_orderkey + 0.5 ELSE o_orderkey END AS k, CASE WHEN o_orderkey % 3 > 0 THEN o_orderpriority WHEN o_orderkey % 9 = 0 THEN ' ' END AS v FROM orders WHERE o_orderkey % 2 = 0)
+    SELECT count(*) FILTER (k = floor(k)) AS updated, count(*) FILTER (k <> floor(k)) AS orphans, count(*) FILTER (v IS NULL) AS nulls, count(*) FILTER (trim(v) <> '') AS non_blank, false AS accepted FROM s""")
+def backfill_report(spark, d):
+    """What a staged column would do to its table, and whether it may: staged keys without a row, nulls and blanks are counted."""
+    o, k = load(spark, d, "orders"), F.col("o_orderkey")
+    target = o.select(k.cast("string").alias("key"), F.col("o_orderpriority").alias("v"))
+    staged = o.filter(k % 2 == 0).select(F.when(k % 50 == 0, F.concat(k.cast("string"), F.lit(".5"))).otherwise(k.cast("string")).alias("key"), F.when(k % 3 > 0, F.col("o_orderpriority")).when(k % 9 == 0, " ").alias("v"))
+    return quality.backfill_accepted(quality.backfill_column(target, staged, "key", "v")[1])
+
+
 @query("s5_surrogate_key", "SELECT row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS row_id, o_orderkey FROM orders")
 def surrogate(spark, d):
     return keys.add_surrogate_key(load(spark, d, "orders").select("o_orderdate", "o_orderkey"), ["o_orderdate", "o_orderkey"]).select("row_id", "o_orderkey")
@@ -456,6 +484,14 @@ def context(spark, d):
     return conversation.context(m, conversation.summaries(m))
 
 
+@query("c8_upsert_summaries", with_corpus("messages", "n AS (SELECT session_id, count(DISTINCT seq) AS n FROM messages GROUP BY 1) SELECT session_id, CASE WHEN session_id % 3 = 0 THEN n ELSE n // 2 END AS messages_covered FROM n WHERE session_id % 5 > 0 OR session_id % 3 = 0"))
+def upserted(spark, d):
+    """Stored summaries of most sessions with those of every third one replaced or added."""
+    n = Corpus(spark, d).messages.groupBy("session_id").agg(F.countDistinct("seq").alias("n"))
+    stored = n.filter("session_id % 5 > 0").select("session_id", F.floor(F.col("n") / 2).alias("messages_covered"))
+    return conversation.upsert_summaries(stored, n.filter("session_id % 3 = 0").select("session_id", F.col("n").alias("messages_covered")))
+
+
 @query("c9_stale", with_corpus("messages", "SELECT session_id, count(DISTINCT seq) // 2 AS messages_covered, count(DISTINCT seq) AS messages FROM messages GROUP BY 1 HAVING count(DISTINCT seq) // 2 < count(DISTINCT seq)"))
 def stale(spark, d):
     m = Corpus(spark, d).messages

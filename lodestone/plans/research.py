@@ -513,6 +513,17 @@ def category_means(spark, d):
     return evaluate.category_means(evaluate.query_metrics(hits, relevance_of(c), q), about)
 
 
+@query("e6_benchmark_rules", """WITH q AS (SELECT o_custkey AS query_id, CASE WHEN o_orderkey % 11 = 0 THEN '  ' ELSE o_orderpriority END AS query, o_custkey % 4 > 0 AS has_answer FROM orders), r AS (SELECT c_custkey AS query_id, c_custkey % 3 AS grade FROM customer)
+    SELECT 'blank_query' AS rule, query_id FROM q WHERE trim(query) = '' UNION ALL SELECT 'repeated_id', query_id FROM q GROUP BY query_id HAVING count(*) > 1
+    UNION ALL SELECT 'negative_with_grade', query_id FROM q WHERE NOT has_answer AND query_id IN (SELECT query_id FROM r WHERE grade > 0) UNION ALL SELECT 'unknown_query', query_id FROM r WHERE query_id NOT IN (SELECT query_id FROM q)""")
+def benchmark_rules(spark, d):
+    """A benchmark with a question for every order, asked under its customer's id, and a grade for every customer: all breaches of its rules."""
+    k = F.col("o_orderkey")
+    asked = load(spark, d, "orders").select(F.col("o_custkey").alias("query_id"), F.when(k % 11 == 0, "  ").otherwise(F.col("o_orderpriority")).alias("query"), (F.col("o_custkey") % 4 > 0).alias("has_answer"))
+    graded = load(spark, d, "customer").select(F.col("c_custkey").alias("query_id"), (F.col("c_custkey") % 3).alias("grade"))
+    return evaluate.validate_benchmark(asked, graded)
+
+
 def _swept(spark, d):
     c = Corpus(spark, d)
     scored = vector.vector_search(c.chunks, queries_of(c), k=50, threshold=0.0)
