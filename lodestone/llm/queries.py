@@ -18,6 +18,15 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def exact_dedup_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index of all documents after texts labelled toxic are taken out and all pages put in."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    toxic = table(spark, sf_dir, "labels").filter("toxic = 1").select(F.col("doc_id").alias("labelled"))
+    gone = docs.join(toxic, F.col("doc_id") == F.col("labelled"), "left_semi").select(F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"))
+    index = exact_dedup.build_index(docs)
+    return exact_dedup.update_index(index, exact_dedup.build_index(table(spark, sf_dir, "pages"), "page_id", "html"), gone)
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     both = sentencepiece_scan.encode(docs, round_trip="round_trip")
@@ -92,6 +101,7 @@ def op13_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_exact_dedup": op2_exact_dedup,
+    "exact_dedup_update": exact_dedup_update,
     "op3_toxicity": op3_toxicity,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
@@ -111,6 +121,11 @@ ORACLE_SQL: dict[str, str] = {
              g AS (SELECT text, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY text)
         SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, sha256(d.text) AS text_sha256
         FROM d JOIN g USING (text)""",
+    "exact_dedup_update": """
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+             gone AS (SELECT DISTINCT text FROM d WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)),
+             live AS (SELECT doc_id, text FROM d ANTI JOIN gone USING (text) UNION ALL SELECT page_id, coalesce(html, '') FROM pages)
+        SELECT sha256(text) AS digest, max(doc_id) AS keep_id, count(*) AS group_size FROM live GROUP BY text""",
     "op9_benchmark_decontamination": r"""
         WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS ws FROM documents),
              i AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS ws FROM benchmark WHERE text IS NOT NULL),
