@@ -47,6 +47,13 @@ def embedding_report(chunks: DataFrame, size: int) -> DataFrame:
     return chunks.agg(F.count(F.lit(1)).alias("chunks"), F.count_if(F.col("embedding").isNull()).alias("without"), F.count_if(F.size("embedding") != size).alias("other_size"), F.round(F.count(F.lit(1)) / F.countDistinct("publication_id"), 4).alias("per_publication"))
 
 
+def embedding_versions(stored: DataFrame) -> DataFrame:
+    """Stored embeddings of each (model, version, dimension), and whether all have the same one; null stamps are a kind of their own."""
+    kinds = stored.groupBy("embedding_model", "embedding_version", "embedding_dimension").agg(F.count(F.lit(1)).alias("chunks"))
+    single = kinds.agg((F.count(F.lit(1)) <= 1).alias("single"))
+    return kinds.crossJoin(F.broadcast(single))  # one row
+
+
 def row_counts(tables: dict[str, DataFrame], least: dict[str, int]) -> DataFrame:
     """(table, rows, expected, ok) against least row counts."""
     each = [df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(n).alias("table"), "rows", F.lit(least[n]).cast("long").alias("expected")) for n, df in tables.items()]

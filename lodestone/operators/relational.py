@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.columns import clamped, icontains, year_pred
-from lodestone.operators.spread import exact_quantiles
+from lodestone.operators.spread import exact_quantiles, spread_join
 from lodestone.sources.corpus import Corpus
 
 
@@ -15,6 +15,32 @@ def in_country(c: Corpus, country: str) -> DataFrame:
     return c.pub_institution.join(c.institutions.filter(F.lower("country") == country.lower()), "institution_id").select("publication_id")
 
 
+def members(c: Corpus, asks: DataFrame) -> DataFrame:
+    """(ask_id, publication_id): the publications that meet every membership an ask sets.
+
+    asks has ask_id, author_id, institution_id and country (in any case); null sets none. An ask that
+    sets nothing narrows nothing and has no rows; repeated asks count once. An ask looks up the first
+    membership that it sets, where a country of many publications is dealt in pieces, and the others are
+    then tested by publication.
+    """
+    asks = asks.select("ask_id", "author_id", "institution_id", F.lower("country").alias("country")).distinct()
+    countries = c.institutions.select("institution_id", F.lower("country").alias("country"))
+    sides = {
+        "author_id": c.pub_author.select("publication_id", "author_id").distinct(),
+        "institution_id": c.pub_institution.select("publication_id", "institution_id").distinct(),
+        "country": c.pub_institution.join(countries, "institution_id").select("publication_id", "country").distinct(),
+    }
+    found, unset = None, F.lit(True)
+    for column, side in sides.items():
+        each = spread_join(asks.filter(unset & F.col(column).isNotNull()), side, [column])
+        found = each if found is None else found.unionByName(each)
+        unset = unset & F.col(column).isNull()
+    for column in ("institution_id", "country"):
+        met = sides[column].withColumn("_met", F.lit(True))
+        found = found.join(met, ["publication_id", column], "left").filter(F.col(column).isNull() | F.col("_met")).drop("_met")
+    return found.select("ask_id", "publication_id")
+
+
 def top_authors(c: Corpus, n: int | None = None, country: str | None = None, op: str | None = None, year: int | None = None, low: int | None = None, high: int | None = None) -> DataFrame:
     """Authors by distinct publications, most first, then by name and id."""
     pubs = c.publications.filter(year_pred(F.col("year"), op, year, low, high)).select("publication_id")

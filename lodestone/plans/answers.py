@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.columns import citation, normalize_text, normalize_title, period_label, token_overlap
 from lodestone.operators import conversation, entities, evidence, graph, keys, quality, questions, relational, vector
-from lodestone.plans.research import _EDGES, queries_of, search_sql
+from lodestone.plans.research import _ASSIGNED, _EDGES, _EVOLUTION, _EXPERTISE, assigned, evolution, expertise, queries_of, search_sql
 from lodestone.sources.corpus import Corpus, load, with_corpus
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -104,6 +104,17 @@ def year_filter(spark, d):
     return questions.years(question_table(spark, d))
 
 
+@query("n9_fold_years", "WITH y AS (" + ORACLE_SQL["n5_year_filter"] + """), f AS (SELECT *, CASE WHEN question_id % 7 = 0 THEN 2000 END AS filter_year, CASE WHEN question_id % 11 = 0 THEN 1996 END AS filter_from, question_id % 7 = 0 OR question_id % 11 = 0 AS given FROM y)
+    SELECT question_id, question, CASE WHEN NOT given AND year_op = 'eq' THEN year_from ELSE filter_year END AS filter_year, CASE WHEN NOT given AND year_op IN ('gte', 'between') THEN year_from ELSE filter_from END AS filter_from,
+    CASE WHEN NOT given AND year_op IN ('lte', 'between') THEN year_to END AS filter_to, CASE WHEN NOT given AND year_op IN ('gt', 'lt') THEN year_op END AS dropped_op FROM f""")
+def folded_years(spark, d):
+    """Years of questions as filters; every seventh question has a year given, every eleventh a first year."""
+    k = F.col("question_id")
+    given = {"filter_year": F.when(k % 7 == 0, 2000), "filter_from": F.when(k % 11 == 0, 1996), "filter_to": F.lit(None).cast("int")}
+    asked = questions.years(question_table(spark, d)).withColumns(given)
+    return questions.fold_years(asked).select("question_id", "question", "filter_year", "filter_from", "filter_to", "dropped_op")
+
+
 # The same templates as read by hand: key, route, reason, intent, operator, author, limit, kind, emerging, topic words.
 _READINGS = """(0, 'sql', 'pattern', 'count', 'gte', NULL, 10, 'combined', false, NULL), (1, 'sql', 'pattern', 'top_authors', 'between', NULL, 5, 'experts', false, NULL), (2, 'hybrid', 'pattern', NULL, 'gte', NULL, 10, 'trends', true, NULL),
     (3, 'graph', 'pattern', NULL, NULL, 'Red Widget', 10, 'experts', false, NULL), (4, 'vector', 'pattern', NULL, 'eq', NULL, 10, 'combined', false, 'bolts'), (5, 'sql', 'pattern', 'funding', 'lte', NULL, 10, 'combined', false, NULL),
@@ -159,6 +170,34 @@ def edge_evidence(spark, d):
     return evidence.rank_evidence(rows).select("question_id", "claim", "value_num", F.size("sources").alias("n_sources"), "rank")
 
 
+@query("r1_row_evidence", with_corpus("publications institutions pub_institution", f"""c AS (SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1),
+    i AS (SELECT institution_id, count(*) AS n FROM pub_institution GROUP BY 1)
+    SELECT c_custkey::VARCHAR AS question_id, CASE WHEN n > 0 THEN 'There are ' || n || ' publications' END AS claim, CASE WHEN n > 0 THEN 'count' END AS metric, CASE WHEN n > 0 THEN n::DOUBLE END AS value_num, CASE WHEN n > 0 THEN 'all-time' END AS period, CASE WHEN n = 0 THEN 'zero_aggregate' END AS zero_evidence_class FROM c
+    UNION ALL SELECT city, institution_name || ' has ' || n || ' publications', 'publication_count_ranking', n, 'all-time', NULL FROM institutions JOIN i USING (institution_id)
+    UNION ALL SELECT document_type, {_cite()}, 'citation_count', citation_count, coalesce(year::VARCHAR, 'all-time'), NULL FROM publications"""))
+def row_evidence(spark, d):
+    """Evidence from a count for every customer (none for 0), from institutions ranked by publications, from listed publications."""
+    c = Corpus(spark, d)
+    orders = load(spark, d, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"))
+    counts = load(spark, d, "customer").join(orders, F.col("c_custkey") == F.col("o_custkey"), "left").select(F.col("c_custkey").cast("string").alias("question_id"), F.coalesce("n", F.lit(0)).alias("n"))
+    counted = evidence.zero_class(counts, "n").join(evidence.from_count(counts, "n"), "question_id", "left")
+    sizes = c.pub_institution.groupBy("institution_id").agg(F.count(F.lit(1)).alias("publication_count"))
+    ranked = evidence.from_ranking(c.institutions.join(sizes, "institution_id").withColumn("question_id", F.col("city")), "institution_name", "publication_count", "publications")
+    listed = evidence.from_publications(c.publications.withColumn("question_id", F.col("document_type")))
+    return counted.unionByName(ranked.unionByName(listed), allowMissingColumns=True).select("question_id", "claim", "metric", "value_num", "period", "zero_evidence_class")
+
+
+@query("r4_topic_evidence", with_corpus("publications keywords pub_author authors", _EXPERTISE + _EVOLUTION.removeprefix(_ASSIGNED) + """
+    SELECT topic_id AS question_id, topic_name || ' grew by ' || growth_score || ' in ' || year AS claim, 'growth_score' AS metric, growth_score AS value_num, year::VARCHAR AS period FROM evolved JOIN topic_names USING (topic_id) WHERE growth_score IS NOT NULL
+    UNION ALL SELECT topic_id, author_name || ' scores ' || expertise_score, 'expertise_score', expertise_score, 'all-time' FROM scores JOIN authors USING (author_id)"""))
+def topic_evidence(spark, d):
+    """Evidence from the growth of every topic and year, and from every author's expertise in a topic."""
+    named = evolution(spark, d).filter("growth_score is not null").join(assigned(spark, d)[2], "topic_id")
+    scored = expertise(spark, d).join(Corpus(spark, d).authors.select("author_id", "author_name"), "author_id")
+    rows = evidence.from_trends(named.withColumn("question_id", F.col("topic_id"))).unionByName(evidence.from_experts(scored.withColumn("question_id", F.col("topic_id"))))
+    return rows.select("question_id", "claim", "metric", "value_num", "period")
+
+
 _SOURCES = """src AS (SELECT o_custkey AS question_id, (o_orderkey % 50)::VARCHAR AS publication_id, CASE WHEN o_orderkey % 3 > 0 THEN o_orderpriority END AS title, CASE WHEN o_orderkey % 4 > 0 THEN year(o_orderdate)::INT END AS year, CASE WHEN o_orderkey % 5 > 0 THEN '10.1000/' || (o_orderkey % 50) END AS doi,
     (o_orderkey % 7) / 7 AS relevance, o_orderkey AS position, o_orderstatus AS provenance FROM orders)"""
 
@@ -294,6 +333,20 @@ def overlap(spark, d):
 
 # Data quality and cleaning
 
+@query("p4_members", with_corpus("institutions pub_author pub_institution", """asks AS (SELECT s_suppkey AS ask_id, CASE WHEN s_suppkey % 2 = 0 THEN s_suppkey::VARCHAR END AS author_id, CASE WHEN s_suppkey % 3 = 0 THEN s_suppkey::VARCHAR END AS institution_id,
+      CASE WHEN s_suppkey % 4 = 0 OR s_suppkey % 9 = 0 THEN 'asia' WHEN s_suppkey % 100 = 1 THEN 'europe' END AS country FROM supplier),
+    places AS (SELECT DISTINCT publication_id, lower(country) AS country FROM pub_institution JOIN institutions USING (institution_id))
+    SELECT ask_id, p.publication_id FROM asks a JOIN pub_author p ON p.author_id = a.author_id WHERE (a.institution_id IS NULL OR EXISTS (SELECT 1 FROM pub_institution x WHERE x.publication_id = p.publication_id AND x.institution_id = a.institution_id)) AND (a.country IS NULL OR EXISTS (SELECT 1 FROM places x WHERE x.publication_id = p.publication_id AND x.country = a.country))
+    UNION ALL SELECT ask_id, p.publication_id FROM asks a JOIN pub_institution p ON p.institution_id = a.institution_id WHERE a.author_id IS NULL AND (a.country IS NULL OR EXISTS (SELECT 1 FROM places x WHERE x.publication_id = p.publication_id AND x.country = a.country))
+    UNION ALL SELECT ask_id, p.publication_id FROM asks a JOIN places p ON p.country = a.country WHERE a.author_id IS NULL AND a.institution_id IS NULL"""))
+def members(spark, d):
+    """An ask for every supplier, of an author, an institution, a country, or several of them."""
+    k = F.col("s_suppkey")
+    country = F.when((k % 4 == 0) | (k % 9 == 0), "Asia").when(k % 100 == 1, "EUROPE")
+    asks = load(spark, d, "supplier").select(k.alias("ask_id"), F.when(k % 2 == 0, k.cast("string")).alias("author_id"), F.when(k % 3 == 0, k.cast("string")).alias("institution_id"), country.alias("country"))
+    return relational.members(Corpus(spark, d), asks)
+
+
 @query("q2_keys", "SELECT l_orderkey, l_linenumber, count(*) AS rows FROM lineitem GROUP BY ALL HAVING count(*) > 1")
 def repeated_keys(spark, d):
     return quality.key_violations(load(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"])
@@ -321,6 +374,32 @@ def embeddings(spark, d):
     return quality.embedding_report(Corpus(spark, d).chunks, 64)
 
 
+_STAMPS = "s AS (SELECT chunk_id, 'model-' || label % 2 AS embedding_model, (label % 3)::VARCHAR AS embedding_version, len(embedding)::INT AS embedding_dimension FROM chunks)"
+
+
+def stamped(spark, d) -> DataFrame:
+    """Chunks as if embedded by two models of three versions."""
+    label = F.col("label")
+    return Corpus(spark, d).chunks.select("chunk_id", F.concat(F.lit("model-"), (label % 2).cast("string")).alias("embedding_model"), (label % 3).cast("string").alias("embedding_version"), F.when(F.col("embedding").isNotNull(), F.size("embedding")).alias("embedding_dimension"))
+
+
+@query("q6_versions", with_corpus("chunks", _STAMPS + " SELECT embedding_model, embedding_version, embedding_dimension, count(*) AS chunks, count(*) OVER () <= 1 AS single FROM s GROUP BY 1, 2, 3"))
+def versions(spark, d):
+    return quality.embedding_versions(stamped(spark, d))
+
+
+@query("v2_mixed_versions", with_corpus("chunks", _STAMPS + " SELECT DISTINCT embedding_model, embedding_version FROM s WHERE embedding_model <> 'model-0' OR embedding_version <> '1'"))
+def mixed(spark, d):
+    return vector.mixed_versions(stamped(spark, d), "model-0", "1")
+
+
+@query("s7_pending", with_corpus("chunks", _STAMPS + " SELECT chunk_id, publication_id FROM chunks WHERE chunk_id NOT IN (SELECT chunk_id FROM s WHERE embedding_model = 'model-0')"))
+def pending_chunks(spark, d):
+    """Chunks that a run of model-0 still has to do."""
+    done = stamped(spark, d).filter("embedding_model = 'model-0'")
+    return vector.pending(Corpus(spark, d).chunks.select("chunk_id", "publication_id"), done)
+
+
 @query("q8_row_counts", "SELECT 'orders' AS \"table\", count(*) AS rows, 100::BIGINT AS expected, count(*) >= 100 AS ok FROM orders UNION ALL SELECT 'part', count(*), 1000000::BIGINT, count(*) >= 1000000 FROM part")
 def counts(spark, d):
     return quality.row_counts({"orders": load(spark, d, "orders"), "part": load(spark, d, "part")}, {"orders": 100, "part": 1_000_000})
