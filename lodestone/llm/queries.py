@@ -22,7 +22,8 @@ def exact_dedup_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The index of all documents after texts labelled toxic are taken out and all pages put in."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     toxic = table(spark, sf_dir, "labels").filter("toxic = 1").select(F.col("doc_id").alias("labelled"))
-    gone = docs.join(toxic, F.col("doc_id") == F.col("labelled"), "left_semi").select(F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"))
+    digests = docs.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"))  # texts stay out of the join
+    gone = digests.join(toxic, F.col("doc_id") == F.col("labelled"), "left_semi").select("digest")
     index = exact_dedup.build_index(docs)
     return exact_dedup.update_index(index, exact_dedup.build_index(table(spark, sf_dir, "pages"), "page_id", "html"), gone)
 
