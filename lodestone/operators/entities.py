@@ -11,6 +11,8 @@ from lodestone.sources.shared import written
 
 #: Letters of the pieces by which names are indexed; no shorter name is asked.
 GRAM = 3
+#: Pieces in which the matches of a name are ranked before the first of each are ranked together.
+PIECES = 64
 
 
 def grams(name: Column) -> Column:
@@ -34,37 +36,41 @@ def containing(asked: DataFrame, known: DataFrame) -> DataFrame:
     return spread_join(index, rarest, ["gram"]).filter(F.contains("entity_low", F.col("low"))).select("low", "entity_low")
 
 
-def _matches(names: DataFrame, entities: DataFrame) -> DataFrame:
-    """(ask_id, entity_id, exact): exact matches by an equality join, or containments for names without one."""
-    asked = names.filter(F.length(F.trim("name")) >= 3).select("ask_id", F.lower("name").alias("low"), normalize_text(F.col("name")).alias("norm"))
-    known = entities.select("entity_id", F.lower("entity_name").alias("entity_low"), normalize_text(F.col("entity_name_normalized")).alias("entity_norm"))
+def _matches(asked: DataFrame, known: DataFrame) -> DataFrame:
+    """(name, entity_id, exact) for distinct names of three letters or more: exact matches by an equality join, or containments for names without one."""
+    asked = asked.select("name", F.lower("name").alias("low"), normalize_text(F.col("name")).alias("norm"))
+    known = known.select("entity_id", F.lower("entity_name").alias("entity_low"), normalize_text(F.col("entity_name_normalized")).alias("entity_norm"))
     forms = known.select("entity_id", F.explode(F.array_distinct(F.array("entity_low", "entity_norm"))).alias("form"))
-    wanted = asked.select("ask_id", F.explode(F.array_distinct(F.array("low", "norm"))).alias("form"))
-    exact = wanted.join(forms, "form").select("ask_id", "entity_id").distinct()
-    rest = written(asked.join(exact, "ask_id", "left_anti").select("ask_id", "low"), "open-names")
+    wanted = asked.select("name", F.explode(F.array_distinct(F.array("low", "norm"))).alias("form"))
+    exact = wanted.join(forms, "form").select("name", "entity_id").distinct()
+    rest = written(asked.join(exact, "name", "left_anti").select("name", "low"), "open-names")
     found = containing(rest, known).join(known.select("entity_id", "entity_low"), "entity_low")
-    contained = rest.join(found, "low").select("ask_id", "entity_id")
+    contained = found.join(rest, "low").select("name", "entity_id")
     return exact.withColumn("exact", F.lit(True)).unionByName(contained.withColumn("exact", F.lit(False)))
 
 
-def _counted(names: DataFrame, entities: DataFrame, links: DataFrame) -> DataFrame:
-    counts = links.groupBy("entity_id").agg(F.countDistinct("publication_id").alias("publications"))
-    return _matches(names, entities).join(entities, "entity_id").join(counts, "entity_id", "left").withColumn("publications", F.coalesce("publications", F.lit(0)))
+def _shown(rows: DataFrame, most: int = 5) -> DataFrame:
+    """Per name: number of matches, the best one, and the first `most` as candidates. A name's matches are cut to the first ones piece by piece, then over its pieces."""
+    order = [F.desc("publications"), "entity_name", "entity_id"]
+    counts = rows.groupBy("name").agg(F.count(F.lit(1)).alias("matches"), F.bool_or("exact").alias("exact"))
+    pieces = Window.partitionBy("name", F.pmod(F.xxhash64("entity_id"), F.lit(PIECES))).orderBy(*order)
+    first = rows.withColumn("r", F.row_number().over(pieces)).filter(F.col("r") <= most).withColumn("r", F.row_number().over(Window.partitionBy("name").orderBy(*order))).filter(F.col("r") <= most)
+    listed = first.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("r", "entity_id", "entity_name", "publications"))).alias("top"))
+    return counts.join(listed, "name").select("name", "matches", "exact", F.col("top")[0]["entity_id"].alias("best"), F.transform("top", lambda s: F.concat_ws("|", s["entity_id"], s["entity_name"], s["publications"].cast("string"))).alias("candidates"))
 
 
-def _shown(rows: DataFrame, most: int = 5) -> DataFrame:
-    """Per name: number of matches, the best one, and the first `most` as candidates."""
-    w = Window.partitionBy("ask_id").orderBy(F.desc("publications"), "entity_name", "entity_id")
-    ranked = rows.withColumn("r", F.row_number().over(w))
-    top = F.array_sort(F.collect_list(F.when(F.col("r") <= most, F.struct("r", "entity_id", "entity_name", "publications"))))
-    best = F.max(F.when(F.col("r") == 1, F.col("entity_id")))
-    return ranked.groupBy("ask_id").agg(F.count(F.lit(1)).alias("matches"), F.bool_or("exact").alias("exact"), best.alias("best"), F.transform(top, lambda s: F.concat_ws("|", s["entity_id"], s["entity_name"], s["publications"].cast("string"))).alias("candidates"))
+def _found(names: DataFrame, entities: DataFrame, links: DataFrame) -> DataFrame:
+    """The matches of each distinct name; how often a name is asked makes no more of them."""
+    counts = links.groupBy("entity_id").agg(F.countDistinct("publication_id").alias("publications"))
+    counted = entities.join(counts, "entity_id", "left").select("entity_id", "entity_name", F.coalesce("publications", F.lit(0)).alias("publications"))
+    asked = names.filter(F.length(F.trim("name")) >= 3).select("name").distinct()
+    return _shown(written(spread_join(_matches(asked, entities), counted, ["entity_id"]), "name-matches"))
 
 
 def _status(names: DataFrame, found: DataFrame, narrowed: Column) -> DataFrame:
     n = F.coalesce("matches", F.lit(0))
     status = F.when(F.length(F.trim("name")) < 3, "skipped").when(n == 0, "not_found").when((n == 1) | narrowed, "resolved").otherwise("needs_clarification")
-    rows = names.select("ask_id", "name").join(found, "ask_id", "left").withColumn("status", status)
+    rows = names.select("ask_id", "name").join(found, "name", "left").withColumn("status", status)
     return rows.select("ask_id", "status", n.alias("matches"), F.when(F.col("status") == "resolved", F.col("best")).alias("entity_id"), F.when(n > 1, F.col("candidates")).alias("candidates"), ((n > 1) & (F.col("status") == "resolved")).alias("narrowed"))
 
 
@@ -72,11 +78,11 @@ def resolve_authors(names: DataFrame, authors: DataFrame, pub_author: DataFrame)
     """One row for each (ask_id, name): resolved for one match, needs_clarification for more, not_found, or skipped (under three letters)."""
     entities = authors.select(F.col("author_id").alias("entity_id"), F.col("author_name").alias("entity_name"), F.col("author_name_normalized").alias("entity_name_normalized"))
     links = pub_author.select(F.col("author_id").alias("entity_id"), "publication_id")
-    return _status(names, _shown(_counted(names, entities, links)), F.lit(False))
+    return _status(names, _found(names, entities, links), F.lit(False))
 
 
 def resolve_institutions(names: DataFrame, institutions: DataFrame, pub_institution: DataFrame) -> DataFrame:
     """As for authors, but several matches are narrowed to the one with most publications (then the least name)."""
     entities = institutions.select(F.col("institution_id").alias("entity_id"), F.col("institution_name").alias("entity_name"), F.col("institution_name_normalized").alias("entity_name_normalized"))
     links = pub_institution.select(F.col("institution_id").alias("entity_id"), "publication_id")
-    return _status(names, _shown(_counted(names, entities, links)), F.lit(True))
+    return _status(names, _found(names, entities, links), F.lit(True))
