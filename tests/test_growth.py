@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from lodestone.operators import entities
+from types import SimpleNamespace
+
+from lodestone.operators import entities, relational
 
 
 def test_repeated_names_are_matched_once(spark, monkeypatch):
@@ -21,3 +23,24 @@ def test_repeated_names_are_matched_once(spark, monkeypatch):
     assert {(got[k].status, got[k].matches, got[k].candidates[0], got[k].candidates[1], len(got[k].candidates)) for k in range(1, 200, 2)} == {("needs_clarification", 30, "a07|red bolt 07|2", "a03|red bolt 03|1", 5)}
     assert {(got[k].status, got[k].entity_id) for k in range(0, 200, 2)} == {("resolved", "a04")}
     assert (got[900].status, got[901].status, got[902].status) == ("not_found", "skipped", "not_found")
+
+
+def test_asks_of_a_country_meet_its_publications_in_lists(spark, monkeypatch):
+    joined = []
+
+    def counted(*args, join=relational.spread_join, **named):
+        joined.append((out := join(*args, **named)).count())
+        return out
+
+    monkeypatch.setattr(relational, "spread_join", counted)
+    c = SimpleNamespace(
+        pub_author=spark.createDataFrame([("p1", "a")], "publication_id string, author_id string"),
+        pub_institution=spark.createDataFrame([(f"p{k}", "i") for k in range(40)], "publication_id string, institution_id string"),
+        institutions=spark.createDataFrame([("i", "Peru")], "institution_id string, country string"),
+    )
+    asks = spark.createDataFrame([(k, None, None, "PERU") for k in range(50)], "ask_id int, author_id string, institution_id string, country string")
+    got = sorted(tuple(r) for r in relational.members(c, asks).collect())
+    assert got == sorted((k, f"p{p}") for k in range(50) for p in range(40))
+    assert sum(joined) == 40
+    monkeypatch.setattr(relational, "ASKS_LISTED", 7)
+    assert sorted(tuple(r) for r in relational.members(c, asks).collect()) == got
