@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from types import SimpleNamespace
 
-from lodestone.operators import entities, relational
+from lodestone.operators import entities, graph, relational
 
 
 def test_repeated_names_are_matched_once(spark, monkeypatch):
@@ -44,3 +44,13 @@ def test_asks_of_a_country_meet_its_publications_in_lists(spark, monkeypatch):
     assert sum(joined) == 40
     monkeypatch.setattr(relational, "ASKS_LISTED", 7)
     assert sorted(tuple(r) for r in relational.members(c, asks).collect()) == got
+
+
+def test_components_by_links_of_items(spark):
+    rows = [("g1", f"i{k:02d}") for k in range(30)] + [("g2", "i29"), ("g2", "j"), ("g3", "k"), ("g3", "l"), ("g3", "l"), ("g4", "alone"), ("g5", None), (None, "j"), (None, "k")]
+    df = spark.createDataFrame(rows, "g string, i string")
+    links, edges = graph.group_links(df, "g", "i"), graph.collaboration_edges(df, "g", "i")
+    assert links.count() == 31 and edges.count() == 437
+    assert sorted(map(tuple, graph.ranked_components(links).collect())) == sorted(map(tuple, graph.ranked_components(edges).collect()))
+    assert graph.summary(edges, links).first() == graph.summary(edges).first() and graph.summary(edges).first().nodes == 33
+    assert {r.node: r.root for r in graph.components(links).collect()}["l"] == "k"
