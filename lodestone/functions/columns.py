@@ -126,3 +126,10 @@ def tidy(col: Column) -> Column:
     out = F.regexp_replace(col, r"\(\s*\)", "")
     out = F.regexp_replace(out, r"[ \t]+([.,;:!?])", "$1")
     return F.trim(F.regexp_replace(out, r"[ \t]{2,}", " "))
+
+
+def plain_number(x: Column) -> Column:
+    """A double as text with digits alone: 0.0005 and 20000000.0 where a cast gives 5.0E-4 and 2.0E7 (ten decimals, up to 1e15)."""
+    digits = F.regexp_replace(x.cast("decimal(26,10)").cast("string"), "(\\.\\d+?)0+$", "$1")
+    size = F.abs(x)
+    return F.when((size > 0) & (size < 1e-3) & (size >= 1e-10) | (size >= 1e7) & (size < 1e15), digits).otherwise(x.cast("string"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions.columns import citation, confidence, normalize_title, tidy, token_overlap
+from lodestone.functions.columns import citation, confidence, normalize_title, plain_number, tidy, token_overlap
 
 SOURCE = "publication_id", "title", "year", "doi", "relevance"
 
@@ -57,11 +57,11 @@ def from_edges(edges: DataFrame, publications: DataFrame, most: int = 50) -> tup
 
 
 def from_trends(df: DataFrame) -> DataFrame:
-    return evidence(df, F.col("question_id"), F.format_string("%s grew by %s in %d", "topic_name", F.col("growth_score").cast("string"), F.col("year").cast("long")), "growth_score", F.col("growth_score"), F.col("year").cast("string"))
+    return evidence(df, F.col("question_id"), F.format_string("%s grew by %s in %d", "topic_name", plain_number(F.col("growth_score")), F.col("year").cast("long")), "growth_score", F.col("growth_score"), F.col("year").cast("string"))
 
 
 def from_experts(df: DataFrame) -> DataFrame:
-    return evidence(df, F.col("question_id"), F.format_string("%s scores %s", "author_name", F.col("expertise_score").cast("string")), "expertise_score", F.col("expertise_score"))
+    return evidence(df, F.col("question_id"), F.format_string("%s scores %s", "author_name", plain_number(F.col("expertise_score"))), "expertise_score", F.col("expertise_score"))
 
 
 def from_analytics(df: DataFrame) -> DataFrame:
@@ -72,8 +72,8 @@ def from_analytics(df: DataFrame) -> DataFrame:
     expert = F.col("author_name").isNotNull() & F.col("expertise_score").isNotNull()
     grown = ~expert & F.col("topic_name").isNotNull() & F.col("growth_score").isNotNull()
     topic, period = F.coalesce("topic_name", F.lit("a related topic")), F.coalesce("period", F.lit("all-time"))
-    said = evidence(df.filter(expert), F.col("question_id"), F.format_string("%s scores %s in %s (%s)", F.col("author_name"), F.col("expertise_score").cast("string"), topic, period), "expertise_score", F.col("expertise_score"), period)
-    rose = evidence(df.filter(grown), F.col("question_id"), F.format_string("%s grew by %s (%s)", F.col("topic_name"), F.col("growth_score").cast("string"), period), "growth_score", F.col("growth_score"), period)
+    said = evidence(df.filter(expert), F.col("question_id"), F.format_string("%s scores %s in %s (%s)", F.col("author_name"), plain_number(F.col("expertise_score")), topic, period), "expertise_score", F.col("expertise_score"), period)
+    rose = evidence(df.filter(grown), F.col("question_id"), F.format_string("%s grew by %s (%s)", F.col("topic_name"), plain_number(F.col("growth_score")), period), "growth_score", F.col("growth_score"), period)
     return said.unionByName(rose)
 
 

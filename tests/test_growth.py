@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from types import SimpleNamespace
 
-from lodestone.operators import entities, graph, relational
+from lodestone.operators import entities, evidence, graph, relational
 
 
 def test_repeated_names_are_matched_once(spark, monkeypatch):
@@ -54,3 +54,10 @@ def test_components_by_links_of_items(spark):
     assert sorted(map(tuple, graph.ranked_components(links).collect())) == sorted(map(tuple, graph.ranked_components(edges).collect()))
     assert graph.summary(edges, links).first() == graph.summary(edges).first() and graph.summary(edges).first().nodes == 33
     assert {r.node: r.root for r in graph.components(links).collect()}["l"] == "k"
+
+
+def test_small_and_large_numbers_of_a_claim_are_plain_digits(spark):
+    values = [0.0005, -0.0001, 0.0, 0.25, 1.5, 12345678.5, 20000000.0, 100.0, -0.001]
+    grown = spark.createDataFrame([(k, "t", x, 2000) for k, x in enumerate(values)], "question_id int, topic_name string, growth_score double, year int")
+    said = [r.claim for r in evidence.from_trends(grown).orderBy("question_id").collect()]
+    assert said == [f"t grew by {x} in 2000" for x in ("0.0005", "-0.0001", "0.0", "0.25", "1.5", "12345678.5", "20000000.0", "100.0", "-0.001")]
