@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.columns import icontains
 from lodestone.operators.centroids import centroids
+from lodestone.operators.graph import paired
 from lodestone.sources.corpus import Corpus
 from lodestone.sources.shared import written
 
@@ -106,6 +107,19 @@ def h_index(df: DataFrame, group: list[str], citations: str) -> DataFrame:
     return df.withColumn("_r", F.row_number().over(w)).groupBy(*group).agg(F.count_if(F.col(citations) >= F.col("_r")).alias("h_index"))
 
 
+def coauthors(assigned: DataFrame, pub_author: DataFrame) -> DataFrame:
+    """(author_id, topic_id, network): distinct other authors of the author's publications in the topic.
+
+    A pair of authors goes through the shuffle once for each publication, with the list of its topics, not once for each topic and direction.
+    """
+    listed = assigned.groupBy("publication_id").agg(F.array_sort(F.collect_set("topic_id")).alias("topics"))
+    pairs = paired(pub_author, "publication_id", "author_id").withColumnRenamed("g", "publication_id").join(listed, "publication_id")
+    # Lists of topics recur: what a pair has in many publications is merged before the shuffle and after it.
+    known = pairs.groupBy("node_a", "node_b").agg(F.array_distinct(F.flatten(F.collect_set("topics"))).alias("topics"))
+    ends = known.select(F.explode(F.array("node_a", "node_b")).alias("author_id"), "topics")
+    return ends.select("author_id", F.explode("topics").alias("topic_id")).groupBy("author_id", "topic_id").agg(F.count(F.lit(1)).alias("network"))
+
+
 def expertise(c: Corpus, assigned: DataFrame, recent_from: int) -> DataFrame:
     """Scores of each (author, topic) with at least one publication in the topic.
 
@@ -117,8 +131,7 @@ def expertise(c: Corpus, assigned: DataFrame, recent_from: int) -> DataFrame:
     keys = ["author_id", "topic_id"]
     stats = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("matched"), F.sum("cited").alias("citations"), F.count_if(F.coalesce(F.col("year") >= recent_from, F.lit(False))).alias("recent"))
     h = h_index(rows, keys, "cited")
-    other = pa_.select(F.col("author_id").alias("other"), "publication_id")
-    network = rows.select(*keys, "publication_id").join(other, "publication_id").filter("other <> author_id").groupBy(*keys).agg(F.countDistinct("other").alias("network"))
+    network = coauthors(assigned, pa_)
     portfolio = pa_.groupBy("author_id").agg(F.count(F.lit(1)).alias("portfolio"))
     r = stats.join(h, keys).join(network, keys, "left").join(portfolio, "author_id")
     relevance = F.least(F.lit(100.0), F.greatest(F.lit(20.0), F.col("matched") / F.col("portfolio") * 100))

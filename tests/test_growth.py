@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import itertools
 from types import SimpleNamespace
 
-from lodestone.operators import entities, evidence, graph, relational
+from lodestone.operators import entities, evidence, graph, relational, topics
 
 
 def test_repeated_names_are_matched_once(spark, monkeypatch):
@@ -56,6 +57,19 @@ def test_components_by_links_of_items(spark):
     assert {r.node: r.root for r in graph.components(links).collect()}["l"] == "k"
 
 
+def test_coauthors_by_pairs(spark):
+    written = {"p1": "abc", "p2": "ab", "p3": "bd", "p4": "e"}
+    about = {"p1": [1, 2], "p2": [2], "p3": [2, 3], "p4": [1]}
+    pa_ = spark.createDataFrame([(p, x) for p, xs in written.items() for x in xs], "publication_id string, author_id string")
+    assigned = spark.createDataFrame([(t, p) for p, ts in about.items() for t in ts], "topic_id int, publication_id string")
+    want = {}
+    for p, xs in written.items():
+        for (x, y), t in itertools.product(itertools.permutations(xs, 2), about[p]):
+            want.setdefault((x, t), set()).add(y)
+    got = {(r.author_id, r.topic_id): r.network for r in topics.coauthors(assigned, pa_).collect()}
+    assert got == {k: len(v) for k, v in want.items()}
+
+
 def test_small_and_large_numbers_of_a_claim_are_plain_digits(spark):
     values = [0.0005, -0.0001, 0.0, 0.25, 1.5, 12345678.5, 20000000.0, 100.0, -0.001]
     grown = spark.createDataFrame([(k, "t", x, 2000) for k, x in enumerate(values)], "question_id int, topic_name string, growth_score double, year int")
