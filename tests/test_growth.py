@@ -75,3 +75,17 @@ def test_small_and_large_numbers_of_a_claim_are_plain_digits(spark):
     grown = spark.createDataFrame([(k, "t", x, 2000) for k, x in enumerate(values)], "question_id int, topic_name string, growth_score double, year int")
     said = [r.claim for r in evidence.from_trends(grown).orderBy("question_id").collect()]
     assert said == [f"t grew by {x} in 2000" for x in ("0.0005", "-0.0001", "0.0", "0.25", "1.5", "12345678.5", "20000000.0", "100.0", "-0.001")]
+
+
+def test_turns_over_edges_shuffle_what_nodes_say_once(spark):
+    pairs = [(f"{k:02}{a}", f"{k:02}{b}") for k in range(4) for a, b in itertools.combinations("abcd", 2)]
+    edges = spark.createDataFrame([(a, b, 1) for a, b in pairs], "node_a string, node_b string, weight int")
+    edges = edges.withColumn("via", edges.node_a).selectExpr("node_a", "node_b", "weight", "array(via) AS via")
+    near, names = graph.numbered(edges)
+    assert near.count() == 48 and names.count() == 16
+    start = graph._sized(near.groupBy("node").agg({"weight": "sum"}).selectExpr("node", "node AS community", "CAST(`sum(weight)` AS DOUBLE) AS degree").join(names.withColumnRenamed("id", "node"), "node"))
+    turn = graph._moved(near.selectExpr("node", "partner", "CAST(weight AS DOUBLE) AS weight"), start, 48.0, 1, 2)
+    plan = turn._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 3 and plan.count("Exchange hashpartitioning(partner") == 1
+    sums = turn.selectExpr("sum(within) AS within", "sum(square) AS square").first()
+    assert (sums.within, sums.square) == (0.0, 16 * 9.0)
