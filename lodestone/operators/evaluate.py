@@ -2,29 +2,44 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def query_metrics(hits: DataFrame, relevance: DataFrame, queries: DataFrame, k: int = 8) -> DataFrame:
-    """Precision, recall, its ceiling, hit, MRR and nDCG at k of each query.
-
-    hits: query_id, publication_id, rank. relevance: query_id, publication_id, grade (1 to 3). nDCG gains are grades.
-    """
-    top = hits.filter(F.col("rank") <= k)
-    found = top.join(relevance, ["query_id", "publication_id"]).groupBy("query_id").agg(F.count(F.lit(1)).alias("relevant_found"), F.min("rank").alias("first_rank"), F.sum(F.col("grade") / F.log2(F.col("rank") + 1)).alias("dcg"))
-    shown = top.groupBy("query_id").agg(F.count(F.lit(1)).alias("shown"))
+def ideal_of(relevance: DataFrame, k: int = 8) -> DataFrame:
+    """(query_id, relevant, idcg): the relevant publications of each query and the gain of the best order of them."""
     w = Window.partitionBy("query_id").orderBy(F.desc("grade"), "publication_id")
-    ideal = relevance.withColumn("r", F.row_number().over(w))
-    ideal = ideal.groupBy("query_id").agg(F.count(F.lit(1)).alias("relevant"), F.sum(F.when(F.col("r") <= k, F.col("grade") / F.log2(F.col("r") + 1))).alias("idcg"))
-    rows = queries.select("query_id").join(shown, "query_id", "left").join(found, "query_id", "left").join(ideal, "query_id", "left")
-    rows = rows.select("query_id", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("shown", "relevant_found", "relevant")), "first_rank", F.coalesce("dcg", F.lit(0.0)).alias("dcg"), F.coalesce("idcg", F.lit(0.0)).alias("idcg"))
+    ranked = relevance.withColumn("r", F.row_number().over(w))
+    return ranked.groupBy("query_id").agg(F.count(F.lit(1)).alias("relevant"), F.sum(F.when(F.col("r") <= k, F.col("grade") / F.log2(F.col("r") + 1))).alias("idcg"))
+
+
+def ideal_of_counts(counts: DataFrame, grades: list[int], k: int = 8) -> DataFrame:
+    """ideal_of from how many publications have each grade, highest first (columns query_id, n_<grade>), without a row for each of them."""
+    discounts = [0.0]
+    for r in range(1, k + 1):
+        discounts.append(discounts[-1] + 1 / math.log2(r + 1))
+    upto = F.array(*map(F.lit, discounts))
+    before, idcg = F.lit(0).cast("long"), F.lit(0.0)
+    for g in grades:
+        after = before + F.col(f"n_{g}")
+        idcg = idcg + g * (F.get(upto, F.least(after, F.lit(k)).cast("int")) - F.get(upto, F.least(before, F.lit(k)).cast("int")))
+        before = after
+    return counts.select("query_id", before.alias("relevant"), idcg.alias("idcg"))
+
+
+def _metrics(graded: DataFrame, every: DataFrame, ideal: DataFrame, keys: list[str], k: int) -> DataFrame:
+    """Metrics by keys, query_id among them: graded are the results shown (rank, and grade or null), every has all keys."""
+    found = graded.groupBy(*keys).agg(F.count(F.lit(1)).alias("shown"), F.count("grade").alias("relevant_found"), F.min(F.when(F.col("grade").isNotNull(), F.col("rank"))).alias("first_rank"), F.sum(F.col("grade") / F.log2(F.col("rank") + 1)).alias("dcg"))
+    rows = every.join(found, keys, "left").join(ideal, "query_id", "left")
+    rows = rows.select(*keys, *(F.coalesce(c, F.lit(0)).alias(c) for c in ("shown", "relevant_found", "relevant")), "first_rank", F.coalesce("dcg", F.lit(0.0)).alias("dcg"), F.coalesce("idcg", F.lit(0.0)).alias("idcg"))
 
     def share(a, b):
         return F.round(F.coalesce(F.try_divide(a, b), F.lit(0.0)), 6)
 
     return rows.select(
-        "query_id", "shown", "relevant",
+        *keys, "shown", "relevant",
         share(F.col("relevant_found"), F.lit(k)).alias("precision"),
         share(F.col("relevant_found"), F.col("relevant")).alias("recall"),
         share(F.least(F.col("relevant"), F.lit(k)), F.col("relevant")).alias("recall_ceiling"),
@@ -34,6 +49,16 @@ def query_metrics(hits: DataFrame, relevance: DataFrame, queries: DataFrame, k:
     )
 
 
+def query_metrics(hits: DataFrame, relevance: DataFrame, queries: DataFrame, k: int = 8, ideal: DataFrame | None = None) -> DataFrame:
+    """Precision, recall, its ceiling, hit, MRR and nDCG at k of each query.
+
+    hits: query_id, publication_id, rank. relevance: query_id, publication_id, grade (1 to 3), a pair once. nDCG gains are grades.
+    With ideal (see ideal_of), relevance needs no other pairs than those of hits.
+    """
+    graded = hits.filter(F.col("rank") <= k).join(relevance.select("query_id", "publication_id", "grade"), ["query_id", "publication_id"], "left")
+    return _metrics(graded, queries.select("query_id"), ideal_of(relevance, k) if ideal is None else ideal, ["query_id"], k)
+
+
 def category_means(metrics: DataFrame, about: DataFrame) -> DataFrame:
     """Means of query_metrics by category, and one row over all (category null).
 
@@ -54,15 +79,17 @@ def category_means(metrics: DataFrame, about: DataFrame) -> DataFrame:
     return shown.withColumn("category", F.when(F.col("all") == 0, F.coalesce(F.col("category").cast("string"), F.lit("")))).drop("all")
 
 
-def sweep(scored: DataFrame, relevance: DataFrame, queries: DataFrame, thresholds: list[float], k: int = 8) -> DataFrame:
-    """Means over queries at each threshold, from one scoring with an open gate (scored: query_id, publication_id, similarity, rank)."""
+def sweep(scored: DataFrame, relevance: DataFrame, queries: DataFrame, thresholds: list[float], k: int = 8, ideal: DataFrame | None = None) -> DataFrame:
+    """Means over queries at each threshold, from one scoring with an open gate (scored: query_id, publication_id, similarity, rank).
+
+    Results are graded once and then shown at each gate; what is relevant to a query is the same at all of them. ideal: see query_metrics.
+    """
     gates = F.explode(F.array(*(F.lit(float(t)) for t in thresholds)))
-    joined = scored.withColumn("threshold", gates).filter(F.col("similarity") >= F.col("threshold"))
-    key = F.struct("threshold", "query_id")
+    graded = scored.filter(F.col("rank") <= k).join(relevance.select("query_id", "publication_id", "grade"), ["query_id", "publication_id"], "left")
+    shown = graded.withColumn("threshold", gates).filter(F.col("similarity") >= F.col("threshold"))
     every = queries.select("query_id").withColumn("threshold", gates)
-    rel = relevance.withColumn("threshold", gates)
-    m = query_metrics(joined.withColumn("query_id", key).drop("threshold"), rel.withColumn("query_id", key).drop("threshold"), every.select(key.alias("query_id")), k)
-    return m.groupBy(F.col("query_id.threshold").alias("threshold")).agg(F.count(F.lit(1)).alias("queries"), *(F.round(F.avg(c), 4).alias(c) for c in ("precision", "recall", "hit", "mrr", "ndcg")))
+    m = _metrics(shown, every, ideal_of(relevance, k) if ideal is None else ideal, ["threshold", "query_id"], k)
+    return m.groupBy("threshold").agg(F.count(F.lit(1)).alias("queries"), *(F.round(F.avg(c), 4).alias(c) for c in ("precision", "recall", "hit", "mrr", "ndcg")))
 
 
 def false_positives(scored: DataFrame, negatives: DataFrame, thresholds: list[float]) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 import itertools
 from types import SimpleNamespace
 
-from lodestone.operators import entities, evidence, graph, relational, topics
+from lodestone.operators import entities, evaluate, evidence, graph, relational, topics
+from lodestone.plans import research
 
 
 def test_repeated_names_are_matched_once(spark, monkeypatch):
@@ -89,3 +90,17 @@ def test_turns_over_edges_shuffle_what_nodes_say_once(spark):
     assert plan.count("Exchange hashpartitioning") == 3 and plan.count("Exchange hashpartitioning(partner") == 1
     sums = turn.selectExpr("sum(within) AS within", "sum(square) AS square").first()
     assert (sums.within, sums.square) == (0.0, 16 * 9.0)
+
+
+def test_grades_of_hits_and_counts_stand_for_all_relevant_pairs(spark):
+    chunks = spark.createDataFrame([(k, k // 2, [1.0], k % 3 if k % 7 else None) for k in range(400)], "chunk_id long, publication_id long, embedding array<float>, label int")
+    c = SimpleNamespace(chunks=chunks)
+    hits = spark.createDataFrame([(20 * q, (10 * q + 3 * r) % 200, r + 1, 0.9 - 0.1 * r) for q in range(20) for r in range(6)], "query_id long, publication_id long, rank int, similarity double")
+    q = chunks.filter("chunk_id % 20 = 0").selectExpr("chunk_id AS query_id", "publication_id AS own", "label AS own_label")
+    every = q.join(chunks, (chunks.publication_id == q.own) | (chunks.label == q.own_label)).selectExpr("query_id", "publication_id", "CASE WHEN publication_id = own THEN 3 ELSE 1 END AS grade").groupBy("query_id", "publication_id").agg({"grade": "max"}).withColumnRenamed("max(grade)", "grade")
+    few = research.relevance_of(c, hits)
+    assert few.count() < 120 < every.count()
+    asked = q.select("query_id")
+    assert sorted(evaluate.query_metrics(hits, every, asked).collect()) == sorted(evaluate.query_metrics(hits, few, asked, ideal=research.ideal_of(c)).collect())
+    gates = [0.2, 0.55, 0.8, 0.95]
+    assert sorted(evaluate.sweep(hits, every, asked, gates).collect()) == sorted(evaluate.sweep(hits, few, asked, gates, ideal=research.ideal_of(c)).collect())
