@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.columns import icontains
 from lodestone.operators.centroids import centroids
-from lodestone.operators.graph import paired
+from lodestone.operators.graph import counted_pairs
 from lodestone.sources.corpus import Corpus
 from lodestone.sources.shared import written
 
@@ -113,9 +113,10 @@ def coauthors(assigned: DataFrame, pub_author: DataFrame) -> DataFrame:
     A pair of authors goes through the shuffle once for each publication, with the list of its topics, not once for each topic and direction.
     """
     listed = assigned.groupBy("publication_id").agg(F.array_sort(F.collect_set("topic_id")).alias("topics"))
-    pairs = paired(pub_author, "publication_id", "author_id").withColumnRenamed("g", "publication_id").join(listed, "publication_id")
-    # Lists of topics recur: what a pair has in many publications is merged before the shuffle and after it.
-    known = pairs.groupBy("node_a", "node_b").agg(F.array_distinct(F.flatten(F.collect_set("topics"))).alias("topics"))
+    pairs, tasks = counted_pairs(pub_author, "publication_id", "author_id")
+    pairs = pairs.withColumnRenamed("g", "publication_id").join(listed, "publication_id").select("node_a", "node_b", "topics")
+    # A pair seldom meets itself before the shuffle: it goes there as a plain row, to as many tasks as pairs need.
+    known = pairs.repartition(tasks, "node_a", "node_b").groupBy("node_a", "node_b").agg(F.array_distinct(F.flatten(F.collect_set("topics"))).alias("topics"))
     ends = known.select(F.explode(F.array("node_a", "node_b")).alias("author_id"), "topics")
     return ends.select("author_id", F.explode("topics").alias("topic_id")).groupBy("author_id", "topic_id").agg(F.count(F.lit(1)).alias("network"))
 

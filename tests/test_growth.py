@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import itertools
+import re
 from types import SimpleNamespace
 
 from lodestone.operators import entities, evaluate, evidence, graph, relational, topics
 from lodestone.plans import research
+from lodestone.sources import shared
 
 
 def test_repeated_names_are_matched_once(spark, monkeypatch):
@@ -104,3 +106,12 @@ def test_grades_of_hits_and_counts_stand_for_all_relevant_pairs(spark):
     assert sorted(evaluate.query_metrics(hits, every, asked).collect()) == sorted(evaluate.query_metrics(hits, few, asked, ideal=research.ideal_of(c)).collect())
     gates = [0.2, 0.55, 0.8, 0.95]
     assert sorted(evaluate.sweep(hits, every, asked, gates).collect()) == sorted(evaluate.sweep(hits, few, asked, gates, ideal=research.ideal_of(c)).collect())
+
+
+def test_tasks_of_edges_follow_their_pairs(spark, monkeypatch):
+    monkeypatch.setattr(shared, "TASK_ROWS", 50)
+    df = spark.createDataFrame([(f"g{k}", f"i{k}{x}") for k in range(20) for x in range(8)], "g string, i string")
+    edges = graph.collaboration_edges(df, "g", "i")
+    plan = edges._jdf.queryExecution().executedPlan().toString()
+    assert re.findall(r"hashpartitioning\(node_a#\d+, node_b#\d+, (\d+)\)", plan) == ["12"]
+    assert edges.count() == 20 * 28
