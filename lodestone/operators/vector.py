@@ -295,26 +295,61 @@ def mixed_versions(stored: DataFrame, model: str, version: str) -> DataFrame:
     return stored.select("embedding_model", "embedding_version").distinct().filter((F.col("embedding_model") != model) | (F.col("embedding_version") != version))
 
 
+#: Areas over which buckets are dealt by hash; those of one area are told apart by their keys.
+AREAS = 1 << 16
+
+
+def _near_in_buckets(k: int, least: float):
+    """f(rows, queries) -> in a tile, the k best publications of each query, by their best chunk of similarity `least` or more in the query's bucket."""
+
+    def search(rows: pa.Table, asked: pa.Table) -> pa.Table:
+        found: list[tuple] = []
+        if len(rows) and len(asked):
+            ids, chunk, pub = asked.column("query_id").to_numpy(), rows.column("chunk_id").to_numpy(), rows.column("publication_id").to_numpy()
+            bucket, own = rows.column("bucket").to_numpy(), asked.column("bucket").to_numpy()
+            for a, s, v, q in _scored(rows, asked):
+                i, j = np.nonzero((s >= least - 1e-9) & (own[a : a + len(s), None] == bucket[None, :]))
+                exact = np.einsum("nd,nd->n", q[a + i], v[j])  # the same sum for equal vectors, wherever they stand
+                order = np.lexsort((chunk[j], -exact, i))
+                order = order[exact[order] >= least]
+                i, j, exact = i[order], j[order], exact[order]
+                first = np.sort(np.unique(np.stack([i, pub[j]], axis=1), axis=0, return_index=True)[1])
+                i, j, exact = i[first], j[first], exact[first]
+                ok = np.arange(len(i)) - np.searchsorted(i, i) < k
+                found.append((ids[a + i[ok]], chunk[j[ok]], pub[j[ok]], exact[ok]))
+        kinds = {"query_id": np.int64, "chunk_id": np.int64, "publication_id": np.int64, "similarity": np.float64}
+        return pa.table({c: np.concatenate([np.zeros(0, t), *(f[n] for f in found)]) for n, (c, t) in enumerate(kinds.items())})
+
+    return search
+
+
 def lsh_search(chunks: DataFrame, queries: DataFrame, k: int = 8, threshold: float = 0.48, width: float = 0.6, tables: int = 8) -> DataFrame:
-    """vector_search by random projections: only chunks that share a bucket are scored, then ranked exactly. Recall is measured by evaluate.recall."""
+    """vector_search by random projections: only chunks that share a bucket are scored, then ranked exactly. Recall is measured by evaluate.recall.
+
+    Buckets of each table are cut in tiles; a tile sends the k best publications of a query at most, no pairs.
+    """
     from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.functions import array_to_vector, vector_to_array
 
     def unit(df: DataFrame, *cols: str) -> DataFrame:
         norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
         # Written, as the vector functions fail on rows that a filter in the same stage drops.
         some = df.filter(F.col("embedding").isNotNull()).withColumn("_n", norm).filter("_n > 0")
-        some = written(some.select(*cols, F.transform("embedding", lambda x: x / F.col("_n")).alias("unit")), "units")
-        return some.select(*cols, array_to_vector("unit").alias("v"))
+        some = written(some.select(*cols, "embedding", F.transform("embedding", lambda x: x / F.col("_n")).alias("unit")), "units")
+        return some.select(*cols, "embedding", array_to_vector("unit").alias("v"))
 
-    c, q = unit(chunks, "chunk_id", "publication_id"), unit(queries, "query_id")
+    c = unit(chunks.withColumn("publication_id", F.col("publication_id").cast("long")), "chunk_id", "publication_id")
+    q = unit(queries, "query_id")
     model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=width, numHashTables=tables, seed=7).fit(c)
-    far = (2 - 2 * threshold) ** 0.5
-    near = model.approxSimilarityJoin(c, q, far + 1e-9, "d").select(F.col("datasetB.query_id").alias("query_id"), F.col("datasetA.chunk_id").alias("chunk_id"), F.col("datasetA.publication_id").alias("publication_id"), (1 - F.col("d") * F.col("d") / 2).alias("similarity"))
-    by_pub = Window.partitionBy("query_id", "publication_id").orderBy(F.desc("similarity"), "chunk_id")
-    w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "chunk_id")
-    one = near.withColumn("_r", F.row_number().over(by_pub)).filter("_r = 1").drop("_r")
-    return one.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).withColumn("similarity", F.round("similarity", 4))
+
+    def dealt(df: DataFrame, label: str) -> DataFrame:
+        keys = F.transform("h", lambda x, t: F.xxhash64(t, x))
+        hashed = model.transform(df).withColumn("h", F.array(*(vector_to_array(F.col("h")[t])[0] for t in range(tables))))
+        rows = hashed.select("*", F.explode(keys).alias("bucket")).drop("v", "h")
+        return written(rows.withColumn("area", F.pmod("bucket", F.lit(AREAS)).cast("int")), label)
+
+    near = tiles(dealt(c, "rows"), dealt(q, "asked"), _near_in_buckets(k, threshold), "query_id long, chunk_id long, publication_id long, similarity double")
+    return publications_of(near, k)
 
 
 def build_cells(chunks: DataFrame, cells: int, path: str, sample: int = 100_000, seed: int = 7) -> np.ndarray:

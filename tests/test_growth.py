@@ -6,7 +6,9 @@ import itertools
 import re
 from types import SimpleNamespace
 
-from lodestone.operators import entities, evaluate, evidence, graph, relational, topics
+from pyspark.sql import functions as F
+
+from lodestone.operators import entities, evaluate, evidence, graph, relational, topics, vector
 from lodestone.plans import research
 from lodestone.sources import shared
 
@@ -115,3 +117,22 @@ def test_tasks_of_edges_follow_their_pairs(spark, monkeypatch):
     plan = edges._jdf.queryExecution().executedPlan().toString()
     assert re.findall(r"hashpartitioning\(node_a#\d+, node_b#\d+, (\d+)\)", plan) == ["12"]
     assert edges.count() == 20 * 28
+
+
+def test_buckets_send_their_best_and_no_pairs(spark, monkeypatch):
+    sent = []
+
+    def counted(*args, cut=vector.tiles):
+        sent.append((out := shared.written(cut(*args), "found")).count())
+        return out
+
+    monkeypatch.setattr(vector, "tiles", counted)
+    # Groups of near copies: each query has 40 publications over the gate, of two chunks each.
+    v = [[1.0 + (c % 7 == d) + (g == d) * 9 + c * d / 9e3 for d in range(5)] for g in range(5) for c in range(80)]
+    chunks = spark.createDataFrame([(i, i // 2, x) for i, x in enumerate(v)] + [(900, 450, [0.0] * 5), (901, 450, None)], "chunk_id long, publication_id long, embedding array<float>")
+    asked = chunks.filter("chunk_id % 10 = 0").select(F.col("chunk_id").alias("query_id"), "embedding")
+    want = {tuple(r) for r in vector.vector_search(chunks, asked, 3, 0.9).select("query_id", "chunk_id", "rank", "similarity").collect()}
+    sent.clear()
+    got = vector.lsh_search(chunks, asked, 3, 0.9, width=50.0, tables=2)
+    assert {tuple(r) for r in got.select("query_id", "chunk_id", "rank", "similarity").collect()} == want and len(want) == 40 * 3
+    assert len(sent) == 1 and 0 < sent[0] <= 40 * 3 * 2 * 2  # three publications for a query and a bucket; a table cuts directions once at most
