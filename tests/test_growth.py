@@ -136,3 +136,32 @@ def test_buckets_send_their_best_and_no_pairs(spark, monkeypatch):
     got = vector.lsh_search(chunks, asked, 3, 0.9, width=50.0, tables=2)
     assert {tuple(r) for r in got.select("query_id", "chunk_id", "rank", "similarity").collect()} == want and len(want) == 40 * 3
     assert len(sent) == 1 and 0 < sent[0] <= 40 * 3 * 2 * 2  # three publications for a query and a bucket; a table cuts directions once at most
+
+
+def test_edges_of_a_least_weight_go_as_numbers(spark):
+    def plain(names):
+        shared_by = {}
+        for g, items in names.items():
+            for a, b in itertools.combinations(sorted(set(items)), 2):
+                shared_by.setdefault((a, b), []).append(g)
+        return shared_by
+
+    def found(names, least):
+        df = spark.createDataFrame([(g, i) for g, items in names.items() for i in items] + [(None, "9"), ("7", None)], "g string, i string")
+        return df, {(r.node_a, r.node_b): (r.weight, r.via) for r in graph.collaboration_edges(df, "g", "i", least).collect()}
+
+    numbers = {"10": ["9", "10", "100", "9"], "9": ["9", "10"], "100": ["100", "9", "-3"], "-1": ["7"]}
+    words = numbers | {"x": ["9", "09"], "10": ["09", "9", "10", "+9", " 9"]}
+    for names, whole in ((numbers, True), (words, False)):
+        for least in (1, 2, 3):
+            df, got = found(names, least)
+            assert got == {e: (len(gs), sorted(gs)) for e, gs in plain(names).items() if len(gs) >= least}
+        pairs, _, as_numbers = graph._pairs(df, "g", "i", numbers=True)
+        assert as_numbers == whole and {t for _, t in pairs.dtypes} == ({"bigint"} if whole else {"string"})
+
+
+def test_edges_are_made_once_for_both_ends(spark):
+    edges = spark.createDataFrame([("a", "b", 2, ["p", "q"])], "node_a string, node_b string, weight int, via array<string>")
+    out = graph.both_ways(edges)
+    assert {tuple(r)[:3] for r in out.collect()} == {("a", "b", 2), ("b", "a", 2)}
+    assert "Union" not in out._jdf.queryExecution().optimizedPlan().toString()
