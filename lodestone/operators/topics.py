@@ -25,9 +25,11 @@ def few(df: DataFrame) -> DataFrame:
 def assign_topics(publications: DataFrame, keywords: DataFrame, terms: DataFrame) -> DataFrame:
     """(topic_id, publication_id), distinct: a term of the topic is part of the lower-case title or of a keyword.
 
-    Distinct titles and keywords are matched once, whatever the number of publications that carry them.
+    Distinct titles and keywords are matched once, whatever the number of publications that carry them. Texts are made
+    once, and repeats fall out with the topics, whose rows are shorter and fewer.
     """
-    texts = publications.select("publication_id", F.lower("title").alias("text")).unionByName(keywords.select("publication_id", F.lower("keyword").alias("text"))).filter("text is not null").distinct()
+    texts = publications.select("publication_id", F.lower("title").alias("text")).unionByName(keywords.select("publication_id", F.lower("keyword").alias("text"))).filter("text is not null")
+    texts = written(texts, "texts")
     small = F.broadcast(few(terms).select("topic_id", F.lower("term").alias("term")))
     matched = texts.select("text").distinct().join(small, F.contains(F.col("text"), F.col("term"))).select("topic_id", "text").distinct()
     matched = written(matched, "matched")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lodestone.operators import entities, evaluate, evidence, graph, relational, topics, vector
 from lodestone.plans import research
 from lodestone.sources import shared
+from lodestone.sources.corpus import Corpus
 
 
 def test_repeated_names_are_matched_once(spark, monkeypatch):
@@ -165,3 +166,27 @@ def test_edges_are_made_once_for_both_ends(spark):
     out = graph.both_ways(edges)
     assert {tuple(r)[:3] for r in out.collect()} == {("a", "b", 2), ("b", "a", 2)}
     assert "Union" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_texts_are_made_once_and_repeats_fall_out(spark, monkeypatch):
+    rows = {}
+
+    def counted(df, label, write=topics.written):
+        rows[label] = (out := write(df, label)).count()
+        return out
+
+    monkeypatch.setattr(topics, "written", counted)
+    publications = spark.createDataFrame([("p1", "Red bolt"), ("p2", None), ("p3", "red")], "publication_id string, title string")
+    keywords = spark.createDataFrame([("p1", "BOLT")] * 9 + [("p2", "ring")] * 9 + [("p3", None), ("p2", "gear")], "publication_id string, keyword string")
+    terms = spark.createDataFrame([(1, "bolt"), (1, "ring"), (2, "red"), (3, "none")], "topic_id int, term string")
+    got = sorted(tuple(r) for r in topics.assign_topics(publications, keywords, terms).collect())
+    assert got == [(1, "p1"), (1, "p2"), (2, "p1"), (2, "p3")]
+    assert rows == {"texts": 2 + 19, "matched": 5}
+
+
+def test_years_need_no_titles(spark):
+    c = Corpus(spark, "/root/testdata/sf0.001")
+    assert c.publications.drop("title").exceptAll(c.dated).isEmpty() and c.dated.count() == c.publications.count()
+    assert "Join" not in c.dated._jdf.queryExecution().optimizedPlan().toString()
+    lines = c.keyword_lines
+    assert lines.distinct().exceptAll(c.keywords.drop("keyword_id")).isEmpty() and lines.count() > c.keywords.count()
