@@ -190,3 +190,12 @@ def test_years_need_no_titles(spark):
     assert "Join" not in c.dated._jdf.queryExecution().optimizedPlan().toString()
     lines = c.keyword_lines
     assert lines.distinct().exceptAll(c.keywords.drop("keyword_id")).isEmpty() and lines.count() > c.keywords.count()
+
+
+def test_pairs_of_few_items_are_counted_before_the_shuffle(spark):
+    df = spark.createDataFrame([(f"g{k % 40}", f"i{k % 7 if k % 3 else 9}") for k in range(400)] + [(None, "i1"), ("g1", None)], "g string, i string")
+    out = graph.collaboration_counts(df, "g", "i")
+    want = {(r.node_a, r.node_b, r.weight) for r in graph.collaboration_edges(df, "g", "i").collect()}
+    assert {tuple(r) for r in out.collect()} == want and len(want) == 28
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "partial_count" in plan and "node_a" in plan.split("partial_count")[0] and "via" not in plan
