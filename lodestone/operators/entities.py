@@ -25,11 +25,11 @@ def containing(asked: DataFrame, known: DataFrame) -> DataFrame:
 
     Names are indexed by their pieces. A name that contains another has all its pieces, so each asked name is
     looked up by its rarest piece alone, and those found are compared in full. An asked name with a piece that no name has
-    is not looked up. Common pieces are dealt over many tasks.
+    is not looked up. Common pieces are dealt over many tasks. Pieces that no asked name has are not indexed.
     """
+    names = written(asked.select("low").distinct().select("low", F.explode(grams(F.col("low"))).alias("gram")), "asked-grams")
     index = known.select("entity_low").filter(F.length("entity_low") >= GRAM).distinct().select(F.explode(grams(F.col("entity_low"))).alias("gram"), "entity_low")
-    index = written(index, "gram-index")
-    names = asked.select("low").distinct().select("low", F.explode(grams(F.col("low"))).alias("gram"))
+    index = written(index.join(names.select("gram").distinct(), "gram", "left_semi"), "gram-index")
     frequency = index.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
     weighed = names.join(frequency, "gram", "left").groupBy("low").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"), F.count_if(F.col("n").isNull()).alias("unknown"))
     rarest = written(weighed.filter("unknown = 0").select("low", "gram"), "rarest")
@@ -60,11 +60,13 @@ def _shown(rows: DataFrame, most: int = 5) -> DataFrame:
 
 
 def _found(names: DataFrame, entities: DataFrame, links: DataFrame) -> DataFrame:
-    """The matches of each distinct name; how often a name is asked makes no more of them."""
+    """The matches of each distinct name; how often a name is asked makes no more of them. Only matched entities' publications are counted; links may repeat."""
+    asked = names.filter(F.length(F.trim("name")) >= 3).select("name").distinct()
+    matches = written(_matches(asked, entities), "matches")
+    links = links.join(matches.select("entity_id").distinct(), "entity_id", "left_semi")
     counts = links.groupBy("entity_id").agg(F.countDistinct("publication_id").alias("publications"))
     counted = entities.join(counts, "entity_id", "left").select("entity_id", "entity_name", F.coalesce("publications", F.lit(0)).alias("publications"))
-    asked = names.filter(F.length(F.trim("name")) >= 3).select("name").distinct()
-    return _shown(written(spread_join(_matches(asked, entities), counted, ["entity_id"]), "name-matches"))
+    return _shown(written(spread_join(matches, counted, ["entity_id"]), "name-matches"))
 
 
 def _status(names: DataFrame, found: DataFrame, narrowed: Column) -> DataFrame:

@@ -36,7 +36,9 @@ def assign_topics(publications: DataFrame, keywords: DataFrame, terms: DataFrame
     # Few distinct texts (keywords) stand for very many rows; they are sent to every task while their number is checked.
     if matched.limit(TERMS_MOST + 1).count() <= TERMS_MOST:
         matched = F.broadcast(matched)
-    return texts.join(matched, "text").select("topic_id", "publication_id").distinct()
+    # Lists of a publication's topics, a row for each where its texts stand together; joins by publication find them in place.
+    listed = texts.join(matched, "text").groupBy("publication_id").agg(F.collect_set("topic_id").alias("topics"))
+    return listed.select(F.explode("topics").alias("topic_id"), "publication_id")
 
 
 def topic_totals(publications: DataFrame, assigned: DataFrame, topics: DataFrame) -> DataFrame:
@@ -123,26 +125,40 @@ def coauthors(assigned: DataFrame, pub_author: DataFrame) -> DataFrame:
     return ends.select("author_id", F.explode("topics").alias("topic_id")).groupBy("author_id", "topic_id").agg(F.count(F.lit(1)).alias("network"))
 
 
+def author_topics(c: Corpus, assigned: DataFrame, recent_from: int) -> DataFrame:
+    """Each (author, topic) with at least one publication in the topic: matched, citations, recent, h_index, years, and the author's portfolio.
+
+    Publications take their topics as a list, and their authors' rows go through the shuffle twice: to the publication and to the author.
+    """
+    listed = assigned.groupBy("publication_id").agg(F.collect_set("topic_id").alias("topics"))
+    pubs = c.dated.select("publication_id", "year", F.coalesce("citation_count", F.lit(0)).alias("cited")).join(listed, "publication_id")
+    own = c.author_lines.repartition("publication_id").distinct()  # repeats lie together
+    every = own.join(pubs, "publication_id", "left").select("author_id", "year", "cited", "topics")
+    every = every.withColumn("portfolio", F.count(F.lit(1)).over(Window.partitionBy("author_id")))
+    rows = every.select("author_id", F.explode("topics").alias("topic_id"), "year", "cited", "portfolio")
+    rows = rows.withColumn("_r", F.row_number().over(Window.partitionBy("author_id", "topic_id").orderBy(F.desc("cited"))))
+    recent = F.count_if(F.coalesce(F.col("year") >= recent_from, F.lit(False))).alias("recent")
+    return rows.groupBy("author_id", "topic_id").agg(F.count(F.lit(1)).alias("matched"), F.sum("cited").alias("citations"), recent, F.count_if(F.col("cited") >= F.col("_r")).alias("h_index"), F.max("portfolio").alias("portfolio"), F.collect_set("year").alias("years"))
+
+
 def expertise(c: Corpus, assigned: DataFrame, recent_from: int) -> DataFrame:
     """Scores of each (author, topic) with at least one publication in the topic.
 
     Weights: relevance .30, productivity .25, impact .25, recency .20, each within 0 to 100.
     """
-    pubs = c.publications.select("publication_id", "year", F.coalesce("citation_count", F.lit(0)).alias("cited"))
-    pa_ = c.pub_author.select("author_id", "publication_id").distinct()
-    rows = assigned.join(pa_, "publication_id").join(pubs, "publication_id")
-    keys = ["author_id", "topic_id"]
-    stats = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("matched"), F.sum("cited").alias("citations"), F.count_if(F.coalesce(F.col("year") >= recent_from, F.lit(False))).alias("recent"))
-    h = h_index(rows, keys, "cited")
-    network = coauthors(assigned, pa_)
-    portfolio = pa_.groupBy("author_id").agg(F.count(F.lit(1)).alias("portfolio"))
-    r = stats.join(h, keys).join(network, keys, "left").join(portfolio, "author_id")
+    network = coauthors(assigned, c.pub_author.select("author_id", "publication_id"))
+    r = scored(author_topics(c, assigned, recent_from)).drop("years").join(network, ["author_id", "topic_id"], "left")
+    return r.withColumn("coauthor_network_size", F.coalesce("network", F.lit(0))).drop("network")
+
+
+def scored(r: DataFrame) -> DataFrame:
+    """The scores of author_topics, and the years in which there are publications of the author in the topic."""
     relevance = F.least(F.lit(100.0), F.greatest(F.lit(20.0), F.col("matched") / F.col("portfolio") * 100))
     productivity = F.least(F.lit(100.0), F.log1p("matched") / F.log1p(F.lit(10.0)) * 100)
     impact = F.least(F.lit(100.0), F.log1p("citations") / F.log1p(F.lit(50.0)) * 80 + F.least(F.lit(20.0), F.col("h_index") * 5.0))
     recency = F.least(F.lit(100.0), F.col("recent") / F.col("matched") * 100)
     total = F.least(F.lit(100.0), F.greatest(F.lit(0.0), 0.30 * relevance + 0.25 * productivity + 0.25 * impact + 0.20 * recency))
-    return r.select("author_id", "topic_id", F.round(total, 4).alias("expertise_score"), F.round(relevance, 4).alias("relevance_score"), F.round(productivity, 4).alias("productivity_score"), F.round(impact, 4).alias("impact_score"), F.round(recency, 4).alias("recency_score"), F.col("h_index").alias("h_index_topic"), F.col("matched").alias("publication_count_topic"), F.col("citations").alias("citation_count_topic"), F.coalesce("network", F.lit(0)).alias("coauthor_network_size"))
+    return r.select("author_id", "topic_id", F.round(total, 4).alias("expertise_score"), F.round(relevance, 4).alias("relevance_score"), F.round(productivity, 4).alias("productivity_score"), F.round(impact, 4).alias("impact_score"), F.round(recency, 4).alias("recency_score"), F.col("h_index").alias("h_index_topic"), F.col("matched").alias("publication_count_topic"), F.col("citations").alias("citation_count_topic"), "years")
 
 
 def trends(evolved: DataFrame, topics: DataFrame, topic_id: int | None = None, emerging_only: bool = False, low: int | None = None, high: int | None = None, n: int = 10) -> DataFrame:

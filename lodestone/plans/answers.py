@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions.columns import citation, normalize_text, normalize_title, period_label, token_overlap
-from lodestone.operators import conversation, entities, evidence, graph, keys, quality, questions, relational, vector
+from lodestone.operators import conversation, entities, evidence, graph, keys, quality, questions, relational, topics, vector
 from lodestone.plans.research import _ASSIGNED, _EDGES, _EVOLUTION, _EXPERTISE, assigned, evolution, expertise, queries_of, search_sql
 from lodestone.sources.corpus import Corpus, load, with_corpus
+from lodestone.sources.shared import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -54,7 +55,7 @@ def resolve_authors(spark, d):
     key = F.col("p_partkey").cast("string")
     name = F.when(F.col("p_partkey") % 4 == 0, F.upper(F.concat("p_name", F.lit(" #"), key))).when(F.col("p_partkey") % 4 == 1, F.col("p_name")).when(F.col("p_partkey") % 4 == 2, F.concat("p_name", F.lit(" #"), key, F.lit("x"))).otherwise(F.substring("p_name", 1, 2))
     asks = load(spark, d, "part").select(F.col("p_partkey").alias("ask_id"), name.alias("name"))
-    return entities.resolve_authors(asks, c.authors, c.pub_author)
+    return entities.resolve_authors(asks, c.authors, c.author_lines)
 
 
 @query("n2_resolve_institutions", with_corpus("institutions pub_institution", "asks AS (SELECT s_suppkey AS ask_id, CASE s_suppkey % 3 WHEN 0 THEN lower(s_name) WHEN 1 THEN substr(s_name, 1, 17) ELSE 'none ' || s_name END AS name FROM supplier), "
@@ -584,7 +585,8 @@ def answers(spark, d):
     from lodestone.plans import research
     from lodestone.plans.answer_batch import answer_batch
 
-    c = Corpus(spark, d)
-    edges = graph.collaboration_edges(c.author_lines, "publication_id", "author_id", 2)
-    _, topics_of, _ = research.assigned(spark, d)
-    return answer_batch(c, question_table(spark, d), edges, research.evolution(spark, d), research.terms(spark), topics_of, research.expertise(spark, d), vector.hashing_encoder(64), 64)
+    c, topics_of, names = research.assigned(spark, d)
+    topics_of = written(topics_of, "assigned")
+    evolved = topics.evolution(topics.topic_years(c.dated, topics_of, names, research.LOW, research.HIGH), research.LOW)
+    scores = topics.scored(topics.author_topics(c, topics_of, research.RECENT))
+    return answer_batch(c, question_table(spark, d), lambda nodes: graph.edges_of(c.author_lines, "publication_id", "author_id", nodes, 2), evolved, research.terms(spark), topics_of, scores, vector.hashing_encoder(64), 64)
