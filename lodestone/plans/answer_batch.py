@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Window
@@ -64,6 +65,7 @@ def _relational(c: Corpus, sql: DataFrame) -> DataFrame:
     some = scoped("funding")
     if some is not None:
         g = some.join(c.funding.select("publication_id", "funding_id"), "publication_id").groupBy("author", "year").agg(F.countDistinct("funding_id").alias("n"))
+        g = written(g, "grants")
         out = out.unionByName(evidence.from_count(funded.join(within(g, funded).groupBy(*keys).agg(F.sum("n").alias("total")), keys), "total", "grants"))
     for intent, links, names, key, name in (("top_authors", c.author_lines, c.authors, "author_id", "author_name"), ("top_institutions", c.institution_lines, c.institutions, "institution_id", "institution_name")):
         some = scoped(intent)
@@ -93,7 +95,8 @@ def _hybrid(c: Corpus, asked: DataFrame, evolved: DataFrame, terms: DataFrame, a
     names = terms.select("topic_id", "topic_name").distinct()
     said = kinds.select("question").distinct().join(F.broadcast(few(terms)), F.contains(F.lower("question"), F.lower("term"))).select("question", "topic_id").distinct()
     every = kinds.select("question").distinct().join(said, "question", "left_anti").crossJoin(F.broadcast(names.select("topic_id")))
-    topics = kinds.join(said.unionByName(every), "question")
+    topics = written(kinds.join(said.unionByName(every), "question"), "asked-topics")
+    evolved = written(evolved, "evolved")
     keys, ask = ["question", "lo", "hi"], asked.select("question_id", "question", "lo", "hi")
     grown = topics.filter("hybrid_kind <> 'experts'").join(evolved, "topic_id").filter(F.col("year").between(F.col("lo"), F.col("hi")) & (~F.col("emerging_only") | F.col("is_emerging"))).join(names, "topic_id")
     trends = evidence.from_trends(ask.join(_top(grown, keys, [F.desc("growth_score"), F.desc("year"), "topic_id"], most), keys))
@@ -160,7 +163,8 @@ def answer_batch(c: Corpus, asked: DataFrame, edges: DataFrame | Callable[[DataF
     hits = written(hits, "hits")
     matches = evidence.from_matches(hits.join(c.publications_of(hits).select("publication_id", "title", "year", "doi"), "publication_id"))
 
-    rows = written(relational.unionByName(partners).unionByName(hybrid).unionByName(matches), "evidence")
+    # A route at a time: one plan of all of them would take the driver's memory.
+    rows = functools.reduce(DataFrame.unionByName, [written(route, "evidence") for route in (relational, partners, hybrid, matches)])
     texts = evidence.answer_text(evidence.rank_evidence(evidence.merge_evidence(rows)), LIMIT_MOST)
     status = F.when(F.coalesce(open_name, F.lit(False)), F.when(F.col("name_status") == "needs_clarification", "needs_clarification").otherwise("not_found")).when(F.col("answer").isNull(), "not_found").otherwise("ok")
     told = written(q.join(texts, "question_id", "left").select(F.col("question").alias("_text"), "route", status.alias("status"), "answer"), "answers")
