@@ -86,3 +86,26 @@ def test_institutions_keep_all_their_publications(spark):
     got = rows(spark, "a8_keyword_institutions")
     assert all(len(r.via_publication_ids) == r.publication_count and r.via_publication_ids == sorted(set(r.via_publication_ids)) for r in got)
     assert max(r.publication_count for r in got) > 10
+
+
+def test_betweenness_takes_every_shared_publication(spark, monkeypatch, tmp_path):
+    """Over all edges, light ones too, whether tasks hold the graph or not, and in several batches of sources."""
+    from lodestone.operators import blocks, graph
+    from tests import golden
+    from tests.test_core import brute_betweenness
+
+    golden.write(str(tmp_path))
+    lines = spark.read.parquet(str(tmp_path / "lineitem.parquet")).filter("l_orderkey in (2, 3, 5, 7, 9, 20)")
+    lines.write.parquet(str(tmp_path / "few" / "lineitem.parquet"))
+    edges = [(r.node_a, r.node_b) for r in entry.queries()["a7_author_edges"](spark, str(tmp_path / "few")).collect() if r.weight < 3]
+    assert edges and len(edges) == entry.queries()["a7_author_edges"](spark, str(tmp_path / "few")).count()
+    want = brute_betweenness(edges)
+    assert any(want.values())
+    monkeypatch.setattr(blocks, "PATHS_HELD", 30)
+    query = entry.queries()["g9_betweenness"]
+    got = [{r.node: r.betweenness for r in query(spark, str(tmp_path / "few")).collect()}]
+    monkeypatch.setattr(blocks, "EDGES_HELD", 0)
+    monkeypatch.setattr(graph, "BATCH_PATHS", 5 * len(want))
+    got.append({r.node: r.betweenness for r in query(spark, str(tmp_path / "few")).collect()})
+    for found in got:
+        assert found.keys() == want.keys() and all(abs(found[k] - want[k]) < 2e-6 for k in want)
