@@ -16,8 +16,12 @@ from lodestone.sources.shared import written
 
 #: Rows and queries of a tile, the work of one task: so many of either are held at a time.
 TILE_ROWS, TILE_QUERIES = 8192, 2048
-#: Queries scored together within a tile.
+#: Where an area has more tiles than TILES, both sides of a tile grow, up to GROWTH times for vectors of 64 numbers and less for longer ones.
+TILES, GROWTH = 128, 8
+#: Queries scored together within a tile of TILE_ROWS; fewer in a larger one.
 TOGETHER = 256
+#: Where all tiles together may send so many rows of a query, they first tell how their similarities are spread, and then send what can be among the best.
+BOUND_FROM = 1024
 #: Conditions that a query may set on what it is answered with; null sets none.
 CONDITIONS = ("year_low", "year_high", "document_type", "publication_ids")
 
@@ -57,25 +61,31 @@ def _allowed(rows: pa.Table, asked: pa.Table) -> list[np.ndarray | None]:
 def _scored(rows: pa.Table, asked: pa.Table) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """(first query, its and the next ones' similarities to all rows, unit rows, unit queries); what a query does not allow is minus infinity."""
     v, q, allowed = _units(rows.column("embedding")), _units(asked.column("embedding")), _allowed(rows, asked)
-    for a in range(0, len(q), TOGETHER):
-        s = np.nan_to_num(q[a : a + TOGETHER] @ v.T, nan=-np.inf, neginf=-np.inf)
-        for i, ok in enumerate(allowed[a : a + TOGETHER]):
+    together = max(1, min(TOGETHER, TOGETHER * 8192 // max(1, len(v))))
+    for a in range(0, len(q), together):
+        s = np.nan_to_num(q[a : a + together] @ v.T, nan=-np.inf, neginf=-np.inf)
+        for i, ok in enumerate(allowed[a : a + together]):
             if ok is not None:
                 s[i, ~ok] = -np.inf
         yield a, s, v, q
 
 
 def _best(keep: int, least: float | None, always: int):
-    """f(rows, queries) -> the `keep` nearest rows of each query in a tile, of similarity `least` or more but for the `always` first."""
+    """f(rows, queries) -> the `keep` nearest rows of each query in a tile, of similarity `least` or more but for the `always` first.
+
+    A query's `bound`, if it has one, is a similarity that `keep` rows of all tiles reach: none below it is sent.
+    """
 
     def search(rows: pa.Table, asked: pa.Table) -> pa.Table:
         found: list[tuple] = []
         if len(rows) and len(asked):
             ids, chunk, pub = asked.column("query_id").to_numpy(), rows.column("chunk_id").to_numpy(), rows.column("publication_id").to_numpy()
+            reached = asked.column("bound").fill_null(-np.inf).to_numpy() if "bound" in asked.column_names else np.full(len(asked), -np.inf)
             for a, s, v, q in _scored(rows, asked):
                 floor = -np.inf if least is None else least - 1e-9
                 kth = lambda n: np.partition(-s, n - 1, axis=1)[:, n - 1 : n] * -1 if s.shape[1] > n else np.full((len(s), 1), -np.inf)
                 bound = np.maximum(kth(keep) - 1e-9, np.minimum(floor, kth(always) - 1e-9) if always else floor)
+                bound = np.maximum(bound, reached[a : a + len(s), None] - 1e-9)
                 i, j = np.nonzero((s >= bound) & (s > -np.inf))
                 exact = np.einsum("nd,nd->n", q[a + i], v[j])  # the same sum for equal vectors, wherever they stand
                 order = np.lexsort((chunk[j], -exact, i))
@@ -89,14 +99,63 @@ def _best(keep: int, least: float | None, always: int):
     return search
 
 
-def tiles(rows: DataFrame, asked: DataFrame, search: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
+def _places(keep: int) -> np.ndarray:
+    """Places in an order of `keep`, each at most a seventh beyond the one before."""
+    out = [1]
+    while out[-1] < keep:
+        out.append(min(keep, out[-1] + max(1, out[-1] // 7)))
+    return np.array(out)
+
+
+def _steps(keep: int, least: float | None):
+    """f(rows, queries) -> the similarities of a tile at _places(keep) of each query, as far as they reach `least`."""
+    places = _places(keep)
+
+    def search(rows: pa.Table, asked: pa.Table) -> pa.Table:
+        ids, found = asked.column("query_id").to_numpy(), []
+        if len(rows) and len(asked):
+            for _, s, _, _ in _scored(rows, asked):
+                at = places[places <= s.shape[1]] - 1
+                top = -np.sort(np.partition(-s, at[-1], axis=1)[:, : at[-1] + 1], axis=1)[:, at]
+                found += [x[x > (-np.inf if least is None else least)] for x in top]
+        else:
+            ids = ids[:0]
+        return pa.table({"query_id": ids, "steps": pa.array(found, pa.list_(pa.float64()))})
+
+    return search
+
+
+def _bounded(rows: DataFrame, asked: DataFrame, cuts: DataFrame, keep: int, least: float | None) -> DataFrame:
+    """asked with a bound: a similarity that at least `keep` rows reach; null where there are not so many."""
+    told = tiles(rows, asked, _steps(keep, least), "query_id long, steps array<double>", cuts).filter(F.size("steps") > 0).repartition("query_id")
+    places = _places(keep)
+    more = F.array(*(F.lit(int(x)) for x in np.diff(places, prepend=0)))
+    # A tile has as many rows of a similarity as the place of its last step there says: steps of all tiles add up.
+    each = told.select("query_id", F.explode(F.arrays_zip("steps", F.slice(more, F.lit(1), F.size("steps")).alias("more"))).alias("z")).select("query_id", F.col("z.steps").alias("at"), F.col("z.more").alias("more"))
+    run = each.withColumn("n", F.sum("more").over(Window.partitionBy("query_id").orderBy(F.desc("at")).rowsBetween(Window.unboundedPreceding, 0)))
+    bounds = written(run.filter(F.col("n") >= keep).groupBy("query_id").agg(F.max("at").alias("bound")), "bounds")
+    return written(asked.join(bounds, "query_id", "left"), "asked")
+
+
+def cuts_of(rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """(area, parts, blocks): in how many parts an area's rows and queries are cut. Areas that only one side has are left out.
+
+    A part has about TILE_ROWS rows and a block TILE_QUERIES queries, more where there would be more than TILES tiles.
+    """
+    counts = rows.groupBy("area").agg(F.count(F.lit(1)).alias("r"), F.max(F.size("embedding")).alias("d")).join(asked.groupBy("area").agg(F.count(F.lit(1)).alias("q")), "area")
+    parts, blocks = F.col("r") / TILE_ROWS, F.col("q") / TILE_QUERIES
+    most = F.greatest(F.lit(1.0), F.least(F.lit(float(GROWTH)), GROWTH * 64 / F.greatest(F.col("d"), F.lit(1))))
+    grown = F.greatest(F.lit(1.0), F.least(most, F.sqrt(F.ceil(parts) * F.ceil(blocks) / TILES)))
+    return few(written(counts.select("area", F.ceil(parts / grown).cast("int").alias("_parts"), F.ceil(blocks / grown).cast("int").alias("_blocks")), "cuts"))
+
+
+def tiles(rows: DataFrame, asked: DataFrame, search: Callable[[pa.Table, pa.Table], pa.Table], schema: str, cuts: DataFrame | None = None) -> DataFrame:
     """search over every tile: some rows of an area against some queries of it. Both sides name their area (int).
 
-    An area's rows and queries are cut by hash so that a tile holds about TILE_ROWS of the ones and TILE_QUERIES of the
-    others; each part of the one side is sent to the tiles of the other's parts. Areas that only one side has cost nothing.
+    An area's rows and queries are cut by hash (see cuts_of); each part of the one side is sent to the tiles of the other's
+    parts. Areas that only one side has cost nothing.
     """
-    n = rows.groupBy("area").agg(F.count(F.lit(1)).alias("_r")).join(asked.groupBy("area").agg(F.count(F.lit(1)).alias("_q")), "area")
-    n = few(n.select("area", F.ceil(F.col("_r") / TILE_ROWS).cast("int").alias("_parts"), F.ceil(F.col("_q") / TILE_QUERIES).cast("int").alias("_blocks")))
+    n = cuts_of(rows, asked) if cuts is None else cuts
 
     def dealt(df: DataFrame, key: str, own: str, other: str, at: str, over: str) -> DataFrame:
         placed = df.join(F.broadcast(n), "area").withColumn(at, F.pmod(F.xxhash64(key), F.col(own)).cast("int"))
@@ -131,10 +190,14 @@ def candidates(chunks: DataFrame, queries: DataFrame, keep: int, least: float |
 
     With least, only those of that similarity or more, and the `always` nearest. Queries may set conditions
     (year_low, year_high, document_type, publication_ids), which hold before the nearest are taken. Tiles
-    keep their best, tasks the best of their tiles, and the rest are ranked by query.
+    keep their best, and the rest are ranked by query. Where those are many, rows are scored twice, so that
+    about `keep` of a query are sent by all tiles together and not by each of them.
     """
     rows, asked = _sides(chunks, queries)
-    return ranked(tiles(rows, asked, _best(keep, least, always), "query_id long, chunk_id long, publication_id long, similarity double"), keep, least, always)
+    cuts = cuts_of(rows, asked)
+    if not cuts.filter((F.col("_parts") > 1) & (F.col("_parts") * keep >= BOUND_FROM)).isEmpty():
+        asked = _bounded(rows, asked, cuts, keep, least)
+    return ranked(tiles(rows, asked, _best(keep, least, always), "query_id long, chunk_id long, publication_id long, similarity double", cuts), keep, least, always)
 
 
 def ranked(found: DataFrame, keep: int, least: float | None = None, always: int = 0) -> DataFrame:
@@ -147,7 +210,9 @@ def vector_search(chunks: DataFrame, queries: DataFrame, k: int = 8, threshold:
     """The k best publications of each query: gate (inclusive), best chunk of a publication, then rank. Queries may set conditions (see candidates)."""
     if not 1 <= k <= 50 or not 0 <= threshold <= 1:
         raise ValueError("k must be within 1 to 50 and the threshold within 0 to 1")
-    return publications_of(candidates(chunks, queries, window_size(k), threshold), k)
+    # The k best publications have their best chunks among this many: each may have all its chunks before the next one's best.
+    most = chunks.filter(F.col("embedding").isNotNull()).groupBy("publication_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 1
+    return publications_of(candidates(chunks, queries, min(window_size(k), k * most), threshold), k)
 
 
 def publications_of(near: DataFrame, k: int) -> DataFrame:

@@ -117,3 +117,53 @@ def test_generic_rows_and_notes(spark):
     sources = spark.createDataFrame([], "question_id long, position int, publication_id string, title string, year int, doi string, relevance double, provenance string")
     _, _, told = evidence.unify(evidence.from_analytics(rows), sources, notes)
     assert {r.question_id: (r.filters_ignored, r.lineage) for r in told.collect()} == {1: (["a", "b"], "x; y"), 2: ([], None)}
+
+
+@pytest.mark.parametrize("gate", [None, 0.0, 0.5])
+def test_tiles_send_what_can_be_among_the_best(spark, monkeypatch, gate):
+    """Two passes: the same nearest rows, by brute force, with few more sent than are kept; conditions and years as areas too."""
+    monkeypatch.setattr(vector, "TILE_ROWS", 16)
+    monkeypatch.setattr(vector, "TILE_QUERIES", 3)
+    monkeypatch.setattr(vector, "TILES", 8)
+    monkeypatch.setattr(vector, "BOUND_FROM", 1)
+    r = np.random.default_rng(8)
+    n, keep = 400, 60
+    v = r.normal(size=(n, 6)).astype(np.float32).astype(float)
+    v[40:80] = v[40]  # ties
+    chunks = spark.createDataFrame([(i, i // 2, v[i].tolist(), 2000 + i % 2) for i in range(n)] + [(900, 1, None, 2001), (901, 1, [0.0] * 6, 2001)], "chunk_id long, publication_id long, embedding array<float>, year int").repartition(4)
+    ask = [None, 2001] * 5
+    sent = []
+    monkeypatch.setattr(vector, "ranked", lambda found, *a, of=vector.ranked: (sent.append(found.count()), of(found, *a))[1])
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    for conditions in (False, True):
+        queries = spark.createDataFrame([(i, v[3 * i].tolist(), y) for i, y in enumerate(ask)], "query_id long, embedding array<float>, year_low int")
+        got = {}
+        for x in vector.candidates(chunks, queries if conditions else queries.drop("year_low"), keep, gate).collect():
+            got.setdefault(x.query_id, []).append((-x.similarity, x.chunk_id))
+        kept = 0
+        for i, y in enumerate(ask):
+            s = {j: float(np.einsum("nd,nd->n", u[3 * i : 3 * i + 1], u[j : j + 1])[0]) for j in range(n) if not conditions or y is None or 2000 + j % 2 >= y}
+            want = sorted((-s[j], j) for j in s if gate is None or s[j] >= gate)[:keep]
+            assert [j for _, j in sorted(got.get(i, []))] == [j for _, j in want], i
+            kept += len(want)
+        assert kept <= sent.pop() <= 1.5 * kept + 40 * len(ask)
+
+
+@pytest.mark.parametrize("most", [1, 3, 40])
+def test_search_sends_no_more_chunks_than_publications_need(spark, monkeypatch, most):
+    """The window of 100 chunks holds where a publication has many; where it has few, k times as many are looked at."""
+    r = np.random.default_rng(most)
+    v = r.normal(size=(240, 4)).astype(np.float32).astype(float)
+    chunks = spark.createDataFrame([(i, i // most, v[i].tolist()) for i in range(240)] + [(900 + i, 7000, None) for i in range(50)], "chunk_id long, publication_id long, embedding array<float>")
+    queries = chunks.filter("chunk_id < 5").select(F.col("chunk_id").alias("query_id"), "embedding")
+    asked = []
+    monkeypatch.setattr(vector, "candidates", lambda c, q, keep, *a, of=vector.candidates: (asked.append(keep), of(c, q, keep, *a))[1])
+    got = {(x.query_id, x["rank"]): (x.publication_id, x.chunk_id) for x in vector.vector_search(chunks, queries, 4, 0.0).collect()}
+    assert asked == [min(100, 4 * most)]
+    u, want = v / np.linalg.norm(v, axis=1, keepdims=True), {}
+    for q in range(5):
+        seen = {}
+        for j in [j for j in np.lexsort((np.arange(240), -(u @ u[q]))) if u[j] @ u[q] >= 0][:100]:
+            seen.setdefault(int(j) // most, int(j))
+        want |= {(q, k): x for k, x in enumerate(list(seen.items())[:4], 1)}
+    assert got == want
