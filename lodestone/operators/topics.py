@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.columns import icontains
 from lodestone.operators.centroids import centroids
-from lodestone.operators.graph import counted_pairs
+from lodestone.operators.graph import PAIR_BLOCK, counted_pairs, group_sizes
 from lodestone.sources.corpus import Corpus
-from lodestone.sources.shared import written
+from lodestone.sources.shared import tasks_for, written
 
 #: Topic terms that are sent to every task; a larger table is refused rather than broadcast.
 TERMS_MOST = 100_000
@@ -146,19 +146,60 @@ def expertise(c: Corpus, assigned: DataFrame, recent_from: int) -> DataFrame:
 
     Weights: relevance .30, productivity .25, impact .25, recency .20, each within 0 to 100.
     """
-    network = coauthors(assigned, c.pub_author.select("author_id", "publication_id"))
-    r = scored(author_topics(c, assigned, recent_from)).drop("years").join(network, ["author_id", "topic_id"], "left")
-    return r.withColumn("coauthor_network_size", F.coalesce("network", F.lit(0))).drop("network")
+    rows = c.author_lines.select(F.col("publication_id").alias("g"), F.col("author_id").alias("i"))
+    size = group_sizes(rows.filter("g is not null and i is not null"))
+    if (size.most or 0) <= PAIR_BLOCK:
+        found = networked(c, assigned, recent_from, tasks_for(c.spark, 4 * (size.pairs or 0)), bool(size.plain))
+    else:
+        network = coauthors(assigned, c.pub_author.select("author_id", "publication_id"))
+        found = author_topics(c, assigned, recent_from).join(network, ["author_id", "topic_id"], "left")
+    return scored(found, F.coalesce("network", F.lit(0)).alias("coauthor_network_size"))
+
 
+def networked(c: Corpus, assigned: DataFrame, recent_from: int, tasks: int, numbers: bool) -> DataFrame:
+    """author_topics without years, and network, the author's coauthors in the topic, where no publication has many authors.
 
-def scored(r: DataFrame) -> DataFrame:
-    """The scores of author_topics, and the years in which there are publications of the author in the topic."""
+    An author's publications go through the shuffle once, each with its topics and the list of its other authors. All that is
+    counted is counted where the author's rows lie: lists are taken apart there, and no pair is shuffled. numbers: names stand for numbers.
+    """
+    author = F.col("author_id").cast("bigint") if numbers else F.col("author_id")
+    kind = "bigint" if numbers else dict(c.author_lines.dtypes)["author_id"]
+    listed = assigned.groupBy("publication_id").agg(F.collect_set("topic_id").alias("topics"))
+    pubs = c.dated.select("publication_id", "year", F.coalesce("citation_count", F.lit(0)).alias("cited")).join(listed, "publication_id")
+    own = c.author_lines.select("publication_id", author.alias("author_id")).repartition("publication_id").groupBy("publication_id").agg(F.collect_set("author_id").alias("all"))
+    every = own.join(pubs, "publication_id", "left").select(F.explode("all").alias("author_id"), "all", "year", "cited", "topics")
+    others = F.when(F.col("topics").isNotNull(), F.array_remove("all", F.col("author_id")))
+    dealt = every.select("author_id", others.alias("others"), "year", "cited", "topics").repartition(tasks, "author_id")
+    # A row of an author without a topic counts for the portfolio, one with a topic for the topic, and one with a coauthor too for the network.
+    topic = dict(assigned.dtypes)["topic_id"]
+    no_topic, no_one = F.array(F.lit(None).cast(topic)), F.array(F.lit(None).cast(kind))
+    each = dealt.select("author_id", "others", "year", "cited", F.explode(F.concat(F.coalesce("topics", F.array().cast(f"array<{topic}>")), no_topic)).alias("topic_id"))
+    each = each.select("author_id", "topic_id", "year", "cited", F.explode(F.when(F.col("topic_id").isNull(), no_one).otherwise(F.concat("others", no_one))).alias("other"))
+    of_topic = F.col("topic_id").isNotNull() & F.col("other").isNull()
+    recent = F.when(of_topic, F.coalesce(F.col("year") >= recent_from, F.lit(False)))
+    counts = each.groupBy("author_id", "topic_id", "other", F.when(of_topic, F.col("cited")).alias("cited"), recent.alias("recent")).agg(F.count(F.lit(1)).alias("n"))
+    alone = F.when(F.col("other").isNull(), F.col("n"))
+    counts = counts.groupBy("author_id", "topic_id", "cited").agg(F.count("other").alias("network"), F.sum(alone).alias("n"), F.sum(F.when(F.col("recent"), F.col("n"))).alias("recent"))
+    found = counts.groupBy("author_id", "topic_id").agg(
+        F.sum("n").alias("matched"), F.sum(F.col("cited") * F.col("n")).alias("citations"), F.coalesce(F.sum("recent"), F.lit(0)).alias("recent"), F.sum("network").alias("network"),
+        F.sort_array(F.collect_list(F.when(F.col("cited").isNotNull(), F.struct("cited", "n"))), asc=False).alias("steps"),
+    )
+    # The h-index is the greatest of min(v, publications cited v times or more) over the citations v that there are.
+    step = lambda s, x: F.struct((s["n"] + x["n"]).alias("n"), F.greatest(s["h"], F.least(x["cited"].cast("long"), s["n"] + x["n"])).alias("h"))
+    h = F.aggregate("steps", F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("h")), step)["h"]
+    portfolio = F.max(F.when(F.col("topic_id").isNull(), F.col("matched"))).over(Window.partitionBy("author_id"))
+    found = found.withColumns({"portfolio": portfolio, "h_index": h}).filter("topic_id is not null")
+    return found.select(F.col("author_id").cast("string").alias("author_id") if numbers else "author_id", "topic_id", "matched", "citations", "recent", "h_index", "portfolio", "network")
+
+
+def scored(r: DataFrame, also: Column | str = "years") -> DataFrame:
+    """The scores of author_topics, and one more column: the years in which there are publications of the author in the topic."""
     relevance = F.least(F.lit(100.0), F.greatest(F.lit(20.0), F.col("matched") / F.col("portfolio") * 100))
     productivity = F.least(F.lit(100.0), F.log1p("matched") / F.log1p(F.lit(10.0)) * 100)
     impact = F.least(F.lit(100.0), F.log1p("citations") / F.log1p(F.lit(50.0)) * 80 + F.least(F.lit(20.0), F.col("h_index") * 5.0))
     recency = F.least(F.lit(100.0), F.col("recent") / F.col("matched") * 100)
     total = F.least(F.lit(100.0), F.greatest(F.lit(0.0), 0.30 * relevance + 0.25 * productivity + 0.25 * impact + 0.20 * recency))
-    return r.select("author_id", "topic_id", F.round(total, 4).alias("expertise_score"), F.round(relevance, 4).alias("relevance_score"), F.round(productivity, 4).alias("productivity_score"), F.round(impact, 4).alias("impact_score"), F.round(recency, 4).alias("recency_score"), F.col("h_index").alias("h_index_topic"), F.col("matched").alias("publication_count_topic"), F.col("citations").alias("citation_count_topic"), "years")
+    return r.select("author_id", "topic_id", F.round(total, 4).alias("expertise_score"), F.round(relevance, 4).alias("relevance_score"), F.round(productivity, 4).alias("productivity_score"), F.round(impact, 4).alias("impact_score"), F.round(recency, 4).alias("recency_score"), F.col("h_index").alias("h_index_topic"), F.col("matched").alias("publication_count_topic"), F.col("citations").alias("citation_count_topic"), also)
 
 
 def trends(evolved: DataFrame, topics: DataFrame, topic_id: int | None = None, emerging_only: bool = False, low: int | None = None, high: int | None = None, n: int = 10) -> DataFrame:

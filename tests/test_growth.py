@@ -199,3 +199,24 @@ def test_pairs_of_few_items_are_counted_before_the_shuffle(spark):
     assert {tuple(r) for r in out.collect()} == want and len(want) == 28
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "partial_count" in plan and "node_a" in plan.split("partial_count")[0] and "via" not in plan
+
+
+def test_an_authors_publications_are_shuffled_once_and_no_pairs(spark, tmp_path, monkeypatch):
+    from tests import golden
+
+    monkeypatch.setattr(shared, "TASK_ROWS", 40)
+    golden.write(str(tmp_path))
+    c = Corpus(spark, str(tmp_path))
+    terms = spark.createDataFrame([(1, "widget"), (2, "promo"), (2, "bolt"), (3, "ring"), (4, "none")], "topic_id int, term string")
+    a = topics.assign_topics(c.publications, c.keyword_lines, terms)
+    network = topics.coauthors(a, c.pub_author.select("author_id", "publication_id"))
+    keys = ["author_id", "topic_id", "matched", "citations", "recent", "h_index", "portfolio"]
+    want = sorted((*(r[k] for k in keys), r.network or 0) for r in topics.author_topics(c, a, 1998).join(network, ["author_id", "topic_id"], "left").collect())
+    assert len(want) > 12 and any(r[5] > 1 for r in want)
+    for numbers in (True, False):
+        assert sorted((*(r[k] for k in keys), r.network) for r in topics.networked(c, a, 1998, 3, numbers).collect()) == want
+    scores = topics.expertise(c, a, 1998)
+    plan = scores._jdf.queryExecution().executedPlan().toString()
+    assert "node_a" not in plan and plan.count("Exchange hashpartitioning(author_id") == 1
+    monkeypatch.setattr(topics, "PAIR_BLOCK", 1)
+    assert sorted(map(tuple, topics.expertise(c, a, 1998).collect())) == sorted(map(tuple, scores.collect()))
