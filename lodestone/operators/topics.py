@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodestone.functions.columns import icontains
 from lodestone.operators.centroids import centroids
 from lodestone.operators.graph import PAIR_BLOCK, counted_pairs, group_sizes
+from lodestone.operators.keys import add_surrogate_key
 from lodestone.sources.corpus import Corpus
 from lodestone.sources.shared import tasks_for, written
 
@@ -28,16 +29,27 @@ def assign_topics(publications: DataFrame, keywords: DataFrame, terms: DataFrame
     Distinct titles and keywords are matched once, whatever the number of publications that carry them. Texts are made
     once, and repeats fall out with the topics, whose rows are shorter and fewer.
     """
-    texts = publications.select("publication_id", F.lower("title").alias("text")).unionByName(keywords.select("publication_id", F.lower("keyword").alias("text"))).filter("text is not null")
-    texts = written(texts, "texts")
+    return assign_texts(texts_of(publications, keywords), terms)
+
+
+def texts_of(publications: DataFrame, keywords: DataFrame) -> DataFrame:
+    """(publication_id, text, is_keyword), written: lower-case titles and keywords, with repeats."""
+    titles = publications.select("publication_id", F.lower("title").alias("text"), F.lit(False).alias("is_keyword"))
+    texts = titles.unionByName(keywords.select("publication_id", F.lower("keyword").alias("text"), F.lit(True).alias("is_keyword"))).filter("text is not null")
+    return written(texts, "texts")
+
+
+def assign_texts(texts: DataFrame, terms: DataFrame) -> DataFrame:
+    """assign_topics of texts_of."""
     small = F.broadcast(few(terms).select("topic_id", F.lower("term").alias("term")))
     matched = texts.select("text").distinct().join(small, F.contains(F.col("text"), F.col("term"))).select("topic_id", "text").distinct()
     matched = written(matched, "matched")
     # Few distinct texts (keywords) stand for very many rows; they are sent to every task while their number is checked.
+    of_text = matched.groupBy("text").agg(F.collect_list("topic_id").alias("found"))
     if matched.limit(TERMS_MOST + 1).count() <= TERMS_MOST:
-        matched = F.broadcast(matched)
+        of_text = F.broadcast(of_text)
     # Lists of a publication's topics, a row for each where its texts stand together; joins by publication find them in place.
-    listed = texts.join(matched, "text").groupBy("publication_id").agg(F.collect_set("topic_id").alias("topics"))
+    listed = texts.join(of_text, "text").groupBy("publication_id").agg(F.array_distinct(F.flatten(F.collect_set("found"))).alias("topics"))
     return listed.select(F.explode("topics").alias("topic_id"), "publication_id")
 
 
@@ -82,8 +94,17 @@ def cluster_keywords(assigned: DataFrame, keywords: DataFrame, n: int = 5) -> Da
     Class-based weighting: a keyword's share of the topic's keyword occurrences (one for each publication that carries it), times
     ln(1 + A / f), with f its occurrences in all topics and A the mean number of a topic's. Ties by keyword.
     """
-    carried = keywords.select("publication_id", F.lower("keyword").alias("keyword")).distinct()
-    counts = assigned.join(carried, "publication_id").groupBy("topic_id", "keyword").agg(F.count(F.lit(1)).alias("publications"))
+    carried = keywords.select("publication_id", F.lower("keyword").alias("keyword"))
+    names = written(carried.select("keyword").distinct(), "keyword-names")
+    if names.limit(TERMS_MOST + 1).count() > TERMS_MOST:
+        counts = assigned.join(carried.distinct(), "publication_id").groupBy("topic_id", "keyword").agg(F.count(F.lit(1)).alias("publications"))
+    else:
+        # Few keywords stand for very many rows: a publication's go through the shuffle as a list of their numbers.
+        names = F.broadcast(written(add_surrogate_key(names, ["keyword"], "id").select(F.col("id").cast("int").alias("id"), F.col("keyword").alias("name")), "keyword-names"))
+        lists = carried.join(names, F.col("keyword").eqNullSafe(F.col("name"))).groupBy("publication_id").agg(F.collect_set("id").alias("ids"))
+        topics = assigned.groupBy("publication_id").agg(F.collect_set("topic_id").alias("topics"))
+        met = topics.join(lists, "publication_id").select(F.explode("topics").alias("topic_id"), "ids").select("topic_id", F.explode("ids").alias("id"))
+        counts = met.groupBy("topic_id", "id").agg(F.count(F.lit(1)).alias("publications")).join(names, "id").select("topic_id", F.col("name").alias("keyword"), "publications")
     counts = written(counts, "topic-keywords")
     own = counts.groupBy("topic_id").agg(F.sum("publications").alias("own"))
     every = counts.groupBy("keyword").agg(F.sum("publications").alias("every"))
@@ -141,45 +162,55 @@ def author_topics(c: Corpus, assigned: DataFrame, recent_from: int) -> DataFrame
     return rows.groupBy("author_id", "topic_id").agg(F.count(F.lit(1)).alias("matched"), F.sum("cited").alias("citations"), recent, F.count_if(F.col("cited") >= F.col("_r")).alias("h_index"), F.max("portfolio").alias("portfolio"), F.collect_set("year").alias("years"))
 
 
-def expertise(c: Corpus, assigned: DataFrame, recent_from: int) -> DataFrame:
-    """Scores of each (author, topic) with at least one publication in the topic.
+def expertise(c: Corpus, assigned: DataFrame, recent_from: int, names: DataFrame | None = None) -> DataFrame:
+    """Scores of each (author, topic) with at least one publication in the topic. names: a table with every topic_id of assigned, where there is one.
 
     Weights: relevance .30, productivity .25, impact .25, recency .20, each within 0 to 100.
     """
     rows = c.author_lines.select(F.col("publication_id").alias("g"), F.col("author_id").alias("i"))
     size = group_sizes(rows.filter("g is not null and i is not null"))
-    if (size.most or 0) <= PAIR_BLOCK:
-        found = networked(c, assigned, recent_from, tasks_for(c.spark, 4 * (size.pairs or 0)), bool(size.plain))
+    ids = sorted(r[0] for r in (assigned if names is None else names).select("topic_id").distinct().limit(BITS + 1).collect())
+    if (size.most or 0) <= PAIR_BLOCK and len(ids) <= BITS:
+        found = networked(c, assigned, recent_from, tasks_for(c.spark, 4 * (size.pairs or 0)), bool(size.plain), ids)
     else:
         network = coauthors(assigned, c.pub_author.select("author_id", "publication_id"))
         found = author_topics(c, assigned, recent_from).join(network, ["author_id", "topic_id"], "left")
     return scored(found, F.coalesce("network", F.lit(0)).alias("coauthor_network_size"))
 
 
-def networked(c: Corpus, assigned: DataFrame, recent_from: int, tasks: int, numbers: bool) -> DataFrame:
+#: Topics that are held as the bits of one number.
+BITS = 62
+
+
+def networked(c: Corpus, assigned: DataFrame, recent_from: int, tasks: int, numbers: bool, ids: list[int]) -> DataFrame:
     """author_topics without years, and network, the author's coauthors in the topic, where no publication has many authors.
 
-    An author's publications go through the shuffle once, each with its topics and the list of its other authors. All that is
-    counted is counted where the author's rows lie: lists are taken apart there, and no pair is shuffled. numbers: names stand for numbers.
+    An author's publications go through the shuffle once, each with its topics (bits, by their place in ids) and the list of its
+    authors. All that is counted is counted where the author's rows lie: lists are taken apart there, and no pair is shuffled.
+    numbers: names stand for numbers.
     """
     author = F.col("author_id").cast("bigint") if numbers else F.col("author_id")
     kind = "bigint" if numbers else dict(c.author_lines.dtypes)["author_id"]
-    listed = assigned.groupBy("publication_id").agg(F.collect_set("topic_id").alias("topics"))
+    bit = F.coalesce(*(F.when(F.col("topic_id") == t, F.lit(1 << i).cast("long")) for i, t in enumerate(ids)), F.lit(0).cast("long"))
+    listed = assigned.groupBy("publication_id").agg(F.bit_or(bit).alias("bits"))
     pubs = c.dated.select("publication_id", "year", F.coalesce("citation_count", F.lit(0)).alias("cited")).join(listed, "publication_id")
     own = c.author_lines.select("publication_id", author.alias("author_id")).repartition("publication_id").groupBy("publication_id").agg(F.collect_set("author_id").alias("all"))
-    every = own.join(pubs, "publication_id", "left").select(F.explode("all").alias("author_id"), "all", "year", "cited", "topics")
-    others = F.when(F.col("topics").isNotNull(), F.array_remove("all", F.col("author_id")))
-    dealt = every.select("author_id", others.alias("others"), "year", "cited", "topics").repartition(tasks, "author_id")
-    # A row of an author without a topic counts for the portfolio, one with a topic for the topic, and one with a coauthor too for the network.
+    every = own.join(pubs, "publication_id", "left").select(F.explode("all").alias("author_id"), "all", "year", "cited", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))
+    others = F.when(F.col("bits") != 0, F.array_remove("all", F.col("author_id")))
+    recent = F.coalesce(F.col("year") >= recent_from, F.lit(False))
+    dealt = every.select("author_id", others.alias("others"), recent.alias("recent"), "cited", "bits").repartition(tasks, "author_id")
+    # A row for each publication, and one for each coauthor with the topics of all publications that are shared.
+    no_one = F.array(F.lit(None).cast(kind))
+    each = dealt.select("author_id", "recent", "cited", "bits", F.explode(F.concat(F.coalesce("others", F.array().cast(f"array<{kind}>")), no_one)).alias("other"))
+    alone = F.col("other").isNull()
+    own_bits, own_cited, own_recent = (F.when(alone, F.col(x)).alias(f"own_{x}") for x in ("bits", "cited", "recent"))
+    counts = each.groupBy("author_id", "other", own_bits, own_cited, own_recent).agg(F.count(F.lit(1)).alias("n"), F.bit_or("bits").alias("bits"))
+    # Rows of publications count once more without a topic, for the portfolio.
     topic = dict(assigned.dtypes)["topic_id"]
-    no_topic, no_one = F.array(F.lit(None).cast(topic)), F.array(F.lit(None).cast(kind))
-    each = dealt.select("author_id", "others", "year", "cited", F.explode(F.concat(F.coalesce("topics", F.array().cast(f"array<{topic}>")), no_topic)).alias("topic_id"))
-    each = each.select("author_id", "topic_id", "year", "cited", F.explode(F.when(F.col("topic_id").isNull(), no_one).otherwise(F.concat("others", no_one))).alias("other"))
-    of_topic = F.col("topic_id").isNotNull() & F.col("other").isNull()
-    recent = F.when(of_topic, F.coalesce(F.col("year") >= recent_from, F.lit(False)))
-    counts = each.groupBy("author_id", "topic_id", "other", F.when(of_topic, F.col("cited")).alias("cited"), recent.alias("recent")).agg(F.count(F.lit(1)).alias("n"))
-    alone = F.when(F.col("other").isNull(), F.col("n"))
-    counts = counts.groupBy("author_id", "topic_id", "cited").agg(F.count("other").alias("network"), F.sum(alone).alias("n"), F.sum(F.when(F.col("recent"), F.col("n"))).alias("recent"))
+    held = F.filter(F.array(*(F.when(F.col("bits").bitwiseAND(F.lit(1 << i).cast("long")) != 0, F.lit(t).cast(topic)) for i, t in enumerate(ids)), F.lit(None).cast(topic)), lambda t: t.isNotNull())
+    rows = counts.select("author_id", "other", "own_cited", "own_recent", "n", F.explode(F.when(alone, F.concat(held, F.array(F.lit(None).cast(topic)))).otherwise(held)).alias("topic_id"))
+    cited = F.when(F.col("topic_id").isNotNull(), F.col("own_cited")).alias("cited")
+    counts = rows.groupBy("author_id", "topic_id", cited).agg(F.count("other").alias("network"), F.sum(F.when(alone, F.col("n"))).alias("n"), F.sum(F.when(alone & F.col("own_recent"), F.col("n"))).alias("recent"))
     found = counts.groupBy("author_id", "topic_id").agg(
         F.sum("n").alias("matched"), F.sum(F.col("cited") * F.col("n")).alias("citations"), F.coalesce(F.sum("recent"), F.lit(0)).alias("recent"), F.sum("network").alias("network"),
         F.sort_array(F.collect_list(F.when(F.col("cited").isNotNull(), F.struct("cited", "n"))), asc=False).alias("steps"),

@@ -214,9 +214,24 @@ def test_an_authors_publications_are_shuffled_once_and_no_pairs(spark, tmp_path,
     want = sorted((*(r[k] for k in keys), r.network or 0) for r in topics.author_topics(c, a, 1998).join(network, ["author_id", "topic_id"], "left").collect())
     assert len(want) > 12 and any(r[5] > 1 for r in want)
     for numbers in (True, False):
-        assert sorted((*(r[k] for k in keys), r.network) for r in topics.networked(c, a, 1998, 3, numbers).collect()) == want
+        assert sorted((*(r[k] for k in keys), r.network) for r in topics.networked(c, a, 1998, 3, numbers, [1, 2, 3, 4]).collect()) == want
     scores = topics.expertise(c, a, 1998)
     plan = scores._jdf.queryExecution().executedPlan().toString()
     assert "node_a" not in plan and plan.count("Exchange hashpartitioning(author_id") == 1
-    monkeypatch.setattr(topics, "PAIR_BLOCK", 1)
+    monkeypatch.setattr(topics, "BITS", 2)
     assert sorted(map(tuple, topics.expertise(c, a, 1998).collect())) == sorted(map(tuple, scores.collect()))
+
+
+def test_texts_are_made_once_for_both_assignments(spark, tmp_path, monkeypatch):
+    """k5_cluster_expertise writes its texts once; a publication's keywords go through the shuffle as one list of numbers."""
+    from tests import golden
+
+    golden.write(str(tmp_path))
+    labels = []
+    monkeypatch.setattr(topics, "written", lambda df, label, of=topics.written: (labels.append(label), of(df, label))[1])
+    assert research.cluster_expertise(spark, str(tmp_path)).count() and labels.count("texts") == 1
+    assigned = spark.createDataFrame([(1, "p1"), (1, "p2"), (2, "p1")], "topic_id int, publication_id string")
+    keywords = spark.createDataFrame([("p1", "A"), ("p1", "a"), ("p2", "b"), ("p1", "c")], "publication_id string, keyword string")
+    few = sorted(map(tuple, topics.cluster_keywords(assigned, keywords).collect()))
+    monkeypatch.setattr(topics, "TERMS_MOST", 1)
+    assert few == sorted(map(tuple, topics.cluster_keywords(assigned, keywords).collect())) and len(few) == 5
